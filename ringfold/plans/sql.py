@@ -36,9 +36,9 @@ def width(p: str) -> str:
 
 
 def in_arc(position: str, offset: str, width: str) -> str:
-    behind = f"{position} - {offset} + {MASK} + 1"
-    distance = f"(CASE WHEN {position} >= {offset} THEN {position} - {offset} ELSE {behind} END)"
-    return f"({width} < 0 OR {distance} < {width})"
+    ahead = f"{position} >= {offset} AND {position} - {offset} < {width}"
+    wrapped = f"{position} < {offset} AND {position} < greatest({width}, 0) - 1 - ({MASK} - {offset})"
+    return f"({width} < 0 OR ({ahead}) OR ({wrapped}))"
 
 
 def wrap(total: str) -> str:
