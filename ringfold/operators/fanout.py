@@ -14,7 +14,7 @@ from ringfold.operators.rules import node_of, rule_nodes
 
 BROADCAST_BYTES = 128 << 20
 ROW_BYTES = 64
-SALTS = 16
+SALTS = 8
 SCAN_CHUNK = 4096
 PHASE_SEED = 8902763414119392010
 
@@ -113,9 +113,8 @@ def scan_fanout(
     allows, else salted.
     """
     fields = rules.columns
-    size = rules.agg(
-        F.count("*").alias("n"), F.coalesce(F.sum(F.length("rule_id") + ROW_BYTES), F.lit(0)).alias("bytes")
-    ).first()
+    row_bytes = F.length(F.to_json(F.struct(*fields))) + ROW_BYTES
+    size = rules.agg(F.count("*").alias("n"), F.coalesce(F.sum(row_bytes), F.lit(0)).alias("bytes")).first()
     chunks = max(1, -(-size["n"] // chunk))
     arrays = rules.groupBy(F.pmod(F.xxhash64("rule_id"), F.lit(chunks)).cast("int").alias("chunk")).agg(
         F.collect_list(F.struct(*fields)).alias("scanned")

@@ -16,6 +16,7 @@ from ringfold.functions.ring import RING_MASK, arc_width, hash_sample, in_arc, r
 from ringfold.functions.timing import epoch_ms
 from ringfold.operators import metrics
 from ringfold.operators.digest import MAX_ROWS, SplitMatches, count_window_digest, running_count_events, split_hot_rules
+from ringfold.operators.folds import batch_fold, window_fold
 from ringfold.operators.fanout import (
     match_records,
     matches_per_rule,
@@ -41,7 +42,7 @@ from ringfold.sources.records import pace, random_bytes
 from ringfold.sources.streams import file_records, write_events
 from ringfold.streaming.digest import start_digest_stream
 from ringfold.streaming.match import stream_match
-from ringfold.streaming.state import batch_fold, stateful_digest
+from ringfold.streaming.state import stateful_digest
 from ringfold.workdir import stored, work_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -50,6 +51,7 @@ EVERY = 10
 SPARSE_EVERY = 3
 PAYLOAD_STATE = 64
 BOUNDS = metrics.default_bounds()
+SLIDING_QUANTILES = (0.05, 0.5, 0.95, 0.99, 1.0)
 DAY_S = 24 * 3600
 WARMUP_S = 6 * 3600
 
@@ -726,6 +728,30 @@ def custom_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return batch_fold(matches, record_high, "rule_id string, record_id bigint, high bigint")
 
 
+def window_range(key: tuple, state: tuple | None, rows) -> tuple[tuple, list[tuple]]:
+    """A consumer of one's own per window: lowest and highest value once it is full."""
+    values = rows["first_long"]
+    n, low, high = state or (0, 2**63 - 1, -(2**63))
+    state = (n + len(rows), min(low, int(values.min())), max(high, int(values.max())))
+    full = state[0] == EVERY
+    return state, [(key[0], int(key[1]), state[1], state[2])] if full else []
+
+
+@register(
+    "custom_window_digest",
+    sql.query(
+        *EVENT_MATCHES,
+        sql.numbered(EVERY),
+        select=f"""
+SELECT rule_id, cycle::BIGINT AS cycle, min(first_long) AS low, max(first_long) AS high
+FROM placed GROUP BY rule_id, cycle HAVING count(*) = {EVERY}""",
+    ),
+)
+def custom_window_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    matches = _sized(_event_matches(spark, sf_dir), spark, sf_dir)
+    return window_fold(matches, EVERY, window_range, "rule_id string, cycle bigint, low bigint, high bigint")
+
+
 # --- measurements ------------------------------------------------------------------------
 
 
@@ -766,9 +792,9 @@ def latency_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.latency_histogram(_samples(spark, sf_dir), BOUNDS)
 
 
-def _quantile_sql(windows: str) -> str:
+def _quantile_sql(windows: str, quantiles: tuple[float, ...] = metrics.QUANTILES) -> str:
     """Histogram quantiles over rows ``(start_us, latency)`` named by ``windows``."""
-    qs = list(metrics.QUANTILES)
+    qs = list(quantiles)
     top = BOUNDS[-1]
     return sql.query(
         sql.DELIVERIES,
@@ -805,11 +831,12 @@ WHERE place = 1""",
 windowed AS (
   SELECT (epoch_us(ts) // 5000000 - back) * 5000000 AS start_us, latency
   FROM samples, (SELECT unnest(range(4)) AS back) WHERE sign = 'latency'
-)"""
+)""",
+        SLIDING_QUANTILES,
     ),
 )
 def windowed_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = metrics.windowed_histogram_quantile(_samples(spark, sf_dir), BOUNDS, length_s=20, step_s=5)
+    found = metrics.windowed_histogram_quantile(_samples(spark, sf_dir), BOUNDS, SLIDING_QUANTILES, 20, 5)
     return found.withColumn("value", F.round("value", 6))
 
 

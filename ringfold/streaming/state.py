@@ -6,7 +6,7 @@ with columns, not row by row.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -15,15 +15,13 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ringfold.functions.payload import DIGEST_BYTES, require_state_bytes
 from ringfold.functions.timing import epoch_ms
-
-# A fold: (key, state or None, rows in order) -> (new state, emitted rows).
-Fold = Callable[[str, tuple | None, pd.DataFrame], tuple[tuple, list[tuple]]]
+from ringfold.operators.digest import ARRIVAL
+from ringfold.operators.folds import Fold, field_names
 
 STATE_STORES = {
     "rocksdb": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "in_memory": "org.apache.spark.sql.execution.streaming.state.HDFSBackedStateStoreProvider",
 }
-ORDER = ["ts", "record_id"]
 DIGEST_STATE = "pos bigint, n_records bigint, total bigint, start_ms bigint, end_ms bigint, payload binary"
 DIGEST_FIELDS = (
     "rule_id string, cycle bigint, n bigint, n_records bigint, total bigint, "
@@ -48,46 +46,18 @@ def stateful_fold(
     """
 
     def run(key: tuple, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(chunks), ignore_index=True).sort_values(ORDER, ignore_index=True)
+        rows = pd.concat(list(chunks), ignore_index=True).sort_values(list(ARRIVAL), ignore_index=True)
         new_state, out = fold(key[0], state.get if state.exists else None, rows)
         state.update(new_state)
         if out:
             yield pd.DataFrame(out, columns=names)
 
-    names = [field.split()[0] for field in output_schema.split(",")]
+    names = field_names(output_schema)
     return matches.groupBy("rule_id").applyInPandasWithState(
         run, output_schema, state_schema, mode, GroupStateTimeout.NoTimeout
     )
 
 
-def batch_fold(matches: DataFrame, fold: Fold, output_schema: str) -> DataFrame:
-    """The same fold over a table: rules are spread over tasks, each rule streams through.
-
-    Rows reach the fold in Arrow batches, sorted by rule and time; no rule is ever held
-    whole. The state passes from one batch to the next.
-    """
-    names = [field.split()[0] for field in output_schema.split(",")]
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, state = None, None
-        for batch in batches:
-            out: list[tuple] = []
-            ids = batch["rule_id"].to_numpy()
-            cuts = np.flatnonzero(ids[1:] != ids[:-1]) + 1
-            for lo, hi in zip([0, *cuts], [*cuts, len(ids)]):
-                if lo == hi:
-                    continue
-                if ids[lo] != key:
-                    key, state = ids[lo], None
-                state, events = fold(key, state, batch.iloc[lo:hi])
-                out.extend(events)
-            if out:
-                yield pd.DataFrame(out, columns=names)
-
-    ordered = matches.repartition("rule_id").sortWithinPartitions("rule_id", *ORDER)
-    return ordered.mapInPandas(run, output_schema)
-
-
 def digest_fold(every: int, state_bytes: int = DIGEST_BYTES) -> Fold:
     """The count-window digest as a fold over columns ``ms, first_long[, prefix, phase_hash]``."""
     require_state_bytes(state_bytes)
