@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,7 +18,7 @@ from ringfold.functions.ring import RING_MASK, arc_width, hash_sample, in_arc, r
 from ringfold.functions.timing import epoch_ms
 from ringfold.operators import metrics
 from ringfold.operators.digest import MAX_ROWS, SplitMatches, count_window_digest, running_count_events, split_hot_rules
-from ringfold.operators.folds import batch_fold, window_fold
+from ringfold.operators.folds import Fold, batch_fold, window_fold
 from ringfold.operators.fanout import (
     match_records,
     matches_per_rule,
@@ -696,17 +698,22 @@ def stateful_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _digest_fields(_drain(digests, "stateful-digest"))
 
 
-def record_high(key: str, state: tuple | None, rows) -> tuple[tuple, list[tuple]]:
-    """A consumer of one's own: an event whenever a rule sees a new highest value."""
-    import numpy as np
+def record_highs() -> Fold:
+    """A consumer of one's own: an event whenever a rule sees a new highest value.
 
-    values = rows["first_long"].to_numpy()
-    before = np.maximum.accumulate(np.concatenate([[np.iinfo(np.int64).min if state is None else state[0]], values]))
-    new = values > before[:-1]
-    if state is None:
-        new[0] = True
-    out = [(key, int(r), int(x)) for r, x in zip(rows["record_id"].to_numpy()[new], values[new])]
-    return (int(before[-1]),), out
+    Made by a function, so that it travels to the tasks whole and they need no import.
+    """
+
+    def fold(key: str, state: tuple | None, rows: pd.DataFrame) -> tuple[tuple, list[tuple]]:
+        values = rows["first_long"].to_numpy()
+        start = np.iinfo(np.int64).min if state is None else state[0]
+        before = np.maximum.accumulate(np.concatenate([[start], values]))
+        new = values > before[:-1]
+        new[0] |= state is None
+        out = [(key, int(r), int(x)) for r, x in zip(rows["record_id"].to_numpy()[new], values[new])]
+        return (int(before[-1]),), out
+
+    return fold
 
 
 @register(
@@ -725,16 +732,19 @@ ranked AS (
 )
 def custom_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     matches = _event_matches(spark, sf_dir)
-    return batch_fold(matches, record_high, "rule_id string, record_id bigint, high bigint")
+    return batch_fold(matches, record_highs(), "rule_id string, record_id bigint, high bigint")
 
 
-def window_range(key: tuple, state: tuple | None, rows) -> tuple[tuple, list[tuple]]:
+def window_ranges(every: int) -> Fold:
     """A consumer of one's own per window: lowest and highest value once it is full."""
-    values = rows["first_long"]
-    n, low, high = state or (0, 2**63 - 1, -(2**63))
-    state = (n + len(rows), min(low, int(values.min())), max(high, int(values.max())))
-    full = state[0] == EVERY
-    return state, [(key[0], int(key[1]), state[1], state[2])] if full else []
+
+    def fold(key: tuple, state: tuple | None, rows: pd.DataFrame) -> tuple[tuple, list[tuple]]:
+        values = rows["first_long"]
+        n, low, high = state or (0, 2**63 - 1, -(2**63))
+        state = (n + len(rows), min(low, int(values.min())), max(high, int(values.max())))
+        return state, [(key[0], int(key[1]), state[1], state[2])] if state[0] == every else []
+
+    return fold
 
 
 @register(
@@ -749,7 +759,7 @@ FROM placed GROUP BY rule_id, cycle HAVING count(*) = {EVERY}""",
 )
 def custom_window_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     matches = _sized(_event_matches(spark, sf_dir), spark, sf_dir)
-    return window_fold(matches, EVERY, window_range, "rule_id string, cycle bigint, low bigint, high bigint")
+    return window_fold(matches, EVERY, window_ranges(EVERY), "rule_id string, cycle bigint, low bigint, high bigint")
 
 
 # --- measurements ------------------------------------------------------------------------
