@@ -16,6 +16,7 @@ BROADCAST_BYTES = 128 << 20
 ROW_BYTES = 64
 SALTS = 8
 SCAN_CHUNK = 4096
+# Fixed value: the default seed of random phases.
 PHASE_SEED = 8902763414119392010
 
 
@@ -189,7 +190,8 @@ def rule_hit_rate(matches: DataFrame, records: DataFrame, rules: DataFrame) -> D
     hits = rules.select("rule_id", "selectivity").join(matches_per_rule(matches), "rule_id", "left")
     n, p = F.col("n_records"), F.least("selectivity", F.lit(1.0))
     return (
-        hits.select("rule_id", "selectivity", F.coalesce("n_matches", F.lit(0)).alias("n_matches"), total.alias("n_records"))
+        hits.withColumn("n_matches", F.coalesce("n_matches", F.lit(0)))
+        .withColumn("n_records", total)
         .withColumn("rate", F.when(n > 0, F.col("n_matches") / n))
         .withColumn("z", F.when((p > 0) & (p < 1) & (n > 0), (F.col("n_matches") - n * p) / F.sqrt(n * p * (1 - p))))
     )

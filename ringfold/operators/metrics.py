@@ -48,7 +48,8 @@ def latency_percentiles(
     ps = F.array(*[F.lit(float(p)) for p in percentiles])
     if accuracy is None:
         counted = samples.groupBy("sign", "latency").agg(F.count("*").alias("n"))
-        found = counted.groupBy("sign").agg(F.sum("n").alias("n"), F.percentile("latency", ps, F.col("n")).alias("values"))
+        exact = F.percentile("latency", ps, F.col("n"))
+        found = counted.groupBy("sign").agg(F.sum("n").alias("n"), exact.alias("values"))
     else:
         found = samples.groupBy("sign").agg(
             F.count("*").alias("n"), F.percentile_approx("latency", ps, accuracy).cast("array<double>").alias("values")
@@ -76,7 +77,8 @@ def _fill_buckets(counts: DataFrame, keys: Sequence[str], bounds: Sequence[float
 def latency_histogram(samples: DataFrame, bounds: Sequence[float] | None = None) -> DataFrame:
     """Cumulative counts per sign and bucket; ``le`` is the bucket's bound, the last +Inf."""
     bounds = default_bounds() if bounds is None else check_bounds(bounds)
-    counts = samples.groupBy("sign", bucket_index(F.col("latency"), bounds).alias("bucket")).agg(F.count("*").alias("n"))
+    bucket = bucket_index(F.col("latency"), bounds).alias("bucket")
+    counts = samples.groupBy("sign", bucket).agg(F.count("*").alias("n"))
     le = F.coalesce(_bound(F.col("bucket"), bounds), F.lit(float("inf")))
     return _fill_buckets(counts, ["sign"], bounds).select("sign", le.alias("le"), F.col("cumulative"))
 
@@ -104,7 +106,8 @@ def windowed_bucket_counts(
         return counts.withColumnRenamed("step_us", "start_us")
     back = F.explode(F.sequence(F.lit(0), F.lit(length_s // step_s - 1)))
     spread = counts.select("bucket", "n", "step_us", back.alias("back"))
-    return spread.groupBy((F.col("step_us") - F.col("back") * step).alias("start_us"), "bucket").agg(F.sum("n").alias("n"))
+    start = (F.col("step_us") - F.col("back") * step).alias("start_us")
+    return spread.groupBy(start, "bucket").agg(F.sum("n").alias("n"))
 
 
 def histogram_quantiles(

@@ -15,11 +15,13 @@ from pyspark.sql import Window as W
 from ringfold.functions.ring import RING_MASK, arc_width, rule_offset
 from ringfold.workdir import stored
 
+# Fixed value: the default seed of rule offsets.
 RULE_SEED = 0x2E3FAC4F58FC98B4
 RULE_COLUMNS = ["rule_id", "rule_no", "selectivity", "offset", "width"]
 RING_BITS = 63
 LEVEL_STEP = 4
 COUNT_CHUNK = 1 << 16
+RULES_PER_TASK = 1 << 22
 SMALL_SPEC = 100_000
 
 
@@ -68,23 +70,27 @@ def frequency_numbers(spec: DataFrame) -> DataFrame:
     Rules are numbered from 0, highest selectivity first.
     """
     spec = spec.groupBy("selectivity").agg(F.sum("n").cast("bigint").alias("n")).where(F.col("n") > 0)
-    starts = _running_start(spec)
-    chunks = starts.select(
+    size = spec.agg(F.count("*").alias("entries"), F.coalesce(F.sum("n"), F.lit(0)).alias("rules")).first()
+    chunks = _running_start(spec, size["entries"]).select(
         "selectivity",
         "n",
         "first",
         F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n") - 1, F.lit(COUNT_CHUNK).cast("bigint"))).alias("lo"),
     )
+    # a chunk is one small row until it is unfolded, so tasks are set by rules, not bytes
+    tasks = -(-size["rules"] // RULES_PER_TASK)
+    if tasks > 1:
+        chunks = chunks.repartition(tasks, "first", "lo")
     last = F.least(F.col("lo") + (COUNT_CHUNK - 1), F.col("n") - 1)
     numbers = F.sequence(F.col("first") + F.col("lo"), F.col("first") + last)
     return chunks.select(F.explode(numbers).alias("rule_no"), "selectivity")
 
 
-def _running_start(spec: DataFrame) -> DataFrame:
+def _running_start(spec: DataFrame, entries: int) -> DataFrame:
     """Add ``first``: the number of rules before this entry, highest selectivity first."""
     order = F.desc("selectivity")
     before = (W.unboundedPreceding, -1)
-    if spec.count() <= SMALL_SPEC:
+    if entries <= SMALL_SPEC:
         total = F.sum("n").over(W.orderBy(order).rowsBetween(*before))
         return spec.select("*", F.coalesce(total, F.lit(0)).cast("bigint").alias("first"))
     # Too many entries for one task: number inside range partitions, then add what the

@@ -17,8 +17,7 @@ from ringfold.functions.payload import event_pack, event_unpack, leading_long, w
 from ringfold.functions.ring import RING_MASK, arc_width, hash_sample, in_arc, ring_position
 from ringfold.functions.timing import epoch_ms
 from ringfold.operators import metrics
-from ringfold.operators.digest import MAX_ROWS, SplitMatches, count_window_digest, running_count_events, split_hot_rules
-from ringfold.operators.folds import Fold, batch_fold, window_fold
+from ringfold.operators.digest import SplitMatches, running_count_events
 from ringfold.operators.fanout import (
     match_records,
     matches_per_rule,
@@ -28,6 +27,7 @@ from ringfold.operators.fanout import (
     rule_hit_rate,
     scan_fanout,
 )
+from ringfold.operators.folds import Fold, batch_fold, window_fold
 from ringfold.operators.rules import (
     frequency_rules,
     place_rules,
@@ -39,13 +39,14 @@ from ringfold.operators.rules import (
 )
 from ringfold.plans import sql
 from ringfold.plans import views as v
+from ringfold.plans.dataflow import digest_records, large_matches
 from ringfold.sources.offsets import explode_offsets, latest_offsets
 from ringfold.sources.records import pace, random_bytes
 from ringfold.sources.streams import file_records, write_events
 from ringfold.streaming.digest import start_digest_stream
 from ringfold.streaming.match import stream_match
 from ringfold.streaming.state import stateful_digest
-from ringfold.workdir import stored, work_dir
+from ringfold.workdir import work_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -79,30 +80,8 @@ def oracle_sql() -> dict[str, str]:
     return dict(_SQL)
 
 
-# --- whole dataflow, batch ---------------------------------------------------------------
-
-
-def large_matches(matches: DataFrame, n_records: int, max_rows: int = MAX_ROWS) -> DataFrame | SplitMatches:
-    """Matches ready for numbering.
-
-    A rule matches a record at most once, so with few records no rule can be too large
-    for a task and one shuffle does. Otherwise the matches, a small part of the input's
-    bytes, are stored and the rules with too many rows are split.
-    """
-    if n_records <= max_rows:
-        return matches
-    matches = stored(matches, "matches")
-    return split_hot_rules(matches, max_rows) or matches
-
-
-def digest_records(
-    records: DataFrame, rules: DataFrame, every: int = EVERY, state_bytes: int = 32, random_phase: bool = False,
-    hash: str = v.HASH, max_rows: int = MAX_ROWS,
-) -> DataFrame:
-    """Records and rules to digests: position, fan-out, shuffle by rule, fold."""
-    prepared = v.prepare_records(records, state_bytes=state_bytes, random_phase=random_phase, hash=hash)
-    matches = match_records(prepared, rules)
-    return count_window_digest(large_matches(matches, records.count(), max_rows), every, state_bytes)
+def _digests(records: DataFrame, rules: DataFrame, *args, **options) -> DataFrame:
+    return digest_records(records, rules, *args, hash=v.HASH, **options)
 
 
 def _digest_fields(digests: DataFrame) -> DataFrame:
@@ -119,7 +98,7 @@ EVENT_MATCHES = (sql.REC_EVENTS, sql.PREPARED, sql.subscriptions(), sql.MATCHES)
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events over 50 Zipf rules, digests of every 10 matches of a rule."""
     rules = zipf_rules(spark, 50, 5.0, 1.0, v.SEED, v.HASH, v.DIGITS)
-    return _digest_fields(digest_records(v.rec_events(spark, sf_dir), rules))
+    return _digest_fields(_digests(v.rec_events(spark, sf_dir), rules))
 
 
 register(
@@ -457,7 +436,7 @@ def removed_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return removal_report(v.subscriptions(spark, sf_dir), _removed(spark, sf_dir))
 
 
-SLOT_BITS = 12
+SLOT_BITS = 16
 
 
 @register(
@@ -592,7 +571,7 @@ def _sized(matches: DataFrame, spark: SparkSession, sf_dir: str) -> DataFrame |
     "count_window_digest", sql.query(*EVENT_MATCHES, sql.numbered(EVERY), sql.digest(EVERY), select=sql.DIGEST_ROWS)
 )
 def window_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _digest_fields(digest_records(v.rec_events(spark, sf_dir), v.subscriptions(spark, sf_dir)))
+    return _digest_fields(_digests(v.rec_events(spark, sf_dir), v.subscriptions(spark, sf_dir)))
 
 
 PHASE = sql.signed(sql.hash16("encode('8902763414119392010:') || unhex(substr(data, 1, 64))"))
@@ -609,7 +588,7 @@ def _phase(every: int) -> str:
 )
 def phased_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = v.subscriptions(spark, sf_dir)
-    return _digest_fields(digest_records(v.rec_events(spark, sf_dir), rules, random_phase=True))
+    return _digest_fields(_digests(v.rec_events(spark, sf_dir), rules, random_phase=True))
 
 
 @register(
@@ -651,7 +630,7 @@ FROM layers""",
     ),
 )
 def payload_overlay(spark: SparkSession, sf_dir: str) -> DataFrame:
-    digests = digest_records(
+    digests = _digests(
         v.long_docs(spark, sf_dir), v.subscriptions(spark, sf_dir), SPARSE_EVERY, PAYLOAD_STATE
     )
     return digests.select("rule_id", "cycle", F.hex("payload").alias("payload"))

@@ -19,7 +19,8 @@ def masked(digits: str) -> str:
 
 def signed(digits: str) -> str:
     u = unsigned(digits)
-    return f"(CASE WHEN {u} > {MASK}::UBIGINT THEN {u}::HUGEINT - 18446744073709551616::HUGEINT ELSE {u}::HUGEINT END)::BIGINT"
+    negative = f"{u}::HUGEINT - 18446744073709551616::HUGEINT"
+    return f"(CASE WHEN {u} > {MASK}::UBIGINT THEN {negative} ELSE {u}::HUGEINT END)::BIGINT"
 
 
 def hash16(text: str) -> str:

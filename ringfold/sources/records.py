@@ -29,7 +29,7 @@ def random_bytes(seed: str, source: Column, number: Column, size: int) -> Column
 
 
 def generate_records(
-    spark: SparkSession, n: int, size: int = 1024, seed: str = "shuffle-load-generator-0", source: int = 0,
+    spark: SparkSession, n: int, size: int = 1024, seed: str = "records-0", source: int = 0,
     partitions: int | None = None,
 ) -> DataFrame:
     """``n`` random records ``(record_id, data)`` of one source."""
@@ -57,7 +57,7 @@ def pace(numbers: DataFrame, number: str, sources: int, per_second: float, start
 
 def paced_records(
     spark: SparkSession, n: int, sources: int = 1, per_second: float = 1000, size: int = 1024,
-    seed: str = "shuffle-load-generator-0", start_us: int = 0,
+    seed: str = "records-0", start_us: int = 0,
 ) -> DataFrame:
     """Batch form of a paced load: ``(record_id, source, ts, data)``."""
     paced = pace(spark.range(n).withColumnRenamed("id", "record_id"), "record_id", sources, per_second, start_us)
@@ -71,7 +71,7 @@ def paced_records(
 
 def paced_stream(
     spark: SparkSession, sources: int = 1, per_second: int = 1000, size: int = 1024,
-    seed: str = "shuffle-load-generator-0", seconds_per_batch: int = 1,
+    seed: str = "records-0", seconds_per_batch: int = 1,
 ) -> DataFrame:
     """Live form of a paced load: each micro-batch holds the rows of its time span."""
     rows = sources * per_second * seconds_per_batch

@@ -65,9 +65,9 @@ def fold_batch(
 
 def full_windows(windows: DataFrame, every: int) -> DataFrame:
     """Digests to emit. A closed window carried over as state has no records and is skipped."""
-    return windows.where(complete(every) & (F.col("n_records") > 0)).select(
-        "rule_id", "cycle", F.lit(every).cast("bigint").alias("n"), "n_records", "total", "start_ms", "end_ms", "payload"
-    )
+    n = F.lit(every).cast("bigint").alias("n")
+    full = windows.where(complete(every) & (F.col("n_records") > 0))
+    return full.select("rule_id", "cycle", n, "n_records", "total", "start_ms", "end_ms", "payload")
 
 
 def open_windows(windows: DataFrame, every: int, batch_id: int) -> DataFrame:

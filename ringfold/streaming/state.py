@@ -1,7 +1,7 @@
 """Keyed stateful folds on a stream, with Spark's state store.
 
-The fold of a key sees that key's new rows in arrival order and its state. It is called
-with columns, not row by row.
+A fold sees a key's new rows in arrival order and the key's state. It is called with
+columns, once per key and micro-batch, not row by row.
 """
 
 from __future__ import annotations
@@ -11,6 +11,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ringfold.functions.payload import DIGEST_BYTES, require_state_bytes
@@ -22,7 +23,12 @@ STATE_STORES = {
     "rocksdb": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "in_memory": "org.apache.spark.sql.execution.streaming.state.HDFSBackedStateStoreProvider",
 }
-DIGEST_STATE = "pos bigint, n_records bigint, total bigint, start_ms bigint, end_ms bigint, payload binary"
+BUCKETS_PER_PARTITION = 4
+# One entry per rule of the bucket; ``next_pos`` is where the rule's next record goes.
+DIGEST_STATE = (
+    "rule_ids array<string>, next_pos array<bigint>, n_records array<bigint>, total array<bigint>, "
+    "start_ms array<bigint>, end_ms array<bigint>, payload array<binary>"
+)
 DIGEST_FIELDS = (
     "rule_id string, cycle bigint, n bigint, n_records bigint, total bigint, "
     "start_ms bigint, end_ms bigint, payload binary"
@@ -37,70 +43,130 @@ def use_state_store(spark: SparkSession, store: str) -> None:
 
 
 def stateful_fold(
-    matches: DataFrame, fold: Fold, output_schema: str, state_schema: str, mode: str = "update"
+    matches: DataFrame,
+    fold: Fold,
+    output_schema: str,
+    state_schema: str,
+    mode: str = "update",
+    key: str = "rule_id",
 ) -> DataFrame:
-    """Run a fold per ``rule_id`` over a stream. State never expires; there is no watermark.
+    """Run a fold per key over a stream. State never expires; there is no watermark.
 
     A key's rows of one micro-batch are sorted together, so the cap on a micro-batch
     bounds what a task holds.
     """
+    names, arrival = field_names(output_schema), list(ARRIVAL)
 
-    def run(key: tuple, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(chunks), ignore_index=True).sort_values(list(ARRIVAL), ignore_index=True)
-        new_state, out = fold(key[0], state.get if state.exists else None, rows)
+    def run(own: tuple, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        rows = pd.concat(list(chunks), ignore_index=True).sort_values(arrival, ignore_index=True)
+        new_state, out = fold(own[0], state.get if state.exists else None, rows)
         state.update(new_state)
-        if out:
-            yield pd.DataFrame(out, columns=names)
+        if len(out):
+            yield out if isinstance(out, pd.DataFrame) else pd.DataFrame(out, columns=names)
 
-    names = field_names(output_schema)
-    return matches.groupBy("rule_id").applyInPandasWithState(
+    return matches.groupBy(key).applyInPandasWithState(
         run, output_schema, state_schema, mode, GroupStateTimeout.NoTimeout
     )
 
 
 def digest_fold(every: int, state_bytes: int = DIGEST_BYTES) -> Fold:
-    """The count-window digest as a fold over columns ``ms, first_long[, prefix, phase_hash]``."""
-    require_state_bytes(state_bytes)
-    room = state_bytes - DIGEST_BYTES
-
-    def fold(key: str, state: tuple | None, rows: pd.DataFrame) -> tuple[tuple, list[tuple]]:
-        if state is None:
-            phase = int(rows["phase_hash"].iloc[0]) % every if "phase_hash" in rows else 0
-            state = (phase, 0, 0, 0, 0, bytes(room))
-        pos, n_records, total, start_ms, end_ms, payload = state
+    """The count-window digest of all rules of a bucket, as one vectorised fold."""
+    room = require_state_bytes(state_bytes) - DIGEST_BYTES
+    fields = ["n_records", "total", "start_ms", "end_ms"]
+
+    def overlaid(under: bytes, prefixes: list[bytes]) -> bytes:
+        for prefix in prefixes:
+            under = bytes(prefix) + under[len(prefix) :]
+        return under
+
+    def fold(key: int, state: tuple | None, rows: pd.DataFrame) -> tuple[tuple, pd.DataFrame]:
+        rows = rows.sort_values("rule_id", kind="stable")
+        ids = rows["rule_id"].to_numpy()
         ms = rows["ms"].to_numpy(dtype=np.int64)
         longs = rows["first_long"].to_numpy(dtype=np.int64)
-        prefixes = rows["prefix"].tolist() if room else None
-        out = []
-        lo = 0
-        while lo < len(ms):
-            hi = min(len(ms), lo + every - pos % every)
-            if pos % every == 0:
-                n_records, total, start_ms, payload = 0, 0, int(ms[lo]), bytes(room)
-            # int64 addition wraps, which is what the digest asks for
-            total = int(longs[lo:hi].sum(dtype=np.int64) + np.int64(total))
-            n_records += hi - lo
-            end_ms = int(ms[hi - 1])
-            if room:
-                for prefix in prefixes[lo:hi]:
-                    payload = bytes(prefix) + payload[len(prefix) :]
-            pos += hi - lo
-            if pos % every == 0:
-                out.append((key, pos // every - 1, every, n_records, total, start_ms, end_ms, payload))
-                n_records, total, start_ms, end_ms, payload = 0, 0, 0, 0, bytes(room)
-            lo = hi
-        return (pos, n_records, total, start_ms, end_ms, payload), out
+        begins = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))
+        sizes = np.diff(np.append(begins, len(ids)))
+
+        # the kept state as a table, with a row for every rule seen now or before
+        columns = ["next_pos", *fields, "payload"]
+        kept = pd.DataFrame(dict(zip(columns, state[1:])), index=state[0]) if state else pd.DataFrame(columns=columns)
+        fresh = [r for r in ids[begins] if r not in kept.index]
+        new = pd.DataFrame(0, index=fresh, columns=columns).astype({"payload": object})
+        new["payload"] = [bytes(room)] * len(fresh)
+        if "phase_hash" in rows:
+            first = pd.Series(rows["phase_hash"].to_numpy()[begins], index=ids[begins])
+            new["next_pos"] = first.reindex(fresh).to_numpy(dtype=np.int64) % every
+        table = pd.concat([kept, new]) if len(kept) else new
+        place = table.index.get_indexer(ids[begins])
+        seen = table["next_pos"].to_numpy(dtype=np.int64)[place]
+
+        # cut the rows where a rule or a window begins, and add up each piece
+        pos = np.arange(len(ids)) - np.repeat(begins, sizes) + np.repeat(seen, sizes)
+        cut = pos % every == 0
+        cut[begins] = True
+        lo = np.flatnonzero(cut)
+        hi = np.append(lo[1:], len(ids))
+        owner = np.repeat(place, sizes)[lo]
+        resumed = pos[lo] % every != 0
+        old = {f: np.where(resumed, table[f].to_numpy(dtype=np.int64)[owner], 0) for f in fields}
+        piece = {
+            "n_records": hi - lo + old["n_records"],
+            # 64-bit addition wraps, which is what the digest asks for
+            "total": np.add.reduceat(longs, lo) + old["total"],
+            "start_ms": np.where(resumed, old["start_ms"], ms[lo]),
+            "end_ms": ms[hi - 1],
+        }
+        payload = [b""] * len(lo)
+        if room:
+            prefixes, under = rows["prefix"].tolist(), table["payload"].tolist()
+            payload = [
+                overlaid(under[o] if r else bytes(room), prefixes[a:b]) for a, b, o, r in zip(lo, hi, owner, resumed)
+            ]
+
+        full = pos[hi - 1] % every == every - 1
+        events = pd.DataFrame(
+            {
+                "rule_id": ids[lo][full],
+                "cycle": pos[lo][full] // every,
+                "n": every,
+                **{f: piece[f][full] for f in fields},
+                "payload": [p for p, done in zip(payload, full) if done],
+            }
+        )
+
+        # a rule goes on from its last piece, which leaves nothing behind when it is full
+        last = np.flatnonzero(np.append(owner[1:] != owner[:-1], True))
+        after = {"next_pos": table["next_pos"].to_numpy(dtype=np.int64).copy()}
+        after["next_pos"][owner[last]] = pos[hi[last] - 1] + 1
+        for f in fields:
+            after[f] = table[f].to_numpy(dtype=np.int64).copy()
+            after[f][owner[last]] = np.where(full[last], 0, piece[f][last])
+        rest = table["payload"].tolist()
+        for i in last:
+            rest[owner[i]] = bytes(room) if full[i] else payload[i]
+        arrays = [after[c].tolist() for c in ("next_pos", *fields)]
+        return (table.index.tolist(), *arrays, rest), events
 
     return fold
 
 
-def with_ms(matches: DataFrame) -> DataFrame:
-    """Add the epoch milliseconds that :func:`digest_fold` reads."""
-    return matches.withColumn("ms", epoch_ms(matches["ts"]))
-
-
 def stateful_digest(
-    matches: DataFrame, every: int = 10, state_bytes: int = DIGEST_BYTES, mode: str = "update"
+    matches: DataFrame,
+    every: int = 10,
+    state_bytes: int = DIGEST_BYTES,
+    mode: str = "update",
+    buckets: int | None = None,
 ) -> DataFrame:
-    """Count-window digests of a match stream, state kept in the state store."""
-    return stateful_fold(with_ms(matches), digest_fold(every, state_bytes), DIGEST_FIELDS, DIGEST_STATE, mode)
+    """Count-window digests of a match stream, state kept in the state store.
+
+    Rules are hashed into buckets, and a bucket's rules are folded in one call: a call
+    per rule would cost more than the fold. ``buckets`` must not change between restarts.
+    """
+    if buckets is None:
+        buckets = BUCKETS_PER_PARTITION * int(matches.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    bucketed = matches.select(
+        F.pmod(F.xxhash64("rule_id"), F.lit(buckets)).cast("int").alias("bucket"),
+        "*",
+        epoch_ms(F.col("ts")).alias("ms"),
+    )
+    return stateful_fold(bucketed, digest_fold(every, state_bytes), DIGEST_FIELDS, DIGEST_STATE, mode, "bucket")

@@ -30,11 +30,11 @@ def matches_of(spark, rows, state_bytes, phased=False):
 
 def rows_of(df):
     columns = ("rule_id", "cycle", "n", "n_records", "total", "start_ms", "end_ms", "payload")
-    return sorted(tuple(bytes(x) if isinstance(x, (bytes, bytearray)) else x for x in r) for r in df.select(*columns).collect())
+    rows = df.select(*columns).collect()
+    return sorted(tuple(bytes(x) if isinstance(x, (bytes, bytearray)) else x for x in r) for r in rows)
 
 
-@pytest.mark.parametrize("every", [1, 3, 10, 1000])
-@pytest.mark.parametrize("state_bytes", [32, 40, 128])
+@pytest.mark.parametrize("every, state_bytes", [(1, 40), (7, 32), (7, 48), (10, 128), (1000, 40)])
 def test_digest_equals_fold(spark, every, state_bytes):
     rows = make_records()
     got = rows_of(D.count_window_digest(matches_of(spark, rows, state_bytes), every, state_bytes))
@@ -50,7 +50,7 @@ def phases_of(spark, rows, every):
     return {r.k: r.p for r in hashed.collect()}
 
 
-@pytest.mark.parametrize("every", [1, 4, 10])
+@pytest.mark.parametrize("every", [1, 10])
 def test_phased_digest_equals_fold(spark, every):
     rows = make_records()
     phases = phases_of(spark, rows, every)
@@ -61,8 +61,7 @@ def test_phased_digest_equals_fold(spark, every):
             assert (n, n_records, start) == (every, every - phases[key], 0)
 
 
-@pytest.mark.parametrize("same_ts", [False, True])
-@pytest.mark.parametrize("phased", [False, True])
+@pytest.mark.parametrize("phased, same_ts", [(False, False), (True, True)])
 def test_hot_rules_are_split(spark, phased, same_ts):
     rows = make_records(same_ts=same_ts)
     matches = matches_of(spark, rows, 40, phased)

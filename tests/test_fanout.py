@@ -20,7 +20,8 @@ def records(spark):
     points = sorted(near) + [rng.getrandbits(63) for _ in range(500)]
     points += [points[40]] * (len(points) // 2)
     rows = [(i, x) for i, x in enumerate(points)]
-    return spark.createDataFrame(rows, "record_id bigint, position bigint").withColumn("ts", F.timestamp_seconds("record_id"))
+    df = spark.createDataFrame(rows, "record_id bigint, position bigint")
+    return df.withColumn("ts", F.timestamp_seconds("record_id"))
 
 
 def brute(records, rules):
@@ -105,7 +106,8 @@ def test_kinds_are_added_up(spark, records):
 
 
 def test_all_rules_hit_at_their_rate(spark):
-    numbers = spark.range(90).select(F.col("id").alias("rule_no"), F.pow(F.lit(0.5), (F.col("id") % 9).cast("double")).alias("selectivity"))
+    share = F.pow(F.lit(0.5), (F.col("id") % 9).cast("double"))
+    numbers = spark.range(90).select(F.col("id").alias("rule_no"), share.alias("selectivity"))
     records = generate_records(spark, 100_000, 8, "rates").withColumn("ts", F.timestamp_seconds("record_id"))
     rules = place_rules(numbers)
     rates = O.rule_hit_rate(O.match_records(O.prepare_records(records), rules), records, rules).collect()

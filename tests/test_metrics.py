@@ -18,7 +18,8 @@ def sample_table(spark, rows):
 
 def test_bucket_index(spark):
     values = [-5.0, 0.0, 1.0, 1.1, 2.5, 9.99, 10.0, 10.01, 100.0, 1e9]
-    df = spark.createDataFrame([(x,) for x in values], "x double").select("x", bucket_index(F.col("x"), BOUNDS).alias("b"))
+    df = spark.createDataFrame([(x,) for x in values], "x double")
+    df = df.select("x", bucket_index(F.col("x"), BOUNDS).alias("b"))
     for r in df.collect():
         assert r.b == sum(b < r.x for b in BOUNDS)
 
@@ -61,8 +62,8 @@ def test_percentiles(spark):
 
 def test_histogram_counts_every_bound(spark):
     rows = [(0, x, 0) for x in (0, 1, 2, 3, 50, 1000)]
-    cumulative = {r.le: r.cumulative for r in M.latency_histogram(M.latencies(sample_table(spark, rows)), BOUNDS).collect()}
-    assert cumulative == {1.0: 2, 2.5: 3, 10.0: 4, 100.0: 5, math.inf: 6}
+    found = M.latency_histogram(M.latencies(sample_table(spark, rows)), BOUNDS).collect()
+    assert {r.le: r.cumulative for r in found} == {1.0: 2, 2.5: 3, 10.0: 4, 100.0: 5, math.inf: 6}
 
 
 def quantile(values, q):
@@ -81,7 +82,8 @@ def quantile(values, q):
 def test_windowed_quantiles(spark, step):
     rng = random.Random(2)
     rows = [(rng.randrange(0, 60_000_000), rng.choice([0, 1, 2, 7, 60, 400]), 0) for _ in range(300)]
-    found = M.windowed_histogram_quantile(M.latencies(sample_table(spark, rows)), BOUNDS, (0.05, 0.5, 0.99, 1.0), 20, step)
+    samples = M.latencies(sample_table(spark, rows))
+    found = M.windowed_histogram_quantile(samples, BOUNDS, (0.05, 0.5, 0.99, 1.0), 20, step)
     seen = set()
     for r in found.collect():
         inside = [x for us, x, _ in rows if r.start_us <= us < r.start_us + 20_000_000]

@@ -13,7 +13,8 @@ def rule_rows(spark, rows):
 
 def edge_arcs():
     offsets = [0, 1, 1 << 55, (1 << 55) - 1, (1 << 59), RING_MASK, RING_MASK - 5, 0x2E3FAC4F58FC98B4]
-    widths = [0, 1, 2, 1 << 23, 1 << 51, (1 << 51) + 1, 1 << 55, 1 << 59, 1 << 60, (1 << 62) + 3, RING_MASK - 2, MATCH_ALL]
+    widths = [0, 1, 2, 1 << 23, 1 << 51, (1 << 51) + 1, 1 << 55, 1 << 59, 1 << 60]
+    widths += [(1 << 62) + 3, RING_MASK - 2, MATCH_ALL]
     return [(f"r{i}", o, w) for i, (o, w) in enumerate((o, w) for o in offsets for w in widths)]
 
 
@@ -47,6 +48,7 @@ def test_frequency_rules_of_a_long_spec(spark, monkeypatch):
     plain = R.frequency_numbers(spec).orderBy("rule_no").collect()
     monkeypatch.setattr(R, "SMALL_SPEC", 10)
     monkeypatch.setattr(R, "COUNT_CHUNK", 2)
+    monkeypatch.setattr(R, "RULES_PER_TASK", 100)
     assert R.frequency_numbers(spec).orderBy("rule_no").collect() == plain
     assert len(plain) == 450 and [r.rule_no for r in plain] == list(range(450))
 

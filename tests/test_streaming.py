@@ -72,8 +72,7 @@ def folder(spark):
 
 
 @pytest.mark.parametrize("run", [run_sets, run_state])
-@pytest.mark.parametrize("files", [1, 2, 7])
-@pytest.mark.parametrize("phased", [False, True])
+@pytest.mark.parametrize("files, phased", [(1, True), (2, False), (7, True)])
 def test_stream_equals_batch(spark, folder, run, files, phased):
     rows = in_time_order(make_records(400))
     write_files(spark, rows, files, f"{folder}/in")
@@ -174,7 +173,8 @@ def totals():
 def test_custom_stateful_fold(spark, folder):
     rows = in_time_order(make_records(100))
     write_files(spark, rows, 2, f"{folder}/in")
-    out = stateful_fold(match_stream(spark, f"{folder}/in", 32), totals(), "rule_id string, total bigint", "total bigint")
+    stream = match_stream(spark, f"{folder}/in", 32)
+    out = stateful_fold(stream, totals(), "rule_id string, total bigint", "total bigint")
     S.write_events(out, f"{folder}/events", f"{folder}/checkpoint").awaitTermination()
     last = spark.read.parquet(f"{folder}/events").groupBy("rule_id").agg(F.max("total").alias("t")).collect()
     want = {}
