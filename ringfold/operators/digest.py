@@ -12,6 +12,7 @@ its result carries a ``part`` column and a small table of starts.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -103,6 +104,13 @@ def arrival_index(matches: DataFrame | SplitMatches) -> DataFrame:
     return moved.select(*keep, (F.col("idx") + F.coalesce("start", F.lit(0))).alias("idx"), *rule_phase)
 
 
+def partition_by_rule(matches: DataFrame | SplitMatches, partitions: int | None = None) -> DataFrame:
+    """Shuffle matches by rule; a split rule gets a place for each of its parts."""
+    split = isinstance(matches, SplitMatches)
+    rows, keys = (matches.rows, ["rule_id", "part"]) if split else (matches, ["rule_id"])
+    return rows.repartition(partitions, *keys) if partitions else rows.repartition(*keys)
+
+
 def _check_every(every: int) -> None:
     if not 1 <= every <= MAX_EVERY:
         raise ValueError(f"every must be between 1 and {MAX_EVERY}, not {every}")
@@ -223,7 +231,7 @@ def count_window_digest(
     )
 
 
-def pack_digests(digests: DataFrame, state_bytes: int = DIGEST_BYTES) -> DataFrame:
-    """Digests as keyed events ``(key, value)`` for a sink."""
+def pack_digests(digests: DataFrame, state_bytes: int = DIGEST_BYTES, carry: Sequence[str] = ()) -> DataFrame:
+    """Digests as keyed events ``(key, value)`` for a sink, and any columns to carry along."""
     value = event_pack(*[F.col(c) for c in ("n", "total", "start_ms", "end_ms", "payload")], state_bytes)
-    return digests.select(F.col("rule_id").alias("key"), value.alias("value"))
+    return digests.select(F.col("rule_id").alias("key"), value.alias("value"), *carry)

@@ -170,11 +170,6 @@ def match_records(
     return reduce(DataFrame.unionAll, [p.select(*columns) for p in parts])
 
 
-def partition_by_rule(matches: DataFrame, partitions: int | None = None) -> DataFrame:
-    """Shuffle matches so that all of a rule's rows share a partition."""
-    return matches.repartition(partitions, "rule_id") if partitions else matches.repartition("rule_id")
-
-
 def matches_per_rule(matches: DataFrame) -> DataFrame:
     """Matches of each rule, counted before and after the shuffle by rule."""
     return matches.groupBy("rule_id").agg(F.count("*").alias("n_matches"))

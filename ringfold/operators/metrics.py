@@ -14,6 +14,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ringfold.functions.buckets import bucket_index, check_bounds
+from ringfold.functions.payload import event_unpack
 from ringfold.functions.timing import latency_ms, latency_sign
 
 PERCENTILES = (0.5, 0.95, 0.99, 0.999)
@@ -31,6 +32,11 @@ def default_bounds(low: float = 1, high: float = 10_000, per_doubling: int = 3)
     return sorted({round(b, 3) for b in bounds if b < high} | {float(high)})
 
 
+def event_deliveries(events: DataFrame) -> DataFrame:
+    """``(key, append_ms, end_ms)`` of packed events ``(key, value, append_ms)``."""
+    return events.select("key", "append_ms", event_unpack(F.col("value"))["end_ms"].alias("end_ms"))
+
+
 def latencies(deliveries: DataFrame) -> DataFrame:
     """Add ``sign`` and the absolute ``latency`` in ms to ``(append_ms, end_ms)`` rows."""
     latency = latency_ms(F.col("append_ms"), F.col("end_ms"))

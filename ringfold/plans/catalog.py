@@ -17,11 +17,10 @@ from ringfold.functions.payload import event_pack, event_unpack, leading_long, w
 from ringfold.functions.ring import RING_MASK, arc_width, hash_sample, in_arc, ring_position
 from ringfold.functions.timing import epoch_ms
 from ringfold.operators import metrics
-from ringfold.operators.digest import SplitMatches, running_count_events
+from ringfold.operators.digest import SplitMatches, pack_digests, partition_by_rule, running_count_events
 from ringfold.operators.fanout import (
     match_records,
     matches_per_rule,
-    partition_by_rule,
     predicate_fanout,
     ring_range_join,
     rule_hit_rate,
@@ -544,8 +543,11 @@ def match_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     sql.query(*EVENT_MATCHES, select="SELECT rule_id, 1::BIGINT AS n_partitions FROM matches GROUP BY rule_id"),
 )
 def rule_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    placed = partition_by_rule(_event_matches(spark, sf_dir)).withColumn("part", F.spark_partition_id())
-    return placed.groupBy("rule_id").agg(F.countDistinct("part").alias("n_partitions"))
+    placed = partition_by_rule(_sized(_event_matches(spark, sf_dir), spark, sf_dir))
+    part = F.col("part") if "part" in placed.columns else F.lit(0)
+    places = placed.groupBy("rule_id", part.alias("part"), F.spark_partition_id().alias("place")).count()
+    per_part = places.groupBy("rule_id", "part").agg(F.count("*").alias("n"))
+    return per_part.groupBy("rule_id").agg(F.max("n").alias("n_partitions"))
 
 
 @register(
@@ -766,6 +768,26 @@ def latency_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("value", F.round("value", 6))
 
 
+@register(
+    "event_latency",
+    sql.query(
+        *EVENT_MATCHES,
+        sql.numbered(EVERY),
+        sql.digest(EVERY),
+        "delays AS (SELECT rule_id AS key, cycle * 7919 % 12000 - 500 AS delay FROM digests)",
+        select="""
+SELECT key, CASE WHEN delay >= 0 THEN 'latency' ELSE 'negative' END AS sign, count(*) AS n, max(abs(delay)) AS latency
+FROM delays GROUP BY 1, 2""",
+    ),
+)
+def event_latency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    digests = _digests(v.rec_events(spark, sf_dir), v.subscriptions(spark, sf_dir))
+    arrival = F.col("end_ms") + F.col("cycle") * 7919 % 12000 - 500
+    events = pack_digests(digests.withColumn("append_ms", arrival), carry=["append_ms"])
+    samples = metrics.latencies(metrics.event_deliveries(events))
+    return samples.groupBy("key", "sign").agg(F.count("*").alias("n"), F.max("latency").alias("latency"))
+
+
 @register(
     "latency_histogram",
     sql.query(

@@ -21,6 +21,7 @@ from pyspark.sql.streaming import StreamingQuery
 from ringfold.functions.payload import DIGEST_BYTES, require_state_bytes
 from ringfold.operators.digest import (
     MAX_ROWS,
+    SplitMatches,
     arrival_index,
     complete,
     fold_windows,
@@ -36,12 +37,10 @@ STATE_SCHEMA = STATE_FIELDS + ", batch_id bigint"
 
 
 def fold_batch(
-    matches: DataFrame, state: DataFrame, every: int, state_bytes: int = DIGEST_BYTES, max_rows: int = MAX_ROWS
+    matches: DataFrame | SplitMatches, state: DataFrame, every: int, state_bytes: int = DIGEST_BYTES
 ) -> DataFrame:
     """Windows of one micro-batch, continuing the open ones of ``state``."""
-    small = matches.count() <= max_rows
-    split = None if small else split_hot_rules(matches, max_rows)
-    numbered = arrival_index(split or matches)
+    numbered = arrival_index(matches)
     seen = state.select("rule_id", (F.col("last_pos") + 1).alias("seen"))
     placed = numbered.join(seen, "rule_id", "left")
     if "rule_phase" in numbered.columns:
@@ -85,13 +84,26 @@ def open_windows(windows: DataFrame, every: int, batch_id: int) -> DataFrame:
 
 
 class DigestSink:
-    """Micro-batch function: reads and writes the open windows, stores the events."""
-
-    def __init__(self, path: str, every: int, state_bytes: int = DIGEST_BYTES, max_rows: int = MAX_ROWS) -> None:
+    """Micro-batch function: reads and writes the open windows, stores the events.
+
+    ``batch_records`` is the cap on a micro-batch's records, when its source has one. A
+    rule matches a record at most once, so a cap up to ``max_rows`` makes it sure that no
+    rule needs splitting, and the matches are not counted first.
+    """
+
+    def __init__(
+        self,
+        path: str,
+        every: int,
+        state_bytes: int = DIGEST_BYTES,
+        max_rows: int = MAX_ROWS,
+        batch_records: int | None = None,
+    ) -> None:
         self.path = path.rstrip("/")
         self.every = every
         self.state_bytes = require_state_bytes(state_bytes)
         self.max_rows = max_rows
+        self.capped = batch_records is not None and batch_records <= max_rows
 
     @property
     def events(self) -> str:
@@ -110,15 +122,23 @@ class DigestSink:
             raise ValueError(f"state below {self.path} is of batch {found[1]}, not {batch_id - 1}")
         return state
 
+    def _sized(self, batch: DataFrame) -> DataFrame | SplitMatches:
+        if self.capped or batch.count() <= self.max_rows:
+            return batch
+        return split_hot_rules(batch, self.max_rows) or batch
+
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
-        batch = batch.persist()
-        windows = fold_batch(batch, self._state(batch, batch_id), self.every, self.state_bytes, self.max_rows).persist()
+        state = self._state(batch, batch_id)
+        if not self.capped:
+            batch = batch.persist()
+        windows = fold_batch(self._sized(batch), state, self.every, self.state_bytes).persist()
         try:
             write_batch(full_windows(windows, self.every), self.events, batch_id)
             open_windows(windows, self.every, batch_id).write.mode("overwrite").parquet(self._slot(batch_id))
         finally:
             windows.unpersist()
-            batch.unpersist()
+            if not self.capped:
+                batch.unpersist()
 
 
 def start_digest_stream(
@@ -128,10 +148,11 @@ def start_digest_stream(
     every: int = 10,
     state_bytes: int = DIGEST_BYTES,
     max_rows: int = MAX_ROWS,
+    batch_records: int | None = None,
     trigger: Mapping[str, object] | None = None,
 ) -> StreamingQuery:
     """Write the digests of a match stream below ``path``; see :class:`DigestSink`."""
-    sink = DigestSink(path, every, state_bytes, max_rows)
+    sink = DigestSink(path, every, state_bytes, max_rows, batch_records)
     return (
         matches.writeStream.outputMode("append")
         .option("checkpointLocation", checkpoint)

@@ -114,6 +114,13 @@ def test_hot_rule_in_a_stream_is_split(spark, folder):
     assert rows_of(spark.read.parquet(f"{folder}/events")) == digests(rows, 7, 40, phases_of(spark, rows, 7))
 
 
+def test_capped_batches_give_the_same(spark, folder):
+    rows = in_time_order(make_records(200))
+    write_files(spark, rows, 2, f"{folder}/in")
+    run_sets(spark, f"{folder}/in", folder, 7, 40, batch_records=1000)
+    assert rows_of(spark.read.parquet(f"{folder}/events")) == digests(rows, 7, 40)
+
+
 def test_foreign_state_is_refused(spark, folder):
     rows = in_time_order(make_records(60))
     write_files(spark, rows, 1, f"{folder}/in")
