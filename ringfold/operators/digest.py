@@ -80,28 +80,39 @@ def split_hot_rules(matches: DataFrame, max_rows: int = MAX_ROWS) -> SplitMatche
     return SplitMatches(cold.unionByName(ranged), stored(starts, "hot-starts"))
 
 
-def arrival_index(matches: DataFrame | SplitMatches) -> DataFrame:
+def arrival_index(matches: DataFrame | SplitMatches, seen: DataFrame | None = None) -> DataFrame:
     """Number each rule's matches from 0 in arrival order, as column ``idx``.
 
     With a ``phase_hash`` column, ``rule_phase`` is that of the rule's first match.
+    ``seen`` has ``(rule_id, seen)`` rows for rules to go on with: their numbers start at
+    ``seen``, and their phase is 0, since it only places the first match ever.
     """
     split = isinstance(matches, SplitMatches)
     rows = matches.rows if split else matches
-    w = W.partitionBy("rule_id", *(["part"] if split else [])).orderBy(*ARRIVAL)
+    keys = ["rule_id", "part"] if split else ["rule_id"]
     phased = "phase_hash" in rows.columns
-    idx = (F.row_number().over(w) - 1).cast("bigint")
-    phase = [F.first("phase_hash").over(w).alias("rule_phase")] if phased else []
-    numbered = rows.select("*", idx.alias("idx"), *phase)
-    if not split:
-        return numbered
-    starts = matches.starts
+    w = W.partitionBy(*keys).orderBy(*ARRIVAL)
+    numbered = rows.withColumn("own_idx", (F.row_number().over(w) - 1).cast("bigint"))
+    idx, phase = F.col("own_idx"), F.col("own_phase")
     if phased:
-        starts = starts.withColumnRenamed("rule_phase", "hot_phase")
-        numbered = numbered.withColumnRenamed("rule_phase", "own_phase")
-    moved = numbered.join(F.broadcast(starts), ["rule_id", "part"], "left")
-    keep = [c for c in rows.columns if c != "part"]
-    rule_phase = [F.coalesce("hot_phase", "own_phase").alias("rule_phase")] if phased else []
-    return moved.select(*keep, (F.col("idx") + F.coalesce("start", F.lit(0))).alias("idx"), *rule_phase)
+        numbered = numbered.withColumn("own_phase", F.first("phase_hash").over(w))
+    if split:
+        starts = matches.starts
+        if phased:
+            starts = starts.withColumnRenamed("rule_phase", "hot_phase")
+            phase = F.coalesce("hot_phase", "own_phase")
+        numbered = numbered.join(F.broadcast(starts), keys, "left")
+        idx = idx + F.coalesce("start", F.lit(0))
+    if seen is not None:
+        if split:
+            # one row per part, so that the join keeps the parts where they are
+            parts = F.broadcast(matches.starts.select(*keys))
+            seen = seen.withColumn("part", F.lit(0)).unionByName(seen.join(parts, "rule_id"))
+        numbered = numbered.join(seen, keys, "left")
+        idx = idx + F.coalesce("seen", F.lit(0))
+        phase = F.when(F.col("seen").isNull(), phase).otherwise(0)
+    kept = [c for c in rows.columns if c != "part"]
+    return numbered.select(*kept, idx.alias("idx"), *([phase.alias("rule_phase")] if phased else []))
 
 
 def partition_by_rule(matches: DataFrame | SplitMatches, partitions: int | None = None) -> DataFrame:

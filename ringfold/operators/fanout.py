@@ -14,7 +14,8 @@ from ringfold.operators.rules import node_of, rule_nodes
 
 BROADCAST_BYTES = 128 << 20
 ROW_BYTES = 64
-SALTS = 8
+MAX_SALTS = 64
+PARTITIONS_PER_SALT = 16
 SCAN_CHUNK = 4096
 # Fixed value: the default seed of random phases.
 PHASE_SEED = 8902763414119392010
@@ -62,11 +63,25 @@ def node_profile(nodes: DataFrame) -> dict[int, int]:
     return {r["level"]: r["bytes"] for r in nodes.groupBy("level").agg(size.alias("bytes")).collect()}
 
 
+def default_salts(df: DataFrame) -> int:
+    """Salts of a shuffled join: more on a cluster with more shuffle partitions."""
+    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(1, min(MAX_SALTS, partitions // PARTITIONS_PER_SALT))
+
+
+def _salted(probes: DataFrame, index: DataFrame, key: str, salts: int | None) -> DataFrame:
+    """Shuffle join in which every salt has a copy of the index and a share of the records."""
+    salts = salts or default_salts(probes)
+    salt = F.pmod(F.xxhash64("record_id"), F.lit(salts)).cast("int")
+    copies = F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))
+    return probes.withColumn("salt", salt).join(index.withColumn("salt", copies), [key, "salt"])
+
+
 def ring_range_join(
     records: DataFrame,
     rules: DataFrame,
     broadcast_bytes: int = BROADCAST_BYTES,
-    salts: int = SALTS,
+    salts: int | None = None,
     nodes: DataFrame | None = None,
     profile: Mapping[int, int] | None = None,
 ) -> DataFrame:
@@ -90,9 +105,7 @@ def ring_range_join(
     if sum(profile.values()) <= broadcast_bytes:
         joined = probes.join(F.broadcast(index), "node")
     else:
-        salt = F.pmod(F.xxhash64("record_id"), F.lit(salts)).cast("int")
-        copies = F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))
-        joined = probes.withColumn("salt", salt).join(index.withColumn("salt", copies), ["node", "salt"])
+        joined = _salted(probes, index, "node", salts)
     hit = in_arc(F.col("position"), F.col("offset"), F.col("width"))
     return joined.where(hit).select("rule_id", *carried)
 
@@ -103,7 +116,7 @@ def scan_fanout(
     predicate: Callable[[Callable[[str], Column], Column], Column],
     chunk: int = SCAN_CHUNK,
     broadcast_bytes: int = BROADCAST_BYTES,
-    salts: int = SALTS,
+    salts: int | None = None,
 ) -> DataFrame:
     """Test every record against every rule of a kind that has no index.
 
@@ -125,9 +138,7 @@ def scan_fanout(
     if size["bytes"] <= broadcast_bytes:
         joined = probes.join(F.broadcast(arrays), "chunk")
     else:
-        salt = F.pmod(F.xxhash64("record_id"), F.lit(salts)).cast("int")
-        copies = F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))
-        joined = probes.withColumn("salt", salt).join(arrays.withColumn("salt", copies), ["chunk", "salt"])
+        joined = _salted(probes, arrays, "chunk", salts)
     hits = F.filter("scanned", lambda rule: predicate(F.col, rule))
     found = F.explode(F.transform(hits, lambda rule: rule["rule_id"]))
     carried = _carried(records)

@@ -40,14 +40,8 @@ def fold_batch(
     matches: DataFrame | SplitMatches, state: DataFrame, every: int, state_bytes: int = DIGEST_BYTES
 ) -> DataFrame:
     """Windows of one micro-batch, continuing the open ones of ``state``."""
-    numbered = arrival_index(matches)
     seen = state.select("rule_id", (F.col("last_pos") + 1).alias("seen"))
-    placed = numbered.join(seen, "rule_id", "left")
-    if "rule_phase" in numbered.columns:
-        # the phase only places the first record a rule has ever seen
-        placed = placed.withColumn("rule_phase", F.when(F.col("seen").isNull(), F.col("rule_phase")).otherwise(0))
-    placed = placed.withColumn("idx", F.col("idx") + F.coalesce("seen", F.lit(0)))
-    rows = weighted(placed, every)
+    rows = weighted(arrival_index(matches, seen), every)
     kept = [
         "rule_id",
         F.expr(f"last_pos div {every}").alias("cycle"),

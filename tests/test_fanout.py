@@ -33,7 +33,7 @@ def brute(records, rules):
     }
 
 
-@pytest.mark.parametrize("options", [{}, {"broadcast_bytes": 0}, {"broadcast_bytes": 0, "salts": 1}])
+@pytest.mark.parametrize("options", [{}, {"broadcast_bytes": 0}, {"broadcast_bytes": 0, "salts": 5}])
 def test_join_equals_brute_force(spark, records, options):
     arcs = edge_arcs()
     got = [(r.rule_id, r.record_id) for r in O.ring_range_join(records, rule_rows(spark, arcs), **options).collect()]
@@ -49,7 +49,7 @@ def test_join_plans(spark, records):
     small = plan_of(O.ring_range_join(records, rules))
     assert "BroadcastHashJoin" in small
     assert "hashpartitioning(node" not in small
-    large = plan_of(O.ring_range_join(records, rules, broadcast_bytes=0))
+    large = plan_of(O.ring_range_join(records, rules, broadcast_bytes=0, salts=4))
     assert "salt" in large
     for plan in (small, large):
         assert "NestedLoop" not in plan and "Cartesian" not in plan and "Python" not in plan
@@ -65,7 +65,7 @@ def test_no_rules_no_matches(spark, records):
     assert O.ring_range_join(records, rule_rows(spark, [])).count() == 0
 
 
-@pytest.mark.parametrize("options", [{}, {"chunk": 3}, {"chunk": 3, "broadcast_bytes": 0}])
+@pytest.mark.parametrize("options", [{}, {"chunk": 3}, {"chunk": 3, "broadcast_bytes": 0, "salts": 3}])
 def test_scan_tests_every_pair(spark, options):
     records = generate_records(spark, 300, 24, "scan")
     rules = spark.range(20).select(F.col("id").cast("string").alias("rule_id"), "id", (F.col("id") / 20).alias("rate"))
