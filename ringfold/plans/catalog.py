@@ -6,940 +6,16 @@ hex digits and timestamps as integers, so that both engines hash alike.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from ringfold.functions.payload import event_pack, event_unpack, leading_long, wrapping_sum
-from ringfold.functions.ring import RING_MASK, arc_width, hash_sample, in_arc, ring_position
-from ringfold.functions.timing import epoch_ms
-from ringfold.operators import metrics
-from ringfold.operators.digest import SplitMatches, pack_digests, partition_by_rule, running_count_events
-from ringfold.operators.fanout import (
-    match_records,
-    matches_per_rule,
-    predicate_fanout,
-    ring_range_join,
-    rule_hit_rate,
-    scan_fanout,
-)
-from ringfold.operators.folds import Fold, batch_fold, window_fold
-from ringfold.operators.rules import (
-    frequency_rules,
-    place_rules,
-    removal_report,
-    remove_rules,
-    rule_slots,
-    upsert_rules,
-    zipf_rules,
-)
-from ringfold.plans import sql
-from ringfold.plans import views as v
-from ringfold.plans.dataflow import digest_records, large_matches
-from ringfold.sources.offsets import explode_offsets, latest_offsets
-from ringfold.sources.records import pace, random_bytes
-from ringfold.sources.streams import file_records, write_events
-from ringfold.streaming.digest import start_digest_stream
-from ringfold.streaming.match import stream_match
-from ringfold.streaming.state import stateful_digest
-from ringfold.workdir import work_dir
-
-Query = Callable[[SparkSession, str], DataFrame]
-
-EVERY = 10
-SPARSE_EVERY = 3
-PAYLOAD_STATE = 64
-BOUNDS = metrics.default_bounds()
-SLIDING_QUANTILES = (0.05, 0.5, 0.95, 0.99, 1.0)
-DAY_S = 24 * 3600
-WARMUP_S = 6 * 3600
-
-_QUERIES: dict[str, Query] = {}
-_SQL: dict[str, str] = {}
-
-
-def register(name: str, oracle: str | None = None) -> Callable[[Query], Query]:
-    def add(query: Query) -> Query:
-        _QUERIES[name] = query
-        if oracle:
-            _SQL[name] = oracle
-        return query
-
-    return add
-
-
-def queries() -> dict[str, Query]:
-    return dict(_QUERIES)
-
-
-def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)
-
-
-def _digests(records: DataFrame, rules: DataFrame, *args, **options) -> DataFrame:
-    return digest_records(records, rules, *args, hash=v.HASH, **options)
-
-
-def _digest_fields(digests: DataFrame) -> DataFrame:
-    return digests.select("rule_id", "cycle", "n", "n_records", "total", "start_ms", "end_ms")
-
-
-def _event_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return match_records(v.prepared(v.rec_events(spark, sf_dir)), v.subscriptions(spark, sf_dir))
-
-
-EVENT_MATCHES = (sql.REC_EVENTS, sql.PREPARED, sql.subscriptions(), sql.MATCHES)
-
-
-def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events over 50 Zipf rules, digests of every 10 matches of a rule."""
-    rules = zipf_rules(spark, 50, 5.0, 1.0, v.SEED, v.HASH, v.DIGITS)
-    return _digest_fields(_digests(v.rec_events(spark, sf_dir), rules))
-
-
-register(
-    "fanout_digest",
-    sql.query(
-        sql.REC_EVENTS,
-        sql.PREPARED,
-        sql.zipf(5.0, 1.0, "(SELECT unnest(range(50)) AS rule_no)"),
-        sql.rules_from("selectivities"),
-        sql.MATCHES,
-        sql.numbered(EVERY),
-        sql.digest(EVERY),
-        select=sql.DIGEST_ROWS,
-    ),
-)(flagship)
-
-
-# --- sources and sinks -------------------------------------------------------------------
-
-
-def _event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    schema = v.table(spark, sf_dir, "events").schema
-    return file_records(spark, sf_dir, schema, pattern="events.parquet")
-
-
-def _drain(stream: DataFrame, name: str) -> DataFrame:
-    """Run an append-only stream over all its input, into a folder, and read that."""
-    path = work_dir(stream.sparkSession, name)
-    query = (
-        stream.writeStream.outputMode("append")
-        .format("parquet")
-        .option("checkpointLocation", f"{path}/checkpoint")
-        .trigger(availableNow=True)
-        .start(f"{path}/rows")
-    )
-    query.awaitTermination()
-    return stream.sparkSession.read.schema(stream.schema).parquet(f"{path}/rows")
-
-
-@register("stream_source", "SELECT event_id AS record_id, epoch_us(ts) AS ts_us, md5(event_id::VARCHAR) AS data FROM events")
-def stream_source(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _drain(v.event_records(_event_stream(spark, sf_dir)), "stream-source")
-    return rows.select("record_id", F.unix_micros("ts").alias("ts_us"), F.lower(F.hex("data")).alias("data"))
-
-
-def _user_events(events: DataFrame) -> DataFrame:
-    """Each event as a keyed event of 40 bytes."""
-    records = v.event_records(events)
-    value = event_pack(
-        F.lit(1), leading_long(F.col("data")), F.lit(0), epoch_ms(F.col("ts")), F.substring("data", 1, 5), 40
-    )
-    return records.select(F.concat(F.lit("record_"), F.col("record_id")).alias("key"), value.alias("value"))
-
-
-def hex_long(x: str) -> str:
-    return f"lpad(to_hex({x}), 16, '0')"
-
-
-@register(
-    "event_sink",
-    sql.query(
-        sql.REC_EVENTS,
-        select=f"""
-SELECT 'record_' || record_id AS key,
-       '0000000000000001' || substr(data, 1, 16) || '0000000000000000'
-         || upper({hex_long(sql.MS)}) || substr(data, 1, 10) || '000000' AS value
-FROM rec""",
-    ),
-)
-def event_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = work_dir(spark, "event-sink")
-    write_events(_user_events(_event_stream(spark, sf_dir)), f"{path}/events", f"{path}/checkpoint").awaitTermination()
-    return spark.read.parquet(f"{path}/events").select("key", F.hex("value").alias("value"))
-
-
-def _random_hex(size: int, source: str, number: str) -> str:
-    blocks = " || ".join(f"md5('bench:' || {source} || ':' || {number} || ':{b}')" for b in range(-(-size // 16)))
-    return f"substr({blocks}, 1, {2 * size})"
-
-
-@register(
-    "generate_records",
-    f"SELECT o_orderkey AS record_id, {_random_hex(40, 'o_custkey % 4', 'o_orderkey')} AS data FROM orders",
-)
-def generate_record_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    data = random_bytes("bench", F.col("o_custkey") % 4, F.col("o_orderkey"), 40)
-    return v.table(spark, sf_dir, "orders").select(
-        F.col("o_orderkey").alias("record_id"), F.lower(F.hex(data)).alias("data")
-    )
-
-
-@register(
-    "paced_records",
-    f"""
-SELECT o_orderkey AS record_id, o_orderkey % 4 AS source,
-       1704067200000000 + (o_orderkey // 4 + 1) * 333333333 // 1000 AS ts_us,
-       {_random_hex(24, '(o_orderkey % 4)', 'o_orderkey')} AS data
-FROM orders""",
-)
-def paced_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    paced = pace(v.table(spark, sf_dir, "orders"), "o_orderkey", 4, 3, v.DOC_EPOCH_US)
-    data = random_bytes("bench", F.col("source"), F.col("o_orderkey"), 24)
-    return paced.select(F.col("o_orderkey").alias("record_id"), "source", "ts_us", F.lower(F.hex(data)).alias("data"))
-
-
-@register("offset_log", sql.query(sql.OFFSET_LOG, select='SELECT batch_id, topic, partition, "offset" FROM exploded'))
-def offset_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return explode_offsets(v.offset_log(spark, sf_dir))
-
-
-@register(
-    "offset_latest",
-    sql.query(
-        sql.OFFSET_LOG,
-        select="""
-SELECT topic, partition, max(batch_id) AS batch_id, max_by("offset", batch_id) AS "offset"
-FROM exploded GROUP BY topic, partition""",
-    ),
-)
-def offset_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return latest_offsets(explode_offsets(v.offset_log(spark, sf_dir)))
-
-
-# --- projections and filters -------------------------------------------------------------
-
-
-@register("timestamp_attach", sql.query(sql.REC_EVENTS, select=f"SELECT record_id, {sql.MS} AS ts_ms, data FROM rec"))
-def timestamp_attach(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return v.rec_events(spark, sf_dir).select(
-        "record_id", epoch_ms(F.col("ts")).alias("ts_ms"), F.hex("data").alias("data")
-    )
-
-
-@register("ring_position", sql.query(sql.REC_DOCS, select=f"SELECT record_id, {sql.position('data')} AS position FROM rec"))
-def ring_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return v.rec_docs(spark, sf_dir).select("record_id", ring_position(F.col("data"), v.HASH).alias("position"))
-
-
-@register(
-    "hash_sample",
-    sql.query(
-        sql.REC_EVENTS,
-        select=f"""SELECT record_id FROM rec WHERE {sql.sampled('data', "'1234'", '0.3::DOUBLE')}""",
-    ),
-)
-def hash_sampled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return v.rec_events(spark, sf_dir).where(hash_sample(F.col("data"), 1234, 0.3, v.HASH)).select("record_id")
-
-
-ARC_START = RING_MASK - (1 << 61)
-
-
-@register(
-    "ring_range_filter",
-    sql.query(
-        sql.REC_EVENTS,
-        sql.PREPARED,
-        select="SELECT record_id FROM prepared WHERE "
-        + sql.in_arc("position", f"{ARC_START}::BIGINT", sql.width("0.3::DOUBLE")),
-    ),
-)
-def ring_range_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    position = ring_position(F.col("data"), v.HASH)
-    inside = in_arc(position, F.lit(ARC_START), arc_width(F.lit(0.3)))
-    return v.rec_events(spark, sf_dir).where(inside).select("record_id")
-
-
-def _edge_selectivity(key: str, double: str) -> str:
-    # none, almost none, some, almost all, all, more than all
-    cases = {0: "0", 1: "pow(2, -40)", 2: "0.3", 3: "(1 - pow(2, -20))", 4: "1", 5: "2"}
-    return f"CASE {key} % 6 " + " ".join(f"WHEN {k} THEN CAST({x} AS {double})" for k, x in cases.items()) + " END"
-
-
-@register(
-    "ring_match_all",
-    sql.query(
-        sql.REC_EVENTS,
-        sql.PREPARED,
-        sql.rules_from(f"(SELECT n_nationkey AS rule_no, {_edge_selectivity('n_nationkey', 'DOUBLE')} AS selectivity FROM nation)"),
-        sql.MATCHES,
-        select="SELECT rule_id, count(*) AS n_matches, min(record_id) AS first_id, max(record_id) AS last_id "
-        "FROM matches GROUP BY rule_id",
-    ),
-)
-def ring_match_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    numbers = v.table(spark, sf_dir, "nation").select(
-        F.col("n_nationkey").alias("rule_no"), F.expr(_edge_selectivity("n_nationkey", "DOUBLE")).alias("selectivity")
-    )
-    matches = ring_range_join(v.prepared(v.rec_events(spark, sf_dir)), place_rules(numbers, v.SEED, v.HASH))
-    return matches.groupBy("rule_id").agg(
-        F.count("*").alias("n_matches"), F.min("record_id").alias("first_id"), F.max("record_id").alias("last_id")
-    )
-
-
-@register(
-    "decode_first_long",
-    sql.query(sql.LONG_DOCS, select=f"SELECT record_id, {sql.signed('substr(data, 1, 16)')} AS first_long FROM rec"),
-)
-def decode_first_long(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return v.long_docs(spark, sf_dir).select("record_id", leading_long(F.col("data")).alias("first_long"))
-
-
-def _doc_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ms = epoch_ms(F.col("ts"))
-    value = event_pack(
-        F.lit(1), leading_long(F.col("data")), ms - 1000, ms, F.substring("data", 1, 32), PAYLOAD_STATE
-    )
-    return v.long_docs(spark, sf_dir).select("record_id", value.alias("value"))
-
-
-@register(
-    "event_pack",
-    sql.query(
-        sql.LONG_DOCS,
-        select=f"""
-SELECT record_id,
-       '0000000000000001' || substr(data, 1, 16) || upper({hex_long(sql.MS + ' - 1000')})
-         || upper({hex_long(sql.MS)}) || rpad(substr(data, 1, 64), 64, '0') AS value
-FROM rec""",
-    ),
-)
-def packed_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _doc_events(spark, sf_dir).select("record_id", F.hex("value").alias("value"))
-
-
-@register(
-    "event_unpack",
-    sql.query(
-        sql.LONG_DOCS,
-        select=f"""
-SELECT record_id, 1::BIGINT AS n, {sql.signed('substr(data, 1, 16)')} AS total, {sql.MS} - 1000 AS start_ms,
-       {sql.MS} AS end_ms, rpad(substr(data, 1, 64), 64, '0') AS payload
-FROM rec""",
-    ),
-)
-def unpacked_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    fields = event_unpack(F.col("value"))
-    fields["payload"] = F.hex(fields["payload"])
-    return _doc_events(spark, sf_dir).select("record_id", *[c.alias(name) for name, c in fields.items()])
-
-
-@register("latency_split", sql.query(sql.DELIVERIES, select="SELECT event_id, sign, latency FROM samples"))
-def latency_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return metrics.latencies(v.deliveries(spark, sf_dir)).select("event_id", "sign", "latency")
-
-
-# --- rule tables -------------------------------------------------------------------------
-
-RULE_ROWS = 'SELECT rule_id, rule_no, selectivity, "offset", width FROM '
-
-
-@register("zipf_rules", sql.query(sql.subscriptions(), select=RULE_ROWS + "rules"))
-def zipf_rule_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return v.subscriptions(spark, sf_dir)
-
-
-SPEC = "(SELECT 1.0::DOUBLE / (l_quantity * 1000) AS selectivity, count(*) AS n FROM lineitem GROUP BY l_quantity)"
-
-
-@register(
-    "frequency_rules",
-    sql.query(
-        f"spec AS {SPEC}",
-        "each AS (SELECT selectivity, unnest(range(n)) AS i FROM spec)",
-        "numbers AS (SELECT row_number() OVER (ORDER BY selectivity DESC, i) - 1 AS rule_no, selectivity FROM each)",
-        sql.rules_from("numbers"),
-        select=RULE_ROWS + "rules",
-    ),
-)
-def frequency_rule_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    spec = (
-        v.table(spark, sf_dir, "lineitem")
-        .groupBy((F.lit(1.0) / (F.col("l_quantity") * 1000)).alias("selectivity"))
-        .agg(F.count("*").alias("n"))
-    )
-    return frequency_rules(spark, spec, v.SEED, v.HASH)
-
-
-CHANGES = """(
-  SELECT c_custkey AS rule_no, 0.5::DOUBLE AS selectivity FROM customer WHERE c_acctbal < 0
-  UNION ALL SELECT 1000000000 + s_suppkey, 0.25::DOUBLE FROM supplier
-)"""
-
-
-@register(
-    "upsert_rules",
-    sql.query(
-        sql.subscriptions(),
-        sql.rules_from(CHANGES).replace("rules AS", "changes AS"),
-        select=f"{RULE_ROWS} rules WHERE rule_id NOT IN (SELECT rule_id FROM changes) UNION ALL {RULE_ROWS} changes",
-    ),
-)
-def upserted_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    changed = v.table(spark, sf_dir, "customer").where("c_acctbal < 0").select(
-        F.col("c_custkey").alias("rule_no"), F.lit(0.5).alias("selectivity")
-    )
-    added = v.table(spark, sf_dir, "supplier").select(
-        (F.col("s_suppkey") + 1_000_000_000).alias("rule_no"), F.lit(0.25).alias("selectivity")
-    )
-    return upsert_rules(v.subscriptions(spark, sf_dir), place_rules(changed.unionAll(added), v.SEED, v.HASH))
-
-
-REMOVED = """
-removed AS (
-  SELECT 'consumer_' || c_custkey AS rule_id FROM customer WHERE c_nationkey < 7
-  UNION ALL SELECT 'consumer_' || (1000000000 + s_suppkey) FROM supplier
-)"""
-
-
-def _removed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    known = v.table(spark, sf_dir, "customer").where("c_nationkey < 7").select(F.col("c_custkey").alias("rule_no"))
-    unknown = v.table(spark, sf_dir, "supplier").select((F.col("s_suppkey") + 1_000_000_000).alias("rule_no"))
-    return known.unionAll(unknown).select(F.concat(F.lit("consumer_"), F.col("rule_no")).alias("rule_id"))
-
-
-@register(
-    "remove_rules",
-    sql.query(
-        sql.subscriptions(), REMOVED, select=RULE_ROWS + "rules WHERE rule_id NOT IN (SELECT rule_id FROM removed)"
-    ),
-)
-def remaining_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return remove_rules(v.subscriptions(spark, sf_dir), _removed(spark, sf_dir))
-
-
-@register(
-    "removal_report",
-    sql.query(
-        sql.subscriptions(),
-        REMOVED,
-        select="SELECT DISTINCT rule_id, rule_id IN (SELECT rule_id FROM rules) AS found FROM removed",
-    ),
-)
-def removed_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return removal_report(v.subscriptions(spark, sf_dir), _removed(spark, sf_dir))
-
-
-SLOT_BITS = 16
-
-
-@register(
-    "rule_slots",
-    sql.query(
-        sql.subscriptions(),
-        f"slots AS (SELECT unnest(range({1 << SLOT_BITS})) AS slot)",
-        f'bounds AS (SELECT slot, slot * {1 << 63 - SLOT_BITS}::BIGINT AS low FROM slots)',
-        # an arc touches a slot that it starts in, or whose first position it holds
-        select=f"""
-SELECT slot, rule_id FROM rules, bounds
-WHERE width < 0 OR (width > 0 AND (("offset" >> {63 - SLOT_BITS}) = slot OR {sql.in_arc('low', '"offset"', 'width')}))""",
-    ),
-)
-def slotted_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rule_slots(v.subscriptions(spark, sf_dir), SLOT_BITS).select("slot", "rule_id")
-
-
-# --- fan-out -----------------------------------------------------------------------------
-
-
-@register("ring_range_join", sql.query(*EVENT_MATCHES, select="SELECT rule_id, record_id FROM matches"))
-def ring_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    records = v.prepared(v.rec_events(spark, sf_dir))
-    return ring_range_join(records, v.subscriptions(spark, sf_dir)).select("rule_id", "record_id")
-
-
-def sampling_rule(record: Callable[[str], Column], rule: Column) -> Column:
-    """Predicate of a rule with its own hash seed and rate."""
-    return hash_sample(record("data"), rule["seed"], rule["rate"], v.HASH)
-
-
-SCANNED = f"""
-scanned AS (
-  SELECT 'sample_' || n_nationkey AS rule_id, record_id FROM rec, nation
-  WHERE {sql.sampled('data', 'n_nationkey', f'{v.SAMPLE_RATE}::DOUBLE')}
-)"""
-
-
-@register("theta_fanout", sql.query(sql.REC_EVENTS, SCANNED, select="SELECT rule_id, record_id FROM scanned"))
-def theta_fanout(spark: SparkSession, sf_dir: str) -> DataFrame:
-    records = v.rec_events(spark, sf_dir)
-    return scan_fanout(records, v.scan_rules(spark, sf_dir), sampling_rule).select("rule_id", "record_id")
-
-
-def leading_zero(record: Callable[[str], Column]) -> Column:
-    return F.substring(F.hex(record("data")), 1, 1) == "0"
-
-
-def second_half(record: Callable[[str], Column]) -> Column:
-    return F.dayofmonth(record("ts")) >= 15
-
-
-CUSTOM = """
-custom AS (
-  SELECT 'leading_zero' AS rule_id, record_id FROM rec WHERE data[1] = '0'
-  UNION ALL SELECT 'second_half', record_id FROM rec WHERE day(ts) >= 15
-)"""
-PREDICATES = {"leading_zero": leading_zero, "second_half": second_half}
-
-
-@register(
-    "match_records",
-    sql.query(
-        *EVENT_MATCHES,
-        SCANNED,
-        CUSTOM,
-        select="SELECT rule_id, record_id FROM matches UNION ALL SELECT * FROM scanned UNION ALL SELECT * FROM custom",
-    ),
-)
-def all_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    records = v.rec_events(spark, sf_dir)
-    return match_records(
-        v.prepared(records, keep_data=True), v.subscriptions(spark, sf_dir), (v.scan_rules(spark, sf_dir), sampling_rule), PREDICATES
-    ).select("rule_id", "record_id")
-
-
-@register("stream_match", sql.query(*EVENT_MATCHES, select="SELECT rule_id, record_id, first_long FROM matches"))
-def streamed_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _drain(_stream_matches(spark, sf_dir), "stream-match").select("rule_id", "record_id", "first_long")
-
-
-def _stream_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    records = v.prepared(v.event_records(_event_stream(spark, sf_dir)))
-    return stream_match(records, v.subscriptions(spark, sf_dir))
-
-
-@register("custom_rule_fanout", sql.query(sql.REC_EVENTS, CUSTOM, select="SELECT rule_id, record_id FROM custom"))
-def custom_rule_fanout(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return predicate_fanout(v.rec_events(spark, sf_dir), PREDICATES).select("rule_id", "record_id")
-
-
-# --- shuffle and folds -------------------------------------------------------------------
-
-
-@register(
-    "matches_per_rule", sql.query(*EVENT_MATCHES, select="SELECT rule_id, count(*) AS n_matches FROM matches GROUP BY rule_id")
-)
-def match_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return matches_per_rule(_event_matches(spark, sf_dir))
-
-
-@register(
-    "partition_by_rule",
-    sql.query(*EVENT_MATCHES, select="SELECT rule_id, 1::BIGINT AS n_partitions FROM matches GROUP BY rule_id"),
-)
-def rule_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    placed = partition_by_rule(_sized(_event_matches(spark, sf_dir), spark, sf_dir))
-    part = F.col("part") if "part" in placed.columns else F.lit(0)
-    places = placed.groupBy("rule_id", part.alias("part"), F.spark_partition_id().alias("place")).count()
-    per_part = places.groupBy("rule_id", "part").agg(F.count("*").alias("n"))
-    return per_part.groupBy("rule_id").agg(F.max("n").alias("n_partitions"))
-
-
-@register(
-    "running_count_events",
-    sql.query(
-        *EVENT_MATCHES,
-        sql.numbered(EVERY),
-        select=f"""
-SELECT rule_id, idx + 1 AS n, record_id, upper({hex_long('idx + 1')}) AS value
-FROM placed WHERE (idx + 1) % {EVERY} = 0""",
-    ),
-)
-def running_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = running_count_events(_sized(_event_matches(spark, sf_dir), spark, sf_dir), EVERY)
-    return events.select("rule_id", "n", "record_id", F.hex("value").alias("value"))
-
-
-def _sized(matches: DataFrame, spark: SparkSession, sf_dir: str) -> DataFrame | SplitMatches:
-    return large_matches(matches, v.table(spark, sf_dir, "events").count())
-
-
-@register(
-    "count_window_digest", sql.query(*EVENT_MATCHES, sql.numbered(EVERY), sql.digest(EVERY), select=sql.DIGEST_ROWS)
-)
-def window_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _digest_fields(_digests(v.rec_events(spark, sf_dir), v.subscriptions(spark, sf_dir)))
-
-
-PHASE = sql.signed(sql.hash16("encode('8902763414119392010:') || unhex(substr(data, 1, 64))"))
-
-
-def _phase(every: int) -> str:
-    first = f"first_value({PHASE}) OVER (PARTITION BY rule_id ORDER BY ts, record_id)"
-    return f"((({first}) % {every} + {every}) % {every})"
-
-
-@register(
-    "count_window_digest_phased",
-    sql.query(*EVENT_MATCHES, sql.numbered(EVERY, _phase(EVERY)), sql.digest(EVERY), select=sql.DIGEST_ROWS),
-)
-def phased_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rules = v.subscriptions(spark, sf_dir)
-    return _digest_fields(_digests(v.rec_events(spark, sf_dir), rules, random_phase=True))
-
-
-@register(
-    "wrapping_sum",
-    sql.query(
-        sql.REC_EVENTS,
-        sql.PREPARED,
-        select=f"""
-SELECT user_id, {sql.wrap('sum(first_long::HUGEINT)')} AS total
-FROM prepared JOIN events ON record_id = event_id GROUP BY user_id""",
-    ),
-)
-def wrapping_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
-    data = F.unhex(F.md5(F.col("event_id").cast("string").cast("binary")))
-    return v.table(spark, sf_dir, "events").groupBy("user_id").agg(wrapping_sum(leading_long(data)).alias("total"))
-
-
-ROOM = 2 * (PAYLOAD_STATE - 32)
-
-
-@register(
-    "payload_overlay",
-    sql.query(
-        sql.LONG_DOCS,
-        sql.PREPARED,
-        sql.subscriptions(),
-        sql.MATCHES,
-        sql.numbered(SPARSE_EVERY),
-        f"""
-layers AS (
-  SELECT rule_id, cycle, list(substr(data, 1, {ROOM}) ORDER BY pos) AS digits
-  FROM placed GROUP BY rule_id, cycle HAVING count(*) = {SPARSE_EVERY}
-)""",
-        select=f"""
-SELECT rule_id, cycle::BIGINT AS cycle,
-       list_reduce(list_prepend(repeat('0', {ROOM}), digits),
-                   lambda under, top: top || substr(under, length(top) + 1)) AS payload
-FROM layers""",
-    ),
-)
-def payload_overlay(spark: SparkSession, sf_dir: str) -> DataFrame:
-    digests = _digests(
-        v.long_docs(spark, sf_dir), v.subscriptions(spark, sf_dir), SPARSE_EVERY, PAYLOAD_STATE
-    )
-    return digests.select("rule_id", "cycle", F.hex("payload").alias("payload"))
-
-
-@register(
-    "rule_hit_rate",
-    sql.query(
-        *EVENT_MATCHES,
-        "hits AS (SELECT rule_id, count(*) AS n_matches FROM matches GROUP BY rule_id)",
-        """
-rates AS (
-  SELECT rule_id, least(selectivity, 1) AS p, coalesce(n_matches, 0) AS n_matches, (SELECT count(*) FROM rec) AS n
-  FROM rules LEFT JOIN hits USING (rule_id)
-)""",
-        select="""
-SELECT rule_id, n_matches, round(n_matches / n, 9) AS rate,
-       round(CASE WHEN p > 0 AND p < 1 THEN (n_matches - n * p) / sqrt(n * p * (1 - p)) END, 6) AS z
-FROM rates""",
-    ),
-)
-def hit_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rules = v.subscriptions(spark, sf_dir)
-    rates = rule_hit_rate(_event_matches(spark, sf_dir), v.table(spark, sf_dir, "events"), rules)
-    return rates.select("rule_id", "n_matches", F.round("rate", 9).alias("rate"), F.round("z", 6).alias("z"))
-
-
-# --- streaming folds ---------------------------------------------------------------------
-
-STREAMED_DIGEST = _SQL["count_window_digest"]
-
-
-@register("stream_digest", STREAMED_DIGEST)
-def stream_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = work_dir(spark, "stream-digest")
-    query = start_digest_stream(_stream_matches(spark, sf_dir), path, f"{path}/checkpoint", EVERY)
-    query.awaitTermination()
-    return _digest_fields(spark.read.parquet(f"{path}/events"))
-
-
-@register("stateful_digest", STREAMED_DIGEST)
-def stateful_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    digests = stateful_digest(_stream_matches(spark, sf_dir), EVERY, mode="append")
-    return _digest_fields(_drain(digests, "stateful-digest"))
-
-
-def record_highs() -> Fold:
-    """A consumer of one's own: an event whenever a rule sees a new highest value.
-
-    Made by a function, so that it travels to the tasks whole and they need no import.
-    """
-
-    def fold(key: str, state: tuple | None, rows: pd.DataFrame) -> tuple[tuple, list[tuple]]:
-        values = rows["first_long"].to_numpy()
-        start = np.iinfo(np.int64).min if state is None else state[0]
-        before = np.maximum.accumulate(np.concatenate([[start], values]))
-        new = values > before[:-1]
-        new[0] |= state is None
-        out = [(key, int(r), int(x)) for r, x in zip(rows["record_id"].to_numpy()[new], values[new])]
-        return (int(before[-1]),), out
-
-    return fold
-
-
-@register(
-    "custom_digest",
-    sql.query(
-        *EVENT_MATCHES,
-        """
-ranked AS (
-  SELECT rule_id, record_id, first_long,
-         max(first_long) OVER (PARTITION BY rule_id ORDER BY ts, record_id
-                               ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before
-  FROM matches
-)""",
-        select="SELECT rule_id, record_id, first_long AS high FROM ranked WHERE before IS NULL OR first_long > before",
-    ),
-)
-def custom_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    matches = _event_matches(spark, sf_dir)
-    return batch_fold(matches, record_highs(), "rule_id string, record_id bigint, high bigint")
-
-
-def window_ranges(every: int) -> Fold:
-    """A consumer of one's own per window: lowest and highest value once it is full."""
-
-    def fold(key: tuple, state: tuple | None, rows: pd.DataFrame) -> tuple[tuple, list[tuple]]:
-        values = rows["first_long"]
-        n, low, high = state or (0, 2**63 - 1, -(2**63))
-        state = (n + len(rows), min(low, int(values.min())), max(high, int(values.max())))
-        return state, [(key[0], int(key[1]), state[1], state[2])] if state[0] == every else []
-
-    return fold
-
-
-@register(
-    "custom_window_digest",
-    sql.query(
-        *EVENT_MATCHES,
-        sql.numbered(EVERY),
-        select=f"""
-SELECT rule_id, cycle::BIGINT AS cycle, min(first_long) AS low, max(first_long) AS high
-FROM placed GROUP BY rule_id, cycle HAVING count(*) = {EVERY}""",
-    ),
-)
-def custom_window_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    matches = _sized(_event_matches(spark, sf_dir), spark, sf_dir)
-    return window_fold(matches, EVERY, window_ranges(EVERY), "rule_id string, cycle bigint, low bigint, high bigint")
-
-
-# --- measurements ------------------------------------------------------------------------
-
-
-def _samples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return metrics.latencies(v.deliveries(spark, sf_dir))
-
-
-@register(
-    "latency_percentiles",
-    sql.query(
-        sql.DELIVERIES,
-        f"""
-found AS (
-  SELECT sign, count(*) AS n, unnest({list(metrics.PERCENTILES)}::DOUBLE[]) AS percentile,
-         unnest(quantile_cont(latency, {list(metrics.PERCENTILES)}::DOUBLE[])) AS value
-  FROM samples GROUP BY sign
-)""",
-        select="SELECT sign, n, percentile, round(value, 6) AS value FROM found",
-    ),
-)
-def latency_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = metrics.latency_percentiles(_samples(spark, sf_dir))
-    return found.withColumn("value", F.round("value", 6))
-
-
-@register(
-    "event_latency",
-    sql.query(
-        *EVENT_MATCHES,
-        sql.numbered(EVERY),
-        sql.digest(EVERY),
-        "delays AS (SELECT rule_id AS key, cycle * 7919 % 12000 - 500 AS delay FROM digests)",
-        select="""
-SELECT key, CASE WHEN delay >= 0 THEN 'latency' ELSE 'negative' END AS sign, count(*) AS n, max(abs(delay)) AS latency
-FROM delays GROUP BY 1, 2""",
-    ),
-)
-def event_latency(spark: SparkSession, sf_dir: str) -> DataFrame:
-    digests = _digests(v.rec_events(spark, sf_dir), v.subscriptions(spark, sf_dir))
-    arrival = F.col("end_ms") + F.col("cycle") * 7919 % 12000 - 500
-    events = pack_digests(digests.withColumn("append_ms", arrival), carry=["append_ms"])
-    samples = metrics.latencies(metrics.event_deliveries(events))
-    return samples.groupBy("key", "sign").agg(F.count("*").alias("n"), F.max("latency").alias("latency"))
-
-
-@register(
-    "latency_histogram",
-    sql.query(
-        sql.DELIVERIES,
-        sql.bounds_table(BOUNDS + ["'Infinity'"]),
-        "signs AS (SELECT DISTINCT sign FROM samples)",
-        select="""
-SELECT s.sign, b.le, (SELECT count(*) FROM samples x WHERE x.sign = s.sign AND x.latency <= b.le) AS cumulative
-FROM signs s, bounds b""",
-    ),
-)
-def latency_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return metrics.latency_histogram(_samples(spark, sf_dir), BOUNDS)
-
-
-def _quantile_sql(windows: str, quantiles: tuple[float, ...] = metrics.QUANTILES) -> str:
-    """Histogram quantiles over rows ``(start_us, latency)`` named by ``windows``."""
-    qs = list(quantiles)
-    top = BOUNDS[-1]
-    return sql.query(
-        sql.DELIVERIES,
-        windows,
-        sql.bounds_table(BOUNDS),
-        f"""
-bucketed AS (
-  SELECT start_us, coalesce((SELECT min(bucket) FROM bounds WHERE le >= latency), {len(BOUNDS)}) AS bucket, count(*) AS n
-  FROM windowed GROUP BY 1, 2
-),
-stacked AS (
-  SELECT *, sum(n) OVER (PARTITION BY start_us ORDER BY bucket) AS cumulative, sum(n) OVER (PARTITION BY start_us) AS samples
-  FROM bucketed
-),
-quantiles AS (SELECT unnest({qs}::DOUBLE[]) AS quantile),
-ranked AS (
-  SELECT *, quantile * samples AS rank,
-         row_number() OVER (PARTITION BY start_us, quantile ORDER BY bucket) AS place
-  FROM stacked, quantiles WHERE cumulative >= quantile * samples
-)""",
-        select=f"""
-SELECT start_us, samples::BIGINT AS samples, quantile,
-       round(CASE WHEN r.bucket = {len(BOUNDS)} THEN {top}
-             ELSE coalesce(low.le, 0) + (high.le - coalesce(low.le, 0)) * ((rank - (cumulative - n)) / n) END, 6) AS value
-FROM ranked r LEFT JOIN bounds high ON high.bucket = r.bucket LEFT JOIN bounds low ON low.bucket = r.bucket - 1
-WHERE place = 1""",
-    )
-
-
-@register(
-    "windowed_histogram_quantile",
-    _quantile_sql(
-        """
-windowed AS (
-  SELECT (epoch_us(ts) // 5000000 - back) * 5000000 AS start_us, latency
-  FROM samples, (SELECT unnest(range(4)) AS back) WHERE sign = 'latency'
-)""",
-        SLIDING_QUANTILES,
-    ),
-)
-def windowed_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = metrics.windowed_histogram_quantile(_samples(spark, sf_dir), BOUNDS, SLIDING_QUANTILES, 20, 5)
-    return found.withColumn("value", F.round("value", 6))
-
-
-@register(
-    "total_histogram_quantile",
-    _quantile_sql(
-        """
-windowed AS (
-  SELECT epoch_us(ts) // 720000000 * 720000000 AS start_us, latency FROM samples
-  WHERE sign = 'latency'
-    AND epoch_us(ts) >= (SELECT min(epoch_us(ts)) FROM samples WHERE sign = 'latency') + 180000000
-)"""
-    ),
-)
-def total_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    samples = _samples(spark, sf_dir).where(F.col("sign") == "latency")
-    return metrics.total_histogram_quantile(samples, BOUNDS).withColumn("value", F.round("value", 6))
-
-
-@register(
-    "throughput",
-    """
-SELECT event_type, epoch_us(ts) // 10000000 * 10000000 AS start_us, count(*) / 10.0::DOUBLE AS per_second
-FROM events GROUP BY 1, 2""",
-)
-def record_throughput(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = v.table(spark, sf_dir, "events").select("event_type", F.col("ts").cast("timestamp").alias("ts"))
-    return metrics.throughput(events, ["event_type"])
-
-
-@register(
-    "offset_throughput",
-    f"""
-WITH samples AS (
-  SELECT epoch_us(ts) AS us, 'topic' || (user_id % 2) AS topic, length(event_type) AS partition,
-         event_id * 10 - CASE WHEN event_id % 97 = 0 THEN 5000 ELSE 0 END AS "offset"
-  FROM events
-),
-last AS (
-  SELECT topic, partition, us // 3600000000 * 3600000000 AS start_us, max(us) AS us, max_by("offset", us) AS "offset"
-  FROM samples GROUP BY 1, 2, 3
-),
-rates AS (
-  SELECT topic, start_us, ("offset" - lag("offset") OVER w) / ((us - lag(us) OVER w) / 1000000::DOUBLE) AS rate
-  FROM last WINDOW w AS (PARTITION BY topic, partition ORDER BY start_us)
-)
-SELECT topic, start_us, round(sum(rate), 6) AS per_second FROM rates WHERE rate >= 0 GROUP BY 1, 2""",
-)
-def offset_throughput(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rates = metrics.offset_throughput(v.partition_samples(spark, sf_dir), 3600)
-    return rates.withColumn("per_second", F.round("per_second", 6))
-
-
-@register(
-    "run_rollup",
-    f"""
-WITH rates AS (
-  SELECT event_type AS repetition, epoch_us(ts) // 3600000000 * 3600000000 AS start_us, count(*) / 3600::DOUBLE AS value
-  FROM events GROUP BY 1, 2
-),
-means AS (
-  SELECT repetition, avg(value) AS mean
-  FROM rates JOIN (SELECT repetition, min(start_us) AS begin_us FROM rates GROUP BY 1) USING (repetition)
-  WHERE start_us >= begin_us + {WARMUP_S} * 1000000::BIGINT GROUP BY 1
-)
-SELECT count(*) AS repetitions, round(median(mean), 9) AS median FROM means""",
-)
-def run_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = v.table(spark, sf_dir, "events").select(
-        F.col("event_type").alias("repetition"), F.col("ts").cast("timestamp").alias("ts")
-    )
-    rates = metrics.throughput(events, ["repetition"], 3600).withColumnRenamed("per_second", "value")
-    return metrics.run_rollup(rates, WARMUP_S).withColumn("median", F.round("median", 9))
-
-
-@register(
-    "lag_trend",
-    sql.query(
-        sql.LAG_SAMPLES,
-        f"""
-timed AS (
-  SELECT (epoch_us(ts) - (SELECT min(epoch_us(ts)) FROM lag_samples)) / 1000000::DOUBLE AS seconds,
-         (end_offset - committed_offset)::DOUBLE AS lag
-  FROM lag_samples
-),
-fitted AS (SELECT count(*) AS n_samples, regr_slope(lag, seconds) AS slope FROM timed WHERE seconds >= {WARMUP_S})""",
-        select="""
-SELECT n_samples, round(slope, 9) AS slope, slope <= 0.01 * (SELECT count(*) / 2592000::DOUBLE FROM events) AS sustainable
-FROM fitted""",
-    ),
-)
-def lag_trend(spark: SparkSession, sf_dir: str) -> DataFrame:
-    load = v.table(spark, sf_dir, "events").count() / (30 * DAY_S)
-    trend = metrics.lag_trend(v.lag_samples(spark, sf_dir), load, warmup_s=WARMUP_S)
-    return trend.withColumn("slope", F.round("slope", 9))
+from ringfold.plans import (  # noqa: F401  (importing a module registers its queries)
+    digest_queries,
+    fanout_queries,
+    metric_queries,
+    projection_queries,
+    rule_queries,
+    source_queries,
+    stream_queries,
+)
+from ringfold.plans.digest_queries import flagship
+from ringfold.plans.shared import oracle_sql, queries
+
+__all__ = ["flagship", "oracle_sql", "queries"]
