@@ -5,20 +5,25 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from ringfold.functions.payload import event_unpack
 from ringfold.operators.folds import Fold, batch_fold, window_fold
 from ringfold.plans import sql
+from ringfold.plans import views as v
 from ringfold.plans.shared import (
     EVENT_MATCHES,
     EVERY,
     digest_fields,
     drain,
     event_matches,
+    event_stream,
     register,
     sized,
     stream_matches,
 )
 from ringfold.streaming.digest import start_digest_stream
+from ringfold.streaming.job import start_job
 from ringfold.streaming.state import stateful_digest
 from ringfold.workdir import work_dir
 
@@ -41,6 +46,24 @@ def stateful_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest_fields(drain(found, "stateful-digest"))
 
 
+@register(
+    "stream_job",
+    sql.query(
+        *EVENT_MATCHES,
+        sql.numbered(EVERY),
+        sql.digest(EVERY),
+        select="SELECT rule_id AS key, n, total, start_ms, end_ms FROM digests",
+    ),
+)
+def stream_job(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = work_dir(spark, "stream-job")
+    records = v.event_records(event_stream(spark, sf_dir))
+    start_job(records, v.subscriptions(spark, sf_dir), path, EVERY, hash=v.HASH).awaitTermination()
+    fields = event_unpack(F.col("value"))
+    kept = [fields[name].alias(name) for name in ("n", "total", "start_ms", "end_ms")]
+    return spark.read.parquet(f"{path}/events").select("key", *kept)
+
+
 def record_highs() -> Fold:
     """A consumer of one's own: an event whenever a rule sees a new highest value.
 

@@ -11,6 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
 DELIVERIES = ("none", "at_least_once", "exactly_once")
+OFFSET_BITS = 44
 ISOLATIONS = ("read_uncommitted", "read_committed")
 
 
@@ -41,14 +42,28 @@ def kafka_options(
 
 
 def file_options(
-    starting: str = "earliest", max_per_trigger: int | None = None, pattern: str | None = None
+    starting: str = "earliest",
+    max_per_trigger: int | None = None,
+    max_bytes_per_trigger: int | None = None,
+    max_age: str | None = None,
+    pattern: str | None = None,
 ) -> dict[str, str]:
-    """Options of a file record stream; ``latest`` reads the newest files first."""
+    """Options of a file record stream.
+
+    ``latest`` reads the newest files first; ``max_age`` (such as ``7d``) skips older ones.
+    A micro-batch is capped by files or by bytes.
+    """
+    if max_per_trigger is not None and max_bytes_per_trigger is not None:
+        raise ValueError("cap a micro-batch by files or by bytes, not both")
     if starting not in ("latest", "earliest"):
         raise ValueError(f"starting must be latest or earliest, not {starting!r}")
     options = {"latestFirst": str(starting == "latest").lower()}
     if max_per_trigger is not None:
         options["maxFilesPerTrigger"] = str(_positive(max_per_trigger))
+    if max_bytes_per_trigger is not None:
+        options["maxBytesPerTrigger"] = str(_positive(max_bytes_per_trigger))
+    if max_age is not None:
+        options["maxFileAge"] = max_age
     if pattern is not None:
         options["pathGlobFilter"] = pattern
     return options
@@ -60,14 +75,18 @@ def _positive(n: int) -> int:
     return n
 
 
+def record_columns(messages: DataFrame) -> DataFrame:
+    """Messages of a topic as records: bytes, log-append time, and a number from their place.
+
+    Partition and offset make the number unique, and rising with arrival in a partition.
+    """
+    record_id = F.shiftleft(F.col("partition").cast("bigint"), OFFSET_BITS) + F.col("offset")
+    return messages.select(record_id.alias("record_id"), F.col("timestamp").alias("ts"), F.col("value").alias("data"))
+
+
 def kafka_records(spark: SparkSession, servers: str, topic: str, **options) -> DataFrame:
-    """Record stream of a topic: the message bytes and their log-append time."""
-    return (
-        spark.readStream.format("kafka")
-        .options(**kafka_options(servers, topic, **options))
-        .load()
-        .select(F.col("value").alias("data"), F.col("timestamp").alias("ts"))
-    )
+    """Record stream of a topic."""
+    return record_columns(spark.readStream.format("kafka").options(**kafka_options(servers, topic, **options)).load())
 
 
 def file_records(spark: SparkSession, path: str, schema: StructType, **options) -> DataFrame:

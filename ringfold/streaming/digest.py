@@ -25,6 +25,7 @@ from ringfold.operators.digest import (
     arrival_index,
     complete,
     fold_windows,
+    pack_digests,
     split_hot_rules,
     weighted,
 )
@@ -82,7 +83,8 @@ class DigestSink:
 
     ``batch_records`` is the cap on a micro-batch's records, when its source has one. A
     rule matches a record at most once, so a cap up to ``max_rows`` makes it sure that no
-    rule needs splitting, and the matches are not counted first.
+    rule needs splitting, and the matches are not counted first. ``packed`` stores events
+    as ``(key, value)`` bytes.
     """
 
     def __init__(
@@ -92,11 +94,13 @@ class DigestSink:
         state_bytes: int = DIGEST_BYTES,
         max_rows: int = MAX_ROWS,
         batch_records: int | None = None,
+        packed: bool = False,
     ) -> None:
         self.path = path.rstrip("/")
         self.every = every
         self.state_bytes = require_state_bytes(state_bytes)
         self.max_rows = max_rows
+        self.packed = packed
         self.capped = batch_records is not None and batch_records <= max_rows
 
     @property
@@ -127,7 +131,8 @@ class DigestSink:
             batch = batch.persist()
         windows = fold_batch(self._sized(batch), state, self.every, self.state_bytes).persist()
         try:
-            write_batch(full_windows(windows, self.every), self.events, batch_id)
+            events = full_windows(windows, self.every)
+            write_batch(pack_digests(events, self.state_bytes) if self.packed else events, self.events, batch_id)
             open_windows(windows, self.every, batch_id).write.mode("overwrite").parquet(self._slot(batch_id))
         finally:
             windows.unpersist()
@@ -143,10 +148,11 @@ def start_digest_stream(
     state_bytes: int = DIGEST_BYTES,
     max_rows: int = MAX_ROWS,
     batch_records: int | None = None,
+    packed: bool = False,
     trigger: Mapping[str, object] | None = None,
 ) -> StreamingQuery:
     """Write the digests of a match stream below ``path``; see :class:`DigestSink`."""
-    sink = DigestSink(path, every, state_bytes, max_rows, batch_records)
+    sink = DigestSink(path, every, state_bytes, max_rows, batch_records, packed)
     return (
         matches.writeStream.outputMode("append")
         .option("checkpointLocation", checkpoint)

@@ -5,13 +5,15 @@ from folds import digests
 from pyspark.sql import functions as F
 from test_digest import make_records, matches_of, phases_of, rows_of
 
-from ringfold.operators.digest import count_window_digest
+from ringfold.operators.digest import count_window_digest, pack_digests
 from ringfold.operators.folds import batch_fold, window_fold
 from ringfold.operators.fanout import match_records, prepare_records
 from ringfold.operators.rules import zipf_rules
+from ringfold.plans.dataflow import digest_records
 from ringfold.sources import streams as S
 from ringfold.sources.records import paced_stream
 from ringfold.streaming.digest import DigestSink, start_digest_stream
+from ringfold.streaming.job import start_job
 from ringfold.streaming.match import stream_match
 from ringfold.streaming.state import stateful_digest, stateful_fold, use_state_store
 from ringfold.workdir import work_dir
@@ -266,13 +268,40 @@ def test_kafka_sink_options():
         S.kafka_sink_options("h:1", "out", "/c", "exactly_once")
 
 
+def test_records_of_messages(spark):
+    rows = [(None, b"x", "t", p, o, 5) for p in (0, 1, 99) for o in (0, 1, 10**12)]
+    schema = "key binary, value binary, topic string, partition int, offset bigint, s bigint"
+    messages = spark.createDataFrame(rows, schema).withColumn("timestamp", F.timestamp_seconds("s"))
+    records = S.record_columns(messages)
+    assert records.columns == ["record_id", "ts", "data"]
+    ids = [r.record_id for r in records.collect()]
+    assert ids == sorted(set(ids)) and min(ids) == 0
+
+
+@pytest.mark.parametrize("engine", ["tables", "state_store"])
+def test_job_writes_packed_events(spark, folder, engine):
+    rows = in_time_order(make_records(200))
+    write_files(spark, rows, 2, f"{folder}/in")
+    rules = zipf_rules(spark, 30, 4.0, 1.0)
+    schema = spark.createDataFrame([], SCHEMA).schema
+    records = S.file_records(spark, f"{folder}/in", schema, max_per_trigger=1)
+    start_job(records, rules, folder, 5, 48, True, engine=engine).awaitTermination()
+    got = sorted((r.key, bytes(r.value)) for r in spark.read.parquet(f"{folder}/events").collect())
+    want = pack_digests(digest_records(spark.read.parquet(f"{folder}/in"), rules, 5, 48, True), 48)
+    assert got == sorted((r.key, bytes(r.value)) for r in want.collect()) and got
+    with pytest.raises(ValueError):
+        start_job(records, rules, folder, engine="paper")
+
+
 def test_file_options():
     assert S.file_options() == {"latestFirst": "false"}
-    assert S.file_options("latest", 3, "*.parquet") == {
-        "latestFirst": "true", "maxFilesPerTrigger": "3", "pathGlobFilter": "*.parquet"
+    assert S.file_options("latest", 3, pattern="*.parquet", max_age="2d") == {
+        "latestFirst": "true", "maxFilesPerTrigger": "3", "pathGlobFilter": "*.parquet", "maxFileAge": "2d"
     }
-    with pytest.raises(ValueError):
-        S.file_options("middle")
+    assert S.file_options(max_bytes_per_trigger=9)["maxBytesPerTrigger"] == "9"
+    for bad in ({"starting": "middle"}, {"max_per_trigger": 1, "max_bytes_per_trigger": 1}):
+        with pytest.raises(ValueError):
+            S.file_options(**bad)
 
 
 def test_work_dir_is_fresh_and_in_the_named_folder(spark):
