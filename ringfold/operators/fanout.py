@@ -134,7 +134,7 @@ def scan_fanout(
         F.collect_list(F.struct(*fields)).alias("scanned")
     )
     visits = F.explode(F.sequence(F.lit(0), F.lit(chunks - 1)))
-    probes = records.withColumn("chunk", F.lit(0) if chunks == 1 else visits)
+    probes = records.withColumn("chunk", visits)
     if size["bytes"] <= broadcast_bytes:
         joined = probes.join(F.broadcast(arrays), "chunk")
     else:

@@ -73,7 +73,9 @@ def test_scan_tests_every_pair(spark, options):
     def sampled(record, rule):
         return hash_sample(record("data"), rule["id"], rule["rate"])
 
-    got = sorted((r.rule_id, r.record_id) for r in O.scan_fanout(records, rules, sampled, **options).collect())
+    found = O.scan_fanout(records, rules, sampled, **options)
+    assert "NestedLoop" not in plan_of(found) and "Cartesian" not in plan_of(found)
+    got = sorted((r.rule_id, r.record_id) for r in found.collect())
     want = []
     for i in range(20):
         kept = records.where(hash_sample(F.col("data"), F.lit(i).cast("bigint"), i / 20))
