@@ -49,20 +49,26 @@ def stateful_fold(
     state_schema: str,
     mode: str = "update",
     key: str = "rule_id",
+    in_order: bool = True,
 ) -> DataFrame:
     """Run a fold per key over a stream. State never expires; there is no watermark.
 
-    A key's rows of one micro-batch are sorted together, so the cap on a micro-batch
-    bounds what a task holds.
+    ``in_order`` sorts a key's rows of one micro-batch by time, which makes results
+    repeatable and lets the cap on a micro-batch bound what a task holds. Without it rows
+    are folded as they arrive, one Arrow batch at a time, whatever the size of a key.
     """
     names, arrival = field_names(output_schema), list(ARRIVAL)
 
     def run(own: tuple, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(chunks), ignore_index=True).sort_values(arrival, ignore_index=True)
-        new_state, out = fold(own[0], state.get if state.exists else None, rows)
-        state.update(new_state)
-        if len(out):
-            yield out if isinstance(out, pd.DataFrame) else pd.DataFrame(out, columns=names)
+        if in_order:
+            chunks = [pd.concat(list(chunks), ignore_index=True).sort_values(arrival, ignore_index=True)]
+        current = state.get if state.exists else None
+        for rows in chunks:
+            if len(rows):
+                current, out = fold(own[0], current, rows)
+                if len(out):
+                    yield out if isinstance(out, pd.DataFrame) else pd.DataFrame(out, columns=names)
+        state.update(current)
 
     return matches.groupBy(key).applyInPandasWithState(
         run, output_schema, state_schema, mode, GroupStateTimeout.NoTimeout
@@ -156,11 +162,13 @@ def stateful_digest(
     state_bytes: int = DIGEST_BYTES,
     mode: str = "update",
     buckets: int | None = None,
+    in_order: bool = True,
 ) -> DataFrame:
     """Count-window digests of a match stream, state kept in the state store.
 
     Rules are hashed into buckets, and a bucket's rules are folded in one call: a call
-    per rule would cost more than the fold. ``buckets`` must not change between restarts.
+    per rule would cost more than the fold. ``buckets`` must not change between restarts;
+    for ``in_order`` see :func:`stateful_fold`.
     """
     if buckets is None:
         buckets = BUCKETS_PER_PARTITION * int(matches.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -169,4 +177,5 @@ def stateful_digest(
         "*",
         epoch_ms(F.col("ts")).alias("ms"),
     )
-    return stateful_fold(bucketed, digest_fold(every, state_bytes), DIGEST_FIELDS, DIGEST_STATE, mode, "bucket")
+    fold = digest_fold(every, state_bytes)
+    return stateful_fold(bucketed, fold, DIGEST_FIELDS, DIGEST_STATE, mode, "bucket", in_order)

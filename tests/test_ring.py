@@ -1,6 +1,8 @@
 import math
 
 import pytest
+from hypothesis import HealthCheck, given, settings
+from hypothesis import strategies as st
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
@@ -35,6 +37,17 @@ def test_in_arc_wraps(spark):
         assert r.hit == (r.w < 0 or (r.x - r.o) % (1 << 63) < r.w), r
 
 
+POINT = st.integers(0, RING_MASK)
+
+
+@settings(max_examples=6, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(st.tuples(POINT, POINT, st.integers(0, RING_MASK)), min_size=50, max_size=200))
+def test_in_arc_anywhere(spark, cases):
+    df = spark.createDataFrame(cases, "x bigint, o bigint, w bigint")
+    for r in df.select("*", in_arc(F.col("x"), F.col("o"), F.col("w")).alias("hit")).collect():
+        assert r.hit == ((r.x - r.o) % (1 << 63) < r.w), r
+
+
 def test_position_reads_sixteen_bytes_only(spark):
     df = spark.createDataFrame([(b"0123456789abcdefX",), (b"0123456789abcdefYZ",)], "data binary")
     for hash in ("xxhash64", "md5"):

@@ -144,6 +144,20 @@ def test_state_stores_agree(spark, folder, store):
     assert rows_of(spark.read.parquet(f"{folder}/events")) == digests(rows, 5, 32)
 
 
+def test_arrival_order_fills_the_same_windows(spark, folder):
+    rows = in_time_order(make_records(300))
+    write_files(spark, rows, 2, f"{folder}/in")
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "16")
+    try:
+        events = stateful_digest(match_stream(spark, f"{folder}/in", 40), 7, 40, in_order=False, buckets=2)
+        S.write_events(events, f"{folder}/events", f"{folder}/checkpoint").awaitTermination()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    got = [r[:4] for r in rows_of(spark.read.parquet(f"{folder}/events"))]
+    assert got == [r[:4] for r in digests(rows, 7, 40)]
+
+
 def test_unknown_state_store(spark):
     with pytest.raises(ValueError):
         use_state_store(spark, "disk")
