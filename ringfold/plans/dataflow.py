@@ -14,12 +14,14 @@ def large_matches(matches: DataFrame, n_records: int, max_rows: int = MAX_ROWS)
     """Matches ready for numbering.
 
     A rule matches a record at most once, so with few records no rule can be too large
-    for a task and one shuffle does. Otherwise the matches, a small part of the input's
+    for a task and one shuffle does; the same holds for few matches. Otherwise the matches, a small part of the input's
     bytes, are stored and the rules with too many rows are split.
     """
     if n_records <= max_rows:
         return matches
     matches = stored(matches, "matches")
+    if matches.count() <= max_rows:
+        return matches
     return split_hot_rules(matches, max_rows) or matches
 
 
