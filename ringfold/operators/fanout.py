@@ -96,10 +96,9 @@ def ring_range_join(
     """
     nodes = rule_nodes(rules) if nodes is None else nodes
     profile = node_profile(nodes) if profile is None else profile
-    levels = sorted(profile) or [0]
     index = nodes.select("node", "rule_id", "offset", "width")
     carried = _carried(records)
-    lookups = [node_of(F.col("position"), level) for level in levels]
+    lookups = _lookups(profile)
     probe = lookups[0] if len(lookups) == 1 else F.explode(F.array(*lookups))
     probes = records.select("position", *carried, probe.alias("node"))
     if sum(profile.values()) <= broadcast_bytes:
@@ -110,6 +109,10 @@ def ring_range_join(
     return joined.where(hit).select("rule_id", *carried)
 
 
+def _lookups(profile: Mapping[int, int]) -> list[Column]:
+    return [node_of(F.col("position"), level) for level in sorted(profile) or [0]]
+
+
 def scan_fanout(
     records: DataFrame,
     rules: DataFrame,
@@ -126,23 +129,29 @@ def scan_fanout(
     through an equi-join on the chunk's number, broadcast when the measured size
     allows, else salted.
     """
-    fields = rules.columns
-    row_bytes = F.length(F.to_json(F.struct(*fields))) + ROW_BYTES
+    chunked = _scan_chunks(records, rules, chunk, broadcast_bytes, salts)
+    return chunked.select(F.explode(_scan_hits(predicate)).alias("rule_id"), *_carried(records))
+
+
+def _scan_chunks(
+    records: DataFrame, rules: DataFrame, chunk: int, broadcast_bytes: int, salts: int | None = None
+) -> DataFrame:
+    """Each record with each chunk of rules, as column ``scanned``."""
+    row_bytes = F.length(F.to_json(F.struct(*rules.columns))) + ROW_BYTES
     size = rules.agg(F.count("*").alias("n"), F.coalesce(F.sum(row_bytes), F.lit(0)).alias("bytes")).first()
     chunks = max(1, -(-size["n"] // chunk))
     arrays = rules.groupBy(F.pmod(F.xxhash64("rule_id"), F.lit(chunks)).cast("int").alias("chunk")).agg(
-        F.collect_list(F.struct(*fields)).alias("scanned")
+        F.collect_list(F.struct(*rules.columns)).alias("scanned")
     )
-    visits = F.explode(F.sequence(F.lit(0), F.lit(chunks - 1)))
-    probes = records.withColumn("chunk", visits)
+    probes = records.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
     if size["bytes"] <= broadcast_bytes:
-        joined = probes.join(F.broadcast(arrays), "chunk")
-    else:
-        joined = _salted(probes, arrays, "chunk", salts)
+        return probes.join(F.broadcast(arrays), "chunk")
+    return _salted(probes, arrays, "chunk", salts)
+
+
+def _scan_hits(predicate: Callable) -> Column:
     hits = F.filter("scanned", lambda rule: predicate(F.col, rule))
-    found = F.explode(F.transform(hits, lambda rule: rule["rule_id"]))
-    carried = _carried(records)
-    return joined.select(found.alias("rule_id"), *carried)
+    return F.transform(hits, lambda rule: rule["rule_id"])
 
 
 def predicate_fanout(
@@ -153,11 +162,13 @@ def predicate_fanout(
     A predicate takes a function that names a record's column and returns a Boolean
     column, which may come from a ``pandas_udf``. One pass over the records, no join.
     """
-    tests = [F.when(predicate(F.col), F.lit(rule_id)) for rule_id, predicate in predicates.items()]
-    if not tests:
+    return records.select(F.explode(_predicate_hits(predicates)).alias("rule_id"), *_carried(records))
+
+
+def _predicate_hits(predicates: Mapping[str, Callable]) -> Column:
+    if not predicates:
         raise ValueError("at least one predicate is needed")
-    carried = _carried(records)
-    return records.select(F.explode(F.array_compact(F.array(*tests))).alias("rule_id"), *carried)
+    return F.array_compact(F.array(*[F.when(p(F.col), F.lit(rule_id)) for rule_id, p in predicates.items()]))
 
 
 def match_records(
@@ -165,22 +176,51 @@ def match_records(
     rules: DataFrame | None = None,
     scanned: tuple[DataFrame, Callable] | None = None,
     predicates: Mapping[str, Callable] | None = None,
-    **join_options,
+    broadcast_bytes: int = BROADCAST_BYTES,
+    salts: int | None = None,
 ) -> DataFrame:
-    """All matches of all kinds of rules; a record may give none, one or many rows."""
+    """All matches of all kinds of rules; a record may give none, one or many rows.
+
+    Ring rules and predicates together take one pass over the records while the index is
+    small enough to broadcast. Scanned rules, and large indexes, take a pass of their own.
+    """
+    if rules is None and scanned is None and not predicates:
+        raise ValueError("no rules given")
     parts = []
     if rules is not None:
-        parts.append(ring_range_join(records, rules, **join_options))
+        nodes = rule_nodes(rules)
+        profile = node_profile(nodes)
+        if predicates and sum(profile.values()) <= broadcast_bytes:
+            parts.append(_one_pass(records, nodes, profile, _predicate_hits(predicates)))
+            predicates = None
+        else:
+            parts.append(ring_range_join(records, rules, broadcast_bytes, salts, nodes, profile))
     if scanned is not None:
-        parts.append(scan_fanout(records, *scanned))
+        parts.append(scan_fanout(records, *scanned, broadcast_bytes=broadcast_bytes, salts=salts))
     if predicates:
         parts.append(predicate_fanout(records, predicates))
-    if not parts:
-        raise ValueError("no rules given")
     columns = parts[0].columns
     return reduce(DataFrame.unionAll, [p.select(*columns) for p in parts])
 
 
+def _one_pass(records: DataFrame, nodes: DataFrame, profile: Mapping[int, int], found: Column) -> DataFrame:
+    """Ring matches and rules already found, from one explode and one broadcast join.
+
+    A record's probes are the segments to look up and the rules found; the latter have
+    no segment, so the outer join passes them through.
+    """
+    carried = _carried(records)
+    lookup = [F.struct(node.alias("node"), F.lit(None).cast("string").alias("found")) for node in _lookups(profile)]
+    known = F.transform(found, lambda r: F.struct(F.lit(None).cast("bigint").alias("node"), r.alias("found")))
+    probes = records.select("position", *carried, F.explode(F.concat(F.array(*lookup), known)).alias("probe"))
+    probes = probes.select("position", *carried, "probe.node", "probe.found")
+    index = F.broadcast(nodes.select(F.col("node").alias("segment"), "rule_id", "offset", "width"))
+    hit = in_arc(F.col("position"), F.col("offset"), F.col("width"))
+    joined = probes.join(index, (F.col("node") == F.col("segment")) & hit, "left")
+    rule_id = F.coalesce("found", "rule_id")
+    return joined.where(rule_id.isNotNull()).select(rule_id.alias("rule_id"), *carried)
+
+
 def matches_per_rule(matches: DataFrame) -> DataFrame:
     """Matches of each rule, counted before and after the shuffle by rule."""
     return matches.groupBy("rule_id").agg(F.count("*").alias("n_matches"))

@@ -13,7 +13,7 @@ from ringfold.operators.fanout import prepare_records
 from ringfold.sources.streams import kafka_records, write_events, write_events_kafka
 from ringfold.streaming.digest import start_digest_stream
 from ringfold.streaming.match import stream_match
-from ringfold.streaming.state import stateful_digest
+from ringfold.streaming.state import stateful_digest, use_state_store
 
 ENGINES = ("tables", "state_store")
 
@@ -27,13 +27,14 @@ def start_job(
     random_phase: bool = False,
     hash: str = "xxhash64",
     engine: str = "tables",
+    state_store: str = "rocksdb",
     batch_records: int | None = None,
     trigger: Mapping[str, object] | None = None,
 ) -> StreamingQuery:
     """Match a record stream and write ``(key, value)`` events to ``path/events``.
 
     ``engine`` says where open windows are kept: in tables below ``path``, or in Spark's
-    state store. Both go on from ``path/checkpoint`` after a restart.
+    state store, of the kind ``state_store``. Both go on from ``path/checkpoint`` after a restart.
     """
     if engine not in ENGINES:
         raise ValueError(f"engine must be one of {ENGINES}, not {engine!r}")
@@ -42,6 +43,7 @@ def start_job(
     if engine == "tables":
         options = {"batch_records": batch_records, "packed": True, "trigger": trigger}
         return start_digest_stream(matches, path, checkpoint, every, state_bytes, **options)
+    use_state_store(records.sparkSession, state_store)
     events = pack_digests(stateful_digest(matches, every, state_bytes), state_bytes)
     return write_events(events, f"{path}/events", checkpoint, trigger=trigger)
 
@@ -56,10 +58,12 @@ def start_kafka_job(
     every: int = 10,
     state_bytes: int = DIGEST_BYTES,
     random_phase: bool = False,
+    state_store: str = "rocksdb",
     delivery: str = "at_least_once",
     **source_options,
 ) -> StreamingQuery:
     """The same from topic to topic, with the state store."""
+    use_state_store(spark, state_store)
     records = kafka_records(spark, servers, topic_in, **source_options)
     matches = stream_match(prepare_records(records, state_bytes, random_phase), rules)
     events = pack_digests(stateful_digest(matches, every, state_bytes), state_bytes)

@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 from ringfold.functions.ring import keyed_hash
 from ringfold.operators import digest as D
 from ringfold.operators.fanout import PHASE_SEED, prepare_records
+from ringfold.operators.rules import zipf_rules
+from ringfold.plans.dataflow import digest_records
+from ringfold.sources.records import generate_records
 
 KEYS = ["a", "b", "c", "hot"]
 
@@ -75,6 +78,14 @@ def test_hot_rules_are_split(spark, phased, same_ts):
     assert sorted(D.running_count_events(split, 9).select("rule_id", "n", "record_id").collect()) == counter(rows, 9)
 
 
+def test_dataflow_splits_large_rules(spark):
+    records = generate_records(spark, 2000, 40, "flow").withColumn("ts", F.timestamp_seconds(F.col("record_id") % 50))
+    rules = zipf_rules(spark, 20, 3.0, 1.0)
+    plain = rows_of(digest_records(records, rules, 6, 48, True))
+    assert rows_of(digest_records(records, rules, 6, 48, True, max_rows=300)) == plain
+    assert rows_of(digest_records(records, rules, 6, 48, True, max_rows=1999)) == plain
+
+
 def test_no_hot_rules_no_split(spark):
     assert D.split_hot_rules(matches_of(spark, make_records(50), 32), max_rows=1000) is None
 

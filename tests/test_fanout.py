@@ -101,8 +101,13 @@ def test_predicates_and_vectorised_udf(spark):
 def test_kinds_are_added_up(spark, records):
     rules = rule_rows(spark, edge_arcs())
     ring = O.ring_range_join(records, rules)
-    both = O.match_records(records, rules, predicates={"all": lambda record: F.lit(True)})
-    assert both.count() == ring.count() + records.count()
+    others = {"all": lambda record: F.lit(True), "even": lambda record: record("record_id") % 2 == 0}
+    want = sorted(ring.unionAll(O.predicate_fanout(records, others)).collect())
+    one_pass = O.match_records(records, rules, predicates=others)
+    assert "BroadcastHashJoin" in plan_of(one_pass) and "NestedLoop" not in plan_of(one_pass)
+    assert plan_of(one_pass).count("Scan ExistingRDD") == plan_of(ring).count("Scan ExistingRDD")
+    assert sorted(one_pass.collect()) == want
+    assert sorted(O.match_records(records, rules, predicates=others, broadcast_bytes=0).collect()) == want
     with pytest.raises(ValueError):
         O.match_records(records)
 
