@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from ringfold.sources import offsets as O
 from ringfold.sources.records import generate_records, paced_records
-from ringfold.workdir import work_dir
 
 
 @pytest.mark.parametrize("size", [1, 8, 16, 40, 1024])
@@ -64,8 +63,8 @@ def test_illegal_offsets(spark, bad):
         O.explode_offsets(log(spark, '{"a":{"0":1}}', bad)).collect()
 
 
-def test_read_checkpoint_files(spark):
-    base = work_dir(spark, "offset-files")
+def test_read_checkpoint_files(spark, tmp_path):
+    base = str(tmp_path)
     os.makedirs(f"{base}/offsets")
     for name, text in {"9": '{"t":{"0":1}}', "10": '{"t":{"0":4,"1":2}}', "x": "no", ".11.crc": "no"}.items():
         with open(f"{base}/offsets/{name}", "w") as f:

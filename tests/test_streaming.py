@@ -69,8 +69,8 @@ def run_state(spark, source, out, every, state_bytes, phased=False):
 
 
 @pytest.fixture
-def folder(spark):
-    return work_dir(spark, "test")
+def folder(tmp_path):
+    return str(tmp_path)
 
 
 @pytest.mark.parametrize("run", [run_sets, run_state])
