@@ -4,6 +4,7 @@ import pytest
 from oracle import compare, tables
 
 import __spark_entry__ as entry
+from ringfold.plans import catalog
 
 
 @pytest.fixture(scope="module")
@@ -12,12 +13,13 @@ def con(small_dir):
 
 
 def test_every_query_has_sql():
-    assert set(entry.queries()) == set(entry.oracle_sql())
+    assert set(catalog.queries()) == set(catalog.oracle_sql())
+    assert set(catalog.queries()) <= set(entry.queries())
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(catalog.queries()))
 def test_query(spark, con, small_dir, name):
-    assert compare(entry.queries()[name](spark, small_dir), con, entry.oracle_sql()[name]) is None
+    assert compare(catalog.queries()[name](spark, small_dir), con, catalog.oracle_sql()[name]) is None
 
 
 def test_entry(spark):
