@@ -304,7 +304,7 @@ def write_token_files(
 
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     ordered = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    return stored(ordered.mapInArrow(write, "file_no int, path string, n_docs bigint, n_ids bigint"), "token-files")
+    return stored(ordered.mapInArrow(write, "file_no bigint, path string, n_docs bigint, n_ids bigint"), "token-files")
 
 
 def read_token_files(files: DataFrame, block_ids: int = BLOCK_IDS) -> DataFrame:
