@@ -7,13 +7,24 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from ringfold.llm.decontaminate import REPORT_SQL, contamination_report
 from ringfold.llm.inputs import table
+from ringfold.llm.mixing import MIX_SQL, mix_sources
 from ringfold.llm.token_blocks import read_token_files, write_token_files
 
 TOKENIZER = "byte_bpe_50k.json"
 END_ID = 2
 
 
+def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mix_sources(table(spark, sf_dir, "documents"))
+    return mixed.select("doc_id", "size", "source_size", "target", "taken")
+
+
 def op10_token_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return read_token_files(write_token_files(docs, public_tokenizers.path(TOKENIZER), END_ID))
@@ -24,4 +35,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_decontaminate": REPORT_SQL, "op3_mixing": MIX_SQL}
