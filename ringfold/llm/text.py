@@ -74,20 +74,29 @@ def _hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, lower: bool) -
     for a, b in zip(cuts, cuts[1:], strict=False):
         low = start[a]
         piece = data[low : end[b - 1]]
-        n = len(piece) + 1
-        power = np.full(n, _BASE)
-        power[0] = 1
-        np.multiply.accumulate(power, out=power)
-        inverse = np.full(n, _BASE_INVERSE)
-        inverse[0] = 1
-        np.multiply.accumulate(inverse, out=inverse)
-        sums = np.zeros(n, np.uint64)
-        np.cumsum(_BYTE_KEYS[LOWER[piece] if lower else piece] * power[:-1], out=sums[1:])
-        s, e = start[a:b] - low, end[a:b] - low
-        out[a:b] = mix((sums[e] - sums[s]) * inverse[s] + (e - s).astype(np.uint64))
+        sums, inverse = prefix_hashes(LOWER[piece] if lower else piece)
+        out[a:b] = hash_spans(sums, inverse, start[a:b] - low, end[a:b] - low)
     return out
 
 
+def prefix_hashes(piece: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """What ``hash_spans`` needs to hash any span of the bytes."""
+    n = len(piece) + 1
+    power = np.full(n, _BASE)
+    power[0] = 1
+    np.multiply.accumulate(power, out=power)
+    inverse = np.full(n, _BASE_INVERSE)
+    inverse[0] = 1
+    np.multiply.accumulate(inverse, out=inverse)
+    sums = np.zeros(n, np.uint64)
+    np.cumsum(_BYTE_KEYS[piece] * power[:-1], out=sums[1:])
+    return sums, inverse
+
+
+def hash_spans(sums: np.ndarray, inverse: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    return mix((sums[end] - sums[start]) * inverse[start] + (end - start).astype(np.uint64))
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """Scatter 64-bit values; a bijection."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
