@@ -37,7 +37,7 @@ MAGIC = b"PFORIDS1"
 _HEAD = struct.Struct("<IIBI")
 _TRAILER = struct.Struct("<QQQQ8s")
 #: Distinct words that a tokenizing task remembers, in each of two generations, and ends of words.
-REMEMBERED_WORDS = 150_000
+REMEMBERED_WORDS = 250_000
 REMEMBERED_TAILS = 50_000
 #: Letters, then punctuation or a line end: a byte-level BPE tokenizer cuts between the two.
 _WORD_AND_TAIL = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([!-/:-@\\[-`{-~\n].*)", re.DOTALL)
