@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows per Arrow batch. Texts can be long, so a batch is a few hundred of them.
-BATCH_ROWS = 256
+#: Rows per Arrow batch. Texts can be long, so a batch is some hundreds of them.
+BATCH_ROWS = 640
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

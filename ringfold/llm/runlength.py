@@ -74,13 +74,14 @@ class RunLengthIndex:
         run = np.searchsorted(self.run_start, rows, "right") - 1
         return self.run_target[run] + rows - self.run_start[run]
 
-    def matches(self) -> tuple[np.ndarray, np.ndarray]:
+    def matches(self, texts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """``(text, start)`` of every ``length`` bytes that also start in a text of a smaller owner.
 
-        All texts are streamed through the index from right to left, one symbol per step;
-        a matching statistic that reaches ``length`` in a smaller owner is a match.
+        The texts of the given numbers, by default all, are streamed through the index from
+        right to left, one symbol per step; a matching statistic that reaches ``length`` in
+        a smaller owner is a match.
         """
-        text = np.arange(len(self.sizes))
+        text = np.arange(len(self.sizes)) if texts is None else texts
         rows = text.copy()  # separators come first, in the order of the texts
         found_text, found_start = [], []
         for done in range(1, int(self.sizes.max(initial=0)) + 1):

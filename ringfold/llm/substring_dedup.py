@@ -6,18 +6,20 @@ Equal strings have equal anchors: consecutive strings with one anchor make a seg
 some 70 bytes, and only segments of one anchor can hold equal strings. Most anchors are in
 one document only and go no further. Equal segments are settled by their hashes. What is
 left, different segments of one anchor, are the edges of repeated passages; their bytes
-are fetched and indexed, many anchors to an index, and streamed through it.
+are fetched and indexed, many anchors to an index, and streamed through it. Only where one
+anchor has very many different segments, their strings are compared one by one instead.
 """
 
 from __future__ import annotations
 
 import hashlib
+import struct
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ringfold.llm.runlength import RunLengthIndex
@@ -34,10 +36,10 @@ SEGMENT = 512
 SAMPLE = 32
 SAMPLE_HITS = 8
 MOST_FREQUENT = 1 << 17
-#: Different segments of an anchor beyond which they are indexed string by string, by content.
+#: Different segments of a frequent anchor beyond which their strings are compared by 128-bit hashes.
 MANY_SEGMENTS = 1000
 #: Bytes of text in an index.
-INDEX_BYTES = 2 << 20
+INDEX_BYTES = 1 << 20
 #: Entries of a list per document up to which the list is broadcast, about 40 MB.
 BROADCAST_ENTRIES = 1_000_000
 _PIECE = 512 << 10
@@ -100,33 +102,92 @@ def _unpack(packed: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return mark, ((u >> np.uint64(10)) & np.uint64(0xFFFFFFFF)).astype(np.int64), (u & np.uint64(1023)).astype(np.int64)
 
 
-def _anchored(rows: DataFrame, frequent: np.ndarray | None, length: int, gram: int) -> DataFrame:
-    """Segments of texts: ``anchor, whole, doc, place, often``."""
+def _anchored(rows: DataFrame, frequent: np.ndarray, often: bool, marked: bool, length: int, gram: int) -> DataFrame:
+    """Segments of texts, of the frequent anchors or of the others: ``doc, place, whole, anchor``."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             for a, b in text_slices(batch.column(1), 1 << 20):
                 data, offsets = utf8(batch.column(1).slice(a, b - a))
-                raw = data.tobytes()
-                marks = np.array([_text_mark(raw[s:e]) for s, e in zip(offsets[:-1], offsets[1:], strict=True)])
+                marks = np.zeros(b - a, np.int64)
+                if marked:
+                    raw = data.tobytes()
+                    marks[:] = [_text_mark(raw[s:e]) for s, e in zip(offsets[:-1], offsets[1:], strict=True)]
                 for anchor, whole, row, start, count in _segments(data, offsets, length, gram):
-                    if frequent is None or not len(frequent):
-                        often = np.zeros(len(anchor), bool)
-                    else:
+                    own = np.zeros(len(anchor), bool)
+                    if len(frequent):
                         at = np.minimum(np.searchsorted(frequent, anchor.view(np.int64)), len(frequent) - 1)
-                        often = frequent[at] == anchor.view(np.int64)
+                        own = frequent[at] == anchor.view(np.int64)
+                    own = own if often else ~own
                     yield _rows(
                         {
-                            "anchor": anchor.view(np.int64),
-                            "whole": whole.view(np.int64),
-                            "doc": ids[a + row],
-                            "place": _pack(marks[row], start, count),
-                            "often": often,
+                            "doc": ids[a + row[own]],
+                            "place": _pack(marks[row[own]], start[own], count[own]),
+                            "whole": whole[own].view(np.int64),
+                            "anchor": anchor[own].view(np.int64),
                         }
                     )
 
-    return rows.mapInArrow(cut, "anchor bigint, whole bigint, doc bigint, place bigint, often boolean")
+    return rows.mapInArrow(cut, "doc bigint, place bigint, whole bigint, anchor bigint")
+
+
+_PLACED = "anchor bigint, doc bigint, place bigint, edge int"
+#: ``edge``: settled as repeated; to be looked for; only looked in; either, of an anchor with many segments.
+_SETTLED, _SOUGHT, _KNOWN, _MANY = 0, 1, 2, 3
+
+
+def _settled(rows: DataFrame) -> DataFrame:
+    """``_PLACED`` rows from segments, one anchor after another. Anchors of one document go.
+
+    An anchor is in a few hundred documents at most here. A segment of which the same
+    stands in a smaller document is repeated as a whole; the first of each different
+    segment of an anchor is to be looked for in those of smaller documents.
+    """
+
+    def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            held.append(batch)
+            anchors = batch.column("anchor")
+            if anchors[0] == anchors[-1] and held[0].column("anchor")[0] == anchors[-1]:
+                continue
+            last = np.searchsorted(anchors.to_numpy(), anchors[-1].as_py())
+            ready = pa.concat_batches([*held[:-1], batch.slice(0, last)])
+            held = [batch.slice(last)]
+            yield from _one(ready)
+        if held:
+            yield from _one(pa.concat_batches(held))
+
+    def _one(rows: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        anchor, whole, doc, place = (rows.column(c).to_numpy() for c in ("anchor", "whole", "doc", "place"))
+        if not len(anchor):
+            return
+        group = np.flatnonzero(np.r_[True, anchor[1:] != anchor[:-1]])
+        of = np.cumsum(np.r_[False, anchor[1:] != anchor[:-1]])
+        kind = np.r_[True, (whole[1:] != whole[:-1]) | (anchor[1:] != anchor[:-1])]
+        first = doc[np.flatnonzero(kind)][np.cumsum(kind) - 1]  # rows are in order of document
+        least, most = np.minimum.reduceat(doc, group)[of], np.maximum.reduceat(doc, group)[of]
+        several = np.add.reduceat(kind.astype(np.int64), group)[of] > 1
+        edge = np.where(doc > first, _SETTLED, np.where(doc > least, _SOUGHT, _KNOWN)).astype(np.int32)
+        out = (least < most) & ((edge == _SETTLED) | several)
+        yield _rows({"anchor": anchor[out], "doc": doc[out], "place": place[out], "edge": edge[out]})
+
+    ordered = rows.repartition("anchor").sortWithinPartitions("anchor", "whole", "doc")
+    return ordered.mapInArrow(settle, _PLACED)
+
+
+def _settled_frequent(rows: DataFrame) -> DataFrame:
+    """The same for anchors in very many documents, by counts that are combined before the shuffle."""
+    classes = rows.groupBy("anchor", "whole").agg(F.min("doc").alias("first"))
+    anchors = classes.groupBy("anchor").agg(F.min("first").alias("least"), F.count("*").alias("n"))
+    classes = stored(classes.join(anchors, "anchor"), "segment-classes")
+    edge = F.when(F.col("doc") > F.col("first"), _SETTLED).when(F.col("n") > MANY_SEGMENTS, _MANY)
+    edge = edge.when(F.col("doc") > F.col("least"), _SOUGHT).otherwise(_KNOWN).cast("int")
+    placed = rows.join(classes, ["anchor", "whole"]).withColumn("edge", edge)
+    return placed.where((F.col("edge") == _SETTLED) | (F.col("n") > 1)).select("anchor", "doc", "place", "edge")
 
 
 def _beside(docs: DataFrame, lists: DataFrame, entries: int, how: str) -> DataFrame:
@@ -135,39 +196,51 @@ def _beside(docs: DataFrame, lists: DataFrame, entries: int, how: str) -> DataFr
 
 
 def _index(rows: DataFrame, length: int) -> DataFrame:
-    """Rows ``shard, anchor, whole, offset, bytes, doc`` to matched ``anchor, whole, start`` rows.
+    """Matches ``doc, place`` in rows ``shard, bytes, doc, place, sought``.
 
-    A task indexes the segments of its shards, ``INDEX_BYTES`` at a time; equal strings are
-    in one shard, and a shard is never cut.
+    A task indexes the segments of its anchors, ``INDEX_BYTES`` at a time. Equal strings
+    have one anchor, and the segments of an anchor are never parted.
     """
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        waiting: list[tuple] = []
+        held: list[pa.RecordBatch] = []
         size = 0
         for batch in batches:
-            for row in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
-                if waiting and size >= INDEX_BYTES and row[0] != waiting[-1][0]:
-                    yield from _matches(waiting)
-                    waiting, size = [], 0
-                waiting.append(row)
-                size += len(row[4])
-        if waiting:
-            yield from _matches(waiting)
-
-    def _matches(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
-        index = RunLengthIndex([r[4] for r in rows], np.array([r[5] for r in rows]), length)
-        text, start = index.matches()
+            shard = batch.column("shard").to_numpy()
+            if held and size >= INDEX_BYTES:
+                # up to where the last anchor ends
+                last = int(np.searchsorted(shard, held[-1].column("shard")[-1].as_py(), "right"))
+                if last < len(shard):
+                    yield from _matches(pa.concat_batches([*held, batch.slice(0, last)]))
+                    held, size = [], 0
+                    batch = batch.slice(last)
+            held.append(batch)
+            size += batch.column("bytes").nbytes
+        if held:
+            yield from _matches(pa.concat_batches(held))
+
+    def _matches(rows: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        doc, place, sought = (rows.column(c).to_numpy(zero_copy_only=False) for c in ("doc", "place", "sought"))
+        index = RunLengthIndex(rows.column("bytes").to_pylist(), doc, length)
+        text, start = index.matches(np.flatnonzero(sought))
         if len(text):
-            anchor, whole, offset = (np.array([r[i] for r in rows]) for i in (1, 2, 3))
-            yield _rows({"anchor": anchor[text], "whole": whole[text], "start": offset[text] + start})
+            mark, first, _ = _unpack(place[text])
+            yield _rows({"doc": doc[text], "place": _pack(mark, first + start, np.ones(len(text), np.int64))})
+
+    ordered = rows.repartition("shard").sortWithinPartitions("shard", "doc")
+    return ordered.mapInArrow(search, "doc bigint, place bigint")
 
-    ordered = rows.repartition("shard").sortWithinPartitions("shard", "doc", "anchor", "whole", "offset")
-    return ordered.mapInArrow(search, "anchor bigint, whole bigint, start bigint")
 
+_FETCHED = "shard bigint, again bigint, bytes binary, doc bigint, place bigint, sought boolean"
 
-def _fetch(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
-    """The bytes of segments: rows for ``_index``. Of anchors with many segments, string by string."""
-    lists = wanted.groupBy("doc").agg(F.collect_list(F.struct("anchor", "whole", "place", "many")).alias("wanted"))
+
+def _fetch(docs: DataFrame, wanted: DataFrame, marked: bool, length: int) -> DataFrame:
+    """The bytes of segments ``anchor, doc, place, edge``.
+
+    Of anchors with many segments every string has a row, without its bytes: ``shard`` and
+    ``again`` are 128 bits of it. Else ``again`` is null and ``shard`` the anchor.
+    """
+    lists = wanted.groupBy("doc").agg(F.collect_list(F.struct("anchor", "place", "edge")).alias("wanted"))
     lists = stored(lists, "segments-wanted")
     entries = lists.agg(F.sum(F.size("wanted"))).first()[0] or 0
 
@@ -176,25 +249,25 @@ def _fetch(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
             out: list[tuple] = []
             for doc, text, wanted in zip(batch.column("doc").to_pylist(), batch.column("text"), batch.column("wanted"), strict=True):
                 raw = (text.as_py() or "").encode()
-                mark = _text_mark(raw)
-                for w in wanted.as_py():
-                    own, start, count = (int(x[0]) for x in _unpack(np.array([w["place"]], np.int64)))
-                    if own != mark:
+                anchor, place, edge = (x.to_numpy(zero_copy_only=False) for x in wanted.values.flatten())
+                mark, start, count = _unpack(place)
+                own = mark == (_text_mark(raw) if marked else 0)
+                for i in np.flatnonzero(own).tolist():
+                    s, n = int(start[i]), int(count[i])
+                    if edge[i] <= _KNOWN:
+                        whole = raw[s : s + n + length - 1]
+                        out.append((int(anchor[i]), None, whole, doc, int(place[i]), bool(edge[i] == _SOUGHT)))
                         continue
-                    if not w["many"]:
-                        out.append((w["anchor"], w["anchor"], w["whole"], 0, raw[start : start + count + length - 1], doc))
-                        continue
-                    for i in range(count):
-                        string = raw[start + i : start + i + length]
-                        shard = int.from_bytes(hashlib.blake2b(string, digest_size=8).digest(), "little", signed=True)
-                        out.append((shard, w["anchor"], w["whole"], i, string, doc))
+                    at = _pack(np.full(n, mark[i]), np.arange(s, s + n), np.ones(n, np.int64)).tolist()
+                    for j in range(n):
+                        digest = hashlib.blake2b(raw[s + j : s + j + length], digest_size=16).digest()
+                        out.append((*struct.unpack("<qq", digest), None, doc, at[j], True))
             columns = zip(*out, strict=True) if out else [[]] * 6
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64())
-            names = ["shard", "anchor", "whole", "offset", "bytes", "doc"]
+            kinds = (pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.bool_())
+            names = ["shard", "again", "bytes", "doc", "place", "sought"]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
 
-    joined = _beside(docs, lists, entries, "inner").select("doc", "text", "wanted")
-    return joined.mapInArrow(read, "shard bigint, anchor bigint, whole bigint, offset bigint, bytes binary, doc bigint")
+    return _beside(docs, lists, entries, "inner").select("doc", "text", "wanted").mapInArrow(read, _FETCHED)
 
 
 def _spans(starts: list[tuple[int, int]], length: int) -> list[tuple[int, int]]:
@@ -228,46 +301,40 @@ def _merged(places: DataFrame, length: int) -> DataFrame:
 
 def repeated_spans(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM
-) -> DataFrame:
+) -> tuple[DataFrame, bool]:
     """``doc, spans``: the bytes of each document that also are in a smaller one, stored.
 
+    With it, whether ids have several texts; spans then name the text by its checksum.
+
     A document's strings of ``length`` bytes count as repeated if one also starts in a
     document with a smaller id. Only documents with repeated strings have a row.
     """
     docs = docs.select(F.col(id_col).cast("bigint").alias("doc"), F.col(text_col).cast("string").alias("text"))
     docs = docs.where(F.col("doc").isNotNull())
-    sample = _anchored(docs.where(drawn(F.col("doc"), 1 / SAMPLE, 31)), None, length, gram)
-    sample = sample.groupBy("anchor").agg(F.approx_count_distinct("doc").alias("n")).where(F.col("n") >= SAMPLE_HITS)
-    frequent = np.array(
-        sorted(r.anchor for r in sample.orderBy(F.desc("n"), "anchor").limit(MOST_FREQUENT).collect()), np.int64
-    )
-    rows = _anchored(docs, frequent, length, gram)
-    # frequent anchors are spread by document, as their count is not needed
-    spread = F.when(F.col("often"), F.pmod(F.xxhash64("doc"), F.lit(1024))).otherwise(0)
-    per = Window.partitionBy("anchor", spread)
-    rows = rows.withColumn("low", F.min("doc").over(per)).withColumn("high", F.max("doc").over(per))
-    shared = stored(rows.where("often OR low < high").select("anchor", "whole", "doc", "place"), "segments-shared")
-    classes = shared.groupBy("anchor", "whole").agg(F.min("doc").alias("first"))
-    anchors = classes.groupBy("anchor").agg(F.min("first").alias("least"), F.count("*").alias("n"))
-    classes = stored(classes.join(anchors, "anchor"), "segment-classes")
-    placed = shared.join(classes.select("anchor", "whole", "first"), ["anchor", "whole"])
-    settled = placed.where("doc > first").select("doc", "place")
-    # the first document of each class of an anchor that has several
-    several = classes.where("n > 1")
-    firsts = stored(
-        shared.join(several, ["anchor", "whole"]).where("doc = first").select("anchor", "whole", "doc", "place", "least", "n"),
-        "segments-first",
-    )
-    wanted = firsts.groupBy("anchor", "whole").agg(
-        F.min("doc").alias("doc"), F.min("place").alias("place"), (F.first("n") > MANY_SEGMENTS).alias("many")
-    )
-    found = _index(_fetch(docs, wanted, length), length)
-    one = (1 << 32) - 1
-    start = F.shiftright("place", 10).bitwiseAND(F.lit(one)) + F.col("start")
-    mark = F.shiftright("place", 42)
-    place = F.shiftleft(mark, 42).bitwiseOR(F.shiftleft(start, 10)).bitwiseOR(F.lit(1).cast("bigint"))
-    edges = firsts.where("doc > least").join(found, ["anchor", "whole"]).select("doc", place.alias("place"))
-    return stored(_merged(settled.unionByName(edges), length), "repeated-spans")
+    marked = _several_texts(docs)
+    none = np.zeros(0, np.int64)
+    sample = _anchored(docs.where(drawn(F.col("doc"), 1 / SAMPLE, 31)), none, False, marked, length, gram)
+    sample = sample.select("anchor", "doc").groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") >= SAMPLE_HITS)
+    best = sample.orderBy(F.desc("n"), "anchor").limit(MOST_FREQUENT).collect()
+    frequent = np.sort(np.array([r.anchor for r in best], np.int64))
+    rare = _settled(_anchored(docs, frequent, False, marked, length, gram))
+    often = _settled_frequent(_anchored(docs, frequent, True, marked, length, gram))
+    placed = stored(rare.unionByName(often) if len(frequent) else rare, "segments-placed")
+    fetched = _fetch(docs, placed.where(F.col("edge") != _SETTLED), marked, length)
+    found = _index(fetched.where("again IS NULL").drop("again"), length)
+    if len(frequent):
+        strings = fetched.where("again IS NOT NULL").select("shard", "again", "doc", "place")
+        least = strings.groupBy("shard", "again").agg(F.min("doc").alias("least"), F.max("doc").alias("most"))
+        least = least.where("least < most").select("shard", "again", "least")
+        found = found.unionByName(strings.join(least, ["shard", "again"]).where("doc > least").select("doc", "place"))
+    settled = placed.where(F.col("edge") == _SETTLED).select("doc", "place")
+    return stored(_merged(settled.unionByName(found), length), "repeated-spans"), marked
+
+
+def _several_texts(docs: DataFrame) -> bool:
+    """Whether an id has different texts."""
+    texts = docs.select("doc", F.xxhash64("text").alias("text")).groupBy("doc").agg(F.min("text").alias("a"), F.max("text").alias("b"))
+    return bool(texts.where("a <> b").head(1))
 
 
 def remove_repeats(
@@ -288,7 +355,7 @@ def remove_repeats(
     under a null id are left whole and remove nothing. Texts that share an id are judged
     apart and do not remove from each other.
     """
-    spans = repeated_spans(docs, id_col, text_col, length, gram)
+    spans, marked = repeated_spans(docs, id_col, text_col, length, gram)
     entries = spans.agg(F.sum(F.size("spans"))).first()[0] or 0
     kept = F.struct(*[F.col(c) for c in (docs.columns if keep is None else keep)])
     rows = docs.select(
@@ -303,7 +370,7 @@ def remove_repeats(
                 raw = (text.as_py() or "").encode()
                 own: list[int] = []
                 if spans.is_valid:
-                    mark, flat = _text_mark(raw), spans.as_py()
+                    mark, flat = _text_mark(raw) if marked else 0, spans.as_py()
                     own = [x for i in range(0, len(flat), 3) if flat[i] == mark for x in flat[i + 1 : i + 3]]
                 ends = [0, *own, len(raw)]
                 left = b"".join([raw[a:b] for a, b in zip(ends[::2], ends[1::2], strict=True)])
