@@ -273,3 +273,24 @@ def _joined_by_id(full: DataFrame, named: DataFrame, shared: DataFrame) -> DataF
     lower = connected_components(ties).select(F.col("node").alias("component"), F.col("component").alias("lower"))
     joined = named.join(lower, "component", "left")
     return joined.select("h1", "h2", "n", F.coalesce("lower", "component").alias("component"))
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """One document of each component, that with the least id, with all its columns.
+
+    Rows under a null id stay. Of rows that share an id, the one with the least text stays.
+    """
+    found = stored(jaccard_components(docs, id_col, text_col, **options), "jaccard-components")
+    go = found.where("doc_id <> component_id").select(F.col("doc_id").alias(id_col)).distinct()
+    kept = docs.join(F.broadcast(go) if go.count() <= BROADCAST_IDS else go, id_col, "left_anti").select(docs.columns)
+    twice = found.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1")
+    twice = stored(twice.select(F.col("doc_id").alias(id_col)), "jaccard-repeated-ids")
+    n = twice.count()
+    if not n:
+        return kept
+    twice = F.broadcast(twice) if n <= BROADCAST_IDS else twice
+    row, least = F.struct(*docs.columns).alias("row"), F.min_by("row", F.col(f"row.{text_col}"))
+    one = kept.join(twice, id_col).select(docs.columns).select(row).groupBy(F.col(f"row.{id_col}")).agg(
+        F.coalesce(least, F.first("row")).alias("row")
+    )
+    return kept.join(twice, id_col, "left_anti").select(docs.columns).unionByName(one.select("row.*"))

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from itertools import chain
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -85,65 +83,89 @@ def mix_sources(
 
     Columns: doc_id, source, size, source_size, target, copies, taken.
     """
+    sized = stored(_ranked(docs, id_col, text_col, source_col, seed), "mix-sizes")
+    return _copies(sized, _cuts(sized, weights, most_copies))
+
+
+def mixed_documents(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    source_col: str = "source",
+    weights: tuple[int, ...] = WEIGHTS,
+    most_copies: int = MOST_COPIES,
+    seed: str = "mix",
+) -> DataFrame:
+    """The mix itself: every row of ``docs`` as often as ``mix_sources`` takes it, with all its columns."""
+    sized = stored(_ranked(docs, id_col, text_col, source_col, seed), "mix-sizes")
+    rows = _ranked(docs, id_col, text_col, source_col, seed, F.struct(*docs.columns).alias("row"))
+    taken = _copies(rows, _cuts(sized, weights, most_copies), "row").where("copies > 0")
+    return taken.select("row", F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int")))).select("row.*")
+
+
+def _ranked(docs: DataFrame, id_col: str, text_col: str, source_col: str, seed: str, *more: Column) -> DataFrame:
+    """Size and rank of each document, and where the rank falls."""
     odds = F.sqrt(F.col("size").cast("double"))
     u = uniform(F.col("doc_id"), seed)
     # u / (1 - u) / odds, brought into 0 to 1; an empty document comes last
     rank = F.when(F.col("size") > 0, u / (u + (1 - u) * odds)).otherwise(F.lit(1.0))
-    sized = stored(
-        docs.select(
-            F.col(id_col).cast("bigint").alias("doc_id"),
-            F.col(source_col).cast("string").alias("source"),
-            text_size(F.col(text_col)).alias("size"),
-        ).withColumn("rank", rank),
-        "mix-sizes",
+    first = F.floor(F.col("rank") * RANGES)
+    second = F.floor((F.col("rank") * RANGES - first) * RANGES)
+    sized = docs.select(
+        *more,
+        F.col(id_col).cast("bigint").alias("doc_id"),
+        F.col(source_col).cast("string").alias("source"),
+        text_size(F.col(text_col)).alias("size"),
     )
-    targets = stored(source_targets(sized, weights, most_copies).coalesce(1), "mix-targets")
+    return sized.withColumn("rank", rank).withColumn("range", first.cast("int")).withColumn("part", second.cast("int"))
 
-    def join(rows: DataFrame, per_source: DataFrame, how: str = "inner") -> DataFrame:
-        other = per_source.withColumnRenamed("source", "of_source")
-        return rows.join(other, F.col("source").eqNullSafe(F.col("of_source")), how).drop("of_source")
 
-    first = F.floor(F.col("rank") * RANGES)
-    second = F.floor((F.col("rank") * RANGES - first) * RANGES)
-    ranked = sized.withColumn("range", first.cast("int")).withColumn("part", second.cast("int"))
-
-    def cut(words: DataFrame, keys: list[str], at: str, left: Column) -> DataFrame:
-        """Per source: the first range in which the words pass what is left, and the words before it."""
-        run = Window.partitionBy("source").orderBy(at)
-        summed = words.withColumn("through", F.sum("words").over(run)).where(F.col("through") + F.lit(0.0) >= left)
-        firsts = summed.groupBy("source").agg(F.min_by(F.struct(at, (F.col("through") - F.col("words")).alias("before")), at).alias("cut"))
-        return firsts.select("source", F.col(f"cut.{at}").alias(f"cut_{at}"), F.col("cut.before").alias(f"before_{at}"))
-
-    by_range = ranked.groupBy("source", "range").agg(F.sum("size").alias("words"))
-    ranges = cut(join(by_range, targets.select("source", "rest")), ["source"], "range", F.col("rest"))
-    ranges = stored(join(targets.select("source", "rest"), ranges, "left").coalesce(1), "mix-ranges")
-    inside = join(ranked, ranges.select("source", "cut_range", "before_range", "rest")).where("range = cut_range")
+def _join(rows: DataFrame, per_source: DataFrame, how: str = "inner") -> DataFrame:
+    other = per_source.withColumnRenamed("source", "of_source")
+    return rows.join(other, F.col("source").eqNullSafe(F.col("of_source")), how).drop("of_source")
+
+
+def _cut(words: DataFrame, at: str, left: Column) -> DataFrame:
+    """Per source: the first range in which the words pass what is left, and the words before it."""
+    run = Window.partitionBy("source").orderBy(at)
+    summed = words.withColumn("through", F.sum("words").over(run)).where(F.col("through") + F.lit(0.0) >= left)
+    first = F.min_by(F.struct(at, (F.col("through") - F.col("words")).alias("before")), at)
+    firsts = summed.groupBy("source").agg(first.alias("cut"))
+    return firsts.select("source", F.col(f"cut.{at}").alias(f"cut_{at}"), F.col("cut.before").alias(f"before_{at}"))
+
+
+def _cuts(sized: DataFrame, weights: tuple[int, ...], most_copies: int) -> DataFrame:
+    """Per source its target, how often it is taken whole, and the last document of its sample."""
+    targets = stored(source_targets(sized, weights, most_copies).coalesce(1), "mix-targets")
+    by_range = sized.groupBy("source", "range").agg(F.sum("size").alias("words"))
+    ranges = _cut(_join(by_range, targets.select("source", "rest")), "range", F.col("rest"))
+    ranges = stored(_join(targets, ranges, "left").coalesce(1), "mix-ranges")
+    inside = _join(sized, ranges.select("source", "cut_range", "before_range", "rest")).where("range = cut_range")
     by_part = inside.groupBy("source", "part").agg(
         F.sum("size").alias("words"), F.first("before_range").alias("before_range"), F.first("rest").alias("rest")
     )
-    parts = cut(by_part, ["source"], "part", F.col("rest") - F.col("before_range"))
-    cuts = stored(join(ranges, parts, "left").coalesce(1), "mix-parts")
+    parts = _cut(by_part, "part", F.col("rest") - F.col("before_range"))
+    cuts = stored(_join(ranges, parts, "left").coalesce(1), "mix-parts")
     # only the documents of one part of one range per source are put in order
-    edge = join(ranked, cuts).where("range = cut_range AND part = cut_part")
+    edge = _join(sized, cuts).where("range = cut_range AND part = cut_part")
     run = Window.partitionBy("source").orderBy("rank", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
     through = F.col("before_range") + F.col("before_part") + F.sum("size").over(run)
     near = (2 * through - F.col("size")).cast("double") <= 2 * F.col("rest")
-    last = edge.withColumn("in_sample", near).where("in_sample").groupBy("source").agg(
-        F.max(F.struct("rank", "doc_id", "size")).alias("last")
-    )
-    last = stored(join(cuts.drop("rest"), last, "left").coalesce(1), "mix-cuts")
-    placed = join(join(ranked, targets.select("source", "source_size", "target", "whole")), last)
-    before = (F.col("range") < F.col("cut_range")) | (
-        (F.col("range") == F.col("cut_range"))
-        & (
-            (F.col("part") < F.col("cut_part"))
-            | ((F.col("part") == F.col("cut_part")) & (F.struct("rank", "doc_id", "size") <= F.col("last")))
-        )
-    )
-    copies = (F.col("whole") + F.coalesce(before.cast("int"), F.lit(0))).cast("bigint")
-    return placed.select(
-        "doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken")
+    last = edge.withColumn("in_sample", near).where("in_sample").groupBy("source")
+    last = last.agg(F.max(F.struct("rank", "doc_id", "size")).alias("last"))
+    return stored(_join(cuts.drop("rest"), last, "left").coalesce(1), "mix-cuts")
+
+
+def _copies(ranked: DataFrame, cuts: DataFrame, *more: str) -> DataFrame:
+    placed = _join(ranked, cuts)
+    same_range, same_part = F.col("range") == F.col("cut_range"), F.col("part") == F.col("cut_part")
+    up_to_last = F.struct("rank", "doc_id", "size") <= F.col("last")
+    sampled = (F.col("range") < F.col("cut_range")) | (
+        same_range & ((F.col("part") < F.col("cut_part")) | (same_part & up_to_last))
     )
+    copies = (F.col("whole") + F.coalesce(sampled.cast("int"), F.lit(0))).cast("bigint")
+    taken = (copies * F.col("size")).alias("taken")
+    return placed.select(*more, "doc_id", "source", "size", "source_size", "target", copies.alias("copies"), taken)
 
 
 MIX_SQL = r"""
