@@ -126,8 +126,7 @@ def _sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
                     grams[rows[part[0]]] = hashes[part].tobytes()
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(grams, pa.binary())], names=["doc", "grams"])
 
-    ids = F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted
-    return stored(docs.join(ids, "doc").mapInArrow(collect, "doc bigint, grams binary"), "jaccard-sets")
+    return stored(docs.join(_small(wanted), "doc").mapInArrow(collect, "doc bigint, grams binary"), "jaccard-sets")
 
 
 def _compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -184,7 +183,11 @@ def jaccard_components(
     full = measured.where("n > 0 AND doc IS NOT NULL")
     classes = full.groupBy("h1", "h2", "n").agg(F.min("doc").alias("rep"))
     classes = stored(classes, "jaccard-classes")
-    heads = full.join(classes.select(F.col("rep").alias("doc"), "h1", "h2"), ["doc", "h1", "h2"]).dropDuplicates(["doc", "h1", "h2"])
+    keys = ["doc", "h1", "h2"]
+    copies = full.select("doc", "h1", "h2", "n").join(classes, ["h1", "h2", "n"]).where("doc > rep").select(*keys)
+    heads = full.join(_small(stored(copies, "jaccard-copies")), keys, "left_anti")
+    if _repeats(full.select("doc")):
+        heads = heads.dropDuplicates(keys)
     entries = heads.select(F.col("doc").alias("rep"), "n", F.posexplode("prefix").alias("at", "gram"))
     # lists of frequent n-grams are long: they are spread by document, and not counted
     spread = _spread_frequent(entries, frequent)
@@ -197,12 +200,12 @@ def jaccard_components(
     near = F.least("n", "pivot_n") * 100 >= F.greatest("n", "pivot_n") * percent
     first = lists.join(pivots, "gram").where((F.col("rep") != F.col("pivot")) & near)
     first = first.select(F.least("rep", "pivot").alias("a"), F.greatest("rep", "pivot").alias("b")).distinct()
-    known, edges = _verified(texts, stored(first, "jaccard-pairs"), words, percent)
+    known, edges = _verified(texts, heads, stored(first, "jaccard-pairs"), words, percent)
     components = connected_components(edges)
     # then whatever is still open between components
     again = stored(_open_pairs(lists, pivots, components, known, percent), "jaccard-pairs")
     if again.count():
-        _, links = _verified(texts, again, words, percent)
+        _, links = _verified(texts, heads, again, words, percent)
         components = connected_components(edges.unionByName(links))
     of = components.withColumnRenamed("node", "rep")
     named = classes.join(of, "rep", "left").select("h1", "h2", "n", F.coalesce("component", "rep").alias("component"))
@@ -232,11 +235,39 @@ def _spread_frequent(entries: DataFrame, frequent: np.ndarray) -> DataFrame:
     return entries.mapInArrow(mark, "rep bigint, n bigint, at int, gram bigint, spread bigint")
 
 
-def _verified(texts: DataFrame, pairs: DataFrame, words: int, percent: int) -> tuple[DataFrame, DataFrame]:
-    """All pairs with their exact overlap, and the links among them."""
-    wanted = stored(pairs.select(F.explode(F.array("a", "b")).alias("doc")).distinct(), "jaccard-wanted")
-    known = stored(_compared(pairs, _sets(texts.where(F.col("doc").isNotNull()), wanted, words)), "jaccard-known")
-    return known, known.where(F.col("common") * 100 >= F.col("united") * percent).select("a", "b")
+def _small(ids: DataFrame) -> DataFrame:
+    """Ids of stored rows, to be broadcast if they are measured to be few."""
+    return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+
+
+def _repeats(rows: DataFrame) -> bool:
+    """Whether an id has several rows."""
+    return bool(rows.groupBy("doc").count().where("count > 1").head(1))
+
+
+def _verified(
+    texts: DataFrame, heads: DataFrame, pairs: DataFrame, words: int, percent: int
+) -> tuple[DataFrame, DataFrame]:
+    """Pairs with their exact overlap, and the links among them.
+
+    Whole sets are only fetched of pairs whose prefixes allow a link: what two sets have in
+    common is in both prefixes, or behind the prefix of one of them.
+    """
+    docs = _small(stored(pairs.select(F.explode(F.array("a", "b")).alias("doc")).distinct(), "jaccard-members"))
+    known = stored(heads.select("doc", "n", "prefix").join(docs, "doc"), "jaccard-known-prefixes")
+
+    def side(doc: str, n: str, prefix: str) -> DataFrame:
+        return known.select(F.col("doc").alias(doc), F.col("n").alias(n), F.col("prefix").alias(prefix))
+
+    met = pairs.join(side("a", "m", "p"), "a").join(side("b", "n", "q"), "b")
+    behind = F.greatest(F.col("m") - F.size("p"), F.col("n") - F.size("q"))
+    most = F.least(F.size(F.array_intersect("p", "q")) + behind, "m", "n")
+    open_pairs = met.where(most * (100 + percent) >= (F.col("m") + F.col("n")) * percent).select("a", "b").distinct()
+    open_pairs = stored(open_pairs, "jaccard-open-pairs")
+    wanted = stored(open_pairs.select(F.explode(F.array("a", "b")).alias("doc")).distinct(), "jaccard-wanted")
+    sets = _sets(texts.where(F.col("doc").isNotNull()), wanted, words)
+    compared = stored(_compared(open_pairs, sets), "jaccard-known")
+    return compared, compared.where(F.col("common") * 100 >= F.col("united") * percent).select("a", "b").distinct()
 
 
 def _open_pairs(lists: DataFrame, pivots: DataFrame, components: DataFrame, known: DataFrame, percent: int) -> DataFrame:
@@ -244,23 +275,25 @@ def _open_pairs(lists: DataFrame, pivots: DataFrame, components: DataFrame, know
     of = components.withColumnRenamed("node", "rep")
     placed = lists.join(of, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     mixed = placed.groupBy("gram").agg(F.min("component").alias("low"), F.max("component").alias("high"))
-    placed = placed.join(mixed.where("low < high").select("gram"), "gram").join(pivots.select("gram", "pivot"), "gram")
-    # what is known of the distance to the list's common member
-    a, b = F.least("rep", "pivot"), F.greatest("rep", "pivot")
-    placed = placed.withColumn("a", a).withColumn("b", b).join(known, ["a", "b"], "left")
-    far = F.when(F.col("rep") == F.col("pivot"), 0.0).otherwise(1 - F.col("common") / F.col("united"))
-    placed = placed.select("gram", "rep", "n", "at", "component", far.alias("far"))
+    placed = placed.join(mixed.where("low < high").select("gram"), "gram").select("gram", "rep", "n", "at", "component")
     # sizes are cut into blocks of a factor, so that only neighbouring blocks of a list meet
     block = F.floor(F.log(F.col("n").cast("double")) / float(np.log(100 / percent))).cast("int")
     left = placed.withColumn("block", F.explode(F.array(block - 1, block, block + 1)))
     right = placed.withColumn("block", block)
-    right = right.select("gram", "block", *[F.col(c).alias(f"{c}2") for c in ("rep", "n", "at", "component", "far")])
+    right = right.select("gram", "block", *[F.col(c).alias(f"{c}2") for c in ("rep", "n", "at", "component")])
     met = left.join(right, ["gram", "block"])
     met = met.where((F.col("rep") < F.col("rep2")) & (F.col("component") != F.col("component2")))
     met = met.where(_reachable(F.col("n"), F.col("at"), F.col("n2"), F.col("at2"), percent))
-    near = F.abs(F.col("far") - F.col("far2")) <= 1 - percent / 100 + 1e-9
-    pairs = met.where(F.coalesce(near, F.lit(True))).select(F.col("rep").alias("a"), F.col("rep2").alias("b")).distinct()
-    return pairs.join(known.select("a", "b"), ["a", "b"], "left_anti")
+    pairs = met.groupBy(F.col("rep").alias("a"), F.col("rep2").alias("b")).agg(F.min("gram").alias("gram"))
+    pairs = pairs.join(known.select("a", "b"), ["a", "b"], "left_anti").join(pivots.select("gram", "pivot"), "gram")
+    # what is known of both distances to a common member bounds their own
+    far = known.select("a", "b", (1 - F.col("common") / F.col("united")).alias("far"))
+    far = far.unionByName(far.select(F.col("b").alias("a"), F.col("a").alias("b"), "far"))
+    for end in ("a", "b"):
+        one = far.select(F.col("a").alias(end), F.col("b").alias("pivot"), F.col("far").alias(f"far_{end}"))
+        pairs = pairs.join(one, [end, "pivot"], "left")
+    near = F.abs(F.col("far_a") - F.col("far_b")) <= 1 - percent / 100 + 1e-9
+    return pairs.where(F.coalesce(near, F.lit(True))).select("a", "b").distinct()
 
 
 def _joined_by_id(full: DataFrame, named: DataFrame, shared: DataFrame) -> DataFrame:
