@@ -18,9 +18,12 @@ from __future__ import annotations
 
 import re
 import struct
+import sys
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -40,7 +43,8 @@ _TRAILER = struct.Struct("<QQQQ8s")
 REMEMBERED_WORDS = 250_000
 REMEMBERED_TAILS = 50_000
 #: Letters, then punctuation or a line end: a byte-level BPE tokenizer cuts between the two.
-_WORD_AND_TAIL = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([!-/:-@\\[-`{-~\n].*)", re.DOTALL)
+_LETTER = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff"
+_WORD_AND_TAIL = re.compile(f"([{_LETTER}]+)([!-/:-@\\[-`{{-~\n](?:.*[!-~{_LETTER}])?)", re.DOTALL)
 
 
 def pack_block(ids: np.ndarray, percentile: float = WIDTH_PERCENTILE) -> bytes:
@@ -185,18 +189,19 @@ class _Pieces(dict):
         self._tails: dict[str, bytes] = {}
 
     def encode(self, text: str) -> bytes:
-        ids = self._tokenizer.encode(text, add_special_tokens=False).ids
-        return struct.pack(f"<{len(ids)}I", *ids)
+        ids = array("I", self._tokenizer.encode(text, add_special_tokens=False).ids)
+        return ids.tobytes() if sys.byteorder == "little" else struct.pack(f"<{len(ids)}I", *ids)
 
     def __missing__(self, part: str) -> bytes:
         got = self._older.get(part)
         if got is None:
-            if not _ends_word(part) or not _ends_word(part[0]):
-                raise _NotAlone
             cut = _WORD_AND_TAIL.fullmatch(part)
-            got = self[cut[1]] + self._tail(cut[2]) if cut else self.encode(" " + part)
-            if cut:
-                return got
+            if cut and part[-1] != "\n":
+                got = self[cut[1]] + self._tail(cut[2])
+            elif _ends_word(part) and _ends_word(part[0]):
+                got = self.encode(" " + part)
+            else:
+                raise _NotAlone
         if len(self) >= REMEMBERED_WORDS:
             self._older = dict(self)
             self.clear()
@@ -254,6 +259,12 @@ class TextEncoder:
         return b"".join(out)
 
 
+@lru_cache(maxsize=1)
+def _encoder(path: str) -> TextEncoder:
+    """One per Python worker, so that a task starts with the words of earlier ones."""
+    return TextEncoder(path)
+
+
 def write_token_files(
     docs: DataFrame,
     tokenizer_path: str,
@@ -284,7 +295,7 @@ def write_token_files(
             if not batch.num_rows:
                 continue
             if writer is None:
-                encode = TextEncoder(tokenizer_path)
+                encode = _encoder(tokenizer_path)
                 end = np.array([end_id], "<u4").tobytes()
                 system, folder = fs.FileSystem.from_uri(base)
                 system.create_dir(folder, recursive=True)
