@@ -46,11 +46,13 @@ def source_targets(sized: DataFrame, weights: tuple[int, ...], most_copies: int)
     before = fill.rowsBetween(Window.unboundedPreceding, -1)
     rest = fill.rowsBetween(0, Window.unboundedFollowing)
     everything = Window.orderBy(F.lit(0)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    level = (F.sum("source_size").over(everything) - F.coalesce(F.sum("limit").over(before), F.lit(0))).cast("double") / F.sum(
+    one = (F.sum("source_size").over(everything) - F.coalesce(F.sum("limit").over(before), F.lit(0))).cast("double") / F.sum(
         "weight"
     ).over(rest).cast("double")
-    target = F.least(F.col("limit").cast("double"), level * F.col("weight"))
-    per = per.withColumn("target", target)
+    per = per.withColumn("level", one)
+    # the level rises with each source that is full and falls after the first that is not
+    level = F.max("level").over(everything)
+    per = per.withColumn("target", F.least(F.col("limit").cast("double"), level * F.col("weight")))
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("bigint")
     return per.select(
         "source", "source_size", "target", whole.alias("whole"), (F.col("target") - whole * F.col("source_size")).alias("rest")
@@ -185,7 +187,7 @@ WITH sized AS (
        ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS DOUBLE) AS level
   FROM per
 ), targets AS (
-  SELECT source, source_size, least(CAST(3 * source_size AS DOUBLE), level * weight) AS target FROM filled
+  SELECT source, source_size, least(CAST(3 * source_size AS DOUBLE), max(level) OVER () * weight) AS target FROM filled
 ), wholes AS (
   SELECT *, CASE WHEN source_size > 0 THEN CAST(floor(target / source_size) AS BIGINT) ELSE 0 END AS whole FROM targets
 ), drawn AS (
