@@ -66,7 +66,7 @@ class RunLengthIndex:
     def _pairs(rank: np.ndarray, step: int, n: int) -> np.ndarray:
         """Ranks of pairs of a position and the one ``step`` behind it."""
         second = np.zeros(n, np.int64)
-        second[: n - step] = rank[step:] + 1
+        second[: max(0, n - step)] = rank[step:] + 1
         return np.unique(rank * (n + 1) + second, return_inverse=True)[1].astype(np.int64)
 
     def step_left(self, rows: np.ndarray) -> np.ndarray:
