@@ -47,9 +47,16 @@ class RunLengthIndex:
     def _sorted(self, symbols: np.ndarray, ends: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
         """Suffix order, and per position a number that two share iff they agree in ``length`` symbols."""
         symbols[ends] = np.arange(len(ends))
-        rank = np.unique(symbols, return_inverse=True)[1].astype(np.int64)
         agree = np.zeros(n, np.int64)
         seen = 1
+        rank = symbols
+        top = len(ends) + 258
+        if self.length >= 3 and top < 1 << 20:  # three symbols fit into one number
+            for step in (1, 2):
+                rank = rank * top
+                rank[: max(0, n - step)] += symbols[step:] + 1
+            seen = 3
+        rank = np.unique(rank, return_inverse=True)[1].astype(np.int64)
         while True:
             if seen <= self.length < 2 * seen or (seen == 1 and self.length == 1):
                 agree = self._pairs(rank, self.length - seen, n) if self.length > seen else rank

@@ -37,13 +37,14 @@ SAMPLE = 32
 SAMPLE_HITS = 8
 MOST_FREQUENT = 1 << 17
 #: Different segments of a frequent anchor beyond which their strings are compared by 128-bit hashes.
-MANY_SEGMENTS = 1000
+MANY_SEGMENTS = 20_000
 #: Bytes of text in an index.
 INDEX_BYTES = 1 << 20
-#: Entries of a list per document up to which the list is broadcast, about 40 MB.
-BROADCAST_ENTRIES = 1_000_000
+#: Measured bytes of lists per document up to which they are broadcast; beyond, texts are shuffled.
+BROADCAST_BYTES = 64 << 20
 _PIECE = 512 << 10
-_ID_BITS = 22
+_MARK_BITS = 22
+_ANY = 2047
 
 
 def _window_min(h: np.ndarray, width: int) -> np.ndarray:
@@ -56,11 +57,11 @@ def _window_min(h: np.ndarray, width: int) -> np.ndarray:
 
 def _text_mark(text: bytes) -> int:
     """Tells texts apart that share an id."""
-    return zlib.crc32(text) & ((1 << _ID_BITS) - 1)
+    return zlib.crc32(text) & ((1 << _MARK_BITS) - 1)
 
 
 def _segments(data: np.ndarray, offsets: np.ndarray, length: int, gram: int) -> Iterator[tuple[np.ndarray, ...]]:
-    """``(anchor, hash of the segment, text, first start, starts)`` arrays, piece by piece."""
+    """``(anchor, hash of the segment, text, first start, starts, flanks)`` arrays, piece by piece."""
     n = len(data)
     if length <= gram:
         raise ValueError("an anchor is shorter than the strings")
@@ -83,7 +84,42 @@ def _segments(data: np.ndarray, offsets: np.ndarray, length: int, gram: int) ->
         bound = np.append(np.flatnonzero(new | ~valid), len(start))
         last = bound[np.searchsorted(bound, first, "right")]
         whole = hash_spans(sums, inverse, first, last + length - 1)
-        yield least[first], whole, row[first], first + p - offsets[row[first]], last - first
+        flanks = _flanks(grams, least, sums, inverse, first, last - 1, length, gram)
+        yield least[first], whole, row[first], first + p - offsets[row[first]], last - first, flanks
+
+
+def _flanks(
+    grams: np.ndarray,
+    least: np.ndarray,
+    sums: np.ndarray,
+    inverse: np.ndarray,
+    first: np.ndarray,
+    last: np.ndarray,
+    length: int,
+    gram: int,
+) -> np.ndarray:
+    """Twice 11 bits of what stands before and after the anchors of segments.
+
+    Of the bytes of a string beyond its anchor, half or more are on one side. So two
+    segments only share a string if what stands on a side of their anchors agrees so far.
+    0: no string of the segment has so much on that side. _ANY: the anchor has no one place.
+    """
+    beyond = length - gram
+    half = (beyond + 1) // 2
+    place = np.full(len(first), -1)
+    for k in range(beyond + 1):  # an anchor of all strings starts between the last start and here
+        at = np.minimum(last + k, len(grams) - 1)
+        place = np.where((place < 0) & (last + k <= first + beyond) & (grams[at] == least[first]), last + k, place)
+    out = np.full(len(first), (_ANY << 11) | _ANY, np.uint64)
+    known = place >= 0
+    at = place[known]
+    before, after = np.maximum(at - half, 0), np.minimum(at + gram + half, len(sums) - 1)
+    left = hash_spans(sums, inverse, before, at) % np.uint64(_ANY - 1) + np.uint64(1)
+    right = hash_spans(sums, inverse, at, after) % np.uint64(_ANY - 1) + np.uint64(1)
+    left[at - first[known] < half] = 0
+    right[last[known] + beyond < at + half] = 0
+    out[known] = (left << np.uint64(11)) | right
+    return out
 
 
 def _rows(columns: dict[str, np.ndarray]) -> pa.RecordBatch:
@@ -91,7 +127,10 @@ def _rows(columns: dict[str, np.ndarray]) -> pa.RecordBatch:
 
 
 def _pack(mark: np.ndarray, start: np.ndarray, count: np.ndarray) -> np.ndarray:
-    """Mark of the text, first start (32 bits) and number of starts (10 bits) in one number."""
+    """First start (32 bits) and number of starts (10 bits) in one number, below 22 bits more.
+
+    These are the flanks of the segment, or where ids have several texts the text's mark.
+    """
     m, s, c = (x.astype(np.uint64) for x in (mark, start, count))
     return ((m << np.uint64(42)) | (s << np.uint64(10)) | c).view(np.int64)
 
@@ -114,7 +153,7 @@ def _anchored(rows: DataFrame, frequent: np.ndarray, often: bool, marked: bool,
                 if marked:
                     raw = data.tobytes()
                     marks[:] = [_text_mark(raw[s:e]) for s, e in zip(offsets[:-1], offsets[1:], strict=True)]
-                for anchor, whole, row, start, count in _segments(data, offsets, length, gram):
+                for anchor, whole, row, start, count, flanks in _segments(data, offsets, length, gram):
                     own = np.zeros(len(anchor), bool)
                     if len(frequent):
                         at = np.minimum(np.searchsorted(frequent, anchor.view(np.int64)), len(frequent) - 1)
@@ -123,7 +162,7 @@ def _anchored(rows: DataFrame, frequent: np.ndarray, often: bool, marked: bool,
                     yield _rows(
                         {
                             "doc": ids[a + row[own]],
-                            "place": _pack(marks[row[own]], start[own], count[own]),
+                            "place": _pack(marks[row[own]] if marked else flanks[own], start[own], count[own]),
                             "whole": whole[own].view(np.int64),
                             "anchor": anchor[own].view(np.int64),
                         }
@@ -137,7 +176,24 @@ _PLACED = "anchor bigint, doc bigint, place bigint, edge int"
 _SETTLED, _SOUGHT, _KNOWN, _MANY = 0, 1, 2, 3
 
 
-def _settled(rows: DataFrame) -> DataFrame:
+def group_starts(values: np.ndarray) -> np.ndarray:
+    return np.r_[True, values[1:] != values[:-1]] if len(values) else np.zeros(0, bool)
+
+
+def _may_share(group: np.ndarray, flanks: np.ndarray | None) -> np.ndarray:
+    """For different segments, whether their flanks allow a string that another of the group has."""
+    _, of, members = np.unique(group, return_inverse=True, return_counts=True)
+    if flanks is None:
+        return members[of] > 1
+    out = np.zeros(len(group), bool)
+    for flank in (flanks >> 11, flanks & _ANY):
+        _, alike, times = np.unique(group * (_ANY + 1) + flank, return_inverse=True, return_counts=True)
+        out |= (times[alike] > 1) & (flank > 0)
+        out |= np.isin(group, np.unique(group[flank == _ANY]))
+    return out & (members[of] > 1)
+
+
+def _settled(rows: DataFrame, marked: bool) -> DataFrame:
     """``_PLACED`` rows from segments, one anchor after another. Anchors of one document go.
 
     An anchor is in a few hundred documents at most here. A segment of which the same
@@ -165,12 +221,12 @@ def _settled(rows: DataFrame) -> DataFrame:
         anchor, whole, doc, place = (rows.column(c).to_numpy() for c in ("anchor", "whole", "doc", "place"))
         if not len(anchor):
             return
-        group = np.flatnonzero(np.r_[True, anchor[1:] != anchor[:-1]])
-        of = np.cumsum(np.r_[False, anchor[1:] != anchor[:-1]])
+        group = np.flatnonzero(group_starts(anchor))
+        of = np.cumsum(group_starts(anchor)) - 1
         kind = np.r_[True, (whole[1:] != whole[:-1]) | (anchor[1:] != anchor[:-1])]
         first = doc[np.flatnonzero(kind)][np.cumsum(kind) - 1]  # rows are in order of document
         least, most = np.minimum.reduceat(doc, group)[of], np.maximum.reduceat(doc, group)[of]
-        several = np.add.reduceat(kind.astype(np.int64), group)[of] > 1
+        several = _may_share(of[kind], None if marked else _unpack(place[kind])[0])[np.cumsum(kind) - 1]
         edge = np.where(doc > first, _SETTLED, np.where(doc > least, _SOUGHT, _KNOWN)).astype(np.int32)
         out = (least < most) & ((edge == _SETTLED) | several)
         yield _rows({"anchor": anchor[out], "doc": doc[out], "place": place[out], "edge": edge[out]})
@@ -190,9 +246,10 @@ def _settled_frequent(rows: DataFrame) -> DataFrame:
     return placed.where((F.col("edge") == _SETTLED) | (F.col("n") > 1)).select("anchor", "doc", "place", "edge")
 
 
-def _beside(docs: DataFrame, lists: DataFrame, entries: int, how: str) -> DataFrame:
-    """Join per-document lists to documents: broadcast if measured to be small."""
-    return docs.join(F.broadcast(lists) if entries <= BROADCAST_ENTRIES else lists, "doc", how)
+def _beside(docs: DataFrame, lists: DataFrame, column: str, entry_bytes: int, how: str) -> DataFrame:
+    """Join stored lists per document to documents: broadcast if measured to be small."""
+    size = lists.agg(F.sum(64 + entry_bytes * F.size(column))).first()[0] or 0
+    return docs.join(F.broadcast(lists) if size <= BROADCAST_BYTES else lists, "doc", how)
 
 
 def _index(rows: DataFrame, length: int) -> DataFrame:
@@ -224,8 +281,8 @@ def _index(rows: DataFrame, length: int) -> DataFrame:
         index = RunLengthIndex(rows.column("bytes").to_pylist(), doc, length)
         text, start = index.matches(np.flatnonzero(sought))
         if len(text):
-            mark, first, _ = _unpack(place[text])
-            yield _rows({"doc": doc[text], "place": _pack(mark, first + start, np.ones(len(text), np.int64))})
+            above, first, _ = _unpack(place[text])
+            yield _rows({"doc": doc[text], "place": _pack(above, first + start, np.ones(len(text), np.int64))})
 
     ordered = rows.repartition("shard").sortWithinPartitions("shard", "doc")
     return ordered.mapInArrow(search, "doc bigint, place bigint")
@@ -242,7 +299,6 @@ def _fetch(docs: DataFrame, wanted: DataFrame, marked: bool, length: int) -> Dat
     """
     lists = wanted.groupBy("doc").agg(F.collect_list(F.struct("anchor", "place", "edge")).alias("wanted"))
     lists = stored(lists, "segments-wanted")
-    entries = lists.agg(F.sum(F.size("wanted"))).first()[0] or 0
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -251,7 +307,7 @@ def _fetch(docs: DataFrame, wanted: DataFrame, marked: bool, length: int) -> Dat
                 raw = (text.as_py() or "").encode()
                 anchor, place, edge = (x.to_numpy(zero_copy_only=False) for x in wanted.values.flatten())
                 mark, start, count = _unpack(place)
-                own = mark == (_text_mark(raw) if marked else 0)
+                own = mark == _text_mark(raw) if marked else np.ones(len(place), bool)
                 for i in np.flatnonzero(own).tolist():
                     s, n = int(start[i]), int(count[i])
                     if edge[i] <= _KNOWN:
@@ -267,7 +323,7 @@ def _fetch(docs: DataFrame, wanted: DataFrame, marked: bool, length: int) -> Dat
             names = ["shard", "again", "bytes", "doc", "place", "sought"]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
 
-    return _beside(docs, lists, entries, "inner").select("doc", "text", "wanted").mapInArrow(read, _FETCHED)
+    return _beside(docs, lists, "wanted", 48, "inner").select("doc", "text", "wanted").mapInArrow(read, _FETCHED)
 
 
 def _spans(starts: list[tuple[int, int]], length: int) -> list[tuple[int, int]]:
@@ -281,7 +337,7 @@ def _spans(starts: list[tuple[int, int]], length: int) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def _merged(places: DataFrame, length: int) -> DataFrame:
+def _merged(places: DataFrame, marked: bool, length: int) -> DataFrame:
     """Per document the covered ranges of bytes: ``doc, spans`` with (mark, from, to) in turn."""
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -289,6 +345,7 @@ def _merged(places: DataFrame, length: int) -> DataFrame:
             spans = []
             for places in batch.column(1):
                 mark, start, count = _unpack(places.values.to_numpy(zero_copy_only=False))
+                mark = mark if marked else np.zeros_like(mark)
                 by_mark: dict[int, list[tuple[int, int]]] = {}
                 for m, s, c in zip(mark.tolist(), start.tolist(), count.tolist(), strict=True):
                     by_mark.setdefault(m, []).append((s, c))
@@ -317,10 +374,10 @@ def repeated_spans(
     sample = sample.select("anchor", "doc").groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") >= SAMPLE_HITS)
     best = sample.orderBy(F.desc("n"), "anchor").limit(MOST_FREQUENT).collect()
     frequent = np.sort(np.array([r.anchor for r in best], np.int64))
-    rare = _settled(_anchored(docs, frequent, False, marked, length, gram))
+    rare = _settled(_anchored(docs, frequent, False, marked, length, gram), marked)
     often = _settled_frequent(_anchored(docs, frequent, True, marked, length, gram))
     placed = stored(rare.unionByName(often) if len(frequent) else rare, "segments-placed")
-    fetched = _fetch(docs, placed.where(F.col("edge") != _SETTLED), marked, length)
+    fetched = stored(_fetch(docs, placed.where(F.col("edge") != _SETTLED), marked, length), "segments-fetched")
     found = _index(fetched.where("again IS NULL").drop("again"), length)
     if len(frequent):
         strings = fetched.where("again IS NOT NULL").select("shard", "again", "doc", "place")
@@ -328,7 +385,7 @@ def repeated_spans(
         least = least.where("least < most").select("shard", "again", "least")
         found = found.unionByName(strings.join(least, ["shard", "again"]).where("doc > least").select("doc", "place"))
     settled = placed.where(F.col("edge") == _SETTLED).select("doc", "place")
-    return stored(_merged(settled.unionByName(found), length), "repeated-spans"), marked
+    return stored(_merged(settled.unionByName(found), marked, length), "repeated-spans"), marked
 
 
 def _several_texts(docs: DataFrame) -> bool:
@@ -356,12 +413,11 @@ def remove_repeats(
     apart and do not remove from each other.
     """
     spans, marked = repeated_spans(docs, id_col, text_col, length, gram)
-    entries = spans.agg(F.sum(F.size("spans"))).first()[0] or 0
     kept = F.struct(*[F.col(c) for c in (docs.columns if keep is None else keep)])
     rows = docs.select(
         kept.alias("row"), F.col(id_col).cast("bigint").alias("doc"), F.col(text_col).cast("string").alias("text")
     )
-    rows = _beside(rows, spans, entries, "left").select("row", "text", "spans")
+    rows = _beside(rows, spans, "spans", 8, "left").select("row", "text", "spans")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -36,7 +36,7 @@ def test_repeats_by_string_in_many_shards(edge_docs, edge_rows, monkeypatch, man
     monkeypatch.setattr(substring_dedup, "SAMPLE", 1)
     monkeypatch.setattr(substring_dedup, "SAMPLE_HITS", 2)
     monkeypatch.setattr(substring_dedup, "INDEX_BYTES", 500)
-    monkeypatch.setattr(substring_dedup, "BROADCAST_ENTRIES", 0)
+    monkeypatch.setattr(substring_dedup, "BROADCAST_BYTES", 0)
     monkeypatch.setattr(substring_dedup, "_PIECE", 700)
     found = remove_repeats(edge_docs, keep=["doc_id"], length=30)
     rows = found.selectExpr("row.doc_id", "n_bytes", "n_removed", "n_spans", "sha2(kept, 256)").collect()
