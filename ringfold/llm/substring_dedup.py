@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from ringfold.llm.runlength import RunLengthIndex
 from ringfold.llm.samples import drawn
-from ringfold.llm.text import hash_spans, prefix_hashes, text_slices, utf8
+from ringfold.llm.text import hash_spans, mix, prefix_hashes, text_slices, utf8
 from ringfold.workdir import stored
 
 LENGTH = 50
@@ -65,6 +65,7 @@ def _segments(data: np.ndarray, offsets: np.ndarray, length: int, gram: int) ->
     n = len(data)
     if length <= gram:
         raise ValueError("an anchor is shorter than the strings")
+    rows = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
     for p in range(0, max(0, n - length + 1), _PIECE):
         q = min(n - length + 1, p + _PIECE)
         piece = data[p : q + length - 1]
@@ -72,7 +73,7 @@ def _segments(data: np.ndarray, offsets: np.ndarray, length: int, gram: int) ->
         grams = hash_spans(sums, inverse, np.arange(len(piece) - gram + 1), np.arange(gram, len(piece) + 1))
         least = _window_min(grams, length - gram + 1)
         start = np.arange(p, q)
-        row = np.searchsorted(offsets, start, "right") - 1
+        row = rows[p:q]
         valid = start + length <= offsets[row + 1]
         new = np.ones(len(start), bool)
         new[1:] = (least[1:] != least[:-1]) | (row[1:] != row[:-1]) | ~valid[:-1]
@@ -141,8 +142,11 @@ def _unpack(packed: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return mark, ((u >> np.uint64(10)) & np.uint64(0xFFFFFFFF)).astype(np.int64), (u & np.uint64(1023)).astype(np.int64)
 
 
-def _anchored(rows: DataFrame, frequent: np.ndarray, often: bool, marked: bool, length: int, gram: int) -> DataFrame:
-    """Segments of texts, of the frequent anchors or of the others: ``doc, place, whole, anchor``."""
+def _anchored(rows: DataFrame, frequent: np.ndarray, marked: bool, length: int, gram: int) -> DataFrame:
+    """Segments of texts: ``doc, place, whole, anchor, spread``.
+
+    ``spread`` is 0, or for frequent anchors a number from 1 to 1024 by document.
+    """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -154,26 +158,30 @@ def _anchored(rows: DataFrame, frequent: np.ndarray, often: bool, marked: bool,
                     raw = data.tobytes()
                     marks[:] = [_text_mark(raw[s:e]) for s, e in zip(offsets[:-1], offsets[1:], strict=True)]
                 for anchor, whole, row, start, count, flanks in _segments(data, offsets, length, gram):
-                    own = np.zeros(len(anchor), bool)
+                    spread = np.zeros(len(anchor), np.int32)
                     if len(frequent):
                         at = np.minimum(np.searchsorted(frequent, anchor.view(np.int64)), len(frequent) - 1)
-                        own = frequent[at] == anchor.view(np.int64)
-                    own = own if often else ~own
+                        often = frequent[at] == anchor.view(np.int64)
+                        spread[often] = mix(ids[a + row[often]].view(np.uint64)) % np.uint64(1024) + np.uint64(1)
                     yield _rows(
                         {
-                            "doc": ids[a + row[own]],
-                            "place": _pack(marks[row[own]] if marked else flanks[own], start[own], count[own]),
-                            "whole": whole[own].view(np.int64),
-                            "anchor": anchor[own].view(np.int64),
+                            "doc": ids[a + row],
+                            "place": _pack(marks[row] if marked else flanks, start, count),
+                            "whole": whole.view(np.int64),
+                            "anchor": anchor.view(np.int64),
+                            "spread": spread,
                         }
                     )
 
-    return rows.mapInArrow(cut, "doc bigint, place bigint, whole bigint, anchor bigint")
+    return rows.mapInArrow(cut, "doc bigint, place bigint, whole bigint, anchor bigint, spread int")
 
 
-_PLACED = "anchor bigint, doc bigint, place bigint, edge int"
-#: ``edge``: settled as repeated; to be looked for; only looked in; either, of an anchor with many segments.
-_SETTLED, _SOUGHT, _KNOWN, _MANY = 0, 1, 2, 3
+_PLACED = "anchor bigint, doc bigint, place bigint, whole bigint, edge int"
+#: ``edge``: settled as repeated; to be looked for; only looked in; either, of an anchor with many
+#: segments; of a frequent anchor, not yet settled.
+_SETTLED, _SOUGHT, _KNOWN, _MANY, _OFTEN = 0, 1, 2, 3, 4
+#: Rows that are settled in one call.
+_SETTLE_ROWS = 1 << 15
 
 
 def group_starts(values: np.ndarray) -> np.ndarray:
@@ -196,42 +204,52 @@ def _may_share(group: np.ndarray, flanks: np.ndarray | None) -> np.ndarray:
 def _settled(rows: DataFrame, marked: bool) -> DataFrame:
     """``_PLACED`` rows from segments, one anchor after another. Anchors of one document go.
 
-    An anchor is in a few hundred documents at most here. A segment of which the same
-    stands in a smaller document is repeated as a whole; the first of each different
-    segment of an anchor is to be looked for in those of smaller documents.
+    A segment of which the same stands in a smaller document is repeated as a whole; the
+    first of each different segment of an anchor is to be looked for in those of smaller
+    documents. Anchors are in some hundred documents at most here; frequent ones, which are
+    spread over tasks, pass through.
     """
 
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
+        n = 0
         for batch in batches:
             if not batch.num_rows:
                 continue
             held.append(batch)
-            anchors = batch.column("anchor")
-            if anchors[0] == anchors[-1] and held[0].column("anchor")[0] == anchors[-1]:
+            n += batch.num_rows
+            if n < _SETTLE_ROWS:
                 continue
-            last = np.searchsorted(anchors.to_numpy(), anchors[-1].as_py())
-            ready = pa.concat_batches([*held[:-1], batch.slice(0, last)])
-            held = [batch.slice(last)]
-            yield from _one(ready)
+            # up to where the last anchor begins
+            together = pa.concat_batches(held)
+            anchors = together.column("anchor").to_numpy()
+            last = int(np.searchsorted(anchors, anchors[-1]))
+            yield from _one(together.slice(0, last))
+            held, n = [together.slice(last)], len(anchors) - last
         if held:
             yield from _one(pa.concat_batches(held))
 
     def _one(rows: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        anchor, whole, doc, place = (rows.column(c).to_numpy() for c in ("anchor", "whole", "doc", "place"))
+        columns = {c: rows.column(c).to_numpy() for c in ("anchor", "doc", "place", "whole", "spread")}
+        often = columns["spread"] > 0
+        if often.any():
+            passed = {c: columns[c][often] for c in ("anchor", "doc", "place", "whole")}
+            yield _rows({**passed, "edge": np.full(int(often.sum()), _OFTEN, np.int32)})
+        anchor, doc, place, whole = (columns[c][~often] for c in ("anchor", "doc", "place", "whole"))
         if not len(anchor):
             return
-        group = np.flatnonzero(group_starts(anchor))
-        of = np.cumsum(group_starts(anchor)) - 1
-        kind = np.r_[True, (whole[1:] != whole[:-1]) | (anchor[1:] != anchor[:-1])]
+        begins = group_starts(anchor)
+        group, of = np.flatnonzero(begins), np.cumsum(begins) - 1
+        kind = begins | group_starts(whole)
         first = doc[np.flatnonzero(kind)][np.cumsum(kind) - 1]  # rows are in order of document
         least, most = np.minimum.reduceat(doc, group)[of], np.maximum.reduceat(doc, group)[of]
         several = _may_share(of[kind], None if marked else _unpack(place[kind])[0])[np.cumsum(kind) - 1]
         edge = np.where(doc > first, _SETTLED, np.where(doc > least, _SOUGHT, _KNOWN)).astype(np.int32)
         out = (least < most) & ((edge == _SETTLED) | several)
-        yield _rows({"anchor": anchor[out], "doc": doc[out], "place": place[out], "edge": edge[out]})
+        kept = {"anchor": anchor, "doc": doc, "place": place, "whole": np.zeros_like(whole), "edge": edge}
+        yield _rows({c: x[out] for c, x in kept.items()})
 
-    ordered = rows.repartition("anchor").sortWithinPartitions("anchor", "whole", "doc")
+    ordered = rows.repartition("anchor", "spread").sortWithinPartitions("anchor", "whole", "doc")
     return ordered.mapInArrow(settle, _PLACED)
 
 
@@ -242,7 +260,7 @@ def _settled_frequent(rows: DataFrame) -> DataFrame:
     classes = stored(classes.join(anchors, "anchor"), "segment-classes")
     edge = F.when(F.col("doc") > F.col("first"), _SETTLED).when(F.col("n") > MANY_SEGMENTS, _MANY)
     edge = edge.when(F.col("doc") > F.col("least"), _SOUGHT).otherwise(_KNOWN).cast("int")
-    placed = rows.join(classes, ["anchor", "whole"]).withColumn("edge", edge)
+    placed = rows.drop("edge").join(classes, ["anchor", "whole"]).withColumn("edge", edge)
     return placed.where((F.col("edge") == _SETTLED) | (F.col("n") > 1)).select("anchor", "doc", "place", "edge")
 
 
@@ -370,13 +388,14 @@ def repeated_spans(
     docs = docs.where(F.col("doc").isNotNull())
     marked = _several_texts(docs)
     none = np.zeros(0, np.int64)
-    sample = _anchored(docs.where(drawn(F.col("doc"), 1 / SAMPLE, 31)), none, False, marked, length, gram)
+    sample = _anchored(docs.where(drawn(F.col("doc"), 1 / SAMPLE, 31)), none, marked, length, gram)
     sample = sample.select("anchor", "doc").groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") >= SAMPLE_HITS)
     best = sample.orderBy(F.desc("n"), "anchor").limit(MOST_FREQUENT).collect()
     frequent = np.sort(np.array([r.anchor for r in best], np.int64))
-    rare = _settled(_anchored(docs, frequent, False, marked, length, gram), marked)
-    often = _settled_frequent(_anchored(docs, frequent, True, marked, length, gram))
-    placed = stored(rare.unionByName(often) if len(frequent) else rare, "segments-placed")
+    placed = stored(_settled(_anchored(docs, frequent, marked, length, gram), marked), "segments-placed")
+    if len(frequent):
+        often = _settled_frequent(placed.where(F.col("edge") == _OFTEN))
+        placed = placed.where(F.col("edge") != _OFTEN).drop("whole").unionByName(often)
     fetched = stored(_fetch(docs, placed.where(F.col("edge") != _SETTLED), marked, length), "segments-fetched")
     found = _index(fetched.where("again IS NULL").drop("again"), length)
     if len(frequent):
