@@ -16,7 +16,6 @@ BROADCAST_BYTES = 128 << 20
 ROW_BYTES = 64
 MAX_SALTS = 64
 PARTITIONS_PER_SALT = 16
-SCAN_CHUNK = 4096
 # Fixed value: the default seed of random phases.
 PHASE_SEED = 8902763414119392010
 
@@ -117,41 +116,33 @@ def scan_fanout(
     records: DataFrame,
     rules: DataFrame,
     predicate: Callable[[Callable[[str], Column], Column], Column],
-    chunk: int = SCAN_CHUNK,
     broadcast_bytes: int = BROADCAST_BYTES,
-    salts: int | None = None,
 ) -> DataFrame:
     """Test every record against every rule of a kind that has no index.
 
     ``predicate(record, rule)`` gets a function naming a record's column and the rule
-    as a struct. Rules travel as arrays of about ``chunk``, filtered in place, so only
-    hits ever become rows. A rule table of any size works: records visit each chunk
-    through an equi-join on the chunk's number, broadcast when the measured size
-    allows, else salted.
+    as a struct. It is the residual of a join, so a pair is tested in generated code
+    before it is a row, and only hits become rows. Rules are cut into groups of about
+    ``broadcast_bytes``, by measured size, and each group is broadcast in a pass of its
+    own; records are never copied or shuffled.
     """
-    chunked = _scan_chunks(records, rules, chunk, broadcast_bytes, salts)
-    return chunked.select(F.explode(_scan_hits(predicate)).alias("rule_id"), *_carried(records))
-
-
-def _scan_chunks(
-    records: DataFrame, rules: DataFrame, chunk: int, broadcast_bytes: int, salts: int | None = None
-) -> DataFrame:
-    """Each record with each chunk of rules, as column ``scanned``."""
     row_bytes = F.length(F.to_json(F.struct(*rules.columns))) + ROW_BYTES
-    size = rules.agg(F.count("*").alias("n"), F.coalesce(F.sum(row_bytes), F.lit(0)).alias("bytes")).first()
-    chunks = max(1, -(-size["n"] // chunk))
-    arrays = rules.groupBy(F.pmod(F.xxhash64("rule_id"), F.lit(chunks)).cast("int").alias("chunk")).agg(
-        F.collect_list(F.struct(*rules.columns)).alias("scanned")
+    total = rules.agg(F.coalesce(F.sum(row_bytes), F.lit(0)).alias("bytes")).first()["bytes"]
+    groups = max(1, -(-total // max(1, broadcast_bytes)))
+    # both sides compute the key, so that it is not taken for a constant and the join stays an equi-join
+    probes = records.withColumn("_group", F.pmod(F.xxhash64("record_id"), F.lit(1)))
+    grouped = rules.select(
+        F.struct(*rules.columns).alias("_rule"),
+        F.pmod(F.xxhash64("rule_id"), F.lit(groups)).alias("_part"),
+        F.pmod(F.xxhash64("rule_id"), F.lit(1)).alias("_group"),
     )
-    probes = records.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
-    if size["bytes"] <= broadcast_bytes:
-        return probes.join(F.broadcast(arrays), "chunk")
-    return _salted(probes, arrays, "chunk", salts)
-
-
-def _scan_hits(predicate: Callable) -> Column:
-    hits = F.filter("scanned", lambda rule: predicate(F.col, rule))
-    return F.transform(hits, lambda rule: rule["rule_id"])
+    carried, hit = _carried(records), predicate(F.col, F.col("_rule"))
+    parts = []
+    for i in range(groups):
+        own = grouped.where(F.col("_part") == i).select("_rule", "_group")
+        met = probes.join(F.broadcast(own), (probes["_group"] == own["_group"]) & hit)
+        parts.append(met.select(F.col("_rule.rule_id").alias("rule_id"), *carried))
+    return reduce(DataFrame.unionAll, parts)
 
 
 def predicate_fanout(
@@ -178,17 +169,19 @@ def match_records(
     predicates: Mapping[str, Callable] | None = None,
     broadcast_bytes: int = BROADCAST_BYTES,
     salts: int | None = None,
+    nodes: DataFrame | None = None,
 ) -> DataFrame:
     """All matches of all kinds of rules; a record may give none, one or many rows.
 
     Ring rules and predicates together take one pass over the records while the index is
     small enough to broadcast. Scanned rules, and large indexes, take a pass of their own.
+    ``nodes`` is the index of ``rules`` where it is stored already.
     """
     if rules is None and scanned is None and not predicates:
         raise ValueError("no rules given")
     parts = []
     if rules is not None:
-        nodes = rule_nodes(rules)
+        nodes = rule_nodes(rules) if nodes is None else nodes
         profile = node_profile(nodes)
         if predicates and sum(profile.values()) <= broadcast_bytes:
             parts.append(_one_pass(records, nodes, profile, _predicate_hits(predicates)))
@@ -196,7 +189,7 @@ def match_records(
         else:
             parts.append(ring_range_join(records, rules, broadcast_bytes, salts, nodes, profile))
     if scanned is not None:
-        parts.append(scan_fanout(records, *scanned, broadcast_bytes=broadcast_bytes, salts=salts))
+        parts.append(scan_fanout(records, *scanned, broadcast_bytes=broadcast_bytes))
     if predicates:
         parts.append(predicate_fanout(records, predicates))
     columns = parts[0].columns

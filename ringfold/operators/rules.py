@@ -6,7 +6,8 @@ any other: it is built, changed and indexed with joins and projections.
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -119,9 +120,52 @@ def frequency_rules(
     return place_rules(frequency_numbers(selectivities), seed, hash)
 
 
-def upsert_rules(rules: DataFrame, changes: DataFrame) -> DataFrame:
-    """Add rules; one whose id exists is replaced."""
-    return rules.join(changes, "rule_id", "left_anti").unionByName(changes)
+def upsert_rules(rules: DataFrame, changes: DataFrame, order: str | None = None) -> DataFrame:
+    """Add rules; one whose id exists is replaced.
+
+    Of several changes of one id the last by column ``order`` counts. Without ``order``
+    an id that occurs twice is an error.
+    """
+    changes = last_changes(changes, order).select(*rules.columns)
+    return rules.join(changes, "rule_id", "left_anti").select(*rules.columns).unionByName(changes)
+
+
+def last_changes(changes: DataFrame, order: str | None = None) -> DataFrame:
+    """One change per rule id, the last by ``order``."""
+    if order is None:
+        twice = changes.groupBy("rule_id").agg(F.count("*").alias("n")).where("n > 1").head(1)
+        if twice:
+            raise ValueError(f"rule {twice[0]['rule_id']!r} is changed twice; name a column that orders the changes")
+        return changes
+    last = changes.groupBy("rule_id").agg(F.max_by(F.struct(*changes.columns), order).alias("last"))
+    return last.select("last.*")
+
+
+class RuleSet(NamedTuple):
+    """Rules of all kinds. An id is in one kind only."""
+
+    ring: DataFrame
+    scanned: DataFrame
+    predicates: Mapping[str, Callable] = {}
+
+    def upsert(self, kind: str, changes: DataFrame | Mapping[str, Callable], order: str | None = None) -> RuleSet:
+        """Add rules of one kind; the same ids leave the other kinds."""
+        if kind not in self._fields:
+            raise ValueError(f"kind must be one of {self._fields}, not {kind!r}")
+        if kind == "predicates":
+            ids = self.ring.sparkSession.createDataFrame([(i,) for i in changes], "rule_id string")
+            return RuleSet(remove_rules(self.ring, ids), remove_rules(self.scanned, ids), {**self.predicates, **changes})
+        ids = last_changes(changes, order).select("rule_id")
+        rest = self.remove(ids)
+        old = getattr(self, kind)
+        return rest._replace(**{kind: upsert_rules(old, changes, order)})
+
+    def remove(self, ids: DataFrame) -> RuleSet:
+        """Drop the listed rules, of whatever kind they are."""
+        known = ids.where(F.col("rule_id").isin(list(self.predicates))).distinct().collect() if self.predicates else []
+        gone = {r["rule_id"] for r in known}
+        kept = {i: p for i, p in self.predicates.items() if i not in gone}
+        return RuleSet(remove_rules(self.ring, ids), remove_rules(self.scanned, ids), kept)
 
 
 def remove_rules(rules: DataFrame, ids: DataFrame) -> DataFrame:

@@ -125,7 +125,7 @@ ROOM = 2 * (PAYLOAD_STATE - 32)
 @register(
     "payload_overlay",
     sql.query(
-        sql.LONG_DOCS,
+        sql.PADDED_DOCS,
         sql.PREPARED,
         sql.subscriptions(),
         sql.MATCHES,
@@ -144,7 +144,7 @@ FROM layers""",
 )
 def payload_overlay(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = digests(
-        v.long_docs(spark, sf_dir), v.subscriptions(spark, sf_dir), SPARSE_EVERY, PAYLOAD_STATE
+        v.padded_docs(spark, sf_dir), v.subscriptions(spark, sf_dir), SPARSE_EVERY, PAYLOAD_STATE
     )
     return found.select("rule_id", "cycle", F.hex("payload").alias("payload"))
 

@@ -11,7 +11,8 @@ from ringfold.functions.ring import hash_sample
 from ringfold.operators.fanout import match_records, predicate_fanout, ring_range_join, scan_fanout
 from ringfold.plans import sql
 from ringfold.plans import views as v
-from ringfold.plans.shared import EVENT_MATCHES, drain, register, stream_matches
+from ringfold.plans.shared import EVENT_MATCHES, drain, event_stream, register, stream_matches
+from ringfold.streaming.match import stream_match
 
 @register("ring_range_join", sql.query(*EVENT_MATCHES, select="SELECT rule_id, record_id FROM matches"))
 def ring_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -74,6 +75,22 @@ def streamed_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drain(stream_matches(spark, sf_dir), "stream-match").select("rule_id", "record_id", "first_long")
 
 
+@register(
+    "stream_match_all",
+    sql.query(
+        *EVENT_MATCHES,
+        SCANNED,
+        CUSTOM,
+        select="SELECT rule_id, record_id FROM matches UNION ALL SELECT * FROM scanned UNION ALL SELECT * FROM custom",
+    ),
+)
+def streamed_matches_of_all_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = v.prepared(v.event_records(event_stream(spark, sf_dir)), keep_data=True)
+    scanned = (v.scan_rules(spark, sf_dir), sampling_rule)
+    found = stream_match(records, v.subscriptions(spark, sf_dir), scanned, PREDICATES)
+    return drain(found.select("rule_id", "record_id"), "stream-match-all")
+
+
 @register("custom_rule_fanout", sql.query(sql.REC_EVENTS, CUSTOM, select="SELECT rule_id, record_id FROM custom"))
 def custom_rule_fanout(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predicate_fanout(v.rec_events(spark, sf_dir), PREDICATES).select("rule_id", "record_id")

@@ -12,7 +12,6 @@ from ringfold.plans import views as v
 from ringfold.plans.shared import EVENT_MATCHES, EVERY, digests, register
 
 BOUNDS = metrics.default_bounds()
-SLIDING_QUANTILES = (0.05, 0.5, 0.95, 0.99, 1.0)
 DAY_S = 24 * 3600
 WARMUP_S = 6 * 3600
 
@@ -113,12 +112,11 @@ WHERE place = 1""",
 windowed AS (
   SELECT (epoch_us(ts) // 5000000 - back) * 5000000 AS start_us, latency
   FROM samples, (SELECT unnest(range(4)) AS back) WHERE sign = 'latency'
-)""",
-        SLIDING_QUANTILES,
+)"""
     ),
 )
 def windowed_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = metrics.windowed_histogram_quantile(_samples(spark, sf_dir), BOUNDS, SLIDING_QUANTILES, 20, 5)
+    found = metrics.windowed_histogram_quantile(_samples(spark, sf_dir), BOUNDS, metrics.QUANTILES, 20, 5)
     return found.withColumn("value", F.round("value", 6))
 
 

@@ -85,10 +85,10 @@ def ring_match_all(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register(
     "decode_first_long",
-    sql.query(sql.LONG_DOCS, select=f"SELECT record_id, {sql.signed('substr(data, 1, 16)')} AS first_long FROM rec"),
+    sql.query(sql.PADDED_DOCS, select=f"SELECT record_id, {sql.signed('substr(data, 1, 16)')} AS first_long FROM rec"),
 )
 def decode_first_long(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return v.long_docs(spark, sf_dir).select("record_id", leading_long(F.col("data")).alias("first_long"))
+    return v.padded_docs(spark, sf_dir).select("record_id", leading_long(F.col("data")).alias("first_long"))
 
 
 def _doc_events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -96,13 +96,13 @@ def _doc_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     value = event_pack(
         F.lit(1), leading_long(F.col("data")), ms - 1000, ms, F.substring("data", 1, 32), PAYLOAD_STATE
     )
-    return v.long_docs(spark, sf_dir).select("record_id", value.alias("value"))
+    return v.padded_docs(spark, sf_dir).select("record_id", value.alias("value"))
 
 
 @register(
     "event_pack",
     sql.query(
-        sql.LONG_DOCS,
+        sql.PADDED_DOCS,
         select=f"""
 SELECT record_id,
        '0000000000000001' || substr(data, 1, 16) || upper({sql.hex_long(sql.MS + ' - 1000')})
@@ -117,7 +117,7 @@ def packed_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register(
     "event_unpack",
     sql.query(
-        sql.LONG_DOCS,
+        sql.PADDED_DOCS,
         select=f"""
 SELECT record_id, 1::BIGINT AS n, {sql.signed('substr(data, 1, 16)')} AS total, {sql.MS} - 1000 AS start_ms,
        {sql.MS} AS end_ms, rpad(substr(data, 1, 64), 64, '0') AS payload

@@ -11,6 +11,7 @@ from ringfold.operators.rules import (
     removal_report,
     remove_rules,
     rule_slots,
+    RuleSet,
     upsert_rules,
 )
 from ringfold.plans import sql
@@ -71,6 +72,36 @@ def upserted_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return upsert_rules(v.subscriptions(spark, sf_dir), place_rules(changed.unionAll(added), v.SEED, v.HASH))
 
 
+@register(
+    "upsert_across_kinds",
+    sql.query(
+        sql.subscriptions(),
+        """
+changes AS (
+  SELECT 'consumer_' || c_custkey AS rule_id, arg_max(o_orderkey, (o_totalprice, o_orderkey))::BIGINT AS seed
+  FROM customer JOIN orders ON c_custkey = o_custkey WHERE c_acctbal < 0 GROUP BY ALL
+)""",
+        select="""
+SELECT 'ring' AS kind, rule_id, rule_no AS value FROM rules WHERE rule_id NOT IN (SELECT rule_id FROM changes)
+UNION ALL SELECT 'scanned', 'sample_' || n_nationkey, n_nationkey::BIGINT FROM nation
+UNION ALL SELECT 'scanned', rule_id, seed FROM changes""",
+    ),
+)
+def rules_across_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ring rules of some customers become scanned rules, seeded by their largest order."""
+    scanned = v.scan_rules(spark, sf_dir)
+    customers = v.table(spark, sf_dir, "customer").where("c_acctbal < 0")
+    changes = customers.join(v.table(spark, sf_dir, "orders"), F.col("c_custkey") == F.col("o_custkey")).select(
+        F.concat(F.lit("consumer_"), F.col("c_custkey")).alias("rule_id"),
+        F.col("o_orderkey").cast("bigint").alias("seed"),
+        F.lit(v.SAMPLE_RATE).alias("rate"),
+        F.struct("o_totalprice", "o_orderkey").alias("at"),
+    )
+    rules = RuleSet(v.subscriptions(spark, sf_dir), scanned).upsert("scanned", changes, "at")
+    ring = rules.ring.select(F.lit("ring").alias("kind"), "rule_id", F.col("rule_no").cast("bigint").alias("value"))
+    return ring.unionByName(rules.scanned.select(F.lit("scanned").alias("kind"), "rule_id", F.col("seed").alias("value")))
+
+
 REMOVED = """
 removed AS (
   SELECT 'consumer_' || c_custkey AS rule_id FROM customer WHERE c_nationkey < 7

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ringfold.operators.digest import SplitMatches
 from ringfold.operators.fanout import match_records
@@ -57,9 +58,29 @@ def event_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
 EVENT_MATCHES = (sql.REC_EVENTS, sql.PREPARED, sql.subscriptions(), sql.MATCHES)
 
 
-def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+#: Files that a stream of events comes in, one per micro-batch.
+SLICES = 6
+
+
+def event_files(spark: SparkSession, sf_dir: str) -> Iterator[str]:
+    """Write ``events`` in the order of time, file by file, and yield the folder after each."""
+    events = v.table(spark, sf_dir, "events")
+    path = work_dir(spark, "event-files")
+    cuts = events.agg(F.percentile(F.unix_micros(F.col("ts").cast("timestamp")), [i / SLICES for i in range(1, SLICES)])).first()[0]
+    at = F.unix_micros(F.col("ts").cast("timestamp"))
+    for low, high in zip([None, *cuts], [*cuts, None]):
+        own = F.lit(True) if low is None else at >= low
+        own = own if high is None else own & (at < high)
+        # a file per micro-batch; in a stream of this size it is a small part of the table
+        events.where(own).coalesce(1).write.mode("append").parquet(path)
+        yield path
+
+
+def event_stream(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFrame:
+    """The events as a stream of ``SLICES`` micro-batches."""
+    path = path or list(event_files(spark, sf_dir))[-1]
     schema = v.table(spark, sf_dir, "events").schema
-    return file_records(spark, sf_dir, schema, pattern="events.parquet")
+    return file_records(spark, path, schema, pattern="*.parquet", max_per_trigger=1)
 
 
 def drain(stream: DataFrame, name: str) -> DataFrame:

@@ -71,8 +71,8 @@ rec AS (
   FROM documents
 )"""
 
-LONG_DOCS = REC_DOCS.replace("rec AS", "all_rec AS") + """,
-rec AS (SELECT * FROM all_rec WHERE length(data) >= 16)"""
+PADDED_DOCS = REC_DOCS.replace("rec AS", "all_rec AS") + """,
+rec AS (SELECT record_id, ts, CASE WHEN length(data) < 16 THEN rpad(data, 16, '0') ELSE data END AS data FROM all_rec)"""
 
 PREPARED = f"""
 prepared AS (

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ringfold.functions.payload import event_unpack
@@ -17,6 +17,8 @@ from ringfold.plans.shared import (
     digest_fields,
     drain,
     event_matches,
+    SLICES,
+    event_files,
     event_stream,
     register,
     sized,
@@ -42,7 +44,8 @@ def stream_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("stateful_digest", STREAMED_DIGEST)
 def stateful_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = stateful_digest(stream_matches(spark, sf_dir), EVERY, mode="append")
+    # the stream has a file per micro-batch, so it may be folded in order
+    found = stateful_digest(stream_matches(spark, sf_dir), EVERY, mode="append", in_order=True)
     return digest_fields(drain(found, "stateful-digest"))
 
 
@@ -64,6 +67,32 @@ def stream_job(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{path}/events").select("key", *kept)
 
 
+@register("stream_restart", STREAMED_DIGEST)
+def stream_restart(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A job on the state store that stops after half of the input and goes on elsewhere.
+
+    The second run has another number of shuffle partitions, as another cluster would.
+    """
+    path = work_dir(spark, "stream-restart")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    files = event_files(spark, sf_dir)
+    try:
+        for stop, partitions in ((SLICES // 2, 4), (SLICES, 6)):
+            source = [next(files) for _ in range(stop if partitions == 4 else SLICES - SLICES // 2)][-1]
+            spark.conf.set("spark.sql.shuffle.partitions", partitions)
+            records = v.event_records(event_stream(spark, sf_dir, source))
+            options = {"engine": "state_store", "in_order": True, "max_per_trigger": 1, "hash": v.HASH}
+            start_job(records, v.subscriptions(spark, sf_dir), path, EVERY, **options).awaitTermination()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    events = spark.read.parquet(f"{path}/events")
+    fields = event_unpack(F.col("value"))
+    kept = [fields[name].alias(name) for name in ("n", "total", "start_ms", "end_ms")]
+    order = Window.partitionBy("rule_id").orderBy("end_ms", "batch_id")
+    digests = events.select(F.col("key").alias("rule_id"), "batch_id", *kept)
+    return digests.withColumn("cycle", F.row_number().over(order) - 1).drop("batch_id")
+
+
 def record_highs() -> Fold:
     """A consumer of one's own: an event whenever a rule sees a new highest value.
 

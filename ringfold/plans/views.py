@@ -49,9 +49,10 @@ def rec_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def long_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The documents with the 8 bytes that a digest needs."""
-    return rec_docs(spark, sf_dir).where(F.length("data") >= 8)
+def padded_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents, those below the 8 bytes that a digest needs filled up with zeros."""
+    padded = F.when(F.length("data") < 8, F.rpad("data", 8, F.lit(b"\0"))).otherwise(F.col("data"))
+    return rec_docs(spark, sf_dir).withColumn("data", padded)
 
 
 def subscriptions(spark: SparkSession, sf_dir: str, total: float = 5.0, s: float = 1.0) -> DataFrame:

@@ -30,6 +30,7 @@ from ringfold.operators.digest import (
     weighted,
 )
 from ringfold.sources.streams import write_batch
+from ringfold.streaming.settings import keep_settings
 
 STATE_FIELDS = (
     "rule_id string, last_pos bigint, n_records bigint, total bigint, start_ms bigint, end_ms bigint, payload binary"
@@ -81,10 +82,8 @@ def open_windows(windows: DataFrame, every: int, batch_id: int) -> DataFrame:
 class DigestSink:
     """Micro-batch function: reads and writes the open windows, stores the events.
 
-    ``batch_records`` is the cap on a micro-batch's records, when its source has one. A
-    rule matches a record at most once, so a cap up to ``max_rows`` makes it sure that no
-    rule needs splitting, and the matches are not counted first. ``packed`` stores events
-    as ``(key, value)`` bytes.
+    The matches of a micro-batch are counted, and rules with more than ``max_rows`` of
+    them are split. ``packed`` stores events as ``(key, value)`` bytes.
     """
 
     def __init__(
@@ -93,7 +92,6 @@ class DigestSink:
         every: int,
         state_bytes: int = DIGEST_BYTES,
         max_rows: int = MAX_ROWS,
-        batch_records: int | None = None,
         packed: bool = False,
     ) -> None:
         self.path = path.rstrip("/")
@@ -101,7 +99,6 @@ class DigestSink:
         self.state_bytes = require_state_bytes(state_bytes)
         self.max_rows = max_rows
         self.packed = packed
-        self.capped = batch_records is not None and batch_records <= max_rows
 
     @property
     def events(self) -> str:
@@ -121,14 +118,13 @@ class DigestSink:
         return state
 
     def _sized(self, batch: DataFrame) -> DataFrame | SplitMatches:
-        if self.capped or batch.count() <= self.max_rows:
+        if batch.count() <= self.max_rows:
             return batch
         return split_hot_rules(batch, self.max_rows) or batch
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
         state = self._state(batch, batch_id)
-        if not self.capped:
-            batch = batch.persist()
+        batch = batch.persist()
         windows = fold_batch(self._sized(batch), state, self.every, self.state_bytes).persist()
         try:
             events = full_windows(windows, self.every)
@@ -136,8 +132,7 @@ class DigestSink:
             open_windows(windows, self.every, batch_id).write.mode("overwrite").parquet(self._slot(batch_id))
         finally:
             windows.unpersist()
-            if not self.capped:
-                batch.unpersist()
+            batch.unpersist()
 
 
 def start_digest_stream(
@@ -147,12 +142,18 @@ def start_digest_stream(
     every: int = 10,
     state_bytes: int = DIGEST_BYTES,
     max_rows: int = MAX_ROWS,
-    batch_records: int | None = None,
     packed: bool = False,
     trigger: Mapping[str, object] | None = None,
+    settings: Mapping[str, object] | None = None,
 ) -> StreamingQuery:
-    """Write the digests of a match stream below ``path``; see :class:`DigestSink`."""
-    sink = DigestSink(path, every, state_bytes, max_rows, batch_records, packed)
+    """Write the digests of a match stream below ``path``; see :class:`DigestSink`.
+
+    A restart must come with the same ``every`` and ``state_bytes``, and the same
+    ``settings`` if any, which are kept beside the state.
+    """
+    sink = DigestSink(path, every, state_bytes, max_rows, packed)
+    layout = {"engine": "tables", "every": every, "state_bytes": state_bytes, **(settings or {})}
+    keep_settings(matches.sparkSession, path, layout)
     return (
         matches.writeStream.outputMode("append")
         .option("checkpointLocation", checkpoint)

@@ -23,7 +23,8 @@ STATE_STORES = {
     "rocksdb": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "in_memory": "org.apache.spark.sql.execution.streaming.state.HDFSBackedStateStoreProvider",
 }
-BUCKETS_PER_PARTITION = 4
+# Rules are hashed into so many buckets; part of the layout of a stream's state.
+BUCKETS = 1024
 # One entry per rule of the bucket; ``next_pos`` is where the rule's next record goes.
 DIGEST_STATE = (
     "rule_ids array<string>, next_pos array<bigint>, n_records array<bigint>, total array<bigint>, "
@@ -49,13 +50,13 @@ def stateful_fold(
     state_schema: str,
     mode: str = "update",
     key: str = "rule_id",
-    in_order: bool = True,
+    in_order: bool = False,
 ) -> DataFrame:
     """Run a fold per key over a stream. State never expires; there is no watermark.
 
+    Rows are folded as they arrive, one Arrow batch at a time, whatever the size of a key.
     ``in_order`` sorts a key's rows of one micro-batch by time, which makes results
-    repeatable and lets the cap on a micro-batch bound what a task holds. Without it rows
-    are folded as they arrive, one Arrow batch at a time, whatever the size of a key.
+    repeatable. It holds all of them, so it asks for a source with a cap on micro-batches.
     """
     names, arrival = field_names(output_schema), list(ARRIVAL)
 
@@ -85,6 +86,13 @@ def digest_fold(every: int, state_bytes: int = DIGEST_BYTES) -> Fold:
             under = bytes(prefix) + under[len(prefix) :]
         return under
 
+    def seen_through(lengths: np.ndarray, piece: np.ndarray) -> np.ndarray:
+        """Rows longer than all that follow in their piece; later ones cover the others."""
+        high = int(lengths.max(initial=0)) + 1
+        back = (lengths - piece * high)[::-1]
+        covered = np.maximum.accumulate(back)[:-1]
+        return np.concatenate([[True], back[1:] > covered])[::-1] if len(back) else np.zeros(0, bool)
+
     def fold(key: int, state: tuple | None, rows: pd.DataFrame) -> tuple[tuple, pd.DataFrame]:
         rows = rows.sort_values("rule_id", kind="stable")
         ids = rows["rule_id"].to_numpy()
@@ -124,9 +132,14 @@ def digest_fold(every: int, state_bytes: int = DIGEST_BYTES) -> Fold:
         }
         payload = [b""] * len(lo)
         if room:
-            prefixes, under = rows["prefix"].tolist(), table["payload"].tolist()
+            # of each window only the rows that later ones leave visible, mostly one
+            prefixes, under = rows["prefix"].to_numpy(), table["payload"].tolist()
+            lengths = rows["prefix"].str.len().to_numpy(dtype=np.int64)
+            shown = np.flatnonzero(seen_through(lengths, np.repeat(np.arange(len(lo)), hi - lo)))
+            first, last_shown = np.searchsorted(shown, lo), np.searchsorted(shown, hi)
             payload = [
-                overlaid(under[o] if r else bytes(room), prefixes[a:b]) for a, b, o, r in zip(lo, hi, owner, resumed)
+                overlaid(under[o] if r else bytes(room), prefixes[shown[a:b]])
+                for a, b, o, r in zip(first, last_shown, owner, resumed)
             ]
 
         full = pos[hi - 1] % every == every - 1
@@ -161,17 +174,16 @@ def stateful_digest(
     every: int = 10,
     state_bytes: int = DIGEST_BYTES,
     mode: str = "update",
-    buckets: int | None = None,
-    in_order: bool = True,
+    buckets: int = BUCKETS,
+    in_order: bool = False,
 ) -> DataFrame:
     """Count-window digests of a match stream, state kept in the state store.
 
     Rules are hashed into buckets, and a bucket's rules are folded in one call: a call
-    per rule would cost more than the fold. ``buckets`` must not change between restarts;
-    for ``in_order`` see :func:`stateful_fold`.
+    per rule would cost more than the fold. ``buckets``, ``every`` and ``state_bytes`` are
+    the layout of the state and must not change between restarts; ``start_job`` sees to
+    that. For ``in_order`` see :func:`stateful_fold`.
     """
-    if buckets is None:
-        buckets = BUCKETS_PER_PARTITION * int(matches.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     bucketed = matches.select(
         F.pmod(F.xxhash64("rule_id"), F.lit(buckets)).cast("int").alias("bucket"),
         "*",

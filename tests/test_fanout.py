@@ -65,7 +65,7 @@ def test_no_rules_no_matches(spark, records):
     assert O.ring_range_join(records, rule_rows(spark, [])).count() == 0
 
 
-@pytest.mark.parametrize("options", [{}, {"chunk": 3}, {"chunk": 3, "broadcast_bytes": 0, "salts": 3}])
+@pytest.mark.parametrize("options", [{}, {"broadcast_bytes": 700}, {"broadcast_bytes": 100}])
 def test_scan_tests_every_pair(spark, options):
     records = generate_records(spark, 300, 24, "scan")
     rules = spark.range(20).select(F.col("id").cast("string").alias("rule_id"), "id", (F.col("id") / 20).alias("rate"))

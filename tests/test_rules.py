@@ -100,3 +100,30 @@ def test_at_most_two_nodes_per_rule(spark):
             assert n.level == 0 or width <= 1 << (63 - n.level)
         for x in (offset, (offset + width - 1) & RING_MASK) if width > 0 else ():
             assert any(n.node == (1 << n.level) + (x >> (63 - n.level)) for n in mine)
+
+
+def test_last_change_counts(spark):
+    schema = "rule_id string, offset long, width long"
+    old = spark.createDataFrame([("a", 1, 1), ("b", 2, 2)], schema)
+    new = spark.createDataFrame([("b", 8, 8, 1), ("b", 9, 9, 2), ("c", 3, 3, 0)], schema + ", at long")
+    got = sorted(tuple(r) for r in R.upsert_rules(old, new, "at").collect())
+    assert got == [("a", 1, 1), ("b", 9, 9), ("c", 3, 3)]
+    with pytest.raises(ValueError, match="changed twice"):
+        R.upsert_rules(old, new)
+
+
+def test_an_id_is_of_one_kind(spark):
+    ring = spark.createDataFrame([("a", 1), ("b", 2), ("c", 3)], "rule_id string, width long")
+    scanned = spark.createDataFrame([("d", 0.5)], "rule_id string, rate double")
+    rules = R.RuleSet(ring, scanned, {"e": len})
+
+    def ids(s):
+        return [sorted(r.rule_id for r in df.collect()) for df in (s.ring, s.scanned)] + [sorted(s.predicates)]
+
+    moved = rules.upsert("scanned", spark.createDataFrame([("b", 0.1), ("e", 0.2)], scanned.schema))
+    assert ids(moved) == [["a", "c"], ["b", "d", "e"], []]
+    assert ids(moved.upsert("predicates", {"a": len, "d": len})) == [["c"], ["b", "e"], ["a", "d"]]
+    assert ids(moved.upsert("ring", spark.createDataFrame([("d", 4)], ring.schema))) == [["a", "c", "d"], ["b", "e"], []]
+    assert ids(rules.remove(spark.createDataFrame([("a",), ("e",), ("x",)], "rule_id string"))) == [["b", "c"], ["d"], []]
+    with pytest.raises(ValueError):
+        rules.upsert("other", ring)

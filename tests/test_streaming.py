@@ -62,7 +62,8 @@ def run_sets(spark, source, out, every, state_bytes, phased=False, **options):
 
 
 def run_state(spark, source, out, every, state_bytes, phased=False):
-    events = stateful_digest(match_stream(spark, source, state_bytes, phased), every, state_bytes)
+    stream = match_stream(spark, source, state_bytes, phased)
+    events = stateful_digest(stream, every, state_bytes, buckets=8, in_order=True)
     query = S.write_events(events, f"{out}/events", f"{out}/checkpoint")
     query.awaitTermination()
     return query
@@ -116,11 +117,56 @@ def test_hot_rule_in_a_stream_is_split(spark, folder):
     assert rows_of(spark.read.parquet(f"{folder}/events")) == digests(rows, 7, 40, phases_of(spark, rows, 7))
 
 
-def test_capped_batches_give_the_same(spark, folder):
+@pytest.mark.parametrize("engine", ["tables", "state_store"])
+def test_restart_under_other_partitions(spark, folder, engine):
+    """A job goes on where it stopped, whatever the number of shuffle partitions is now."""
+    rows = in_time_order(make_records(300))
+    rules = zipf_rules(spark, 30, 4.0, 1.0)
+    schema = spark.createDataFrame([], SCHEMA).schema
+    os.makedirs(f"{folder}/in")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    options = {"engine": engine, "in_order": True, "max_per_trigger": 1, "buckets": 16}
+    try:
+        for i, partitions in enumerate((4, 6, 3)):
+            spark.conf.set("spark.sql.shuffle.partitions", partitions)
+            add_file(spark, rows[i * 100 : i * 100 + 100], f"{folder}/in", i)
+            records = S.file_records(spark, f"{folder}/in", schema, max_per_trigger=1)
+            start_job(records, rules, folder, 5, 48, **options).awaitTermination()
+        for changed in ({"every": 6}, {"state_bytes": 64}, {"hash": "md5"}, {"random_phase": True}):
+            with pytest.raises(ValueError, match="was kept with"):
+                start_job(records, rules, folder, **({"every": 5, "state_bytes": 48} | options | changed))
+        if engine == "state_store":
+            with pytest.raises(ValueError, match="was kept with"):
+                start_job(records, rules, folder, 5, 48, **(options | {"buckets": 32}))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    got = sorted((r.key, bytes(r.value)) for r in spark.read.parquet(f"{folder}/events").collect())
+    want = pack_digests(digest_records(spark.read.parquet(f"{folder}/in"), rules, 5, 48), 48)
+    assert got == sorted((r.key, bytes(r.value)) for r in want.collect()) and got
+
+
+def test_in_order_asks_for_a_cap(spark, folder):
+    rules = zipf_rules(spark, 3, 1.0, 1.0)
+    with pytest.raises(ValueError, match="max_per_trigger"):
+        start_job(spark.readStream.format("rate").load(), rules, folder, engine="state_store", in_order=True)
+
+
+def test_stream_matches_all_kinds(spark, folder):
     rows = in_time_order(make_records(200))
-    write_files(spark, rows, 2, f"{folder}/in")
-    run_sets(spark, f"{folder}/in", folder, 7, 40, batch_records=1000)
-    assert rows_of(spark.read.parquet(f"{folder}/events")) == digests(rows, 7, 40)
+    write_files(spark, rows, 3, f"{folder}/in")
+    rules = zipf_rules(spark, 20, 2.0, 1.0)
+    scanned = spark.createDataFrame([(f"scan_{i}", i) for i in range(5)], "rule_id string, digit int")
+    kinds = {
+        "scanned": (scanned, lambda record, rule: F.pmod(record("first_long"), F.lit(5)) == rule["digit"]),
+        "predicates": {"late": lambda record: F.pmod(F.unix_millis(record("ts")), F.lit(2)) == 0},
+    }
+    schema = spark.createDataFrame([], SCHEMA).schema
+    source = S.file_records(spark, f"{folder}/in", schema, max_per_trigger=1)
+    S.write_events(stream_match(prepare_records(source), rules, **kinds), f"{folder}/events", f"{folder}/checkpoint").awaitTermination()
+    batch = match_records(prepare_records(spark.read.parquet(f"{folder}/in")), rules, **kinds)
+    pair = ["rule_id", "record_id"]
+    got = sorted(spark.read.parquet(f"{folder}/events").select(*pair).collect())
+    assert got == sorted(batch.select(*pair).collect()) and len({r.rule_id for r in got}) > 6
 
 
 def test_foreign_state_is_refused(spark, folder):
@@ -299,7 +345,7 @@ def test_job_writes_packed_events(spark, folder, engine):
     rules = zipf_rules(spark, 30, 4.0, 1.0)
     schema = spark.createDataFrame([], SCHEMA).schema
     records = S.file_records(spark, f"{folder}/in", schema, max_per_trigger=1)
-    start_job(records, rules, folder, 5, 48, True, engine=engine).awaitTermination()
+    start_job(records, rules, folder, 5, 48, True, engine=engine, in_order=True, max_per_trigger=1).awaitTermination()
     got = sorted((r.key, bytes(r.value)) for r in spark.read.parquet(f"{folder}/events").collect())
     want = pack_digests(digest_records(spark.read.parquet(f"{folder}/in"), rules, 5, 48, True), 48)
     assert got == sorted((r.key, bytes(r.value)) for r in want.collect()) and got
