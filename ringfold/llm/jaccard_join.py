@@ -32,6 +32,9 @@ LEAST_PERCENT = 80
 SAMPLE = 32
 SAMPLE_HITS = 3
 MOST_FREQUENT = 1 << 18
+#: Members of a list beyond which it has more than one that all others are compared with, and how many.
+LONG_LIST = 32
+MORE_PIVOTS = 16
 #: Documents to fetch up to which their ids are broadcast.
 BROADCAST_IDS = 500_000
 
@@ -202,6 +205,12 @@ def jaccard_components(
     first = first.select(F.least("rep", "pivot").alias("a"), F.greatest("rep", "pivot").alias("b")).distinct()
     known, edges = _verified(texts, heads, stored(first, "jaccard-pairs"), words, percent)
     components = connected_components(edges)
+    # long lists ask several more of their members, of those that are not linked yet
+    more = stored(_more_pivots(lists, components, known, percent), "jaccard-pairs")
+    if more.count():
+        compared, links = _verified(texts, heads, more, words, percent)
+        known, edges = known.unionByName(compared), edges.unionByName(links)
+        components = connected_components(edges)
     # then whatever is still open between components
     again = stored(_open_pairs(lists, pivots, components, known, percent), "jaccard-pairs")
     if again.count():
@@ -240,6 +249,10 @@ def _small(ids: DataFrame) -> DataFrame:
     return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
 
 
+def _members(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("doc")).union(pairs.select("b")).distinct()
+
+
 def _repeats(rows: DataFrame) -> bool:
     """Whether an id has several rows."""
     return bool(rows.groupBy("doc").count().where("count > 1").head(1))
@@ -253,7 +266,7 @@ def _verified(
     Whole sets are only fetched of pairs whose prefixes allow a link: what two sets have in
     common is in both prefixes, or behind the prefix of one of them.
     """
-    docs = _small(stored(pairs.select(F.explode(F.array("a", "b")).alias("doc")).distinct(), "jaccard-members"))
+    docs = _small(stored(_members(pairs), "jaccard-members"))
     known = stored(heads.select("doc", "n", "prefix").join(docs, "doc"), "jaccard-known-prefixes")
 
     def side(doc: str, n: str, prefix: str) -> DataFrame:
@@ -264,12 +277,27 @@ def _verified(
     most = F.least(F.size(F.array_intersect("p", "q")) + behind, "m", "n")
     open_pairs = met.where(most * (100 + percent) >= (F.col("m") + F.col("n")) * percent).select("a", "b").distinct()
     open_pairs = stored(open_pairs, "jaccard-open-pairs")
-    wanted = stored(open_pairs.select(F.explode(F.array("a", "b")).alias("doc")).distinct(), "jaccard-wanted")
+    wanted = stored(_members(open_pairs), "jaccard-wanted")
     sets = _sets(texts.where(F.col("doc").isNotNull()), wanted, words)
     compared = stored(_compared(open_pairs, sets), "jaccard-known")
     return compared, compared.where(F.col("common") * 100 >= F.col("united") * percent).select("a", "b").distinct()
 
 
+def _more_pivots(lists: DataFrame, components: DataFrame, known: DataFrame, percent: int) -> DataFrame:
+    """Members of long lists with ``MORE_PIVOTS`` common ones that are not of their component."""
+    draws = [F.min(F.struct(F.xxhash64("rep", F.lit(i)).alias("draw"), "rep", "n")) for i in range(MORE_PIVOTS)]
+    long = lists.groupBy("gram").agg(F.count("*").alias("members"), F.array(*draws).alias("pivots"))
+    long = stored(long.where(F.col("members") > LONG_LIST).select("gram", "pivots"), "jaccard-long-lists")
+    met = lists.select("gram", "rep", "n").join(long, "gram").select("rep", "n", F.explode("pivots").alias("pivot"))
+    met = met.select("rep", "n", F.col("pivot.rep").alias("other"), F.col("pivot.n").alias("m")).where("rep <> other").distinct()
+    met = met.where(F.least("n", "m") * 100 >= F.greatest("n", "m") * percent)
+    for end in ("rep", "other"):
+        of = components.select(F.col("node").alias(end), F.col("component").alias(f"of_{end}"))
+        met = met.join(of, end, "left").withColumn(f"of_{end}", F.coalesce(f"of_{end}", end))
+    met = met.where("of_rep <> of_other").select(F.least("rep", "other").alias("a"), F.greatest("rep", "other").alias("b"))
+    return met.distinct().join(known.select("a", "b"), ["a", "b"], "left_anti")
+
+
 def _open_pairs(lists: DataFrame, pivots: DataFrame, components: DataFrame, known: DataFrame, percent: int) -> DataFrame:
     """Pairs of a list in different components that may be linked and were not compared."""
     of = components.withColumnRenamed("node", "rep")
