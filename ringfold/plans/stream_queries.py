@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ringfold.functions.payload import event_unpack
@@ -67,7 +67,15 @@ def stream_job(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{path}/events").select("key", *kept)
 
 
-@register("stream_restart", STREAMED_DIGEST)
+@register(
+    "stream_restart",
+    sql.query(
+        *EVENT_MATCHES,
+        sql.numbered(EVERY),
+        sql.digest(EVERY),
+        select="SELECT rule_id, n, total, start_ms, end_ms FROM digests",
+    ),
+)
 def stream_restart(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A job on the state store that stops after half of the input and goes on elsewhere.
 
@@ -88,9 +96,7 @@ def stream_restart(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = spark.read.parquet(f"{path}/events")
     fields = event_unpack(F.col("value"))
     kept = [fields[name].alias(name) for name in ("n", "total", "start_ms", "end_ms")]
-    order = Window.partitionBy("rule_id").orderBy("end_ms", "batch_id")
-    digests = events.select(F.col("key").alias("rule_id"), "batch_id", *kept)
-    return digests.withColumn("cycle", F.row_number().over(order) - 1).drop("batch_id")
+    return events.select(F.col("key").alias("rule_id"), *kept)
 
 
 def record_highs() -> Fold:
