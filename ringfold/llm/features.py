@@ -2,14 +2,21 @@
 
 from __future__ import annotations
 
+import operator
 import re
+from collections import Counter
 
 import numpy as np
 
-_TOKEN = re.compile(r"\S+")
-_LETTERS = re.compile(r"[^\W\d_]+")
-_OBFUSCATED = re.compile(r"[^\W\d_]+[\d@$*!#%&]+[^\W\d_]+|(?:(?<!\S)[^\W\d_][\s._-]){3,}")
-_LINK = re.compile(r"https?:|www\.|\S@\S")
+_OBFUSCATED = re.compile(r"(?<![^\W\d_])[^\W\d_]+[\d@$*!#%&]+[^\W\d_]|(?:(?<!\S)[^\W\d_][\s._-]){3,}")
+#: Per byte, what it counts as: letters, capitals, digits, punctuation, white space.
+_BYTES = [bytes([c]) for c in range(128)]
+_CAPITAL = np.array([c < 128 and _BYTES[c].isupper() for c in range(256)])
+_LETTER = np.array([c < 128 and _BYTES[c].isalpha() for c in range(256)])
+_DIGIT = np.array([c < 128 and _BYTES[c].isdigit() for c in range(256)])
+_SPACE = np.array([c < 128 and _BYTES[c].isspace() for c in range(256)])
+_PUNCTUATION = np.array([32 < c < 127 for c in range(256)]) & ~_LETTER & ~_DIGIT
+_CONTINUES = np.array([128 <= c < 192 for c in range(256)])
 
 #: Forms of address of the four languages.
 SECOND_PERSON = frozenset(
@@ -45,51 +52,59 @@ _SYMBOLS = frozenset("#$%&*@^~=+<>\\{}[]_`")
 
 
 def shape(text: str) -> list[float]:
-    """``SHAPE_NAMES`` of a text, as rates; an empty text is all zeros."""
-    tokens = _TOKEN.findall(text)
+    """``SHAPE_NAMES`` of a text, as rates; an empty text is all zeros.
+
+    Characters beyond ASCII count as letters.
+    """
+    tokens = text.split()
     n = len(tokens)
     if not n:
         return [0.0] * len(SHAPE_NAMES)
-    chars = len(text)
-    letters = sum(map(len, _LETTERS.findall(text)))
-    capitals = len(re.findall("[A-ZÀ-ÖØ-Þ]", text))
-    digits = len(re.findall("[0-9]", text))
-    punctuation = len(re.findall(r"[!-/:-@\[-`{-~]", text))
-    counts: dict[str, int] = {}
-    for t in tokens:
-        counts[t] = counts.get(t, 0) + 1
-    marked = sum(c for t, c in counts.items() if len(t) > 1 and t[-1] in _SYMBOLS)
-    shouted = sum(c for t, c in counts.items() if len(t) > 2 and t.isupper())
-    short = sum(c for t, c in counts.items() if len(t) == 1)
-    long = sum(c for t, c in counts.items() if len(t) > 12)
-    bars = counts.get("|", 0)
-    ends = sum(c for t, c in counts.items() if t[-1] in ".!?")
-    address = sum(c for t, c in counts.items() if t.lower().strip(".,!?") in SECOND_PERSON)
-    same = sum(map(str.__eq__, tokens, tokens[1:]))
-    lines = [line for line in text.split("\n") if line.strip()]
+    bins = np.bincount(np.frombuffer(text.encode("utf-8", "replace"), np.uint8), minlength=256)
+    chars = int(bins.sum() - bins[_CONTINUES].sum())
+    wide = chars - int(bins[:128].sum())
+    letters = int(bins[_LETTER].sum()) + wide
+    punctuation = int(bins[_PUNCTUATION].sum())
+    counts = Counter(tokens)
+    marked = shouted = short = long = ends = address = 0
+    for t, c in counts.items():
+        size, last = len(t), t[-1]
+        if size == 1:
+            short += c
+        elif last in _SYMBOLS:
+            marked += c
+        if size > 12:
+            long += c
+        if size > 2 and t.isupper():
+            shouted += c
+        if last in ".!?":
+            ends += c
+        if size < 14 and t.lower().strip(".,!?") in SECOND_PERSON:
+            address += c
+    lines = [line for line in text.split("\n") if line and not line.isspace()]
     capital_lines = sum(len(line) for line in lines if line.isupper())
-    obfuscated = len(_OBFUSCATED.findall(text))
+    links = text.count("http://") + text.count("https://") + text.count("www.") + int(bins[64])
     return [
         float(np.log1p(n)),
         letters / n,
         long / n,
         short / n,
-        capitals / max(1, letters),
+        int(bins[_CAPITAL].sum()) / max(1, letters),
         shouted / n,
-        digits / chars,
+        int(bins[_DIGIT].sum()) / chars,
         punctuation / chars,
-        text.count("!") / n,
-        bars / n,
+        int(bins[33]) / n,
+        counts.get("|", 0) / n,
         marked / n,
         len(counts) / n,
-        same / n,
+        sum(map(operator.eq, tokens, tokens[1:])) / n,
         max(counts.values()) / n,
         float(np.log1p(n / max(1, len(lines)))),
         1 - len(set(lines)) / max(1, len(lines)),
         capital_lines / chars,
-        max(0, chars - letters - digits - punctuation - text.count(" ") - text.count("\n")) / chars,
-        len(_LINK.findall(text)) / n,
-        obfuscated / n,
+        wide / chars,
+        links / n,
+        len(_OBFUSCATED.findall(text)) / n,
         address / n,
         ends / n,
     ]

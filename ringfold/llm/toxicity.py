@@ -10,9 +10,11 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 from typing import NamedTuple
 
+import numpy as np
 import pyarrow as pa
 from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -34,6 +36,8 @@ LEAST_LOG_ODDS = 1.0
 STEMS = (4, 5, 6)
 #: Words to either side in which a second person counts as close.
 NEAR = 3
+#: Different words whose odds a task remembers.
+REMEMBERED_WORDS = 200_000
 TREES = 20
 DEPTH = 4
 
@@ -59,42 +63,57 @@ def _stems(word: str) -> list[str]:
     return [word[:n] for n in STEMS if len(word) >= n]
 
 
-def lexicon_features(text: str, words: dict[str, float], stems: dict[str, float]) -> list[float]:
-    found = _words(text)
-    n = len(found)
-    if not n:
-        return [0.0] * 9
-    counts: dict[str, int] = {}
-    for w in found:
-        counts[w] = counts.get(w, 0) + 1
-    hits = {w: words[w] for w in counts if w in words}
-    by_stem = {w: max((stems.get(s, 0.0) for s in _stems(w)), default=0.0) for w in counts}
-    by_stem = {w: v for w, v in by_stem.items() if v > 0}
-    hit = sum(counts[w] for w in hits)
-    stem_hit = sum(counts[w] for w in by_stem)
-    near = 0
-    if hits or by_stem:
-        people = [i for i, w in enumerate(found) if w in SECOND_PERSON]
-        marks = [i for i, w in enumerate(found) if w in hits or w in by_stem]
-        near = sum(1 for i in marks if any(abs(i - p) <= NEAR for p in people)) if len(people) * len(marks) < 10_000 else len(marks)
-    return [
-        hit / n,
-        math.log1p(hit),
-        sum(counts[w] * v for w, v in hits.items()) / n,
-        max(hits.values(), default=0.0),
-        stem_hit / n,
-        math.log1p(stem_hit),
-        sum(counts[w] * v for w, v in by_stem.items()) / n,
-        max(by_stem.values(), default=0.0),
-        near / n,
-    ]
+class Lexicons:
+    """Log odds of words and of beginnings of words; remembers the words it has met."""
+
+    def __init__(self, words: dict[str, float], stems: dict[str, float]):
+        self._words, self._stems = words, stems
+        self._met: dict[str, tuple[float, float]] = {}
+
+    def odds(self, word: str) -> tuple[float, float]:
+        got = self._met.get(word)
+        if got is None:
+            if len(self._met) >= REMEMBERED_WORDS:
+                self._met.clear()
+            got = self._words.get(word, 0.0), max([self._stems.get(s, 0.0) for s in _stems(word)], default=0.0)
+            self._met[word] = got
+        return got
+
+    def features(self, text: str) -> list[float]:
+        found = _words(text)
+        n = len(found)
+        if not n:
+            return [0.0] * 9
+        hit = stem_hit = 0
+        total = stem_total = most = stem_most = 0.0
+        marks = set()
+        for w, c in Counter(found).items():
+            whole, stem = self.odds(w)
+            if whole > 0:
+                hit, total, most = hit + c, total + c * whole, max(most, whole)
+            if stem > 0:
+                stem_hit, stem_total, stem_most = stem_hit + c, stem_total + c * stem, max(stem_most, stem)
+            if whole > 0 or stem > 0:
+                marks.add(w)
+        near = 0
+        if marks:
+            # places within reach of a second person
+            reach = np.zeros(n + 2 * NEAR + 1, np.int64)
+            people = np.flatnonzero([w in SECOND_PERSON for w in found])
+            np.add.at(reach, people, 1)
+            np.add.at(reach, people + 2 * NEAR + 1, -1)
+            close = np.cumsum(reach)[NEAR : NEAR + n] > 0
+            near = int((close & np.array([w in marks for w in found])).sum())
+        values = (hit / n, math.log1p(hit), total / n, most, stem_hit / n, math.log1p(stem_hit), stem_total / n, stem_most)
+        return [*values, near / n]
 
 
 def _featured(rows: DataFrame, words: dict[str, float], stems: dict[str, float], carry: list[str]) -> DataFrame:
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lexicons = Lexicons(words, stems)
         for batch in batches:
             texts = [t.as_py() or "" for t in batch.column("text")]
-            values = [shape(t) + lexicon_features(t, words, stems) for t in texts]
+            values = [shape(t) + lexicons.features(t) for t in texts]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(c) for c in carry] + [pa.array(values, pa.list_(pa.float64()))], names=[*carry, "values"]
             )
