@@ -107,7 +107,10 @@ def estimate_prior(positive: np.ndarray, unlabelled: np.ndarray, seed: int = 3)
     A network tells half of both apart. On the other half, unlabelled rows with the scores
     that positives have are nearly all positive: the ratio of the shares above a threshold
     bounds the prior, and the threshold with the least upper confidence bound is taken.
+    Fewer than four rows of a kind say nothing: 0.5.
     """
+    if min(len(positive), len(unlabelled)) < 4:
+        return 0.5
     rng = np.random.default_rng(seed)
     p, u = rng.permutation(positive), rng.permutation(unlabelled)
     net = fit_network(p[::2], u[::2], None, seed)
