@@ -103,16 +103,18 @@ def _flanks(
 
     Of the bytes of a string beyond its anchor, half or more are on one side. So two
     segments only share a string if what stands on a side of their anchors agrees so far.
-    0: no string of the segment has so much on that side. _ANY: the anchor has no one place.
+    0: no string of the segment has so much on that side. _ANY: the anchor's gram stands
+    more than once in the segment, so that strings differ in which of them they hold.
     """
     beyond = length - gram
     half = (beyond + 1) // 2
-    place = np.full(len(first), -1)
-    for k in range(beyond + 1):  # an anchor of all strings starts between the last start and here
-        at = np.minimum(last + k, len(grams) - 1)
-        place = np.where((place < 0) & (last + k <= first + beyond) & (grams[at] == least[first]), last + k, place)
+    within = np.lib.stride_tricks.sliding_window_view(grams, beyond + 1)
+    anchor = least[first][:, None]
+    # every string has the gram: the segment's first one is in its first string, the last one in its last
+    place = first + (within[first] == anchor).argmax(1)
+    again = last + beyond - (within[last, ::-1] == anchor).argmax(1)
     out = np.full(len(first), (_ANY << 11) | _ANY, np.uint64)
-    known = place >= 0
+    known = place == again
     at = place[known]
     before, after = np.maximum(at - half, 0), np.minimum(at + gram + half, len(sums) - 1)
     left = hash_spans(sums, inverse, before, at) % np.uint64(_ANY - 1) + np.uint64(1)

@@ -1,5 +1,7 @@
 """Operators over texts against plain Python, on rows with nulls, ties, repeats and long texts."""
 
+import random
+
 import brute
 import numpy as np
 import pytest
@@ -43,6 +45,29 @@ def test_repeats_by_string_in_many_shards(edge_docs, edge_rows, monkeypatch, man
     same(rows, brute.repeats([r[:2] for r in edge_rows], 30))
 
 
+def _pair_with_a_doubled_anchor(seed):
+    """Two texts with a passage that ends or begins beside a separator run or a doubled phrase."""
+    rng = random.Random(seed)
+
+    def words(n):
+        return "".join(rng.choices("abcdefghijklmnopqrstuvwxyz ", k=n))
+
+    phrase = words(16)
+    twice = [rng.choice("-.=*") * rng.randint(17, 33), phrase * 2, phrase + words(rng.randint(1, 17)) + phrase][seed % 3]
+    passage = words(rng.randint(35, 60)) + twice + words(rng.randint(35, 60))
+    return [words(70) + passage[rng.randint(0, 45) : len(passage) - rng.randint(0, 60)] + words(70) for _ in range(2)]
+
+
+def test_repeats_with_a_doubled_anchor(spark):
+    # the first seeds are ones where the two segments of a passage's edge have unlike bytes around the first of the two
+    seeds = [97, 958, 1119, 1125, 1338, 4120, 7373, *range(60)]
+    texts = [t for seed in seeds for t in _pair_with_a_doubled_anchor(seed)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = remove_repeats(docs, keep=["doc_id"])
+    rows = found.selectExpr("row.doc_id", "n_bytes", "n_removed", "n_spans", "sha2(kept, 256)").collect()
+    same(rows, brute.repeats(list(enumerate(texts)), 50))
+
+
 def test_repeats_under_one_id(spark):
     """Texts that share an id are judged apart and do not remove from each other."""
     one, two = "abcdefghij" * 8, "0123456789abcdefghijklmnop" * 4
