@@ -223,17 +223,20 @@ class TextEncoder:
     Such a tokenizer takes a single space as the start of the word after it and joins neither
     to what stands before, so a text may be cut before each space between two characters
     that are no white space, and each word be encoded once per task. Where spaces meet other
-    white space, the words around stay together.
+    white space, the words around stay together. A text that holds an added token, such as
+    an end of text, is encoded as a whole.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(path)
-        tokenizer.encode_special_tokens = True
+        self._added = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
         self._words = _Pieces(tokenizer)
 
     def __call__(self, text: str) -> bytes:
+        if any(t in text for t in self._added):
+            return self._words.encode(text)
         first, *rest = text.split(" ")
         if _ends_word(first):
             try:
