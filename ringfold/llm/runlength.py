@@ -1,4 +1,7 @@
-"""A run-length compressed Burrows-Wheeler index of short texts, for long common substrings."""
+"""A run-length compressed Burrows-Wheeler transform of short texts, for long common substrings.
+
+What is common comes from the suffix sort that builds the transform, not from backward search.
+"""
 
 from __future__ import annotations
 
@@ -12,7 +15,8 @@ class RunLengthIndex:
     by prefix doubling, every text ending in a separator of its own. Of the transform the
     runs stay: their symbols, first rows, where they lead one step to the left, and the
     text positions at both ends of a run. Of the suffixes that agree in ``length`` bytes,
-    which lie next to each other, the least owner stays.
+    which lie next to each other, the least owner stays; prefix doubling over the whole
+    texts finds them. The ends of runs are not read yet.
     """
 
     def __init__(self, texts: list[bytes], owners: np.ndarray, length: int):
@@ -84,9 +88,10 @@ class RunLengthIndex:
     def matches(self, texts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """``(text, start)`` of every ``length`` bytes that also start in a text of a smaller owner.
 
-        The texts of the given numbers, by default all, are streamed through the index from
-        right to left, one symbol per step; a matching statistic that reaches ``length`` in
-        a smaller owner is a match.
+        The rows of the texts of the given numbers, by default all, are followed from right to
+        left, one symbol per step. Every text is in the index itself, so no step fails and no
+        matching statistic is kept: a suffix is a match if the least owner of those that agree
+        with it in ``length`` bytes is smaller.
         """
         text = np.arange(len(self.sizes)) if texts is None else texts
         rows = text.copy()  # separators come first, in the order of the texts

@@ -6,8 +6,8 @@ Equal strings have equal anchors: consecutive strings with one anchor make a seg
 some 70 bytes, and only segments of one anchor can hold equal strings. Most anchors are in
 one document only and go no further. Equal segments are settled by their hashes. What is
 left, different segments of one anchor, are the edges of repeated passages; their bytes
-are fetched and indexed, many anchors to an index, and streamed through it. Only where one
-anchor has very many different segments, their strings are compared one by one instead.
+are fetched and indexed, many anchors to an index, and looked up in it by the order of their
+suffixes. Only where one anchor has very many different segments, their strings are compared one by one instead.
 """
 
 from __future__ import annotations
