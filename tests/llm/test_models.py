@@ -1,5 +1,7 @@
 """Models: defined results on odd rows, held-out accuracy on the given tables, recall against brute force."""
 
+import os
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -128,6 +130,56 @@ def test_near_embeddings(spark, piece):
     assert near_embeddings(vectors.limit(0)).count() == 0
 
 
+def _true_links(ids, vectors, labels):
+    """Pairs of one label with a cosine of 0.93 or more, by comparing all."""
+    unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+    links = {}
+    for label in np.unique(labels):
+        own = np.flatnonzero(labels == label)
+        near = (unit[own] @ unit[own].T >= 0.93).sum(axis=1) - 1
+        links |= dict(zip(ids[own].tolist(), near.tolist()))
+    return links
+
+
+def _recall(found, want):
+    got = {r.vec_id: r.n_links for r in found.collect()}
+    assert got.keys() == want.keys() and all(got[i] <= n for i, n in want.items())
+    return sum(got.values()) / sum(want.values())
+
+
+def test_recall_of_the_query(spark, sf_dir):
+    """With the query's own tables, on its own table; the small ones have no near pairs."""
+    large = os.path.join(os.path.dirname(sf_dir), "check_s")
+    if not os.path.isdir(large):
+        pytest.skip("no table with near pairs")
+    rows = table(spark, large, "embeddings").select("vec_id", "embedding", "label").collect()
+    ids, labels = np.array([r.vec_id for r in rows]), np.array([r.label for r in rows])
+    want = _true_links(ids, np.array([r.embedding for r in rows], np.float64), labels)
+    recall = _recall(Q.op7_embeddings(spark, large), want)
+    print("recall", recall, "of", sum(want.values()) // 2, "pairs")
+    assert recall >= 0.9
+
+
+def test_recall_at_the_threshold(spark):
+    """Pairs whose cosines are 0.93 to 0.95, with the query's own tables."""
+    rng = np.random.default_rng(9)
+    a = rng.standard_normal((1500, 64))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    b = rng.standard_normal(a.shape)
+    b -= (a * b).sum(axis=1, keepdims=True) * a
+    b /= np.linalg.norm(b, axis=1, keepdims=True)
+    cosine = rng.uniform(0.931, 0.95, (len(a), 1))
+    vectors = np.concatenate([a, cosine * a + np.sqrt(1 - cosine**2) * b])
+    ids, labels = np.arange(len(vectors)), np.tile(np.arange(len(a)) % 7, 2)
+    docs = spark.createDataFrame(
+        list(zip(ids.tolist(), vectors.tolist(), labels.tolist())), "vec_id long, embedding array<double>, label int"
+    )
+    want = _true_links(ids, vectors, labels)
+    recall = _recall(near_embeddings(docs), want)
+    print("recall", recall, "of", sum(want.values()) // 2, "pairs")
+    assert recall >= 0.9
+
+
 def test_components(spark):
     chain = [(i, i + 1) for i in range(60)] + [(200, 100), (100, 200), (7, 7), (300, 301), (302, 301), (None, 5), (4, None)]
     got = {r.node: r.component for r in connected_components(spark.createDataFrame(chain, "a long, b long")).collect()}
