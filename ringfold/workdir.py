@@ -31,3 +31,12 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     path = work_dir(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def discard(df: DataFrame) -> None:
+    """Delete the rows of a table from `stored` that no later step reads any more."""
+    folders = {name.rsplit("/", 1)[0] for name in df.inputFiles()}
+    jvm, session = df.sparkSession._jvm, df.sparkSession._jsparkSession
+    for folder in folders:
+        path = jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(session.sessionState().newHadoopConf()).delete(path, True)
