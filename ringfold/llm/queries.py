@@ -14,15 +14,25 @@ from ringfold.llm.embeddings import near_embeddings
 from ringfold.llm.inputs import fold_of, table
 from ringfold.llm.jaccard_join import jaccard_components
 from ringfold.llm.language import fit_dictionaries, identify
+from ringfold.llm.manifest import MANIFEST_SQL, manifest_report
 from ringfold.llm.mixing import MIX_SQL, mix_sources
 from ringfold.llm.quality import fit_quality, score_quality
 from ringfold.llm.samples import training_rows
 from ringfold.llm.substring_dedup import remove_repeats
 from ringfold.llm.token_blocks import read_token_files, write_token_files
 from ringfold.llm.toxicity import fit_toxicity, score_toxicity
+from ringfold.llm.url_filter import judged_urls, rules_sql
+from ringfold.llm.vector_codes import CODES_SQL, coded_vectors
 
 TOKENIZER = "byte_bpe_50k.json"
 END_ID = 2
+URL_RULES = [
+    ("org", "/", "allow"),
+    ("example.org", "/es/", "block"),
+    ("example.org", "/en/1", "block"),
+    ("com", "/fr/", "allow"),
+    ("com", "/de/", "block"),
+]
 
 
 def _predictions(scored: DataFrame, folds: int, held_out: int) -> DataFrame:
@@ -85,9 +95,29 @@ def op10_token_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_token_files(write_token_files(docs, public_tokenizers.path(TOKENIZER), END_ID))
 
 
+def op11_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return coded_vectors(table(spark, sf_dir, "embeddings"))
+
+
+def op12_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest_report(table(spark, sf_dir, "documents"))
+
+
+def op13_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
+    return judged_urls(table(spark, sf_dir, "pages"), rules)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_decontaminate": REPORT_SQL, "op3_mixing": MIX_SQL, "op9_archives": ARCHIVE_SQL}
+    return {
+        "op2_decontaminate": REPORT_SQL,
+        "op3_mixing": MIX_SQL,
+        "op9_archives": ARCHIVE_SQL,
+        "op11_codes": CODES_SQL,
+        "op12_manifest": MANIFEST_SQL,
+        "op13_urls": rules_sql(URL_RULES),
+    }

@@ -11,8 +11,8 @@ def con(small_dir):
     return tables(small_dir)
 
 
-def test_ten_operators():
-    assert sorted(int(n[2:].split("_")[0]) for n in Q.queries()) == list(range(1, 11))
+def test_all_operators():
+    assert sorted(int(n[2:].split("_")[0]) for n in Q.queries()) == list(range(1, 14))
 
 
 @pytest.mark.parametrize("name", sorted(Q.oracle_sql()))
