@@ -85,7 +85,7 @@ def test_encoder_knows_added_tokens(encoder, plain, parts):
         assert np.frombuffer(encoder(text), "<u4").tolist() == plain(text)
 
 
-def test_token_files_of_added_tokens(spark, default):
+def test_token_files_of_added_tokens(spark, plain):
     texts = ["hello <|endoftext|> world", "hello world", "<|endoftext|><|endoftext|>", "a <|endoftext|"]
     got = read_token_files(write_token_files(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), TOKENIZER, 2))
     at, want = 0, []
@@ -93,7 +93,7 @@ def test_token_files_of_added_tokens(spark, default):
         ids = [*plain(text), 2]
         want.append((doc, at, len(ids), zlib.crc32(struct.pack(f"<{len(ids)}I", *ids))))
         at += len(ids)
-    assert default(texts[0]) == [31373, 220, 50256, 995]
+    assert plain(texts[0]) == [31373, 220, 50256, 995]
     assert sorted(map(tuple, got.collect())) == want
 
 
