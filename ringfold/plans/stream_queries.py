@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ringfold.functions.payload import event_unpack
-from ringfold.operators.folds import Fold, batch_fold, window_fold
+from ringfold.operators.digest import MAX_ROWS, split_hot_rules
+from ringfold.operators.folds import Fold, Merge, batch_fold, merge_fold, window_fold
 from ringfold.plans import sql
 from ringfold.plans import views as v
 from ringfold.plans.shared import (
@@ -27,7 +28,7 @@ from ringfold.plans.shared import (
 from ringfold.streaming.digest import start_digest_stream
 from ringfold.streaming.job import start_job
 from ringfold.streaming.state import stateful_digest
-from ringfold.workdir import work_dir
+from ringfold.workdir import stored, work_dir
 
 STREAMED_DIGEST = sql.query(
     *EVENT_MATCHES, sql.numbered(EVERY), sql.digest(EVERY), select=sql.DIGEST_ROWS
@@ -161,3 +162,50 @@ FROM placed GROUP BY rule_id, cycle HAVING count(*) = {EVERY}""",
 def custom_window_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     matches = sized(event_matches(spark, sf_dir), spark, sf_dir)
     return window_fold(matches, EVERY, window_ranges(EVERY), "rule_id string, cycle bigint, low bigint, high bigint")
+
+
+PAUSE_US = 3_600_000_000
+#: A rule with more than this share of all matches is folded in parts.
+HOT_PART = 16
+
+
+def pauses(longest_us: int) -> tuple[Fold, Merge]:
+    """A consumer of one's own: an event for each record that comes more than a while after the one before.
+
+    The state is the first and last time and the number of records, so states of two
+    stretches merge; the event carries the record's number within the whole rule.
+    """
+
+    def fold(key: str, state: tuple | None, rows: pd.DataFrame) -> tuple[tuple, list[tuple]]:
+        at = rows["ts"].to_numpy().astype("datetime64[us]").astype(np.int64)
+        first, last, n = state or (int(at[0]), int(at[0]), 0)
+        gap = np.diff(np.concatenate([[last], at]))
+        late = np.flatnonzero(gap > longest_us)
+        ids = rows["record_id"].to_numpy()
+        out = [(key, int(ids[i]), n + int(i) + 1, int(gap[i])) for i in late]
+        return (first, int(at[-1]), n + len(rows)), out
+
+    def merge(earlier: tuple, later: tuple) -> tuple:
+        return earlier[0], later[1], earlier[2] + later[2]
+
+    return fold, merge
+
+
+@register(
+    "custom_merge_digest",
+    sql.query(
+        *EVENT_MATCHES,
+        """
+followed AS (
+  SELECT rule_id, record_id, row_number() OVER w AS n, epoch_us(ts) - lag(epoch_us(ts)) OVER w AS pause_us
+  FROM matches WINDOW w AS (PARTITION BY rule_id ORDER BY ts, record_id)
+)""",
+        select=f"SELECT rule_id, record_id, n, pause_us FROM followed WHERE pause_us > {PAUSE_US}",
+    ),
+)
+def custom_merge_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    matches = stored(event_matches(spark, sf_dir), "merge-matches")
+    most = max(1, min(MAX_ROWS, matches.count() // HOT_PART))
+    fold, merge = pauses(PAUSE_US)
+    found = split_hot_rules(matches, most) or matches
+    return merge_fold(found, fold, merge, "rule_id string, record_id bigint, n bigint, pause_us bigint")

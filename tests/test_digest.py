@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ringfold.functions.ring import keyed_hash
 from ringfold.operators import digest as D
 from ringfold.operators.fanout import PHASE_SEED, prepare_records
+from ringfold.operators.folds import batch_fold, merge_fold
 from ringfold.operators.rules import zipf_rules
 from ringfold.plans.dataflow import digest_records
 from ringfold.sources.records import generate_records
@@ -131,3 +132,55 @@ def test_digest_plan_has_one_shuffle_and_no_python(spark):
     matches = spark.createDataFrame([], "rule_id string, record_id bigint, ts timestamp, first_long bigint")
     plan = D.count_window_digest(matches, 10)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange") == 1 and "Python" not in plan and "SortAggregate" not in plan
+
+
+def ups_and_downs():
+    """A fold whose state depends on order: the last value, the sum of rises so far, and the number of rows."""
+
+    def fold(key, state, rows):
+        out = []
+        for record_id, x in zip(rows["record_id"], rows["first_long"]):
+            first, last, rises, n = state or (x, x, 0, 0)
+            rises += max(0, int(x) - int(last)) % 1000
+            state = (int(first), int(x), rises, n + 1)
+            out.append((key, int(record_id), rises, n + 1))
+        return state, out
+
+    def merge(a, b):
+        return a[0], b[1], a[2] + b[2] + max(0, b[0] - a[1]) % 1000, a[3] + b[3]
+
+    return fold, merge
+
+
+@pytest.mark.parametrize("same_ts", [False, True])
+def test_merged_fold_equals_sequential_fold(spark, same_ts):
+    fold, merge = ups_and_downs()
+    rows = make_records(900, same_ts=same_ts)
+    matches = matches_of(spark, rows, 32)
+    schema = "rule_id string, record_id bigint, rises bigint, n bigint"
+    want = sorted(batch_fold(matches, fold, schema).collect())
+    # "hot" has more than half of the rows, the others are left whole or split too
+    for most in (60, 200, 10_000):
+        split = D.split_hot_rules(matches, most) or matches
+        assert sorted(merge_fold(split, fold, merge, schema).collect()) == want
+    hot = D.split_hot_rules(matches, 60)
+    parts = hot.rows.where("rule_id = 'hot'").groupBy("part").count().collect()
+    assert len(parts) > 8 and max(r["count"] for r in parts) < 120
+    assert len(want) == 900
+
+
+def test_merged_fold_with_nulls_and_more_columns(spark):
+    def fold(key, state, rows):
+        assert set(rows.columns) == {"rule_id", "record_id", "ts", "first_long", "extra", "kind"}
+        assert str(rows["first_long"].dtype) == "int64"
+        n = (state or (0,))[0]
+        return (n + len(rows),), [(key, n + len(rows))]
+
+    base = spark.range(100).selectExpr(
+        "if(id % 2 = 0, 'a', 'b') AS rule_id", "id AS record_id", "if(id % 3 = 0, null, timestamp_seconds(id)) AS ts",
+        "id AS first_long", "if(id % 5 = 0, null, 'x') AS extra", "array(id) AS kind",
+    )
+    split = D.split_hot_rules(base, 10)
+    got = merge_fold(split, fold, lambda a, b: (a[0] + b[0],), "rule_id string, n bigint").groupBy("rule_id").agg(F.max("n").alias("n"))
+    assert sorted(got.collect()) == [("a", 50), ("b", 50)]
+    assert merge_fold(base.limit(0), fold, None, "rule_id string, n bigint").collect() == []
