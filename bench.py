@@ -69,6 +69,16 @@ def fanout(n: int, s: float) -> Callable[[SparkSession, str], DataFrame]:
     return run
 
 
+def large_fanout(n: int, s: float, broadcast_bytes: int) -> Callable[[SparkSession, str], DataFrame]:
+    """An index below the broadcast size, or beyond it: coarse levels are broadcast, the deepest are shuffled."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        rules = zipf_rules(spark, n, 0.2, s)
+        return ring_range_join(prepare_records(line_records(spark, sf_dir)), rules, broadcast_bytes=broadcast_bytes)
+
+    return run
+
+
 def digest(n: int, s: float) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         prepared = prepare_records(line_records(spark, sf_dir), random_phase=True)
@@ -82,6 +92,9 @@ def plans() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     for label, n in SIZES.items():
         for s in (0.0, 1.0):
             chosen[f"fanout_{label}_rules_s{s:g}"] = fanout(n, s)
+    for s in (0.0, 1.0):
+        chosen[f"fanout_3e6_rules_s{s:g}_broadcast"] = large_fanout(3_000_000, s, 1 << 30)
+        chosen[f"fanout_3e6_rules_s{s:g}_shuffled"] = large_fanout(3_000_000, s, 64 << 20)
     chosen["digest_1e3_rules_s1"] = digest(1_000, 1.0)
     chosen["digest_1e6_rules_s0"] = digest(1_000_000, 0.0)
     return chosen

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping
+from collections.abc import Callable, Iterable, Mapping
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -16,6 +16,14 @@ BROADCAST_BYTES = 128 << 20
 ROW_BYTES = 64
 MAX_SALTS = 64
 PARTITIONS_PER_SALT = 16
+#: A segment is hot with more than this share of an even partition's look-ups.
+HEAVY_SHARE = 0.25
+#: Bounds on the hot segments that are told apart, and on the tasks one is spread over.
+MAX_HEAVY = 20_000
+MAX_COPIES = 4096
+#: Bits per index row in the bitmap of occupied segments, and what a broadcast word of it takes.
+OCCUPANCY_BITS = 16
+WORD_BYTES = 32
 # Fixed value: the default seed of random phases.
 PHASE_SEED = 8902763414119392010
 
@@ -76,6 +84,55 @@ def _salted(probes: DataFrame, index: DataFrame, key: str, salts: int | None) ->
     return probes.withColumn("salt", salt).join(index.withColumn("salt", copies), [key, "salt"])
 
 
+def heavy_nodes(probes: DataFrame, partitions: int, share: float = HEAVY_SHARE) -> DataFrame | None:
+    """Measured hot segments ``(node, salts)``: those with more than ``share`` of a partition's probes.
+
+    One pass with a sketch of frequent items, whose size does not depend on the records.
+    A segment gets as many salts as it needs to leave no task more than its share. There
+    are at most ``partitions / share`` such segments, which bounds the table; None without any.
+    """
+    most = int(min(MAX_HEAVY, -(-partitions // share)))
+    top = F.expr(f"approx_top_k(node, {most}, {4 * most})")
+    found = probes.agg(F.count("*").alias("total"), top.alias("top")).first()
+    fair = share * found["total"] / partitions
+    hot = [(r["item"], -(-r["count"] // max(1, int(fair)))) for r in found["top"] or [] if r["count"] > max(fair, 1)]
+    if not hot:
+        return None
+    return probes.sparkSession.createDataFrame([(n, int(min(s, MAX_COPIES))) for n, s in hot], "node bigint, salts int")
+
+
+def _salted_where_hot(probes: DataFrame, index: DataFrame, hot: DataFrame) -> DataFrame:
+    """Shuffle join in which only hot segments are spread; other index rows have one copy."""
+    hot = F.broadcast(hot)
+    salts = F.coalesce("salts", F.lit(1))
+    salted = probes.join(hot, "node", "left").withColumn("salt", F.pmod(F.xxhash64("record_id"), salts).cast("int")).drop("salts")
+    copies = index.join(hot, "node", "left").withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("salts")
+    return salted.join(copies, ["node", "salt"])
+
+
+def occupancy(index: DataFrame, bits: int) -> DataFrame:
+    """A bitmap of occupied segments, hashed to ``bits`` bits: rows ``(word, filled)`` of 64 bits each."""
+    bit = _occupancy_bit(F.col("node"), bits)
+    mask = F.call_function("shiftleft", F.lit(1).cast("bigint"), (bit % 64).cast("int"))
+    return index.groupBy(F.floor(bit / 64).cast("bigint").alias("word")).agg(F.bit_or(mask).alias("filled"))
+
+
+def _occupancy_bit(node: Column, bits: int) -> Column:
+    return F.pmod(F.xxhash64(node), F.lit(bits))
+
+
+def _occupied(probes: DataFrame, index: DataFrame, rows: int, budget: int) -> DataFrame:
+    """Probes whose segment may hold a rule. The bitmap is broadcast; it is left out if not even a small one fits."""
+    bits = 64 * max(1, min(rows * OCCUPANCY_BITS // 64, budget // WORD_BYTES))
+    if bits < 2 * rows:
+        return probes
+    bit = _occupancy_bit(F.col("node"), bits)
+    filled = F.broadcast(occupancy(index, bits))
+    met = probes.withColumn("word", F.floor(bit / 64).cast("bigint")).join(filled, "word")
+    hit = F.call_function("shiftright", F.col("filled"), (bit % 64).cast("int")).bitwiseAND(F.lit(1)) == 1
+    return met.where(hit).select(*probes.columns)
+
+
 def ring_range_join(
     records: DataFrame,
     rules: DataFrame,
@@ -88,28 +145,57 @@ def ring_range_join(
 
     An equi-join on ring segments with the arc test as residual, never a nested loop.
     A record is looked up once per level that the rule table uses. The measured size
-    of the index decides the plan: up to ``broadcast_bytes`` it is broadcast and the
-    records are not shuffled; beyond, both sides are shuffled by segment and salt, so
-    that a segment holding a large share of the records is spread over ``salts`` tasks
-    (and further by adaptive execution).
+    of the index decides the plan, level by level. Levels that together fit into
+    ``broadcast_bytes`` (coarse ones have few rules) are broadcast, and the records are
+    not shuffled for them. For the others both sides are shuffled by segment, once for
+    all of these levels; a bitmap of occupied segments drops look-ups before the shuffle
+    that no rule can meet.
+
+    Segments that a large share of the look-ups goes to are measured, in one more pass
+    over a table of records, and spread over as many tasks as they need; only their index
+    rows are copied. ``salts`` spreads all segments by a fixed number instead, as is done
+    for a stream, where nothing can be measured. A rule with a null arc, and a record
+    without a position, match nothing.
     """
     nodes = rule_nodes(rules) if nodes is None else nodes
     profile = node_profile(nodes) if profile is None else profile
-    index = nodes.select("node", "rule_id", "offset", "width")
-    carried = _carried(records)
-    lookups = _lookups(profile)
-    probe = lookups[0] if len(lookups) == 1 else F.explode(F.array(*lookups))
-    probes = records.select("position", *carried, probe.alias("node"))
-    if sum(profile.values()) <= broadcast_bytes:
-        joined = probes.join(F.broadcast(index), "node")
-    else:
-        joined = _salted(probes, index, "node", salts)
+    coarse, left = [], broadcast_bytes
+    for level in sorted(profile, key=lambda k: (profile[k], k)):
+        if profile[level] > left:
+            break
+        coarse.append(level)
+        left -= profile[level]
+    deep = sorted(set(profile) - set(coarse))
+    parts = []
+    if coarse or not deep:
+        index = nodes.where(F.col("level").isin(coarse)) if deep else nodes
+        parts.append(_probes(records, coarse).join(F.broadcast(_index(index)), "node"))
+    if deep:
+        index, probes = _index(nodes.where(F.col("level").isin(deep))), _probes(records, deep)
+        probes = _occupied(probes, index, sum(profile[k] for k in deep) // ROW_BYTES, left)
+        if salts or records.isStreaming:
+            parts.append(_salted(probes, index, "node", salts))
+        else:
+            hot = heavy_nodes(probes.select("node"), int(records.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+            parts.append(probes.join(index, "node") if hot is None else _salted_where_hot(probes, index, hot))
     hit = in_arc(F.col("position"), F.col("offset"), F.col("width"))
-    return joined.where(hit).select("rule_id", *carried)
+    found = [joined.where(hit).select("rule_id", *_carried(records)) for joined in parts]
+    return reduce(DataFrame.unionAll, found)
+
+
+def _index(nodes: DataFrame) -> DataFrame:
+    return nodes.select("node", "rule_id", "offset", "width")
+
+
+def _probes(records: DataFrame, levels: Iterable[int]) -> DataFrame:
+    """A row per record and level to look up."""
+    lookups = _lookups(levels)
+    probe = lookups[0] if len(lookups) == 1 else F.explode(F.array(*lookups))
+    return records.select("position", *_carried(records), probe.alias("node"))
 
 
-def _lookups(profile: Mapping[int, int]) -> list[Column]:
-    return [node_of(F.col("position"), level) for level in sorted(profile) or [0]]
+def _lookups(levels: Iterable[int]) -> list[Column]:
+    return [node_of(F.col("position"), level) for level in sorted(levels) or [0]]
 
 
 def scan_fanout(

@@ -33,7 +33,7 @@ def brute(records, rules):
     }
 
 
-@pytest.mark.parametrize("options", [{}, {"broadcast_bytes": 0}, {"broadcast_bytes": 0, "salts": 5}])
+@pytest.mark.parametrize("options", [{}, *({"broadcast_bytes": b} for b in (0, 700, 3000, 6000)), {"broadcast_bytes": 0, "salts": 5}])
 def test_join_equals_brute_force(spark, records, options):
     arcs = edge_arcs()
     got = [(r.rule_id, r.record_id) for r in O.ring_range_join(records, rule_rows(spark, arcs), **options).collect()]
@@ -137,3 +137,77 @@ def test_million_rules_expected_matches(spark):
     records = generate_records(spark, 50_000, 16, "many").withColumn("ts", F.timestamp_seconds("record_id"))
     n = O.ring_range_join(O.prepare_records(records), zipf_rules(spark, 1_000_000, 0.2)).count()
     assert abs(n - 10_000) < 4 * math.sqrt(10_000)
+
+
+def ring_brute(records, rules):
+    """Matches in numpy, all pairs."""
+    points = records.select("record_id", "position").toPandas()
+    arcs = rules.select("rule_id", "offset", "width").toPandas()
+    offset, width = arcs["offset"].to_numpy(), arcs["width"].to_numpy()
+    out = []
+    for r, x in zip(points["record_id"], points["position"]):
+        hit = (width < 0) | (((x - offset) & RING_MASK) < width)
+        out += [(i, r) for i in arcs["rule_id"][hit]]
+    return sorted(out)
+
+
+@pytest.mark.parametrize("s", [0.0, 1.0])
+def test_many_rules_beyond_the_broadcast_size(spark, s):
+    records = O.prepare_records(generate_records(spark, 400, 16, "hybrid").withColumn("ts", F.timestamp_seconds("record_id")))
+    rules = zipf_rules(spark, 300_000, 20.0, s)
+    joined = O.ring_range_join(records, rules, broadcast_bytes=6 << 20)
+    assert sorted((r.rule_id, r.record_id) for r in joined.collect()) == ring_brute(records, rules)
+
+
+def test_hybrid_plan_shuffles_records_once(spark):
+    records = O.prepare_records(generate_records(spark, 400, 16, "hybrid").withColumn("ts", F.timestamp_seconds("record_id")))
+    rules = zipf_rules(spark, 100_000, 20.0, 1.0)
+    profile = O.node_profile(O.rule_nodes(rules))
+    deepest = sorted(profile.values())[-2:]
+    small = sum(profile.values()) - sum(deepest)
+    assert len(profile) > 3
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)  # the index is small here, and would be broadcast after all
+    try:
+        plan = plan_of(O.ring_range_join(records, rules, broadcast_bytes=small + (1 << 20)))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    # two deep levels, one exchange of the look-ups, one of the index; coarse levels and the bitmap are broadcast
+    assert plan.count("Exchange hashpartitioning(node") == 2, plan
+    assert plan.count("BroadcastHashJoin") >= 2 and "bit_or" in plan and "Python" not in plan
+
+
+def test_bitmap_drops_look_ups_before_the_shuffle(spark):
+    records = spark.range(20_000).selectExpr("id AS record_id", "xxhash64(id) & 9223372036854775807 AS position")
+    rules = zipf_rules(spark, 2_000, 0.0002)
+    profile = O.node_profile(O.rule_nodes(rules))
+    index = O._index(O.rule_nodes(rules))
+    probes = O._probes(records, profile)
+    kept = O._occupied(probes, index, sum(profile.values()) // O.ROW_BYTES, 1 << 20)
+    assert probes.count() == 20_000 and kept.count() < 4_000
+    assert kept.join(index, "node").count() == probes.join(index, "node").count()
+    # without room for a bitmap all stay
+    assert O._occupied(probes, index, 10_000, 100).count() == 20_000
+
+
+def test_only_hot_segments_are_copied(spark):
+    hot = 123 << 40
+    position = F.when(F.col("id") % 2 == 0, F.lit(hot)).otherwise(F.xxhash64("id").bitwiseAND(F.lit(RING_MASK)))
+    records = spark.range(40_000).select(F.col("id").alias("record_id"), position.alias("position"))
+    arcs = [("at", hot, 5), ("wide", hot - 10, 1 << 40)] + [(f"r{i}", (i * 7919) << 36, 1 << 30) for i in range(3000)]
+    rules = rule_rows(spark, arcs)
+    index, probes = O._index(O.rule_nodes(rules)), O._probes(records, O.node_profile(O.rule_nodes(rules)))
+    found = O.heavy_nodes(probes, 64)
+    salts = {r.node: r.salts for r in found.collect()}
+    # the segments that hold the hot position, one per level, and nothing else
+    assert 1 <= len(salts) <= 4 and all(16 <= n <= 512 for n in salts.values())
+    copied = index.join(found, "node", "left").selectExpr("coalesce(salts, 1) AS n").agg(F.sum("n")).first()[0]
+    rows = {r.node: r["count"] for r in index.groupBy("node").count().collect()}
+    assert copied == sum(n * salts.get(node, 1) for node, n in rows.items()) < sum(rows.values()) + 5 * 512
+    got = sorted((r.rule_id, r.record_id) for r in O.ring_range_join(records, rules, broadcast_bytes=0).collect())
+    assert got == sorted((r.rule_id, r.record_id) for r in O.ring_range_join(records, rules).collect())
+    assert O.heavy_nodes(O._probes(records.where("record_id % 2 = 1"), [20]), 64) is None
+
+
+def test_no_hot_segments_in_no_records(spark, records):
+    assert O.heavy_nodes(O._probes(records.limit(0), [4, 8]), 8) is None
+    assert O.ring_range_join(records.limit(0), rule_rows(spark, edge_arcs()), broadcast_bytes=0).count() == 0
