@@ -1,6 +1,6 @@
 """Count-window digests: fold every R records of a rule into one event.
 
-Rows of a rule are taken in the order ``(ts, record_id)``. The window of a row follows
+Rows of a rule are taken in the order ``(ts, record_id)``, those without a time first. The window of a row follows
 from its number within the rule, so a digest is a numbering and a grouped aggregate.
 
 Numbering sorts a rule's rows in one task. That is right for the many rules with few
@@ -195,9 +195,9 @@ def weighted(numbered: DataFrame, every: int) -> DataFrame:
     """Single records as input of :func:`fold_windows`.
 
     A window's start time is stored by its first place only. A phased first window
-    begins after that place, so its start stays 0.
+    begins after that place, so its start stays 0. A record without a time has time 0.
     """
-    ms = epoch_ms(F.col("ts"))
+    ms = F.coalesce(epoch_ms(F.col("ts")), F.lit(0))
     return add_windows(numbered, every).select(
         "rule_id",
         "cycle",

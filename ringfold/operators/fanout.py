@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ringfold.functions.payload import DIGEST_BYTES, PHASE_BYTES, leading_long, require_state_bytes
 from ringfold.functions.ring import in_arc, keyed_hash, ring_position
 from ringfold.operators.rules import node_of, rule_nodes
+from ringfold.workdir import stored
 
 BROADCAST_BYTES = 128 << 20
 ROW_BYTES = 64
@@ -157,7 +158,8 @@ def ring_range_join(
     for a stream, where nothing can be measured. A rule with a null arc, and a record
     without a position, match nothing.
     """
-    nodes = rule_nodes(rules) if nodes is None else nodes
+    given = nodes is not None
+    nodes = nodes if given else rule_nodes(rules)
     profile = node_profile(nodes) if profile is None else profile
     coarse, left = [], broadcast_bytes
     for level in sorted(profile, key=lambda k: (profile[k], k)):
@@ -172,12 +174,14 @@ def ring_range_join(
         parts.append(_probes(records, coarse).join(F.broadcast(_index(index)), "node"))
     if deep:
         index, probes = _index(nodes.where(F.col("level").isin(deep))), _probes(records, deep)
-        probes = _occupied(probes, index, sum(profile[k] for k in deep) // ROW_BYTES, left)
+        # a large index is read for the bitmap and for the join; one that the caller gives is stored already
+        index = index if given else stored(index, "rule-index")
+        looked_up = _occupied(probes, index, sum(profile[k] for k in deep) // ROW_BYTES, left)
         if salts or records.isStreaming:
-            parts.append(_salted(probes, index, "node", salts))
+            parts.append(_salted(looked_up, index, "node", salts))
         else:
             hot = heavy_nodes(probes.select("node"), int(records.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-            parts.append(probes.join(index, "node") if hot is None else _salted_where_hot(probes, index, hot))
+            parts.append(looked_up.join(index, "node") if hot is None else _salted_where_hot(looked_up, index, hot))
     hit = in_arc(F.col("position"), F.col("offset"), F.col("width"))
     found = [joined.where(hit).select("rule_id", *_carried(records)) for joined in parts]
     return reduce(DataFrame.unionAll, found)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -58,27 +58,46 @@ def event_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
 EVENT_MATCHES = (sql.REC_EVENTS, sql.PREPARED, sql.subscriptions(), sql.MATCHES)
 
 
-#: Files that a stream of events comes in, one per micro-batch.
+#: Files that a stream of events comes in at least, one per micro-batch, and the rows of a file beyond which there are more.
 SLICES = 6
+SLICE_ROWS = 1 << 20
+#: Modification time of a stream's first file.
+FIRST_FILE_MS = 1_704_067_200_000
 
 
-def event_files(spark: SparkSession, sf_dir: str) -> Iterator[str]:
-    """Write ``events`` in the order of time, file by file, and yield the folder after each."""
+def event_files(spark: SparkSession, sf_dir: str) -> list[str]:
+    """Write all rows of ``events`` as files in arrival order, rows without a time first; return their names.
+
+    The table is cut by ranges of (ts, event_id), a task per file, so files are of bounded
+    size and no file holds rows that come before those of an earlier one. Tables with few
+    rows may give fewer files, and an empty one gives one empty file.
+    """
     events = v.table(spark, sf_dir, "events")
     path = work_dir(spark, "event-files")
-    cuts = events.agg(F.percentile(F.unix_micros(F.col("ts").cast("timestamp")), [i / SLICES for i in range(1, SLICES)])).first()[0]
-    at = F.unix_micros(F.col("ts").cast("timestamp"))
-    for low, high in zip([None, *cuts], [*cuts, None]):
-        own = F.lit(True) if low is None else at >= low
-        own = own if high is None else own & (at < high)
-        # a file per micro-batch; in a stream of this size it is a small part of the table
-        events.where(own).coalesce(1).write.mode("append").parquet(path)
-        yield path
+    n = max(SLICES, -(-events.count() // SLICE_ROWS))
+    keys = [F.asc_nulls_first(c) for c in ("ts", "event_id")]
+    events.repartitionByRange(n, *keys).write.parquet(path)
+    return sorted(f for f in spark.read.parquet(path).inputFiles())
+
+
+def publish(spark: SparkSession, files: list[str], path: str) -> str:
+    """Move files into the folder of a stream, which takes them up in this order."""
+    jvm = spark._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(path)
+    fs = folder.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    fs.mkdirs(folder)
+    there = len(fs.listStatus(folder))
+    for i, name in enumerate(files, there):
+        target = jvm.org.apache.hadoop.fs.Path(folder, f"{i:09}.parquet")
+        fs.rename(jvm.org.apache.hadoop.fs.Path(name), target)
+        # the source orders files by this time
+        fs.setTimes(target, FIRST_FILE_MS + 1000 * i, -1)
+    return path
 
 
 def event_stream(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFrame:
-    """The events as a stream of ``SLICES`` micro-batches."""
-    path = path or list(event_files(spark, sf_dir))[-1]
+    """The events as a stream, a file per micro-batch."""
+    path = path or publish(spark, event_files(spark, sf_dir), work_dir(spark, "event-stream"))
     schema = v.table(spark, sf_dir, "events").schema
     return file_records(spark, path, schema, pattern="*.parquet", max_per_trigger=1)
 

@@ -25,7 +25,7 @@ def _user_events(events: DataFrame) -> DataFrame:
     """Each event as a keyed event of 40 bytes."""
     records = v.event_records(events)
     value = event_pack(
-        F.lit(1), leading_long(F.col("data")), F.lit(0), epoch_ms(F.col("ts")), F.substring("data", 1, 5), 40
+        F.lit(1), leading_long(F.col("data")), F.lit(0), F.coalesce(epoch_ms(F.col("ts")), F.lit(0)), F.substring("data", 1, 5), 40
     )
     return records.select(F.concat(F.lit("record_"), F.col("record_id")).alias("key"), value.alias("value"))
 
@@ -37,7 +37,7 @@ def _user_events(events: DataFrame) -> DataFrame:
         select=f"""
 SELECT 'record_' || record_id AS key,
        '0000000000000001' || substr(data, 1, 16) || '0000000000000000'
-         || upper({sql.hex_long(sql.MS)}) || substr(data, 1, 10) || '000000' AS value
+         || upper({sql.hex_long(sql.MS_OR_0)}) || substr(data, 1, 10) || '000000' AS value
 FROM rec""",
     ),
 )

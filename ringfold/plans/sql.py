@@ -58,6 +58,8 @@ def hex_long(x: str) -> str:
 
 
 MS = "(epoch_us(ts) // 1000)"
+#: Of a record without a time.
+MS_OR_0 = f"coalesce({MS}, 0)"
 
 REC_EVENTS = f"""
 rec AS (
@@ -113,7 +115,7 @@ matches AS (
 def numbered(every: int, phase: str = "0", source: str = "matches") -> str:
     return f"""
 numbered AS (
-  SELECT *, row_number() OVER (PARTITION BY rule_id ORDER BY ts, record_id) - 1 AS idx,
+  SELECT *, row_number() OVER (PARTITION BY rule_id ORDER BY ts NULLS FIRST, record_id) - 1 AS idx,
          {phase} AS phase
   FROM {source}
 ),
@@ -124,8 +126,8 @@ def digest(every: int) -> str:
     return f"""
 folded AS (
   SELECT rule_id, cycle, count(*) AS n_records, {wrap('sum(first_long::HUGEINT)')} AS total,
-         min_by(CASE WHEN pos % {every} = 0 THEN {MS} ELSE 0 END, pos) AS start_ms,
-         max_by({MS}, pos) AS end_ms, max(pos) AS last_pos
+         min_by(CASE WHEN pos % {every} = 0 THEN {MS_OR_0} ELSE 0 END, pos) AS start_ms,
+         max_by({MS_OR_0}, pos) AS end_ms, max(pos) AS last_pos
   FROM placed GROUP BY rule_id, cycle
 ),
 digests AS (

@@ -18,9 +18,9 @@ from ringfold.plans.shared import (
     digest_fields,
     drain,
     event_matches,
-    SLICES,
     event_files,
     event_stream,
+    publish,
     register,
     sized,
     stream_matches,
@@ -85,9 +85,10 @@ def stream_restart(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = work_dir(spark, "stream-restart")
     before = spark.conf.get("spark.sql.shuffle.partitions")
     files = event_files(spark, sf_dir)
+    source, half = work_dir(spark, "event-stream"), len(files) // 2
     try:
-        for stop, partitions in ((SLICES // 2, 4), (SLICES, 6)):
-            source = [next(files) for _ in range(stop if partitions == 4 else SLICES - SLICES // 2)][-1]
+        for arrived, partitions in ((files[:half], 4), (files[half:], 6)):
+            publish(spark, arrived, source)
             spark.conf.set("spark.sql.shuffle.partitions", partitions)
             records = v.event_records(event_stream(spark, sf_dir, source))
             options = {"engine": "state_store", "in_order": True, "max_per_trigger": 1, "hash": v.HASH}

@@ -62,7 +62,7 @@ def stateful_fold(
 
     def run(own: tuple, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if in_order:
-            chunks = [pd.concat(list(chunks), ignore_index=True).sort_values(arrival, ignore_index=True)]
+            chunks = [pd.concat(list(chunks), ignore_index=True).sort_values(arrival, ignore_index=True, na_position="first")]
         current = state.get if state.exists else None
         for rows in chunks:
             if len(rows):
@@ -187,7 +187,7 @@ def stateful_digest(
     bucketed = matches.select(
         F.pmod(F.xxhash64("rule_id"), F.lit(buckets)).cast("int").alias("bucket"),
         "*",
-        epoch_ms(F.col("ts")).alias("ms"),
+        F.coalesce(epoch_ms(F.col("ts")), F.lit(0)).alias("ms"),
     )
     fold = digest_fold(every, state_bytes)
     return stateful_fold(bucketed, fold, DIGEST_FIELDS, DIGEST_STATE, mode, "bucket", in_order)
