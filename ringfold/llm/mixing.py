@@ -11,6 +11,7 @@ WEIGHTS = (1, 2, 3)
 MOST_COPIES = 3
 #: Ranks of a source are cut into so many ranges, and the range that holds the cut again.
 RANGES = 4096
+_KEY = ("rank", "doc_id", "size")
 _WORD = r"[^\x20\x09-\x0D]+"
 _DIGITS = 13
 
@@ -71,22 +72,28 @@ def mix_sources(
     """How many copies of each document a mix takes: ``doc_id, source, size, copies`` and sums.
 
     Every document is taken as often as its source's target holds all of it. What is left
-    of the target is filled by a Pareto sample: with U from the document's id and odds
-    proportional to the square root of its size (longer documents are worth more, but not
-    in proportion), documents are ranked by U / (1 - U) over their odds, and the sample is
-    the start of the ranking whose words come nearest to what is left. So a source misses
-    its target by half a document at most.
-
-    The cut of a ranking is found without sorting a source: words are counted per range of
-    ranks, then per part of the range that holds the cut; only that part is ordered. Rows
-    without a source are a source of their own, null texts have size 0 and are taken as the
-    others, rows with one id stay apart. Other columns are not read. An empty table gives
+    of the target, R words, is filled by a Pareto sample. Documents that fit into R get an
+    inclusion probability L, proportional to the square root of their size (longer documents
+    are worth more, but not in proportion) and 1 at most, such that the sum of L times size
+    is R. Those with L = 1 are certain. The others are ranked by the odds U / (1 - U), with U
+    from the document's id, over the inclusion odds L / (1 - L), and taken in this order; one
+    that would overshoot R is passed over, so that later ones can still fill it. Last, the
+    smallest document that was not taken is, if that brings the sum nearer to R.
+
+    The ranking is never sorted: words are counted per range of ranks, then per part of the
+    range in which the sum passes R; only that part is ordered. What follows the document
+    passed over is counted again, of documents that still fit, until none does; each time
+    the words left are fewer than those of the document passed over.
+
+    Rows without a source are a source of their own, null texts have size 0 and are taken
+    only as part of a whole source, rows with one id stay apart, but if their sizes are equal
+    too, are taken or passed over together. Other columns are not read. An empty table gives
     no rows.
 
     Columns: doc_id, source, size, source_size, target, copies, taken.
     """
-    sized = stored(_ranked(docs, id_col, text_col, source_col, seed), "mix-sizes")
-    return _copies(sized, _cuts(sized, weights, most_copies))
+    sized = stored(_sized(docs, id_col, text_col, source_col, seed), "mix-sizes")
+    return _copies(sized, _plan(sized, weights, most_copies))
 
 
 def mixed_documents(
@@ -99,27 +106,22 @@ def mixed_documents(
     seed: str = "mix",
 ) -> DataFrame:
     """The mix itself: every row of ``docs`` as often as ``mix_sources`` takes it, with all its columns."""
-    sized = stored(_ranked(docs, id_col, text_col, source_col, seed), "mix-sizes")
-    rows = _ranked(docs, id_col, text_col, source_col, seed, F.struct(*docs.columns).alias("row"))
-    taken = _copies(rows, _cuts(sized, weights, most_copies), "row").where("copies > 0")
+    sized = stored(_sized(docs, id_col, text_col, source_col, seed), "mix-sizes")
+    whole_row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    rows = _sized(docs, id_col, text_col, source_col, seed, whole_row)
+    taken = _copies(rows, _plan(sized, weights, most_copies), "row").where("copies > 0")
     return taken.select("row", F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int")))).select("row.*")
 
 
-def _ranked(docs: DataFrame, id_col: str, text_col: str, source_col: str, seed: str, *more: Column) -> DataFrame:
-    """Size and rank of each document, and where the rank falls."""
-    odds = F.sqrt(F.col("size").cast("double"))
-    u = uniform(F.col("doc_id"), seed)
-    # u / (1 - u) / odds, brought into 0 to 1; an empty document comes last
-    rank = F.when(F.col("size") > 0, u / (u + (1 - u) * odds)).otherwise(F.lit(1.0))
-    first = F.floor(F.col("rank") * RANGES)
-    second = F.floor((F.col("rank") * RANGES - first) * RANGES)
-    sized = docs.select(
+def _sized(docs: DataFrame, id_col: str, text_col: str, source_col: str, seed: str, *more: Column) -> DataFrame:
+    doc_id = F.col(f"`{id_col}`").cast("bigint")
+    return docs.select(
         *more,
-        F.col(id_col).cast("bigint").alias("doc_id"),
-        F.col(source_col).cast("string").alias("source"),
-        text_size(F.col(text_col)).alias("size"),
+        doc_id.alias("doc_id"),
+        F.col(f"`{source_col}`").cast("string").alias("source"),
+        text_size(F.col(f"`{text_col}`")).alias("size"),
+        uniform(doc_id, seed).alias("u"),
     )
-    return sized.withColumn("rank", rank).withColumn("range", first.cast("int")).withColumn("part", second.cast("int"))
 
 
 def _join(rows: DataFrame, per_source: DataFrame, how: str = "inner") -> DataFrame:
@@ -127,51 +129,139 @@ def _join(rows: DataFrame, per_source: DataFrame, how: str = "inner") -> DataFra
     return rows.join(other, F.col("source").eqNullSafe(F.col("of_source")), how).drop("of_source")
 
 
-def _cut(words: DataFrame, at: str, left: Column) -> DataFrame:
+def inclusion_scales(sized: DataFrame, targets: DataFrame) -> DataFrame:
+    """Per source with a rest: ``scale`` and ``certain_above``.
+
+    A document of size n is included with probability scale * sqrt(n), or for certain if n
+    is larger than ``certain_above``. Found from one row per source and size.
+    """
+    sizes = _join(sized.groupBy("source", "size").agg(F.count("*").alias("n")), targets.select("source", "rest"))
+    sizes = sizes.where((F.col("size") > 0) & (F.col("size") <= F.col("rest")))
+    up = Window.partitionBy("source").orderBy("size").rowsBetween(Window.unboundedPreceding, 0)
+    weighed = F.sum(F.col("n") * F.col("size") * F.sqrt(F.col("size").cast("double"))).over(up)
+    words = F.sum(F.col("n") * F.col("size"))
+    larger = words.over(Window.partitionBy("source")) - words.over(up)
+    scales = sizes.withColumn("scale", (F.col("rest") - larger) / weighed)
+    # the largest size that is not certain when all larger ones are
+    open_ones = scales.where(F.col("scale") * F.sqrt(F.col("size").cast("double")) < 1)
+    return open_ones.groupBy("source").agg(F.max_by("scale", "size").alias("scale"), F.max("size").alias("certain_above"))
+
+
+def _ranked(sized: DataFrame, sources: DataFrame) -> DataFrame:
+    """Rows with ``certain`` and ``rank``: from 0 to 1, null for those that cannot be in the sample."""
+    rows = _join(sized, sources)
+    fits = (F.col("size") > 0) & (F.col("size") <= F.col("rest"))
+    certain = F.coalesce(fits & (F.col("scale").isNull() | (F.col("size") > F.col("certain_above"))), F.lit(False))
+    share = F.col("scale") * F.sqrt(F.col("size").cast("double"))
+    # u / (1 - u) over share / (1 - share), brought into 0 to 1
+    over = F.col("u") * (1 - share)
+    rank = F.when(fits & ~certain, over / (over + (1 - F.col("u")) * share))
+    return rows.withColumn("certain", certain).withColumn("rank", rank)
+
+
+def _first_beyond(words: DataFrame, at: str, left: Column) -> DataFrame:
     """Per source: the first range in which the words pass what is left, and the words before it."""
     run = Window.partitionBy("source").orderBy(at)
-    summed = words.withColumn("through", F.sum("words").over(run)).where(F.col("through") + F.lit(0.0) >= left)
+    summed = words.withColumn("through", F.sum("words").over(run)).where(F.col("through") > left)
     first = F.min_by(F.struct(at, (F.col("through") - F.col("words")).alias("before")), at)
     firsts = summed.groupBy("source").agg(first.alias("cut"))
     return firsts.select("source", F.col(f"cut.{at}").alias(f"cut_{at}"), F.col("cut.before").alias(f"before_{at}"))
 
 
-def _cuts(sized: DataFrame, weights: tuple[int, ...], most_copies: int) -> DataFrame:
-    """Per source its target, how often it is taken whole, and the last document of its sample."""
+def _next_stop(ranked: DataFrame, state: DataFrame) -> DataFrame:
+    """Per source the first document in the ranking that does not fit any more, and the words taken before it."""
+    key = F.struct(*_KEY)
+    open_rows = _join(ranked, state.where("NOT done").select("source", "gap", "after"))
+    open_rows = open_rows.where((F.col("size") <= F.col("gap")) & (F.col("after").isNull() | (key > F.col("after"))))
+    first = F.floor(F.col("rank") * RANGES)
+    open_rows = open_rows.withColumn("range", first).withColumn("part", F.floor((F.col("rank") * RANGES - first) * RANGES))
+    total = (F.sum("size").alias("words"), F.first("gap").alias("gap"))
+    ranges = _first_beyond(open_rows.groupBy("source", "range").agg(*total), "range", F.col("gap"))
+    inside = _join(open_rows, ranges).where("range = cut_range")
+    parts = inside.groupBy("source", "part", "before_range").agg(*total)
+    parts = _first_beyond(parts, "part", F.col("gap") - F.col("before_range"))
+    # only the documents of one part of one range per source are put in order, equal ones as one
+    edge = _join(inside, parts).where("part = cut_part")
+    edge = edge.groupBy("source", key.alias("key")).agg(
+        F.sum("size").alias("words"), F.first("gap").alias("gap"), F.first(F.col("before_range") + F.col("before_part")).alias("before")
+    )
+    run = Window.partitionBy("source").orderBy("key").rowsBetween(Window.unboundedPreceding, 0)
+    through = F.col("before") + F.sum("words").over(run)
+    beyond = edge.withColumn("through", through).where(F.col("through") > F.col("gap"))
+    return beyond.groupBy("source").agg(F.min(F.struct("key", (F.col("through") - F.col("words")).alias("taken"))).alias("stop"))
+
+
+def _plan(sized: DataFrame, weights: tuple[int, ...], most_copies: int) -> DataFrame:
+    """Per source its target, how often it is taken whole, and which part of its ranking is taken."""
     targets = stored(source_targets(sized, weights, most_copies).coalesce(1), "mix-targets")
-    by_range = sized.groupBy("source", "range").agg(F.sum("size").alias("words"))
-    ranges = _cut(_join(by_range, targets.select("source", "rest")), "range", F.col("rest"))
-    ranges = stored(_join(targets, ranges, "left").coalesce(1), "mix-ranges")
-    inside = _join(sized, ranges.select("source", "cut_range", "before_range", "rest")).where("range = cut_range")
-    by_part = inside.groupBy("source", "part").agg(
-        F.sum("size").alias("words"), F.first("before_range").alias("before_range"), F.first("rest").alias("rest")
+    sources = _join(targets, inclusion_scales(sized, targets), "left")
+    sources = stored(sources.coalesce(1), "mix-scales")
+    ranked = stored(_ranked(sized, sources).select("source", "doc_id", "size", "rank", "certain"), "mix-ranks")
+    sure = ranked.where("certain").groupBy("source").agg(F.sum("size").alias("sure"))
+    step = "struct<gap:double,after:struct<rank:double,doc_id:bigint,size:bigint>,stop:struct<rank:double,doc_id:bigint,size:bigint>>"
+    state = _join(sources, sure, "left").select(
+        "source",
+        (F.col("rest") - F.coalesce("sure", F.lit(0))).alias("gap"),
+        F.lit(None).cast("struct<rank:double,doc_id:bigint,size:bigint>").alias("after"),
+        F.array().cast(f"array<{step}>").alias("steps"),
+        F.lit(False).alias("done"),
     )
-    parts = _cut(by_part, "part", F.col("rest") - F.col("before_range"))
-    cuts = stored(_join(ranges, parts, "left").coalesce(1), "mix-parts")
-    # only the documents of one part of one range per source are put in order
-    edge = _join(sized, cuts).where("range = cut_range AND part = cut_part")
-    run = Window.partitionBy("source").orderBy("rank", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
-    through = F.col("before_range") + F.col("before_part") + F.sum("size").over(run)
-    near = (2 * through - F.col("size")).cast("double") <= 2 * F.col("rest")
-    last = edge.withColumn("in_sample", near).where("in_sample").groupBy("source")
-    last = last.agg(F.max(F.struct("rank", "doc_id", "size")).alias("last"))
-    return stored(_join(cuts.drop("rest"), last, "left").coalesce(1), "mix-cuts")
-
-
-def _copies(ranked: DataFrame, cuts: DataFrame, *more: str) -> DataFrame:
-    placed = _join(ranked, cuts)
-    same_range, same_part = F.col("range") == F.col("cut_range"), F.col("part") == F.col("cut_part")
-    up_to_last = F.struct("rank", "doc_id", "size") <= F.col("last")
-    sampled = (F.col("range") < F.col("cut_range")) | (
-        same_range & ((F.col("part") < F.col("cut_part")) | (same_part & up_to_last))
+    ranked = ranked.where("NOT certain")
+    state = stored(state.coalesce(1), "mix-steps")
+    while state.where("NOT done").head(1):
+        found = _join(state, _next_stop(ranked.where("rank IS NOT NULL"), state), "left")
+        this = F.struct("gap", "after", F.col("stop.key").alias("stop")).cast(step)
+        state = stored(
+            found.select(
+                "source",
+                F.when(F.col("done") | F.col("stop").isNull(), F.col("gap")).otherwise(F.col("gap") - F.col("stop.taken")).alias("gap"),
+                F.coalesce("stop.key", "after").alias("after"),
+                F.when(F.col("done"), F.col("steps")).otherwise(F.concat("steps", F.array(this))).alias("steps"),
+                (F.col("done") | F.col("stop").isNull()).alias("done"),
+            ).coalesce(1),
+            "mix-steps",
+        )
+    return stored(_topped_up(ranked, sources, state).coalesce(1), "mix-plan")
+
+
+def _in_steps() -> Column:
+    """Whether a ranked row is in one of its source's steps."""
+    key = F.struct(*_KEY)
+    return F.exists(
+        "steps",
+        lambda s: (F.col("size") <= s["gap"]) & (s["after"].isNull() | (key > s["after"])) & (s["stop"].isNull() | (key < s["stop"])),
     )
-    copies = (F.col("whole") + F.coalesce(sampled.cast("int"), F.lit(0))).cast("bigint")
+
+
+def _topped_up(ranked: DataFrame, sources: DataFrame, state: DataFrame) -> DataFrame:
+    """Sources with their steps and ``extra``, one more document that brings their words nearer to what is left."""
+    placed = _join(ranked.where("size > 0"), state.select("source", "steps"))
+    key = F.struct("size", F.coalesce("rank", F.lit(1.0)).alias("rank"), "doc_id")
+    taken = F.coalesce(F.col("rank").isNotNull() & _in_steps(), F.lit(False))
+    words = placed.groupBy("source").agg(F.sum(F.when(taken, F.col("size")).otherwise(0)).alias("in_steps"))
+    left = placed.where(~taken).select("source", key.alias("extra"))
+    least = left.groupBy("source").agg(F.min("extra").alias("least"))
+    same = _join(left, least).where(F.col("extra") == F.col("least")).groupBy("source", "extra").agg(F.count("*").alias("rows"))
+    sure = _join(_join(state, words, "left"), same, "left")
+    first = F.when(F.size("steps") > 0, F.col("steps")[0]["gap"]).otherwise(F.col("gap"))
+    miss = first - F.coalesce("in_steps", F.lit(0))
+    nearer = F.col("rows") * F.col("extra.size") < 2 * miss
+    found = sure.select("source", "steps", F.when(nearer, F.col("extra")).alias("extra"))
+    return _join(sources, found)
+
+
+def _copies(sized: DataFrame, plan: DataFrame, *more: str) -> DataFrame:
+    rows = _ranked(sized, plan)
+    in_order = F.col("rank").isNotNull() & _in_steps()
+    last = F.struct("size", F.coalesce("rank", F.lit(1.0)).alias("rank"), "doc_id") == F.col("extra")
+    sampled = F.col("certain") | F.coalesce(in_order, F.lit(False)) | F.coalesce(last & (F.col("size") > 0), F.lit(False))
+    copies = (F.col("whole") + sampled.cast("int")).cast("bigint")
     taken = (copies * F.col("size")).alias("taken")
-    return placed.select(*more, "doc_id", "source", "size", "source_size", "target", copies.alias("copies"), taken)
+    return rows.select(*more, "doc_id", "source", "size", "source_size", "target", copies.alias("copies"), taken)
 
 
 MIX_SQL = r"""
-WITH sized AS (
+WITH RECURSIVE sized AS (
   SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size
   FROM documents
 ), per AS (
@@ -191,18 +281,49 @@ WITH sized AS (
 ), wholes AS (
   SELECT *, CASE WHEN source_size > 0 THEN CAST(floor(target / source_size) AS BIGINT) ELSE 0 END AS whole FROM targets
 ), drawn AS (
-  SELECT d.doc_id, d.size, w.*,
+  SELECT d.doc_id, d.source, d.size, w.source_size, w.target, w.whole, w.target - w.whole * w.source_size AS rest,
     (CAST(CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '') || 'mix'), 1, 13) AS BIGINT) AS DOUBLE) + 0.5)
       / 4503599627370496.0 AS u
   FROM sized d JOIN wholes w ON d.source IS NOT DISTINCT FROM w.source
-), ranked AS (
-  SELECT *, CASE WHEN size > 0 THEN u / (u + (1 - u) * sqrt(CAST(size AS DOUBLE))) ELSE 1.0 END AS rank FROM drawn
-), run AS (
-  SELECT *, sum(size) OVER (PARTITION BY source ORDER BY rank, doc_id, size
-    ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS through FROM ranked
+), scales AS (
+  SELECT source, max_by(scale, size) AS scale, max(size) AS certain_above FROM (
+    SELECT source, size, (rest - (sum(n * size) OVER (PARTITION BY source) - sum(n * size) OVER up)) / sum(n * size * sqrt(size)) OVER up AS scale
+    FROM (SELECT source, size, rest, count(*) AS n FROM drawn WHERE size > 0 AND size <= rest GROUP BY ALL)
+    WINDOW up AS (PARTITION BY source ORDER BY size ROWS UNBOUNDED PRECEDING)
+  ) WHERE scale * sqrt(size) < 1 GROUP BY source
+), placed AS (
+  SELECT d.*, coalesce(size > 0 AND size <= rest AND (scale IS NULL OR size > certain_above), false) AS certain, scale * sqrt(size) AS share
+  FROM drawn d LEFT JOIN scales s ON d.source IS NOT DISTINCT FROM s.source
+), ranked AS MATERIALIZED (
+  SELECT *, CASE WHEN size > 0 AND size <= rest AND NOT certain THEN u * (1 - share) / (u * (1 - share) + (1 - u) * share) END AS rank
+  FROM placed
+), units AS (
+  SELECT source, rank, doc_id, size, CAST(sum(size) AS DOUBLE) AS words FROM ranked WHERE rank IS NOT NULL GROUP BY ALL
+), sure AS (
+  SELECT source, any_value(rest) - coalesce(CAST(sum(size) FILTER (certain) AS BIGINT), 0) AS gap FROM ranked GROUP BY source
+), numbered AS MATERIALIZED (
+  SELECT *, row_number() OVER (PARTITION BY source ORDER BY rank, doc_id NULLS FIRST, size) AS k FROM units
+), walk AS (
+  SELECT source, gap, CAST(0 AS BIGINT) AS k, CAST(NULL AS BIGINT) AS doc_id, CAST(NULL AS BIGINT) AS size, false AS fits FROM sure
+  UNION ALL
+  SELECT n.source, CASE WHEN n.words <= w.gap THEN w.gap - n.words ELSE w.gap END, n.k, n.doc_id, n.size, n.words <= w.gap
+  FROM walk w JOIN numbered n ON w.source IS NOT DISTINCT FROM n.source AND n.k = w.k + 1
+), fit AS MATERIALIZED (
+  SELECT source, doc_id, size FROM walk WHERE fits
+), marked AS MATERIALIZED (
+  SELECT r.*, certain OR (rank IS NOT NULL AND EXISTS (
+    SELECT 1 FROM fit f WHERE f.source IS NOT DISTINCT FROM r.source AND f.doc_id IS NOT DISTINCT FROM r.doc_id AND f.size = r.size)) AS in_sample
+  FROM ranked r
+), extra AS (
+  SELECT e.source, e.doc_id, e.size FROM (
+    SELECT source, size, coalesce(rank, 1.0) AS rank, doc_id, count(*) AS n FROM marked WHERE NOT in_sample AND size > 0
+    GROUP BY source, size, coalesce(rank, 1.0), doc_id
+    QUALIFY row_number() OVER (PARTITION BY source ORDER BY size, coalesce(rank, 1.0), doc_id NULLS FIRST) = 1
+  ) e JOIN (SELECT source, arg_max(gap, k) AS gap FROM walk GROUP BY source) g ON e.source IS NOT DISTINCT FROM g.source
+  WHERE CAST(e.n * e.size AS DOUBLE) < 2 * g.gap
 )
-SELECT doc_id, size, source_size, target,
-  CAST((whole + CASE WHEN CAST(2 * through - size AS DOUBLE) <= 2 * (target - whole * source_size) THEN 1 ELSE 0 END) * size
-    AS BIGINT) AS taken
-FROM run
+SELECT m.doc_id, m.size, source_size, target,
+  CAST((whole + CASE WHEN in_sample OR x.size IS NOT NULL THEN 1 ELSE 0 END) * m.size AS BIGINT) AS taken
+FROM marked m LEFT JOIN extra x
+  ON x.source IS NOT DISTINCT FROM m.source AND x.doc_id IS NOT DISTINCT FROM m.doc_id AND x.size = m.size
 """

@@ -187,13 +187,43 @@ def test_mix(edge_docs, edge_rows):
         sizes[r.source] = sizes.get(r.source, 0) + r.size
         taken[r.source] = taken.get(r.source, 0) + r.taken
         targets[r.source] = r.target
-    largest = max(r.size for r in rows)
     assert abs(sum(targets.values()) - sum(sizes.values())) < 1e-6
     for s, size in sizes.items():
-        assert targets[s] <= 3 * size and abs(taken[s] - targets[s]) <= largest
+        assert targets[s] <= 3 * size
+        # no document that is not in the sample would fit, or bring the sum nearer
+        whole = min(r.copies for r in rows if r.source == s)
+        miss = targets[s] - taken[s]
+        assert all(abs(miss - r.size) >= abs(miss) for r in rows if r.source == s and r.size and r.copies == whole)
     assert sorted(map(str, rows)) == sorted(map(str, mix_sources(edge_docs.repartition(7)).collect()))
 
 
+def test_mix_passes_over_a_long_document(spark):
+    """A source that cannot take its one long document is filled from the short ones."""
+    rows = [(i, "w " * (5000 if i == 7 else 10), "a") for i in range(400)] + [(1000 + i, "w " * 37, "b") for i in range(20)]
+    rows += [(2000 + i, "w " * 100, "c") for i in range(5)]
+    got = mix_sources(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    for s in "abc":
+        own = [r for r in got if r.source == s]
+        miss = abs(sum(r.taken for r in own) - own[0].target)
+        assert miss <= max(10 if s == "a" else min(r.size for r in own) / 2, 0.01 * own[0].target), (s, miss, own[0].target)
+
+
+def test_inclusion_probabilities(spark):
+    """Over many sources of the same sizes a document is in the sample about as often as its probability says."""
+    sizes = [20, 80, 20, 80, 180, 20, 80] * 60
+    rows = [(i * 1000 + k, "w " * n, f"s{i:03}") for i in range(8) for k, n in enumerate(sizes)]
+    found = mix_sources(spark.createDataFrame(rows, "doc_id long, text string, source string"), weights=(1, 2)).collect()
+    for turn in (0, 1):  # two thirds of each of these sources are taken, and four thirds of each of those
+        own = [r for r in found if int(r.source[1:]) % 2 == turn]
+        rest = own[0].target - turn * own[0].source_size
+        scale = rest / sum(n**1.5 for n in sizes)
+        for size in (20, 80, 180):
+            copies = [r.copies - turn for r in own if r.size == size]
+            p = min(1, scale * size**0.5)
+            assert 0.1 < p < 0.97
+            assert abs(sum(copies) - len(copies) * p) < 4 * (len(copies) * p * (1 - p)) ** 0.5 + 0.03 * len(copies), (turn, size)
+
+
 def test_mixed_documents(edge_docs):
     mixed = mixed_documents(edge_docs)
     assert mixed.columns == edge_docs.columns
