@@ -168,13 +168,19 @@ def _first_beyond(words: DataFrame, at: str, left: Column) -> DataFrame:
     return firsts.select("source", F.col(f"cut.{at}").alias(f"cut_{at}"), F.col("cut.before").alias(f"before_{at}"))
 
 
-def _next_stop(ranked: DataFrame, state: DataFrame) -> DataFrame:
+def _still_open(ranked: DataFrame, state: DataFrame) -> DataFrame:
+    """Ranked rows behind the last one passed over that fit into what is left, with ``gap``, ``range`` and ``part``."""
+    open_rows = _join(ranked.select("source", *_KEY), state.where("NOT done").select("source", "gap", "after"))
+    open_rows = open_rows.where((F.col("size") <= F.col("gap")) & (F.col("after").isNull() | (F.struct(*_KEY) > F.col("after"))))
+    first = F.floor(F.col("rank") * RANGES)
+    part = F.floor((F.col("rank") * RANGES - first) * RANGES)
+    # stored, as it is read three times and most of it is gone in the next round
+    return stored(open_rows.select("source", *_KEY, "gap", first.alias("range"), part.alias("part")), "mix-open")
+
+
+def _next_stop(open_rows: DataFrame) -> DataFrame:
     """Per source the first document in the ranking that does not fit any more, and the words taken before it."""
     key = F.struct(*_KEY)
-    open_rows = _join(ranked, state.where("NOT done").select("source", "gap", "after"))
-    open_rows = open_rows.where((F.col("size") <= F.col("gap")) & (F.col("after").isNull() | (key > F.col("after"))))
-    first = F.floor(F.col("rank") * RANGES)
-    open_rows = open_rows.withColumn("range", first).withColumn("part", F.floor((F.col("rank") * RANGES - first) * RANGES))
     total = (F.sum("size").alias("words"), F.first("gap").alias("gap"))
     ranges = _first_beyond(open_rows.groupBy("source", "range").agg(*total), "range", F.col("gap"))
     inside = _join(open_rows, ranges).where("range = cut_range")
@@ -208,8 +214,10 @@ def _plan(sized: DataFrame, weights: tuple[int, ...], most_copies: int) -> DataF
     )
     ranked = ranked.where("NOT certain")
     state = stored(state.coalesce(1), "mix-steps")
+    open_rows = ranked.where("rank IS NOT NULL")
     while state.where("NOT done").head(1):
-        found = _join(state, _next_stop(ranked.where("rank IS NOT NULL"), state), "left")
+        open_rows = _still_open(open_rows, state)
+        found = _join(state, _next_stop(open_rows), "left")
         this = F.struct("gap", "after", F.col("stop.key").alias("stop")).cast(step)
         state = stored(
             found.select(
