@@ -5,15 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ringfold.operators import metrics
+from ringfold.operators import metrics, rates, sketches
 from ringfold.operators.digest import pack_digests
 from ringfold.plans import sql
 from ringfold.plans import views as v
 from ringfold.plans.shared import EVENT_MATCHES, EVERY, digests, register
+from ringfold.workdir import stored
 
 BOUNDS = metrics.default_bounds()
 DAY_S = 24 * 3600
 WARMUP_S = 6 * 3600
+LOOK_BACK_S, STEP_S = 3 * 3600, 3600
+STEP_US = STEP_S * metrics.MICROS
 
 
 def _samples(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -166,8 +169,75 @@ rates AS (
 SELECT topic, start_us, round(sum(rate), 6) AS per_second FROM rates WHERE rate >= 0 GROUP BY 1, 2""",
 )
 def offset_throughput(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rates = metrics.offset_throughput(v.partition_samples(spark, sf_dir), 3600)
-    return rates.withColumn("per_second", F.round("per_second", 6))
+    found = metrics.offset_throughput(v.partition_samples(spark, sf_dir), 3600)
+    return found.withColumn("per_second", F.round("per_second", 6))
+
+
+@register(
+    "offset_rate_sliding",
+    f"""
+WITH samples AS (
+  SELECT 'topic' || (user_id % 2) AS topic, length(event_type) AS partition, epoch_us(ts) AS us,
+         max(event_id * 10 - CASE WHEN event_id % 97 = 0 THEN 5000 ELSE 0 END) AS value
+  FROM events WHERE ts IS NOT NULL GROUP BY 1, 2, 3
+),
+before AS (SELECT *, lag(value) OVER (PARTITION BY topic, partition ORDER BY us) AS prior FROM samples),
+grown AS (SELECT *, CASE WHEN value < prior THEN value ELSE value - prior END AS grown FROM before),
+met AS (
+  SELECT topic, partition, (ceil(us / {STEP_US}.0)::BIGINT + back) * {STEP_US} AS end_us, us, grown
+  FROM grown, (SELECT unnest(range({LOOK_BACK_S // STEP_S})) AS back)
+),
+rates AS (
+  SELECT topic, partition, end_us,
+         (coalesce(sum(grown), 0) - coalesce((min_by(struct_pack(g := grown), us)).g, 0)) / ((max(us) - min(us)) / 1000000::DOUBLE) AS rate
+  FROM met GROUP BY 1, 2, 3 HAVING count(*) > 1
+)
+SELECT topic, end_us, count(*) AS counters, round(sum(rate), 6) AS per_second FROM rates GROUP BY 1, 2""",
+)
+def offset_rate_sliding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    samples = v.partition_samples(spark, sf_dir)
+    found = rates.total_rate(rates.sliding_rate(samples, ["topic", "partition"], LOOK_BACK_S, STEP_S), ["topic"])
+    return found.withColumn("per_second", F.round("per_second", 6))
+
+
+#: The quantiles that are checked, and the windows: hours are sketched, days and the whole run are merged.
+SKETCH_KEYS = ["level", "sign"]
+HOUR_US, DAY_US = 3600 * metrics.MICROS, DAY_S * metrics.MICROS
+SKETCH_ERROR = 3 * sketches.rank_error()
+
+
+@register(
+    "sketched_quantiles",
+    sql.query(
+        sql.DELIVERIES,
+        f"""
+windows AS (
+  SELECT 'hour' AS level, sign, epoch_us(ts) // {HOUR_US} * {HOUR_US} AS start_us, latency FROM samples
+  UNION ALL SELECT 'day', sign, epoch_us(ts) // {DAY_US} * {DAY_US}, latency FROM samples
+  UNION ALL SELECT 'run', sign, 0, latency FROM samples
+)""",
+        select=f"""
+SELECT level, sign, start_us, count(*) AS samples, unnest({list(metrics.QUANTILES)}::DOUBLE[]) AS quantile, true AS within
+FROM windows WHERE latency IS NOT NULL GROUP BY level, sign, start_us""",
+    ),
+)
+def sketched_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether each quantile's exact rank is within the stated error of a sketch."""
+    samples = _samples(spark, sf_dir).where(F.col("latency").isNotNull())
+    hours = stored(sketches.step_sketches(samples, ["sign"], 3600), "hour-sketches")
+    days = stored(sketches.window_sketches(hours, ["sign"], DAY_S, 3600), "day-sketches")
+    levels = {"hour": hours, "day": days, "run": sketches.run_sketches(days, ["sign"])}
+    us = F.unix_micros("ts")
+    starts = {"hour": us - F.pmod(us, F.lit(HOUR_US)), "day": us - F.pmod(us, F.lit(DAY_US)), "run": F.lit(0).cast("bigint")}
+    checked = None
+    for level, found in levels.items():
+        quantiles = sketches.sketch_quantiles(found, ["sign"])
+        counts = samples.groupBy("sign", starts[level].alias("start_us"), F.col("latency").alias("value")).agg(F.count("*").alias("n"))
+        rows = sketches.ranks(quantiles, counts, ["sign"]).withColumn("level", F.lit(level))
+        checked = rows if checked is None else checked.unionByName(rows)
+    q = F.col("quantile")
+    within = (F.col("below") <= q + SKETCH_ERROR) & (F.col("up_to") >= q - SKETCH_ERROR)
+    return checked.select(*SKETCH_KEYS, "start_us", "samples", "quantile", within.alias("within"))
 
 
 @register(
@@ -188,8 +258,8 @@ def run_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = v.table(spark, sf_dir, "events").select(
         F.col("event_type").alias("repetition"), F.col("ts").cast("timestamp").alias("ts")
     )
-    rates = metrics.throughput(events, ["repetition"], 3600).withColumnRenamed("per_second", "value")
-    return metrics.run_rollup(rates, WARMUP_S).withColumn("median", F.round("median", 9))
+    hourly = metrics.throughput(events, ["repetition"], 3600).withColumnRenamed("per_second", "value")
+    return metrics.run_rollup(hourly, WARMUP_S).withColumn("median", F.round("median", 9))
 
 
 @register(
