@@ -38,12 +38,31 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     clean = edges.where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b)))
     # every edge from the larger to the smaller node
     current = stored(clean.select(high.cast("bigint").alias("a"), low.cast("bigint").alias("b")).distinct(), "components")
-    before = None
-    while True:
-        state = current.agg(F.count("*"), F.sum(F.xxhash64("a", "b") % (1 << 40))).first()
-        if state == before or not state[0]:
-            return current.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(
-                current.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
-            )
-        before = state
+    while _tangled(current):
         current = stored(_small_star(_large_star(current)), "components")
+    return current.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(
+        current.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
+    )
+
+
+def _tangled(edges: DataFrame) -> bool:
+    """Whether some node hangs below several others, or below one that hangs itself."""
+    ends = edges.select(F.col("a").alias("node"), F.lit(1).alias("below"), F.lit(0).alias("above")).unionByName(
+        edges.select(F.col("b").alias("node"), F.lit(0).alias("below"), F.lit(1).alias("above"))
+    )
+    roles = ends.groupBy("node").agg(F.sum("below").alias("below"), F.max("above").alias("above"))
+    return roles.where("below > 1 OR (below = 1 AND above = 1)").count() > 0
+
+
+def extend_components(components: DataFrame, edges: DataFrame) -> DataFrame:
+    """The components with more edges ``(a, b)``; only those that these connect are worked on."""
+    across = edges.select("a", "b")
+    for end in ("a", "b"):
+        of = components.select(F.col("node").alias(end), F.col("component").alias(f"of_{end}"))
+        across = across.join(of, end, "left").withColumn(f"of_{end}", F.coalesce(f"of_{end}", end))
+    lower = connected_components(across.where("of_a <> of_b"), "of_a", "of_b")
+    lower = lower.withColumnRenamed("component", "lower")
+    moved = components.join(lower.withColumnRenamed("node", "component"), "component", "left")
+    moved = moved.select("node", F.coalesce("lower", "component").alias("component"))
+    new = lower.join(components.select("node"), "node", "left_anti").withColumnRenamed("lower", "component")
+    return stored(moved.unionByName(new), "components-extended")

@@ -6,10 +6,11 @@ finds every pair. Two kinds of work are skipped:
 
 * Index level. A list entry carries its position and the size of its set. Entries are
   blocked by these, and blocks whose bounds cannot give the overlap are not met.
-* Answer level. The members of a list are compared with one of them first. Sets that are
-  linked to it are already one component, so among them nothing is left to ask; and what
-  is known about a set's distance to the common one bounds its distance to every set close
-  to that one, by the triangle inequality of the Jaccard distance.
+* Answer level. The members of a list are compared with one of them first, the one with the
+  fewest n-grams of its own: of many near copies of a text, that text. Sets that are linked
+  to it are already one component, so among them nothing is left to ask; and what is known
+  about a set's distance to the common one bounds its distance to every set close to that
+  one, by the triangle inequality of the Jaccard distance, before a pair of them is made.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ringfold.llm.components import connected_components
+from ringfold.llm.components import connected_components, extend_components
 from ringfold.llm.samples import drawn
 from ringfold.llm.text import NOT_SPACE, mix, run_hashes, runs_inside, split_words, text_slices, utf8
 from ringfold.workdir import stored
@@ -83,13 +84,17 @@ def _frequent(rows: DataFrame, words: int) -> np.ndarray:
 
 
 def _measured(rows: DataFrame, frequent: np.ndarray, words: int, percent: int) -> DataFrame:
-    """Per document ``doc, n, h1, h2, prefix``; equal sets have equal ``h1, h2``."""
+    """Per document ``doc, n, h1, h2, prefix, own``; equal sets have equal ``h1, h2``.
+
+    ``own`` are the n-grams of the prefix that are not frequent, in hundredths of the set.
+    """
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             total = np.zeros(batch.num_rows, np.int64)
             h1 = np.zeros(batch.num_rows, np.uint64)
             h2 = np.zeros(batch.num_rows, np.uint64)
+            rare = np.zeros(batch.num_rows, np.int8)
             prefixes, lengths = [np.zeros(0, np.uint64)], np.zeros(batch.num_rows, np.int64)
             for rows, grams in shingles(batch.column(1), words):
                 if not len(rows):
@@ -107,14 +112,17 @@ def _measured(rows: DataFrame, frequent: np.ndarray, words: int, percent: int) -
                 order = np.lexsort((grams, often, rows))
                 within = np.arange(len(rows)) - np.repeat(first, n)
                 lengths[own] = prefix_length(n, percent)
-                prefixes.append(grams[order][within < np.repeat(lengths[own], n)])
+                inside = within < np.repeat(lengths[own], n)
+                prefixes.append(grams[order][inside])
+                rare[own] = np.add.reduceat((inside & ~often[order]).astype(np.int64), first) * 100 // n
             flat = np.concatenate(prefixes).view(np.int64)
             bounds = np.r_[0, np.cumsum(lengths)].astype(np.int32)
             prefix = pa.ListArray.from_arrays(pa.array(bounds), pa.array(flat))
-            arrays = [batch.column(0), pa.array(total), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), prefix]
-            yield pa.RecordBatch.from_arrays(arrays, names=["doc", "n", "h1", "h2", "prefix"])
+            hashes = [pa.array(h.view(np.int64)) for h in (h1, h2)]
+            arrays = [batch.column(0), pa.array(total), *hashes, prefix, pa.array(rare)]
+            yield pa.RecordBatch.from_arrays(arrays, names=["doc", "n", "h1", "h2", "prefix", "own"])
 
-    return rows.mapInArrow(measure, "doc bigint, n bigint, h1 bigint, h2 bigint, prefix array<bigint>")
+    return rows.mapInArrow(measure, "doc bigint, n bigint, h1 bigint, h2 bigint, prefix array<bigint>, own tinyint")
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
@@ -191,31 +199,30 @@ def jaccard_components(
     heads = full.join(_small(stored(copies, "jaccard-copies")), keys, "left_anti")
     if _repeats(full.select("doc")):
         heads = heads.dropDuplicates(keys)
-    entries = heads.select(F.col("doc").alias("rep"), "n", F.posexplode("prefix").alias("at", "gram"))
+    entries = heads.select(F.col("doc").alias("rep"), "n", "own", F.posexplode("prefix").alias("at", "gram"))
     # lists of frequent n-grams are long: they are spread by document, and not counted
     spread = _spread_frequent(entries, frequent)
     per = Window.partitionBy("gram", "spread")
     counted = spread.withColumn("low", F.min("rep").over(per)).withColumn("high", F.max("rep").over(per))
-    lists = stored(counted.where("spread > 0 OR low < high").select("gram", "rep", "n", "at"), "jaccard-lists")
+    lists = stored(counted.where("spread > 0 OR low < high").select("gram", "rep", "n", "own", "at"), "jaccard-lists")
     # first every member of a list against one of it, the same one in many lists
-    pivots = lists.groupBy("gram").agg(F.min(F.struct(F.xxhash64("rep").alias("draw"), "rep", "n")).alias("pivot"))
+    pivots = lists.groupBy("gram").agg(_pivot().alias("pivot"))
     pivots = pivots.select("gram", F.col("pivot.rep").alias("pivot"), F.col("pivot.n").alias("pivot_n"))
     near = F.least("n", "pivot_n") * 100 >= F.greatest("n", "pivot_n") * percent
     first = lists.join(pivots, "gram").where((F.col("rep") != F.col("pivot")) & near)
     first = first.select(F.least("rep", "pivot").alias("a"), F.greatest("rep", "pivot").alias("b")).distinct()
-    known, edges = _verified(texts, heads, stored(first, "jaccard-pairs"), words, percent)
-    components = connected_components(edges)
+    known, links = _verified(texts, heads, stored(first, "jaccard-pairs"), words, percent)
+    components = stored(connected_components(links), "jaccard-components")
     # long lists ask several more of their members, of those that are not linked yet
     more = stored(_more_pivots(lists, components, known, percent), "jaccard-pairs")
     if more.count():
         compared, links = _verified(texts, heads, more, words, percent)
-        known, edges = known.unionByName(compared), edges.unionByName(links)
-        components = connected_components(edges)
+        known, components = known.unionByName(compared), extend_components(components, links)
     # then whatever is still open between components
-    again = stored(_open_pairs(lists, pivots, components, known, percent), "jaccard-pairs")
+    again = stored(_open_pairs(lists, components, known, percent), "jaccard-pairs")
     if again.count():
         _, links = _verified(texts, heads, again, words, percent)
-        components = connected_components(edges.unionByName(links))
+        components = extend_components(components, links)
     of = components.withColumnRenamed("node", "rep")
     named = classes.join(of, "rep", "left").select("h1", "h2", "n", F.coalesce("component", "rep").alias("component"))
     # rows that share an id connect their classes
@@ -228,6 +235,11 @@ def jaccard_components(
     )
 
 
+def _pivot() -> Column:
+    """The member of a list that others are compared with: few n-grams of its own, then the same one in many lists."""
+    return F.min(F.struct("own", F.xxhash64("rep").alias("draw"), "rep", "n"))
+
+
 def _spread_frequent(entries: DataFrame, frequent: np.ndarray) -> DataFrame:
     """Column ``spread``: 0, or for frequent n-grams a number from 1 to 1024 by document."""
 
@@ -241,7 +253,7 @@ def _spread_frequent(entries: DataFrame, frequent: np.ndarray) -> DataFrame:
                 spread = np.where(frequent[at] == grams, (mix(reps) % np.uint64(1024)).astype(np.int64) + 1, 0)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(spread)], names=[*batch.schema.names, "spread"])
 
-    return entries.mapInArrow(mark, "rep bigint, n bigint, at int, gram bigint, spread bigint")
+    return entries.mapInArrow(mark, "rep bigint, n bigint, own tinyint, at int, gram bigint, spread bigint")
 
 
 def _small(ids: DataFrame) -> DataFrame:
@@ -255,7 +267,7 @@ def _members(pairs: DataFrame) -> DataFrame:
 
 def _repeats(rows: DataFrame) -> bool:
     """Whether an id has several rows."""
-    return bool(rows.groupBy("doc").count().where("count > 1").head(1))
+    return rows.groupBy("doc").count().where("count > 1").count() > 0
 
 
 def _verified(
@@ -298,30 +310,36 @@ def _more_pivots(lists: DataFrame, components: DataFrame, known: DataFrame, perc
     return met.distinct().join(known.select("a", "b"), ["a", "b"], "left_anti")
 
 
-def _open_pairs(lists: DataFrame, pivots: DataFrame, components: DataFrame, known: DataFrame, percent: int) -> DataFrame:
+def _open_pairs(lists: DataFrame, components: DataFrame, known: DataFrame, percent: int) -> DataFrame:
     """Pairs of a list in different components that may be linked and were not compared."""
     of = components.withColumnRenamed("node", "rep")
     placed = lists.join(of, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    mixed = placed.groupBy("gram").agg(F.min("component").alias("low"), F.max("component").alias("high"))
-    placed = placed.join(mixed.where("low < high").select("gram"), "gram").select("gram", "rep", "n", "at", "component")
+    mixed = placed.groupBy("gram").agg(
+        F.min("component").alias("low"), F.max("component").alias("high"), _pivot()["rep"].alias("pivot")
+    )
+    placed = placed.join(mixed.where("low < high").select("gram", "pivot"), "gram")
+    # what is known of both distances to a common member bounds their own
+    far = known.select("a", "b", (1 - F.col("common") / F.col("united")).alias("far"))
+    far = far.select(F.col("a").alias("rep"), F.col("b").alias("pivot"), "far").unionByName(
+        far.select(F.col("b").alias("rep"), F.col("a").alias("pivot"), "far")
+    )
+    placed = placed.join(far, ["rep", "pivot"], "left")
+    far = F.when(F.col("rep") == F.col("pivot"), 0.0).otherwise(F.col("far")).alias("far")
+    placed = stored(placed.select("gram", "rep", "n", "at", "component", far), "jaccard-placed")
     # sizes are cut into blocks of a factor, so that only neighbouring blocks of a list meet
     block = F.floor(F.log(F.col("n").cast("double")) / float(np.log(100 / percent))).cast("int")
     left = placed.withColumn("block", F.explode(F.array(block - 1, block, block + 1)))
     right = placed.withColumn("block", block)
-    right = right.select("gram", "block", *[F.col(c).alias(f"{c}2") for c in ("rep", "n", "at", "component")])
-    met = left.join(right, ["gram", "block"])
-    met = met.where((F.col("rep") < F.col("rep2")) & (F.col("component") != F.col("component2")))
-    met = met.where(_reachable(F.col("n"), F.col("at"), F.col("n2"), F.col("at2"), percent))
-    pairs = met.groupBy(F.col("rep").alias("a"), F.col("rep2").alias("b")).agg(F.min("gram").alias("gram"))
-    pairs = pairs.join(known.select("a", "b"), ["a", "b"], "left_anti").join(pivots.select("gram", "pivot"), "gram")
-    # what is known of both distances to a common member bounds their own
-    far = known.select("a", "b", (1 - F.col("common") / F.col("united")).alias("far"))
-    far = far.unionByName(far.select(F.col("b").alias("a"), F.col("a").alias("b"), "far"))
-    for end in ("a", "b"):
-        one = far.select(F.col("a").alias(end), F.col("b").alias("pivot"), F.col("far").alias(f"far_{end}"))
-        pairs = pairs.join(one, [end, "pivot"], "left")
-    near = F.abs(F.col("far_a") - F.col("far_b")) <= 1 - percent / 100 + 1e-9
-    return pairs.where(F.coalesce(near, F.lit(True))).select("a", "b").distinct()
+    right = right.select("gram", "block", *[F.col(c).alias(f"{c}2") for c in ("rep", "n", "at", "component", "far")])
+    near = F.abs(F.col("far") - F.col("far2")) <= 1 - percent / 100 + 1e-9
+    met = left.join(right, ["gram", "block"]).where(
+        (F.col("rep") < F.col("rep2"))
+        & (F.col("component") != F.col("component2"))
+        & _reachable(F.col("n"), F.col("at"), F.col("n2"), F.col("at2"), percent)
+        & F.coalesce(near, F.lit(True))
+    )
+    pairs = met.select(F.col("rep").alias("a"), F.col("rep2").alias("b")).distinct()
+    return pairs.join(known.select("a", "b"), ["a", "b"], "left_anti")
 
 
 def _joined_by_id(full: DataFrame, named: DataFrame, shared: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ringfold.llm import queries as Q
-from ringfold.llm.components import connected_components
+from ringfold.llm.components import connected_components, extend_components
 from ringfold.llm.embeddings import near_embeddings
 from ringfold.llm.inputs import table
 from ringfold.llm.language import fit_dictionaries, identify
@@ -186,3 +186,24 @@ def test_components(spark):
     want = {i: 0 for i in range(61)} | {100: 100, 200: 100, 300: 300, 301: 300, 302: 300}
     assert got == want
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_extended_components(spark):
+    rng = np.random.default_rng(3)
+    schema, parent = "a long, b long", {}
+
+    def root(x):
+        while parent.setdefault(x, x) != x:
+            x = parent[x]
+        return x
+
+    found = connected_components(spark.createDataFrame([], schema))
+    for n in (40, 0, 25, 60):
+        edges = [(int(a), int(b)) for a, b in rng.integers(0, 150, (n, 2))]
+        for a, b in edges:
+            x, y = sorted((root(a), root(b)))
+            parent[y] = x
+        found = extend_components(found, spark.createDataFrame(edges, schema))
+        got = {r.node: r.component for r in found.collect()}
+        assert len(got) == found.count()
+        assert all(got.get(x, x) == root(x) for x in parent) and got.keys() <= parent.keys()

@@ -14,6 +14,7 @@ from ringfold.llm.jaccard_join import jaccard_components, keep_one
 from ringfold.llm.mixing import mix_sources, mixed_documents
 from ringfold.llm.runlength import RunLengthIndex
 from ringfold.llm.substring_dedup import remove_repeats
+from ringfold.workdir import stored
 
 
 def _key(row):
@@ -106,6 +107,34 @@ def test_jaccard_known_frequent(edge_docs, edge_rows, monkeypatch):
     same(jaccard_components(edge_docs).collect(), brute.jaccard([r[:2] for r in edge_rows]))
 
 
+@pytest.mark.parametrize("with_original, edits", [(True, 6), (False, 8)])
+def test_jaccard_many_near_copies(spark, monkeypatch, with_original, edits):
+    """Copies far from each other are linked through their text; without it they are compared pair by pair."""
+    from ringfold.llm import jaccard_join
+
+    rng = random.Random(5)
+    text = [f"w{i}" for i in range(300)]
+    rows = [(0, " ".join(text))] * with_original
+    for i in range(1, 151):
+        words = list(text)
+        for at in rng.sample(range(300), rng.randint(3, edits)):
+            words[at] = f"x{i}y{at}"
+        rows.append((i, " ".join(words)))
+    made = []
+
+    def counted(df, name):
+        out = stored(df, name)
+        made.append((name, out.count()))
+        return out
+
+    monkeypatch.setattr(jaccard_join, "stored", counted)
+    monkeypatch.setattr(jaccard_join, "SAMPLE", 1)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    same(jaccard_components(docs).collect(), brute.jaccard(rows))
+    if with_original:
+        assert sum(n for name, n in made if name == "jaccard-pairs") <= 3 * len(rows)
+
+
 def test_jaccard_ids_with_several_texts(spark):
     long = " ".join(map(str, range(100)))
     rows = [(5, long), (3, "a b c d e f g"), (5, "a b c d e f g"), (9, long), (7, "x y"), (7, "z")]
