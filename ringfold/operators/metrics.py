@@ -225,11 +225,18 @@ def lag_trend(
     """Slope of the consumer's lag over time, judged against a share of the load.
 
     ``samples`` has ``(ts, end_offset, committed_offset)``. A run keeps up when its lag
-    grows by at most ``threshold`` times the offered records per second.
+    grows by at most ``threshold`` times the offered records per second. The warm-up of a key
+    is counted from its own first sample.
     """
     load = F.lit(float(load_per_second)) if not isinstance(load_per_second, Column) else load_per_second
     us = _micros(F.col("ts"))
-    start = samples.agg(F.min(us)).scalar()
+    if keys:
+        # null keys are a run of their own
+        begins = samples.groupBy(*[F.col(k).alias(f"begin_{k}") for k in keys]).agg(F.min(us).alias("begin_us"))
+        same = [F.col(k).eqNullSafe(F.col(f"begin_{k}")) for k in keys]
+        samples, start = samples.join(begins, same), F.col("begin_us")
+    else:
+        start = samples.agg(F.min(us)).scalar()
     seconds = (us - start) / F.lit(float(MICROS))
     lag = (F.col("end_offset") - F.col("committed_offset")).cast("double")
     warm = samples.select(*keys, seconds.alias("seconds"), lag.alias("lag")).where(F.col("seconds") >= warmup_s)

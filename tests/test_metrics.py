@@ -130,3 +130,14 @@ def test_lag_trend(spark, growth, fine):
     )
     r = M.lag_trend(samples, 100.0).first()
     assert math.isclose(r.slope, growth, abs_tol=1e-6) and r.sustainable is fine and r.n_samples == 48
+
+
+def test_lag_trend_warms_up_per_key(spark):
+    # the late key's first minute would not be left out by the warm-up of the early one
+    rows = [("early", s, 10 * s, 0) for s in range(0, 300, 10)]
+    rows += [(None, s, (5000 if s < 1060 else 2 * s), 0) for s in range(1000, 1300, 10)]
+    samples = spark.createDataFrame(rows, "key string, s bigint, end_offset bigint, committed_offset bigint")
+    samples = samples.withColumn("ts", F.timestamp_seconds("s"))
+    found = M.lag_trend(samples, 1000.0, ["key"], warmup_s=60).collect()
+    got = {r.key: (r.n_samples, round(r.slope, 6), r.sustainable) for r in found}
+    assert got == {"early": (24, 10.0, True), None: (24, 2.0, True)}
