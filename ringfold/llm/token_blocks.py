@@ -11,7 +11,7 @@ Layout, little-endian::
     block*      count u32, minimum u32, width u8, exceptions u32,
                 packed bits, exception positions u32[], exception high bits u32[]
     footer      block offsets u64[], document ids i64[], document starts u64[]
-    trailer     blocks u64, documents u64, ids u64, footer offset u64, magic 8 bytes
+    trailer     ids per block u64, blocks u64, documents u64, ids u64, footer offset u64, magic 8 bytes
 """
 
 from __future__ import annotations
@@ -36,14 +36,17 @@ from ringfold.workdir import stored, work_dir
 
 BLOCK_IDS = 4096
 WIDTH_PERCENTILE = 90
-MAGIC = b"PFORIDS1"
+MAGIC = b"PFORIDS2"
 _HEAD = struct.Struct("<IIBI")
-_TRAILER = struct.Struct("<QQQQ8s")
+_TRAILER = struct.Struct("<QQQQQ8s")
 #: Distinct words that a tokenizing task remembers, in each of two generations, and ends of words.
 REMEMBERED_WORDS = 400_000
 REMEMBERED_TAILS = 50_000
+#: Characters of the longest word that is remembered.
+LONGEST_REMEMBERED = 64
 #: Letters, then punctuation or a line end: a byte-level BPE tokenizer cuts between the two.
 _LETTER = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff"
+_LETTERS = re.compile(f"[{_LETTER}]+")
 _WORD_AND_TAIL = re.compile(f"([{_LETTER}]+)([!-/:-@\\[-`{{-~\n](?:.*[!-~{_LETTER}])?)", re.DOTALL)
 
 
@@ -124,16 +127,17 @@ class IdFileWriter:
         self._flush(rest=True)
         for values, kind in ((self._blocks, "<u8"), (self._docs, "<i8"), (self._starts, "<u8")):
             self._out.write(np.array(values, kind).tobytes())
-        self._out.write(_TRAILER.pack(len(self._blocks), len(self._docs), self.n_ids, self._at, MAGIC))
+        self._out.write(_TRAILER.pack(self._block_ids, len(self._blocks), len(self._docs), self.n_ids, self._at, MAGIC))
 
 
 class IdFileReader:
     """Reads documents of a file by ranges of blocks."""
 
-    def __init__(self, source, block_ids: int = BLOCK_IDS):
-        self._source, self._block_ids = source, block_ids
+    def __init__(self, source):
+        self._source = source
         size = source.size()
-        n_blocks, n_docs, self.n_ids, self._end, magic = _TRAILER.unpack(self._range(size - _TRAILER.size, size))
+        trailer = _TRAILER.unpack(self._range(size - _TRAILER.size, size))
+        self._block_ids, n_blocks, n_docs, self.n_ids, self._end, magic = trailer
         if magic != MAGIC:
             raise ValueError("not a file of token-id blocks")
         footer = self._range(self._end, self._end + 8 * (n_blocks + 2 * n_docs))
@@ -175,21 +179,56 @@ def _ends_word(part: str) -> bool:
     return bool(part) and not part[-1].isspace() and part[-1] not in "\u180e\u200b\ufeff"
 
 
+def _byte_characters() -> dict[int, str]:
+    """The character of a byte-level vocabulary for each byte: itself if it is printable, else one after 255."""
+    printable = [b for b in range(256) if 33 <= b <= 126 or (b >= 161 and b != 173)]
+    others = [b for b in range(256) if b not in printable]
+    return {b: chr(b) for b in printable} | {b: chr(256 + i) for i, b in enumerate(others)}
+
+
+_BYTE_CHARACTERS = _byte_characters()
+
+
+def _as_bytes(part: str) -> str:
+    """A word after a space as a byte-level vocabulary spells it."""
+    return (b" " + part.encode()).decode("latin-1").translate(_BYTE_CHARACTERS)
+
+
 class _NotAlone(Exception):
     """A piece of text that cannot be cut off where it is cut."""
 
 
+def _splits_by_letters(tokenizer) -> bool:
+    """Whether a space and the letters after it are one piece, spelled in bytes, and nothing else is done to them."""
+    if tokenizer.normalizer is not None or tokenizer.pre_tokenizer is None:
+        return False
+    words = ("of", "Straße", "éàÿ")
+    pieces = tokenizer.pre_tokenizer.pre_tokenize_str("".join(" " + w for w in words))
+    return [p for p, _ in pieces] == [_as_bytes(w) for w in words]
+
+
 class _Pieces(dict):
     """Ids, as bytes, of a word after a space. Words not met for long are forgotten."""
 
     def __init__(self, tokenizer):
         super().__init__()
         self._tokenizer = tokenizer
+        self._model = tokenizer.model if _splits_by_letters(tokenizer) else None
         self._older: dict[str, bytes] = {}
         self._tails: dict[str, bytes] = {}
 
     def encode(self, text: str) -> bytes:
-        ids = array("I", self._tokenizer.encode(text, add_special_tokens=False).ids)
+        return self._stored(self._tokenizer.encode(text, add_special_tokens=False).ids)
+
+    def _word(self, letters: str) -> bytes:
+        """A space and letters, which the tokenizer takes as one piece, so its model is asked alone."""
+        if self._model is None:
+            return self.encode(" " + letters)
+        return self._stored([t.id for t in self._model.tokenize(_as_bytes(letters))])
+
+    @staticmethod
+    def _stored(found: list[int]) -> bytes:
+        ids = array("I", found)
         return ids.tobytes() if sys.byteorder == "little" else struct.pack(f"<{len(ids)}I", *ids)
 
     def __missing__(self, part: str) -> bytes:
@@ -198,15 +237,22 @@ class _Pieces(dict):
             cut = _WORD_AND_TAIL.fullmatch(part)
             if cut and part[-1] != "\n":
                 got = self[cut[1]] + self._tail(cut[2])
+            elif _LETTERS.fullmatch(part):
+                got = self._word(part)
             elif _ends_word(part) and _ends_word(part[0]):
                 got = self.encode(" " + part)
             else:
                 raise _NotAlone
+        self._remember(part, got)
+        return got
+
+    def _remember(self, part: str, ids: bytes) -> None:
+        if len(part) > LONGEST_REMEMBERED:
+            return
         if len(self) >= REMEMBERED_WORDS:
             self._older = dict(self)
             self.clear()
-        self[part] = got
-        return got
+        self[part] = ids
 
     def _tail(self, tail: str) -> bytes:
         got = self._tails.get(tail)
@@ -321,7 +367,7 @@ def write_token_files(
     return stored(ordered.mapInArrow(write, "file_no bigint, path string, n_docs bigint, n_ids bigint"), "token-files")
 
 
-def read_token_files(files: DataFrame, block_ids: int = BLOCK_IDS) -> DataFrame:
+def read_token_files(files: DataFrame) -> DataFrame:
     """Per document of the listed files: ``doc_id``, ``start``, ``n_tokens``, ``ids_crc32``.
 
     ``start`` counts the ids of all documents before it. A task reads one file at a time.
@@ -333,7 +379,7 @@ def read_token_files(files: DataFrame, block_ids: int = BLOCK_IDS) -> DataFrame:
                 system, name = fs.FileSystem.from_uri(path)
                 with system.open_input_file(name) as source:
                     rows: list[tuple] = []
-                    for doc, start, ids in IdFileReader(source, block_ids).documents():
+                    for doc, start, ids in IdFileReader(source).documents():
                         rows.append((doc, base + start, len(ids), zlib.crc32(ids.astype("<u4").tobytes())))
                         if len(rows) == 4096:
                             yield _rows(rows)

@@ -45,7 +45,7 @@ def test_file_ranges():
     for doc, ids in docs:
         writer.add(doc, ids)
     writer.close()
-    reader = IdFileReader(out, block_ids=16)
+    reader = IdFileReader(out)
     everything = np.concatenate([ids for _, ids in docs])
     for a, b in [(0, 1), (5, 5), (15, 17), (0, len(everything)), (100, 305)]:
         assert (reader.ids(a, b) == everything[a:b]).all()
@@ -98,7 +98,7 @@ def test_token_files_of_added_tokens(spark, plain):
 
 
 def test_token_files(edge_docs, edge_rows, plain):
-    got = read_token_files(write_token_files(edge_docs, TOKENIZER, 2, block_ids=64), block_ids=64).collect()
+    got = read_token_files(write_token_files(edge_docs, TOKENIZER, 2, block_ids=64)).collect()
     at, want = 0, []
     for doc, text in sorted((r[:2] for r in edge_rows), key=lambda r: (r[0] is not None, r[0], r[1] is not None, r[1])):
         ids = [*plain(text or ""), 2]
