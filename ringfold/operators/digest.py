@@ -122,20 +122,23 @@ def partition_by_rule(matches: DataFrame | SplitMatches, partitions: int | None
     return rows.repartition(partitions, *keys) if partitions else rows.repartition(*keys)
 
 
-def _check_every(every: int) -> None:
+def check_every(every: int) -> None:
     if not 1 <= every <= MAX_EVERY:
         raise ValueError(f"every must be between 1 and {MAX_EVERY}, not {every}")
 
 
 def running_count_events(matches: DataFrame | SplitMatches, every: int, state_bytes: int = LONG_BYTES) -> DataFrame:
     """Count each rule's records without reset; an event at every ``every``-th one."""
-    _check_every(every)
+    check_every(every)
     require_state_bytes(state_bytes, LONG_BYTES)
+    return count_events(arrival_index(matches), every, state_bytes)
+
+
+def count_events(numbered: DataFrame, every: int, state_bytes: int = LONG_BYTES) -> DataFrame:
+    """The events of numbered matches."""
     n = F.col("idx") + 1
-    return (
-        arrival_index(matches)
-        .where(n % every == 0)
-        .select("rule_id", n.alias("n"), "ts", "record_id", counter_pack(n, state_bytes).alias("value"))
+    return numbered.where(n % every == 0).select(
+        "rule_id", n.alias("n"), "ts", "record_id", counter_pack(n, state_bytes).alias("value")
     )
 
 
@@ -223,7 +226,7 @@ def count_window_digest(
     ``n`` is always ``every``. ``n_records`` differs from it only in a phased first
     window, which sums fewer records.
     """
-    _check_every(every)
+    check_every(every)
     require_state_bytes(state_bytes)
     rows = weighted(arrival_index(matches), every)
     return (

@@ -202,10 +202,14 @@ def rule_slots(rules: DataFrame, bits: int = 16) -> DataFrame:
         .when(width == 0, F.lit(0).cast("bigint"))
         .otherwise(F.least(F.shiftright(width, shift) + spill + 1, F.lit(slots).cast("bigint")))
     )
-    steps = F.sequence(F.lit(0).cast("bigint"), F.col("touched") - 1)
+    # in chunks, as a wide arc touches up to 2^30 slots
+    chunk = F.lit(COUNT_CHUNK).cast("bigint")
+    chunks = F.sequence(F.lit(0).cast("bigint"), F.col("touched") - 1, chunk)
+    steps = F.sequence("lo", F.least(F.col("lo") + chunk, "touched") - 1)
     return (
         rules.select("*", touched.alias("touched"))
         .where(F.col("touched") > 0)
+        .select(*rules.columns, "touched", F.explode(chunks).alias("lo"))
         .select(*rules.columns, F.explode(steps).alias("step"))
         .select(((F.shiftright(offset, shift) + F.col("step")) % slots).alias("slot"), *rules.columns)
     )

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ringfold.operators.digest import SplitMatches
@@ -65,16 +65,18 @@ SLICE_ROWS = 1 << 20
 FIRST_FILE_MS = 1_704_067_200_000
 
 
-def event_files(spark: SparkSession, sf_dir: str) -> list[str]:
-    """Write all rows of ``events`` as files in arrival order, rows without a time first; return their names.
+def event_files(spark: SparkSession, sf_dir: str, where: Column | None = None, slices: int = SLICES) -> list[str]:
+    """Write all rows of ``events``, or those of a condition, as files in arrival order, rows without a time first; return their names.
 
     The table is cut by ranges of (ts, event_id), a task per file, so files are of bounded
     size and no file holds rows that come before those of an earlier one. Tables with few
     rows may give fewer files, and an empty one gives one empty file.
     """
     events = v.table(spark, sf_dir, "events")
+    if where is not None:
+        events = events.where(where)
     path = work_dir(spark, "event-files")
-    n = max(SLICES, -(-events.count() // SLICE_ROWS))
+    n = max(slices, -(-events.count() // SLICE_ROWS))
     keys = [F.asc_nulls_first(c) for c in ("ts", "event_id")]
     events.repartitionByRange(n, *keys).write.parquet(path)
     return sorted(f for f in spark.read.parquet(path).inputFiles())

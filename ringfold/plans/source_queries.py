@@ -10,6 +10,7 @@ from ringfold.functions.timing import epoch_ms
 from ringfold.plans import sql
 from ringfold.plans import views as v
 from ringfold.plans.shared import drain, event_stream, register
+from ringfold.sources.manifest import read_published, write_published
 from ringfold.sources.offsets import explode_offsets, latest_offsets
 from ringfold.sources.records import pace, random_bytes
 from ringfold.sources.streams import write_events
@@ -30,23 +31,28 @@ def _user_events(events: DataFrame) -> DataFrame:
     return records.select(F.concat(F.lit("record_"), F.col("record_id")).alias("key"), value.alias("value"))
 
 
-@register(
-    "event_sink",
-    sql.query(
-        sql.REC_EVENTS,
-        select=f"""
+EVENT_ROWS = f"""
 SELECT 'record_' || record_id AS key,
        '0000000000000001' || substr(data, 1, 16) || '0000000000000000'
          || upper({sql.hex_long(sql.MS_OR_0)}) || substr(data, 1, 10) || '000000' AS value
-FROM rec""",
-    ),
-)
+FROM rec"""
+
+
+@register("event_sink", sql.query(sql.REC_EVENTS, select=EVENT_ROWS))
 def event_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = work_dir(spark, "event-sink")
     write_events(_user_events(event_stream(spark, sf_dir)), f"{path}/events", f"{path}/checkpoint").awaitTermination()
     return spark.read.parquet(f"{path}/events").select("key", F.hex("value").alias("value"))
 
 
+@register("event_sink_published", sql.query(sql.REC_EVENTS, select=EVENT_ROWS))
+def event_sink_published(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = work_dir(spark, "event-sink")
+    events = _user_events(event_stream(spark, sf_dir))
+    write_published(events, f"{path}/events", f"{path}/checkpoint").awaitTermination()
+    return read_published(spark, f"{path}/events", events.schema).select("key", F.hex("value").alias("value"))
+
+
 def _random_hex(size: int, source: str, number: str) -> str:
     blocks = " || ".join(f"md5('bench:' || {source} || ':' || {number} || ':{b}')" for b in range(-(-size // 16)))
     return f"substr({blocks}, 1, {2 * size})"

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ringfold.functions.payload import event_unpack
 from ringfold.operators.digest import MAX_ROWS, split_hot_rules
 from ringfold.operators.folds import Fold, Merge, batch_fold, merge_fold, window_fold
+from ringfold.operators.rules import place_rules, remove_rules, upsert_rules
 from ringfold.plans import sql
 from ringfold.plans import views as v
 from ringfold.plans.shared import (
@@ -25,7 +26,9 @@ from ringfold.plans.shared import (
     sized,
     stream_matches,
 )
-from ringfold.streaming.digest import start_digest_stream
+from ringfold.streaming.changes import ChangingRules, RuleVersions
+from ringfold.streaming.counts import start_count_stream
+from ringfold.streaming.digest import DigestSink, start_digest_stream
 from ringfold.streaming.job import start_job
 from ringfold.streaming.state import stateful_digest
 from ringfold.workdir import stored, work_dir
@@ -101,6 +104,80 @@ def stream_restart(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events.select(F.col("key").alias("rule_id"), *kept)
 
 
+RUNNING_COUNTS = sql.query(
+    *EVENT_MATCHES,
+    sql.numbered(EVERY),
+    select=f"""
+SELECT rule_id, idx + 1 AS n, record_id, upper({sql.hex_long('idx + 1')}) AS value
+FROM placed WHERE (idx + 1) % {EVERY} = 0""",
+)
+
+
+@register("stream_running_count", RUNNING_COUNTS)
+def stream_running_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = work_dir(spark, "stream-count")
+    start_count_stream(stream_matches(spark, sf_dir), path, f"{path}/checkpoint", EVERY).awaitTermination()
+    return spark.read.parquet(f"{path}/events").select("rule_id", "n", "record_id", F.hex("value").alias("value"))
+
+
+CHANGED = "(SELECT c_custkey AS rule_no, 0.002::DOUBLE AS selectivity FROM customer WHERE c_acctbal < 0)"
+EARLIER = "coalesce(epoch_us(p.ts) < (SELECT middle_us FROM border), true)"
+
+
+def _part(rules: str, where: str) -> str:
+    arc = sql.in_arc("p.position", 'r."offset"', "r.width")
+    return f"SELECT r.rule_id, p.* FROM prepared p JOIN {rules} r ON {arc} WHERE {where}"
+
+
+@register(
+    "stream_rule_changes",
+    sql.query(
+        sql.REC_EVENTS,
+        sql.PREPARED,
+        sql.subscriptions(),
+        sql.rules_from(CHANGED).replace("rules AS", "changes AS"),
+        f"""
+later AS (
+  SELECT * FROM changes
+  UNION ALL SELECT * FROM rules WHERE rule_id NOT IN (
+    SELECT 'consumer_' || c_custkey FROM customer WHERE c_acctbal < 0 OR c_nationkey < 7)
+),
+border AS (SELECT min(epoch_us(ts)) + (max(epoch_us(ts)) - min(epoch_us(ts))) // 2 AS middle_us FROM rec),
+matches AS ({_part("rules", EARLIER)} UNION ALL {_part("later", f"NOT {EARLIER}")})""",
+        sql.numbered(EVERY),
+        sql.digest(EVERY),
+        select=sql.DIGEST_ROWS,
+    ),
+)
+def stream_rule_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stream whose rules are removed, changed and put back once half of its time is over."""
+    path, source = work_dir(spark, "stream-changes"), work_dir(spark, "event-stream")
+    versions = RuleVersions(spark, f"{path}/rules")
+    sink = DigestSink(f"{path}/digests", EVERY)
+    changing = ChangingRules(versions.path, path, sink)
+    at = F.unix_micros(F.col("ts").cast("timestamp"))
+    low, high = v.table(spark, sf_dir, "events").agg(F.min(at), F.max(at)).first()
+    earlier = F.coalesce(at < F.lit(None if low is None else low + (high - low) // 2), F.lit(True))
+    for rules, where in ((_rules(spark, sf_dir), earlier), (_later_rules(spark, sf_dir), ~earlier)):
+        versions.publish(rules)
+        publish(spark, event_files(spark, sf_dir, where, slices=3), source)
+        records = v.prepared(v.event_records(event_stream(spark, sf_dir, source)))
+        run = records.writeStream.option("checkpointLocation", f"{path}/checkpoint").foreachBatch(changing)
+        run.trigger(availableNow=True).start().awaitTermination()
+    return digest_fields(spark.read.parquet(sink.events))
+
+
+def _rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return v.subscriptions(spark, sf_dir)
+
+
+def _later_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    customers = v.table(spark, sf_dir, "customer").withColumnRenamed("c_custkey", "rule_no")
+    gone = customers.where("c_nationkey < 7").select(F.concat(F.lit("consumer_"), "rule_no").alias("rule_id"))
+    changed = customers.where("c_acctbal < 0").select("rule_no", F.lit(0.002).alias("selectivity"))
+    return upsert_rules(remove_rules(_rules(spark, sf_dir), gone), place_rules(changed, v.SEED, v.HASH))
+
+
 def record_highs() -> Fold:
     """A consumer of one's own: an event whenever a rule sees a new highest value.
 

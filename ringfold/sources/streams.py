@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
+from ringfold.commits import CommitLog
+
 DELIVERIES = ("none", "at_least_once", "exactly_once")
 OFFSET_BITS = 44
 ISOLATIONS = ("read_uncommitted", "read_committed")
@@ -94,6 +96,30 @@ def file_records(spark: SparkSession, path: str, schema: StructType, **options)
     return spark.readStream.schema(schema).options(**file_options(**options)).parquet(path)
 
 
+def arriving_file_records(spark: SparkSession, path: str, schema: StructType, mark: str, **options) -> DataFrame:
+    """Record stream of the files that come into a folder after the stream's first start.
+
+    The time of the newest file there is stored below ``mark`` at the first start, with the
+    names of the files of that time, and holds for all later starts. A file that is moved
+    in with an older time counts as there before. Micro-batches over older files are empty.
+    """
+    listed = spark.read.format("binaryFile").options(**file_options(**options)).load(path)
+    log = CommitLog(spark, mark)
+    start = log.get("start") or log.put("start", json.dumps(_newest(listed)))
+    newest, names = json.loads(start)
+    records = file_records(spark, path, schema, **options)
+    if newest is None:
+        return records
+    at, name = F.unix_millis("_metadata.file_modification_time"), F.col("_metadata.file_name")
+    return records.where((at > newest) | ((at == newest) & ~name.isin(names))).select(*schema.names)
+
+
+def _newest(listed: DataFrame) -> tuple[int | None, list[str]]:
+    files = listed.select("_metadata.file_name", F.unix_millis("_metadata.file_modification_time").alias("at"))
+    newest = files.agg(F.max("at")).first()[0]
+    return newest, [] if newest is None else sorted(r[0] for r in files.where(F.col("at") == newest).collect())
+
+
 def write_batch(df: DataFrame, path: str, batch_id: int, delivery: str = "exactly_once") -> None:
     """Store the events of one micro-batch.
 

@@ -5,9 +5,6 @@ numbered from where its rules stand, folded together with the open windows, and
 full windows as events and the rest as the next table. There is no call per rule and no
 Python in the data path, and a rule that fills most of a micro-batch is split like in a
 batch job.
-
-A batch writes the slot ``batch_id % 2`` and reads the other one, so a replayed batch
-finds the state it started from and writes the same rows again.
 """
 
 from __future__ import annotations
@@ -26,11 +23,11 @@ from ringfold.operators.digest import (
     complete,
     fold_windows,
     pack_digests,
-    split_hot_rules,
     weighted,
 )
 from ringfold.sources.streams import write_batch
 from ringfold.streaming.settings import keep_settings
+from ringfold.streaming.tables import StateTables
 
 STATE_FIELDS = (
     "rule_id string, last_pos bigint, n_records bigint, total bigint, start_ms bigint, end_ms bigint, payload binary"
@@ -79,13 +76,15 @@ def open_windows(windows: DataFrame, every: int, batch_id: int) -> DataFrame:
     )
 
 
-class DigestSink:
+class DigestSink(StateTables):
     """Micro-batch function: reads and writes the open windows, stores the events.
 
     The matches of a micro-batch are counted, and rules with more than ``max_rows`` of
     them are split. ``packed`` stores events as ``(key, value)`` bytes.
     """
 
+    schema = STATE_SCHEMA
+
     def __init__(
         self,
         path: str,
@@ -94,34 +93,11 @@ class DigestSink:
         max_rows: int = MAX_ROWS,
         packed: bool = False,
     ) -> None:
-        self.path = path.rstrip("/")
+        super().__init__(path, max_rows)
         self.every = every
         self.state_bytes = require_state_bytes(state_bytes)
-        self.max_rows = max_rows
         self.packed = packed
 
-    @property
-    def events(self) -> str:
-        return f"{self.path}/events"
-
-    def _slot(self, batch_id: int) -> str:
-        return f"{self.path}/state/slot{batch_id % 2}"
-
-    def _state(self, batch: DataFrame, batch_id: int) -> DataFrame:
-        spark = batch.sparkSession
-        if batch_id == 0:
-            return spark.createDataFrame([], STATE_SCHEMA)
-        state = spark.read.schema(STATE_SCHEMA).parquet(self._slot(batch_id - 1))
-        found = state.agg(F.min("batch_id"), F.max("batch_id")).first()
-        if any(b not in (None, batch_id - 1) for b in found):
-            raise ValueError(f"state below {self.path} is of batch {found[1]}, not {batch_id - 1}")
-        return state
-
-    def _sized(self, batch: DataFrame) -> DataFrame | SplitMatches:
-        if batch.count() <= self.max_rows:
-            return batch
-        return split_hot_rules(batch, self.max_rows) or batch
-
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
         state = self._state(batch, batch_id)
         batch = batch.persist()

@@ -8,6 +8,7 @@ from ringfold.plans.shared import SLICES, event_files
 
 QUERIES = [
     "stream_source", "event_sink", "stream_match", "stream_match_all", "stream_digest", "stateful_digest", "stream_job", "stream_restart",
+    "event_sink_published", "stream_running_count", "stream_rule_changes",
     "count_window_digest",
 ]
 
