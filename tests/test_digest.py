@@ -1,5 +1,7 @@
+import pickle
 import random
 
+import pandas as pd
 import pytest
 from folds import counter, digests
 from pyspark.sql import functions as F
@@ -7,7 +9,7 @@ from pyspark.sql import functions as F
 from ringfold.functions.ring import keyed_hash
 from ringfold.operators import digest as D
 from ringfold.operators.fanout import PHASE_SEED, prepare_records
-from ringfold.operators.folds import batch_fold, merge_fold
+from ringfold.operators.folds import batch_fold, merge_fold, sorted_fold
 from ringfold.operators.rules import zipf_rules
 from ringfold.plans.dataflow import digest_records
 from ringfold.sources.records import generate_records
@@ -184,3 +186,34 @@ def test_merged_fold_with_nulls_and_more_columns(spark):
     got = merge_fold(split, fold, lambda a, b: (a[0] + b[0],), "rule_id string, n bigint").groupBy("rule_id").agg(F.max("n").alias("n"))
     assert sorted(got.collect()) == [("a", 50), ("b", 50)]
     assert merge_fold(base.limit(0), fold, None, "rule_id string, n bigint").collect() == []
+
+
+class Captured:
+    """Stands for a sorted table: keeps the function that would run in its tasks."""
+
+    def repartition(self, *keys):
+        return self
+
+    sortWithinPartitions = repartition
+
+    def mapInPandas(self, run, schema):
+        return run
+
+
+def test_columns_are_dropped_per_batch_not_per_rule(monkeypatch):
+    rules = [f"r{i:04}" for i in range(500)]
+    batch = pd.DataFrame({"rule_id": rules * 2, "n": range(1000), "part": 0, "_state": None}).sort_values(["rule_id", "n"])
+    batch.loc[batch["n"] == 7, "_state"] = [pickle.dumps((100,))]
+    dropped = []
+    drop = pd.DataFrame.drop
+    monkeypatch.setattr(pd.DataFrame, "drop", lambda self, *args, **options: dropped.append(1) or drop(self, *args, **options))
+
+    def fold(key, state, rows):
+        assert "_state" not in rows
+        total = (state or (0,))[0] + int(rows["n"].sum())
+        return (total,), [(key, total)]
+
+    run = sorted_fold(Captured(), ["rule_id", "part"], ["n"], fold, "rule_id string, total bigint", named=1)
+    got = dict(pd.concat(run(iter([batch])))[["rule_id", "total"]].itertuples(index=False))
+    assert got == {r: 2 * i + 500 if i != 7 else 607 for i, r in enumerate(rules)}
+    assert len(dropped) <= 2
