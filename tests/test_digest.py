@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ringfold.functions.ring import keyed_hash
 from ringfold.operators import digest as D
 from ringfold.operators.fanout import PHASE_SEED, prepare_records
-from ringfold.operators.folds import batch_fold, merge_fold, sorted_fold
+from ringfold.operators.folds import batch_fold, merge_fold, sorted_fold, window_fold
 from ringfold.operators.rules import zipf_rules
 from ringfold.plans.dataflow import digest_records
 from ringfold.sources.records import generate_records
@@ -217,3 +217,18 @@ def test_columns_are_dropped_per_batch_not_per_rule(monkeypatch):
     got = dict(pd.concat(run(iter([batch])))[["rule_id", "total"]].itertuples(index=False))
     assert got == {r: 2 * i + 500 if i != 7 else 607 for i, r in enumerate(rules)}
     assert len(dropped) <= 2
+
+
+def test_window_fold_moves_only_what_the_fold_reads(spark):
+    matches = matches_of(spark, make_records(200), 32)
+
+    def fold(key, state, rows):
+        assert list(rows.columns) == ["first_long"]
+        n, total = state or (0, 0)
+        state = (n + len(rows), total + int(rows["first_long"].sum()) % 1000)
+        return state, [(key[0], int(key[1]), state[0])] if state[0] == 7 else []
+
+    schema = "rule_id string, cycle bigint, n bigint"
+    got = window_fold(matches, 7, fold, schema, ["first_long"])
+    want = D.count_window_digest(matches, 7).select("rule_id", "cycle", "n")
+    assert sorted(got.collect()) == sorted(want.collect())
