@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ringfold.workdir import stored
+from ringfold.workdir import discard, stored
 
 
 def _least(edges: DataFrame) -> DataFrame:
@@ -39,7 +39,8 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     # every edge from the larger to the smaller node
     current = stored(clean.select(high.cast("bigint").alias("a"), low.cast("bigint").alias("b")).distinct(), "components")
     while _tangled(current):
-        current = stored(_small_star(_large_star(current)), "components")
+        before, current = current, stored(_small_star(_large_star(current)), "components")
+        discard(before)
     return current.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(
         current.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
     )

@@ -10,12 +10,18 @@ BATCH_ROWS = 640
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A given table. Sets the session's Arrow batch size, which bounds a Python worker's memory."""
+    """A given table. Sets the session's Arrow batch size, and when shuffle files go; see :func:`small_batches`."""
     small_batches(spark)
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
 def small_batches(spark: SparkSession) -> None:
+    """Bound a Python worker's memory, and remove the shuffle files of a query once it has run.
+
+    Operators run many queries one after another. Without it their shuffle files stay until
+    the driver happens to collect its garbage.
+    """
+    spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from ringfold.llm.components import connected_components, extend_components
 from ringfold.llm.samples import drawn
 from ringfold.llm.text import NOT_SPACE, mix, run_hashes, runs_inside, split_words, text_slices, utf8
-from ringfold.workdir import stored
+from ringfold.workdir import discard, stored
 
 WORDS = 5
 LEAST_PERCENT = 80
@@ -79,8 +79,8 @@ def _frequent(rows: DataFrame, words: int) -> np.ndarray:
 
     sample = rows.where(drawn(F.col("doc"), 1 / SAMPLE, 41)).mapInArrow(count, "gram bigint, n bigint")
     often = sample.groupBy("gram").agg(F.sum("n").alias("n")).where(F.col("n") >= SAMPLE_HITS)
-    best = often.orderBy(F.desc("n"), "gram").limit(MOST_FREQUENT).collect()
-    return np.sort(np.array([r.gram for r in best], np.int64).view(np.uint64))
+    best = often.orderBy(F.desc("n"), "gram").limit(MOST_FREQUENT).select("gram").toArrow()
+    return np.sort(best.column("gram").to_numpy().view(np.uint64))
 
 
 def _measured(rows: DataFrame, frequent: np.ndarray, words: int, percent: int) -> DataFrame:
@@ -185,7 +185,8 @@ def jaccard_components(
     percent * united``, exactly. ``component_id`` is the least id reachable by links, also
     through other documents. Rows that share an id are one document in components. Rows
     with a null id have the set of their text and a null component. Other columns are not
-    read.
+    read. The result is stored, and the tables it is made from are deleted as soon as no
+    step reads them.
     """
     texts = docs.select(F.col(id_col).cast("bigint").alias("doc"), F.col(text_col).cast("string").alias("text"))
     frequent = _frequent(texts, words)
@@ -196,7 +197,8 @@ def jaccard_components(
     classes = stored(classes, "jaccard-classes")
     keys = ["doc", "h1", "h2"]
     copies = full.select("doc", "h1", "h2", "n").join(classes, ["h1", "h2", "n"]).where("doc > rep").select(*keys)
-    heads = full.join(_small(stored(copies, "jaccard-copies")), keys, "left_anti")
+    copies = stored(copies, "jaccard-copies")
+    heads = full.join(_small(copies), keys, "left_anti")
     if _repeats(full.select("doc")):
         heads = heads.dropDuplicates(keys)
     entries = heads.select(F.col("doc").alias("rep"), "n", "own", F.posexplode("prefix").alias("at", "gram"))
@@ -211,18 +213,24 @@ def jaccard_components(
     near = F.least("n", "pivot_n") * 100 >= F.greatest("n", "pivot_n") * percent
     first = lists.join(pivots, "gram").where((F.col("rep") != F.col("pivot")) & near)
     first = first.select(F.least("rep", "pivot").alias("a"), F.greatest("rep", "pivot").alias("b")).distinct()
-    known, links = _verified(texts, heads, stored(first, "jaccard-pairs"), words, percent)
+    first = stored(first, "jaccard-pairs")
+    known, links = _verified(texts, heads, first, words, percent)
     components = stored(connected_components(links), "jaccard-components")
     # long lists ask several more of their members, of those that are not linked yet
-    more = stored(_more_pivots(lists, components, known, percent), "jaccard-pairs")
+    more = _more_pivots(lists, components, known, percent)
     if more.count():
         compared, links = _verified(texts, heads, more, words, percent)
-        known, components = known.unionByName(compared), extend_components(components, links)
+        known, before = known.unionByName(compared), components
+        components = extend_components(before, links)
+        discard(before)
     # then whatever is still open between components
-    again = stored(_open_pairs(lists, components, known, percent), "jaccard-pairs")
+    again = _open_pairs(lists, components, known, percent)
+    discard(lists, first, more, known)
     if again.count():
-        _, links = _verified(texts, heads, again, words, percent)
-        components = extend_components(components, links)
+        compared, links = _verified(texts, heads, again, words, percent)
+        before, components = components, extend_components(components, links)
+        discard(before, compared)
+    discard(again)
     of = components.withColumnRenamed("node", "rep")
     named = classes.join(of, "rep", "left").select("h1", "h2", "n", F.coalesce("component", "rep").alias("component"))
     # rows that share an id connect their classes
@@ -230,9 +238,12 @@ def jaccard_components(
     named = _joined_by_id(full, named, shared)
     alone = measured.where("n = 0 OR doc IS NULL").select("doc", "n", F.col("doc").alias("component"))
     linked = full.select("doc", "n", "h1", "h2").join(named, ["h1", "h2", "n"]).select("doc", "n", "component")
-    return linked.unionByName(alone).select(
+    found = linked.unionByName(alone).select(
         F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("component").alias("component_id")
     )
+    found = stored(found, "jaccard-found")
+    discard(measured, classes, copies, components)
+    return found
 
 
 def _pivot() -> Column:
@@ -270,28 +281,53 @@ def _repeats(rows: DataFrame) -> bool:
     return rows.groupBy("doc").count().where("count > 1").count() > 0
 
 
+def _halved(rows: DataFrame) -> DataFrame:
+    """Prefixes as the distinct low halves of their hashes, with the number ``k`` of whole ones."""
+
+    def halve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            doc, n, prefix = batch.columns
+            k = prefix.value_lengths().to_numpy()
+            halves = prefix.flatten().to_numpy().view(np.uint64).astype(np.uint32)
+            row = np.repeat(np.arange(len(k)), k)
+            order = np.lexsort((halves, row))
+            halves, row = halves[order], row[order]
+            new = np.ones(len(row), bool)
+            new[1:] = (halves[1:] != halves[:-1]) | (row[1:] != row[:-1])
+            bounds = np.r_[0, np.cumsum(np.bincount(row[new], minlength=len(k)))].astype(np.int32)
+            short = pa.ListArray.from_arrays(pa.array(bounds), pa.array(halves[new].view(np.int32)))
+            yield pa.RecordBatch.from_arrays([doc, n, pa.array(k, pa.int32()), short], names=["doc", "n", "k", "prefix"])
+
+    return rows.select("doc", "n", "prefix").mapInArrow(halve, "doc bigint, n bigint, k int, prefix array<int>")
+
+
 def _verified(
     texts: DataFrame, heads: DataFrame, pairs: DataFrame, words: int, percent: int
 ) -> tuple[DataFrame, DataFrame]:
     """Pairs with their exact overlap, and the links among them.
 
     Whole sets are only fetched of pairs whose prefixes allow a link: what two sets have in
-    common is in both prefixes, or behind the prefix of one of them.
+    common is in both prefixes, or behind the prefix of one of them. For this bound prefixes
+    are moved as the low halves of their hashes; elements of a prefix that agree in these
+    are counted as common once more each, so the bound holds.
     """
-    docs = _small(stored(_members(pairs), "jaccard-members"))
-    known = stored(heads.select("doc", "n", "prefix").join(docs, "doc"), "jaccard-known-prefixes")
+    members = stored(_members(pairs), "jaccard-members")
+    known = stored(_halved(heads.select("doc", "n", "prefix").join(_small(members), "doc")), "jaccard-known-prefixes")
 
-    def side(doc: str, n: str, prefix: str) -> DataFrame:
-        return known.select(F.col("doc").alias(doc), F.col("n").alias(n), F.col("prefix").alias(prefix))
+    def side(doc: str, n: str, k: str, prefix: str) -> DataFrame:
+        names = {"doc": doc, "n": n, "k": k, "prefix": prefix}
+        return known.select(*[F.col(c).alias(name) for c, name in names.items()])
 
-    met = pairs.join(side("a", "m", "p"), "a").join(side("b", "n", "q"), "b")
-    behind = F.greatest(F.col("m") - F.size("p"), F.col("n") - F.size("q"))
-    most = F.least(F.size(F.array_intersect("p", "q")) + behind, "m", "n")
+    met = pairs.join(side("a", "m", "j", "p"), "a").join(side("b", "n", "k", "q"), "b")
+    behind = F.greatest(F.col("m") - F.col("j"), F.col("n") - F.col("k"))
+    alike = F.least(F.col("j") - F.size("p"), F.col("k") - F.size("q"))
+    most = F.least(F.size(F.array_intersect("p", "q")) + alike + behind, "m", "n")
     open_pairs = met.where(most * (100 + percent) >= (F.col("m") + F.col("n")) * percent).select("a", "b").distinct()
     open_pairs = stored(open_pairs, "jaccard-open-pairs")
     wanted = stored(_members(open_pairs), "jaccard-wanted")
     sets = _sets(texts.where(F.col("doc").isNotNull()), wanted, words)
     compared = stored(_compared(open_pairs, sets), "jaccard-known")
+    discard(members, known, open_pairs, wanted, sets)
     return compared, compared.where(F.col("common") * 100 >= F.col("united") * percent).select("a", "b").distinct()
 
 
@@ -307,7 +343,9 @@ def _more_pivots(lists: DataFrame, components: DataFrame, known: DataFrame, perc
         of = components.select(F.col("node").alias(end), F.col("component").alias(f"of_{end}"))
         met = met.join(of, end, "left").withColumn(f"of_{end}", F.coalesce(f"of_{end}", end))
     met = met.where("of_rep <> of_other").select(F.least("rep", "other").alias("a"), F.greatest("rep", "other").alias("b"))
-    return met.distinct().join(known.select("a", "b"), ["a", "b"], "left_anti")
+    pairs = stored(met.distinct().join(known.select("a", "b"), ["a", "b"], "left_anti"), "jaccard-pairs")
+    discard(long)
+    return pairs
 
 
 def _open_pairs(lists: DataFrame, components: DataFrame, known: DataFrame, percent: int) -> DataFrame:
@@ -339,7 +377,9 @@ def _open_pairs(lists: DataFrame, components: DataFrame, known: DataFrame, perce
         & F.coalesce(near, F.lit(True))
     )
     pairs = met.select(F.col("rep").alias("a"), F.col("rep2").alias("b")).distinct()
-    return pairs.join(known.select("a", "b"), ["a", "b"], "left_anti")
+    pairs = stored(pairs.join(known.select("a", "b"), ["a", "b"], "left_anti"), "jaccard-pairs")
+    discard(placed)
+    return pairs
 
 
 def _joined_by_id(full: DataFrame, named: DataFrame, shared: DataFrame) -> DataFrame:
@@ -359,7 +399,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
 
     Rows under a null id stay. Of rows that share an id, the one with the least text stays.
     """
-    found = stored(jaccard_components(docs, id_col, text_col, **options), "jaccard-components")
+    found = jaccard_components(docs, id_col, text_col, **options)
     go = found.where("doc_id <> component_id").select(F.col("doc_id").alias(id_col)).distinct()
     kept = docs.join(F.broadcast(go) if go.count() <= BROADCAST_IDS else go, id_col, "left_anti").select(docs.columns)
     twice = found.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1")

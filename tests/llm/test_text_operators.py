@@ -1,5 +1,6 @@
 """Operators over texts against plain Python, on rows with nulls, ties, repeats and long texts."""
 
+import itertools
 import random
 
 import brute
@@ -8,8 +9,12 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from pyspark.sql import functions as F
+
+from ringfold import workdir
 from ringfold.llm import substring_dedup
 from ringfold.llm.decontaminate import contamination_report, drop_contaminated, find_benchmark
+from ringfold.llm.inputs import small_batches
 from ringfold.llm.jaccard_join import jaccard_components, keep_one
 from ringfold.llm.mixing import mix_sources, mixed_documents
 from ringfold.llm.runlength import RunLengthIndex
@@ -152,6 +157,27 @@ def test_keep_one(edge_docs, edge_rows):
     assert sorted(i for i in ids if i is not None) == want and ids.count(None) == 1
 
 
+def test_jaccard_deletes_what_it_stored(edge_docs, tmp_path, monkeypatch):
+    numbers = itertools.count()
+    monkeypatch.setattr(workdir, "work_dir", lambda _, name: f"{tmp_path}/{name}-{next(numbers)}")
+    keep_one(edge_docs).count()
+    left = {f.name.rsplit("-", 1)[0] for f in tmp_path.iterdir()}
+    # what the result is read from, ties of ids, and stars of components
+    assert left <= {"jaccard-found", "jaccard-repeated-ids", "jaccard-ties", "components"}
+
+
+def test_shuffle_files_go_with_their_query(spark):
+    def files():
+        found = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {f for f in found.mkString("|").split("|") if "shuffle_" in f}
+
+    small_batches(spark)
+    before = files()
+    for _ in range(3):
+        stored(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count(), "shuffled")
+    assert files() <= before
+
+
 @pytest.fixture
 def benchmark(spark, edge_rows):
     passages = [r[1].split(" ") for r in edge_rows if r[1] and len(r[1]) > 300 and len(r[1]) < 2000]
