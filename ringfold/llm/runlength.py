@@ -30,7 +30,7 @@ class RunLengthIndex:
         inside[ends] = False
         symbols[inside] = np.frombuffer(b"".join(texts), np.uint8).astype(np.int64) + 1
         owner = np.repeat(owners, self.sizes + 1)
-        order, agree = self._sorted(np.where(inside, symbols + m, 0), ends, n)
+        order, agree = self._sorted(symbols, np.repeat(ends, self.sizes + 1) - np.arange(n), n)
         # the transform, as runs of one symbol
         left = symbols[order - 1]
         left[order == 0] = 0
@@ -48,42 +48,67 @@ class RunLengthIndex:
         self.group_owner = np.minimum.reduceat(owner[order], group) if n else np.zeros(0, np.int64)
         self._owners = owners
 
-    def _sorted(self, symbols: np.ndarray, ends: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-        """Suffix order, and per position a number that two share iff they agree in ``length`` symbols."""
-        symbols[ends] = np.arange(len(ends))
-        agree = np.zeros(n, np.int64)
-        seen = 1
-        rank = symbols
-        top = len(ends) + 258
-        if self.length >= 3 and top < 1 << 20:  # three symbols fit into one number
-            for step in (1, 2):
-                rank = rank * top
-                rank[: max(0, n - step)] += symbols[step:] + 1
-            seen = 3
-        rank = np.unique(rank, return_inverse=True)[1].astype(np.int64)
-        while True:
-            if seen <= self.length < 2 * seen or (seen == 1 and self.length == 1):
-                agree = self._pairs(rank, self.length - seen, n) if self.length > seen else rank
-            top = int(rank.max()) + 1 if n else 0
-            if top == n and 2 * seen > self.length:
-                break
-            rank = self._pairs(rank, seen, n)
+    def _sorted(self, symbols: np.ndarray, left: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """Suffix order, and per position a number that two share iff they agree in ``length`` symbols.
+
+        ``symbols`` are 0 at the separators, which are in the order of the texts; ``left``
+        tells how many symbols are before the next one. A rank is the place of the first of the
+        suffixes that agree so far. Only those that share a rank are sorted again.
+        """
+        if not n:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        used = np.flatnonzero(np.bincount(symbols))
+        code = np.searchsorted(used, np.arange(int(used[-1]) + 1))[symbols]
+        bits = len(used).bit_length()
+        seen = max(1, min(self.length, (63 - n.bit_length()) // bits))
+        key = code.copy()
+        for step in range(1, seen):  # as many symbols as fit into one number
+            key <<= bits
+            key[: max(0, n - step)] |= np.where(left[: max(0, n - step)] >= step, code[step:], 0)
+        order, key = self._in_order(key)
+        # what ends within these symbols agrees with no other, and comes in the order of the texts
+        new = np.r_[True, key[1:] != key[:-1]] | (left[order] < seen)
+        rank = np.empty(n, np.int64)
+        rank[order] = np.maximum.accumulate(np.where(new, np.arange(n), 0))
+        tied = order[~(new & np.r_[new[1:], True])]
+        agree = rank
+        while len(tied):
+            if seen < self.length < 2 * seen:
+                agree = self._refined(rank, self.length - seen, tied)[0]
+            rank, tied = self._refined(rank, seen, tied)
             seen *= 2
+            if seen <= self.length:
+                agree = rank
         order = np.empty(n, np.int64)
         order[rank] = np.arange(n)
         return order, agree
 
     @staticmethod
-    def _pairs(rank: np.ndarray, step: int, n: int) -> np.ndarray:
-        """Ranks of pairs of a position and the one ``step`` behind it."""
-        second = np.zeros(n, np.int64)
-        second[: max(0, n - step)] = rank[step:] + 1
-        return np.unique(rank * (n + 1) + second, return_inverse=True)[1].astype(np.int64)
+    def _in_order(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The stable order of numbers, and the numbers in it."""
+        places = len(key).bit_length()
+        if int(key.max()) >> (63 - places):
+            order = np.argsort(key, kind="stable")
+            return order, key[order]
+        # with its place below it a number is sorted by itself, which takes far less than its order
+        packed = np.sort((key << places) | np.arange(len(key)))
+        return packed & ((1 << places) - 1), packed >> places
 
-    def step_left(self, rows: np.ndarray) -> np.ndarray:
-        """From the row of a suffix to that of the suffix one symbol longer."""
-        run = np.searchsorted(self.run_start, rows, "right") - 1
-        return self.run_target[run] + rows - self.run_start[run]
+    def _refined(self, rank: np.ndarray, step: int, tied: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ranks by pairs of a position and the one ``step`` behind it, and the positions that still share one."""
+        n = len(rank)
+        behind = tied + step
+        second = np.where(behind < n, rank[np.minimum(behind, n - 1)] + 1, 0)
+        order, key = self._in_order(rank[tied] * (n + 1) + second)
+        tied = tied[order]
+        before = rank[tied]
+        at = np.arange(len(tied))
+        new = np.r_[True, key[1:] != key[:-1]]
+        group = np.r_[True, before[1:] != before[:-1]]
+        first = np.maximum.accumulate(np.where(group, at, 0))
+        out = rank.copy()
+        out[tied] = before + np.maximum.accumulate(np.where(new, at, 0)) - first
+        return out, tied[~(new & np.r_[new[1:], True])]
 
     def matches(self, texts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """``(text, start)`` of every ``length`` bytes that also start in a text of a smaller owner.
@@ -95,13 +120,17 @@ class RunLengthIndex:
         """
         text = np.arange(len(self.sizes)) if texts is None else texts
         rows = text.copy()  # separators come first, in the order of the texts
+        n = int(self.sizes.sum()) + len(self.sizes)
+        run_of = np.repeat(np.arange(len(self.run_start), dtype=np.int32), np.diff(np.r_[self.run_start, n]))
+        owner_of = np.repeat(self.group_owner, np.diff(np.r_[self.group_start, n]))
+        jump = self.run_target - self.run_start
         found_text, found_start = [], []
         for done in range(1, int(self.sizes.max(initial=0)) + 1):
             more = self.sizes[text] >= done
-            text, rows = text[more], self.step_left(rows[more])
+            text, rows = text[more], rows[more]
+            rows += jump[run_of[rows]]  # the row of the suffix one symbol longer
             if done >= self.length:
-                group = np.searchsorted(self.group_start, rows, "right") - 1
-                hit = self.group_owner[group] < self._owners[text]
+                hit = owner_of[rows] < self._owners[text]
                 found_text.append(text[hit])
                 found_start.append(self.sizes[text[hit]] - done)
         if not found_text:

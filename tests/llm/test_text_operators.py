@@ -98,6 +98,38 @@ def test_run_length_index(texts, length):
     assert got == want
 
 
+def test_run_length_index_sorts_what_is_tied(monkeypatch):
+    """Suffixes that differ early are not sorted again with each doubling."""
+    rng = random.Random(8)
+    texts = [bytes(rng.choices(b"abcdefghijklmnopqrstuvwxyz ", k=70)) for _ in range(400)]
+    texts += [texts[0][5:] + texts[1][:40], texts[2] + b"x"]
+    n = sum(len(t) + 1 for t in texts)
+    made = []
+
+    def counted(f):
+        def g(a, *args, **options):
+            made.append(len(a))
+            return f(a, *args, **options)
+
+        return g
+
+    for name in ("sort", "argsort", "unique"):
+        monkeypatch.setattr(np, name, counted(getattr(np, name)))
+    text, _ = RunLengthIndex(texts, np.arange(len(texts)), 50).matches()
+    assert sorted(set(text.tolist())) == [400, 401]
+    assert sum(made) < 3 * n
+
+
+def test_anchors_are_short(spark):
+    """Anchors of which all segments are shuffled have 40 bits of their hash, spread evenly."""
+    rng = random.Random(9)
+    docs = spark.createDataFrame([(i, "".join(rng.choices("abcdefgh ", k=400))) for i in range(50)], "doc long, text string")
+    rows = substring_dedup._anchored(docs, np.zeros(0, np.int64), False, 50, 16).select("anchor").collect()
+    anchors = {r.anchor for r in rows}
+    assert 0 <= min(anchors) and max(anchors) < 1 << 40 and len(anchors) == len(rows)
+    assert 0.4 < sum(a >= 1 << 39 for a in anchors) / len(anchors) < 0.6
+
+
 @pytest.mark.parametrize("words, percent", [(5, 80), (2, 60)])
 def test_jaccard(edge_docs, edge_rows, words, percent):
     found = jaccard_components(edge_docs, words=words, percent=percent)
