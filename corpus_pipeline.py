@@ -19,6 +19,10 @@ from ringfold.llm.samples import training_rows
 from ringfold.llm.token_blocks import read_token_files, write_token_files
 from ringfold.workdir import stored
 
+#: Words that a worker remembers while it writes tokens: a sixth of what it would in a query that
+#: does nothing else, as executors are as full as the earlier stages left them.
+REMEMBERED_WORDS = 1 << 16
+
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier scores 0.5 or more."""
@@ -45,7 +49,8 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Where each document's ids are in the token files."""
     small_batches(spark)
-    return read_token_files(write_token_files(docs, public_tokenizers.path(TOKENIZER), END_ID))
+    files = write_token_files(docs, public_tokenizers.path(TOKENIZER), END_ID, remembered=REMEMBERED_WORDS)
+    return read_token_files(files)
 
 
 STAGES = [

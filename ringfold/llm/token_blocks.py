@@ -39,9 +39,10 @@ WIDTH_PERCENTILE = 90
 MAGIC = b"PFORIDS2"
 _HEAD = struct.Struct("<IIBI")
 _TRAILER = struct.Struct("<QQQQQ8s")
-#: Distinct words that a tokenizing task remembers, in each of two generations, and ends of words.
+#: Distinct words that a tokenizing worker remembers, in each of two generations, some 240 bytes
+#: each; and how many times fewer ends of words.
 REMEMBERED_WORDS = 400_000
-REMEMBERED_TAILS = 50_000
+WORDS_PER_TAIL = 8
 #: Characters of the longest word that is remembered.
 LONGEST_REMEMBERED = 64
 #: Letters, then punctuation or a line end: a byte-level BPE tokenizer cuts between the two.
@@ -210,8 +211,9 @@ def _splits_by_letters(tokenizer) -> bool:
 class _Pieces(dict):
     """Ids, as bytes, of a word after a space. Words not met for long are forgotten."""
 
-    def __init__(self, tokenizer):
+    def __init__(self, tokenizer, remembered: int):
         super().__init__()
+        self._most_words, self._most_tails = remembered, remembered // WORDS_PER_TAIL
         self._tokenizer = tokenizer
         self._model = tokenizer.model if _splits_by_letters(tokenizer) else None
         self._older: dict[str, bytes] = {}
@@ -249,7 +251,7 @@ class _Pieces(dict):
     def _remember(self, part: str, ids: bytes) -> None:
         if len(part) > LONGEST_REMEMBERED:
             return
-        if len(self) >= REMEMBERED_WORDS:
+        if len(self) >= self._most_words:
             self._older = dict(self)
             self.clear()
         self[part] = ids
@@ -258,7 +260,7 @@ class _Pieces(dict):
         got = self._tails.get(tail)
         if got is None:
             got = self.encode(tail)
-            if len(self._tails) < REMEMBERED_TAILS:
+            if len(self._tails) < self._most_tails:
                 self._tails[tail] = got
         return got
 
@@ -273,12 +275,12 @@ class TextEncoder:
     an end of text, is encoded as a whole.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, remembered: int = REMEMBERED_WORDS):
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(path)
         self._added = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
-        self._words = _Pieces(tokenizer)
+        self._words = _Pieces(tokenizer, remembered)
 
     def __call__(self, text: str) -> bytes:
         if any(t in text for t in self._added):
@@ -309,9 +311,9 @@ class TextEncoder:
 
 
 @lru_cache(maxsize=1)
-def _encoder(path: str) -> TextEncoder:
+def _encoder(path: str, remembered: int) -> TextEncoder:
     """One per Python worker, so that a task starts with the words of earlier ones."""
-    return TextEncoder(path)
+    return TextEncoder(path, remembered)
 
 
 def write_token_files(
@@ -322,6 +324,7 @@ def write_token_files(
     text_col: str = "text",
     block_ids: int = BLOCK_IDS,
     percentile: float = WIDTH_PERCENTILE,
+    remembered: int = REMEMBERED_WORDS,
 ) -> DataFrame:
     """Tokenize all texts and write their ids, in ascending order of the document id.
 
@@ -331,6 +334,9 @@ def write_token_files(
     document id stay apart, in the order of their texts. Other columns are not read. An
     empty table gives an empty list.
 
+    A Python worker keeps up to twice ``remembered`` words and their ids, also after its
+    tasks. Fewer take less of the memory that other steps need, and more CPU time.
+
     Each task writes a file under a name of its own and lists it; files of attempts that
     failed are in no list. Files are written and read by pyarrow's file systems, below the
     session's shared folder.
@@ -344,7 +350,7 @@ def write_token_files(
             if not batch.num_rows:
                 continue
             if writer is None:
-                encode = _encoder(tokenizer_path)
+                encode = _encoder(tokenizer_path, remembered)
                 end = np.array([end_id], "<u4").tobytes()
                 system, folder = fs.FileSystem.from_uri(base)
                 system.create_dir(folder, recursive=True)

@@ -1,6 +1,7 @@
 """Round trips through token files and archives."""
 
 import io
+import itertools
 import struct
 import zipfile
 import zlib
@@ -85,6 +86,27 @@ def test_encoder_knows_added_tokens(encoder, plain, parts):
         assert np.frombuffer(encoder(text), "<u4").tolist() == plain(text)
 
 
+def test_encoder_remembers_few_words(plain):
+    """More words than are remembered take no more memory, and have the same ids."""
+    encoder = TextEncoder(TOKENIZER, remembered=64)
+    names = ["".join(p) for p in itertools.product("abcdé", repeat=4)]
+    text = " ".join(f"{n}{'.' * (i % 40)}" for i, n in enumerate(names * 2))
+    assert np.frombuffer(encoder(text), "<u4").tolist() == plain(text)
+    words = encoder._words
+    assert len(words) <= 64 and len(words._older) <= 64 and len(words._tails) <= 8
+
+
+def test_pipeline_remembers_fewer_words(spark, monkeypatch):
+    import corpus_pipeline
+    from ringfold.llm import token_blocks
+
+    asked = []
+    monkeypatch.setattr(corpus_pipeline, "write_token_files", lambda *_, remembered: asked.append(remembered))
+    monkeypatch.setattr(corpus_pipeline, "read_token_files", lambda files: files)
+    corpus_pipeline.tokens(spark, None, "")
+    assert 0 < asked[0] * 4 < token_blocks.REMEMBERED_WORDS
+
+
 def test_token_files_of_added_tokens(spark, plain):
     texts = ["hello <|endoftext|> world", "hello world", "<|endoftext|><|endoftext|>", "a <|endoftext|"]
     got = read_token_files(write_token_files(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), TOKENIZER, 2))
