@@ -11,8 +11,10 @@ import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ringfold.commits import CommitLog
+from ringfold.operators.dense import DENSE_COLUMNS, DenseMatches, dense_levels, dense_rules
 from ringfold.operators.fanout import BROADCAST_BYTES, match_records
 from ringfold.operators.rules import rule_nodes
 
@@ -52,14 +54,21 @@ class ChangingRules:
     """Micro-batch function: matches prepared records against a version, and hands the matches on.
 
     ``path`` holds which version a batch took; ``then`` is the function of the matches and
-    the batch's number, such as a sink of digests.
+    the batch's number, such as a sink of digests. With ``dense``, levels of rules that
+    match a record more than that many times are handed on as ``DenseMatches``, which a sink
+    of digests folds without a row per match.
     """
 
     def __init__(
-        self, rules: str, path: str, then: Callable[[DataFrame, int], None], broadcast_bytes: int = BROADCAST_BYTES
+        self,
+        rules: str,
+        path: str,
+        then: Callable[[DataFrame | DenseMatches, int], None],
+        broadcast_bytes: int = BROADCAST_BYTES,
+        dense: float | None = None,
     ) -> None:
         self.rules, self.path, self.then = rules, path.rstrip("/"), then
-        self.broadcast_bytes = broadcast_bytes
+        self.broadcast_bytes, self.dense = broadcast_bytes, dense
 
     def version(self, spark: SparkSession, batch_id: int) -> int:
         log = CommitLog(spark, f"{self.path}/taken")
@@ -71,4 +80,14 @@ class ChangingRules:
     def __call__(self, records: DataFrame, batch_id: int) -> None:
         spark = records.sparkSession
         rules, nodes = RuleVersions(spark, self.rules).read(self.version(spark, batch_id))
-        self.then(match_records(records, rules, broadcast_bytes=self.broadcast_bytes, nodes=nodes), batch_id)
+        dense = self.dense is not None and set(records.columns) <= DENSE_COLUMNS
+        levels = dense_levels(rules, self.dense) if dense else []
+        if not levels:
+            self.then(match_records(records, rules, broadcast_bytes=self.broadcast_bytes, nodes=nodes), batch_id)
+            return
+        records, others = records.persist(), nodes.where(~F.col("level").isin(levels))
+        try:
+            matches = match_records(records, rules, broadcast_bytes=self.broadcast_bytes, nodes=others)
+            self.then(DenseMatches(matches, records, dense_rules(rules, levels), levels), batch_id)
+        finally:
+            records.unpersist()
